@@ -42,27 +42,36 @@ BOILERPLATE = (
 )
 
 
+BARS = "[|»›]"
+_SHOUT = "(?:^|[\\x20\\x09-\\x0D])[^\\p{Ll}\\x20\\x09-\\x0D]*\\p{Lu}[^\\p{Ll}\\x20\\x09-\\x0D]*!"
+_PHRASES = "|".join(BOILERPLATE)
+
+
 def _words(text: Column) -> Column:
-    return F.filter(F.split(text, "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    return F.array_remove(F.split(text, "[\\x20\\x09-\\x0D]+"), "")
+
+
+def has_phrase(text: Column) -> Column:
+    """True where a boilerplate phrase occurs at all; spares most documents the search by line."""
+    low = F.lower(text)
+    found = low.contains(BOILERPLATE[0])
+    for p in BOILERPLATE[1:]:
+        found = found | low.contains(p)
+    return found
 
 
-def line_fails(line: Column) -> Column:
-    """True if one of the rules removes this line. Null and wordless lines never fail."""
+def line_fails(line: Column, phrases: Column) -> Column:
+    """True if one of the rules removes this line. Null and wordless lines never fail. phrases: `has_phrase` of the text."""
     n = F.regexp_count(line, F.lit(WORD))
-    symbols = F.regexp_count(line, F.lit(SYMBOLS))
-    bars = F.regexp_count(line, F.lit("[|»›]"))
-    shouts = F.regexp_count(line, F.lit("(?:^|[\\x20\\x09-\\x0D])[^\\p{Ll}\\x20\\x09-\\x0D]*\\p{Lu}[^\\p{Ll}\\x20\\x09-\\x0D]*!"))
-    low = F.lower(line)
-    phrase = F.lit(False)
-    for p in BOILERPLATE:
-        phrase = phrase | low.contains(p)
+    # The capitals are looked for only where there is an exclamation mark.
+    shouts = F.when(line.contains("!"), F.regexp_count(line, F.lit(_SHOUT))).otherwise(0)
     return F.coalesce(
         (n > 0)
         & (
-            (symbols > MAX_SYMBOLS_PER_WORD * n)
-            | (bars > MAX_BARS_PER_WORD * n)
+            (F.regexp_count(line, F.lit(SYMBOLS)) > MAX_SYMBOLS_PER_WORD * n)
+            | (F.regexp_count(line, F.lit(BARS)) > MAX_BARS_PER_WORD * n)
             | ((n >= MIN_SHOUTED_WORDS) & (shouts > MAX_SHOUTS_PER_WORD * n))
-            | phrase
+            | (phrases & F.lower(line).rlike(_PHRASES))
         ),
         F.lit(False),
     )
@@ -78,30 +87,28 @@ def judge(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     The columns are returned in a struct named by the caller's free name, see `judged_column`.
     """
-    v = {k: free_name(docs, k) for k in ("text", "words", "lines", "win", "pos", "seen", "fail", "lost")}
+    v = {k: free_name(docs, k) for k in ("text", "words", "lines", "win", "pos", "seen", "fail", "lost", "phrases")}
     text = F.coalesce(F.col(text_col), F.lit(""))
     df = docs.withColumn(v["text"], text)
-    df = df.withColumn(v["words"], _words(F.col(v["text"]))).withColumn(v["lines"], F.split(F.col(v["text"]), "\n"))
+    df = df.withColumn(v["words"], _words(F.col(v["text"]))).withColumn(v["lines"], F.split(F.col(v["text"]), "\n")).withColumn(v["phrases"], has_phrase(F.col(v["text"])))
     w, lines = F.col(v["words"]), F.col(v["lines"])
     n = F.size(w)
-    # Three-word windows with their places, sorted, so that equal ones are neighbours.
+    # Three-word windows by hash, with their places, sorted, so that equal ones are neighbours.
     df = df.withColumn(
         v["win"],
-        F.when(
-            n >= 3,
-            F.array_sort(F.transform(F.slice(w, F.lit(1), n - 2), lambda x, i: F.struct(F.concat_ws(" ", x, w[i + 1], w[i + 2]).alias("w"), i.alias("i")))),
-        ).otherwise(F.expr("array()").cast("array<struct<w:string,i:int>>")),
+        F.sort_array(
+            F.transform(
+                F.slice(w, F.lit(1), F.greatest(n - 2, F.lit(0))),
+                lambda x, i: F.struct(F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i")),
+            )
+        ),
     )
     win = F.col(v["win"])
     df = df.withColumn(
         v["pos"],
-        F.array_sort(
+        F.sort_array(
             F.transform(
-                F.filter(
-                    win,
-                    lambda x, k: (F.when(k > 0, x["w"] == F.get(win, k - 1)["w"]).otherwise(False))
-                    | (F.when(k < F.size(win) - 1, x["w"] == F.get(win, k + 1)["w"]).otherwise(False)),
-                ),
+                F.filter(win, lambda x, k: F.coalesce(x["h"] == F.get(win, k + 1)["h"], F.lit(False)) | F.coalesce(x["h"] == F.get(win, k - 1)["h"], F.lit(False))),
                 lambda x: x["i"],
             )
         ),
@@ -115,7 +122,7 @@ def judge(docs: DataFrame, text_col: str = "text") -> DataFrame:
         lambda a: a["n"],
     )
     worded = F.filter(lines, lambda x: x.rlike(WORD))
-    df = df.withColumn(v["fail"], F.transform(lines, line_fails)).withColumn(v["seen"], worded)
+    df = df.withColumn(v["fail"], F.transform(lines, lambda x: line_fails(x, F.col(v["phrases"])))).withColumn(v["seen"], worded)
     fail, seen = F.col(v["fail"]), F.col(v["seen"])
     failed_lines = F.filter(lines, lambda x, i: fail[i])
     out = {
@@ -173,9 +180,9 @@ rep AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM dup, unnest(
 l AS (SELECT doc_id, line, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS n FROM (SELECT doc_id, unnest(ls) AS line FROM w)),
 f AS (SELECT doc_id, line, n, n > 0 AND (
         len(regexp_extract_all(line, '{SYMBOLS}')) > {MAX_SYMBOLS_PER_WORD} * n
-        OR len(regexp_extract_all(line, '[|»›]')) > {MAX_BARS_PER_WORD} * n
-        OR (n >= {MIN_SHOUTED_WORDS} AND len(regexp_extract_all(line, '(?:^|[\\x20\\x09-\\x0D])[^\\p{{Ll}}\\x20\\x09-\\x0D]*\\p{{Lu}}[^\\p{{Ll}}\\x20\\x09-\\x0D]*!')) > {MAX_SHOUTS_PER_WORD} * n)
-        OR {" OR ".join(f"contains(lower(line), '{p}')" for p in BOILERPLATE)}) AS fail FROM l),
+        OR len(regexp_extract_all(line, '{BARS}')) > {MAX_BARS_PER_WORD} * n
+        OR (n >= {MIN_SHOUTED_WORDS} AND len(regexp_extract_all(line, '{_SHOUT}')) > {MAX_SHOUTS_PER_WORD} * n)
+        OR regexp_matches(lower(line), '{_PHRASES}')) AS fail FROM l),
 g AS (SELECT doc_id, count(*) FILTER (n > 0) - count(DISTINCT line) FILTER (n > 0) AS n_dup_lines,
              coalesce(sum(length(regexp_replace(line, '[\\x20\\x09-\\x0D]+', '', 'g'))) FILTER (fail), 0)::BIGINT AS lost_chars
       FROM f GROUP BY doc_id),
