@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import line_dedup, line_quality
+from . import line_dedup, line_quality, packing, piece_codec, simhash
 
 _QUERIES = {
+    "op2_bestfit_packing": packing,
+    "op3_simhash_neardup": simhash,
     "op5_line_quality": line_quality,
     "op7_line_dedup": line_dedup,
+    "op9_piece_codec": piece_codec,
 }
 
 
