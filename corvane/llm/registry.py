@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import line_dedup, line_quality, packing, piece_codec, simhash
+from . import exact_topk, line_dedup, line_quality, packing, piece_codec, simhash, token_attribution
 
 _QUERIES = {
     "op2_bestfit_packing": packing,
     "op3_simhash_neardup": simhash,
     "op5_line_quality": line_quality,
+    "op6_exact_topk": exact_topk,
     "op7_line_dedup": line_dedup,
+    "op8_token_attribution": token_attribution,
     "op9_piece_codec": piece_codec,
 }
 
