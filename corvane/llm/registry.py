@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from . import exact_topk, line_dedup, line_quality, packing, piece_codec, simhash, token_attribution
+from . import compression_quality, exact_topk, language_id, line_dedup, line_quality, packing, piece_codec, pii, simhash, token_attribution
 
 _QUERIES = {
+    "op1_language_id": language_id,
     "op2_bestfit_packing": packing,
     "op3_simhash_neardup": simhash,
+    "op4_pii_surrogates": pii,
     "op5_line_quality": line_quality,
     "op6_exact_topk": exact_topk,
     "op7_line_dedup": line_dedup,
     "op8_token_attribution": token_attribution,
     "op9_piece_codec": piece_codec,
+    "op10_compression_quality": compression_quality,
 }
 
 
