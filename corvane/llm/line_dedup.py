@@ -6,7 +6,8 @@ A row is a document; repeated rows count once each. Null or empty text is one em
 is too short to be dropped. A document whose lines all go keeps its row, with empty text.
 
 Keys are compared by two independent 64-bit hashes. Each document sends each of its keys once, and
-counting adds up before the shuffle, so a line in a third of all documents costs each task one row.
+counting adds up before the shuffle, so a line in a third of all documents costs each task one row. Frequent
+keys are few, as each stands for many rows; up to a bound they are broadcast, beyond it joined by salted keys.
 Whole texts move once, to meet the keys that each document must drop.
 """
 
@@ -15,10 +16,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .support import BLANKS, free_name, table
+from .support import BLANKS, Stored, free_name, table
 
 MIN_DOCUMENTS = 10
 MIN_CHARS = 1
+#: Frequent keys up to which they go to every task, at 16 bytes each; beyond that they are joined by salted keys.
+MAX_BROADCAST = 200_000
+SALTS = 32
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -41,10 +45,17 @@ def drop_frequent_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         .filter("k.long")
         .select("id", "check", F.col("k.a").alias("a"), F.col("k.b").alias("b"))
     )
-    hot = keys.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_documents).select("a", "b")
+    store = Stored(docs.sparkSession, "lines")
+    keys = store.cut(keys)  # splitting and hashing is most of the work, and two steps need it
+    hot = store.cut(keys.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_documents).select("a", "b"))
+    if hot.count() <= MAX_BROADCAST:
+        found = keys.join(F.broadcast(hot), ["a", "b"], "left_semi")
+    else:
+        salted = hot.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        found = keys.withColumn("salt", F.pmod(F.xxhash64("id", "check"), F.lit(SALTS)).cast("int")).join(salted, ["a", "b", "salt"], "left_semi")
     # Rows that share id and text drop the same keys, so one list serves them all.
     gone = (
-        keys.join(hot, ["a", "b"], "left_semi")
+        found
         .groupBy("id", "check")
         .agg(F.collect_set(F.struct("a", "b")).alias(v["gone"]))
         .withColumnRenamed("id", v["check"] + "id")
