@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,12 +28,11 @@ SEQUENCE = 4096
 END_ID = 1
 OPEN_BINS = 64
 TOKENIZER = "word_bpe_49k.json"
-_CACHE_ENTRIES = 350_000
+_CACHE_ENTRIES = 300_000
 #: Blanks for Python's str.split() that the tokenizer takes for marks.
-_ODD_BLANKS = re.compile("[\x1c-\x1f]")
-_NOT_LATIN = re.compile("[^\x00-\xff]")
+_ODD_BLANKS = "\x1c\x1d\x1e\x1f"
 #: A full stop or comma that is not alone after a letter or digit belongs to a run of marks, which is one token's matter.
-_RUN_OF_MARKS = re.compile(r"[\W_][.,]\s")
+_RUN_OF_MARKS = re.compile(r"[.,](?<=[\W_][.,])\s")
 
 
 def tokenizer_path(name: str) -> str:
@@ -55,20 +55,35 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
+        self.model = self.lib.model
+        # The letters that stand for bytes in a byte-level vocabulary: printable ones for themselves, the others from 256 on.
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [b for b in range(256) if b not in plain]
+        self.letter_of = {b: chr(256 + k) for k, b in enumerate(others)}
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
-        return [np.array(e.ids, "<u4").tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
+        """Ids of each chunk. A lower-case Latin word is one piece for the model, without the steps before it."""
+        out: list[bytes | None] = [None] * len(texts)
+        rest = []
+        tokenize = self.model.tokenize
+        for k, c in enumerate(texts):
+            if c.isalpha() and c == c.lower() and _latin(c):
+                letters = c if c.isascii() else c.encode().decode("latin-1").translate(self.letter_of)
+                out[k] = array("I", [t.id for t in tokenize(letters)]).tobytes()
+            else:
+                rest.append(k)
+        for k, e in zip(rest, self.lib.encode_batch_fast([texts[k] for k in rest], add_special_tokens=False)):
+            out[k] = array("I", e.ids).tobytes()
+        return out
 
     @staticmethod
     def chunks(text: str) -> list[str]:
         """Parts of a text that are encoded apart."""
-        if _ODD_BLANKS.search(text):
+        if any(c in text for c in _ODD_BLANKS):
             return [text]
-        if "<|" not in text and not _NOT_LATIN.search(text):
+        if "<|" not in text and _latin(text):
             text = text.lower()
             if not _RUN_OF_MARKS.search(text):
                 text = text.replace(". ", " . ").replace(", ", " , ").replace(".\n", " . ")
@@ -91,6 +106,15 @@ class ChunkEncoder:
         return [b"".join(map(cache.__getitem__, chunks)) for chunks in split]
 
 
+def _latin(text: str) -> bool:
+    """Whether all characters are of Latin-1, in which lower case and composition are plain."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 _encoders: dict[str, ChunkEncoder] = {}
 
 
