@@ -31,7 +31,7 @@ from .support import table
 
 MODEL = "piece_bpe_32k.model"
 BLANK = "▁"
-_CACHE_ENTRIES = 400_000
+_CACHE_ENTRIES = 250_000
 _PAIR_ENTRIES = 400_000
 
 
@@ -73,7 +73,12 @@ class PieceCodec:
         self.known_runs = re.compile(f"[{singles}]+|[^{singles}]+")
         self.single = {p for p in self.ids if len(p) == 1}
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.words: dict[str, tuple[int, str, str]] = {}
+        self.words: dict[str, tuple[str, str]] = {}
+        self.older: dict[str, tuple[str, str]] = {}
+        # Characters that stand before a stop or comma in some piece; after any other, a token ends.
+        joined = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
+        before = "".join(re.escape(x[0]) for x in joined if x[1] in ".,")
+        self.mark_may_join = re.compile(f"(?:^|[{before}])[.,][\x00\n]")
         self.blank_runs: dict[int, list[str]] = {}
 
     def merge(self, text: str) -> list[str]:
@@ -192,28 +197,36 @@ class PieceCodec:
         """Text of ids; the blank that encoding put first goes."""
         return self.decode_parts(ids).removeprefix(" ")
 
-    def word(self, word: str) -> tuple[int, str, str]:
-        """Number of ids, ids as text after a blank each, and the decoded text of a word."""
-        ids = self.word_ids(word)
-        found = self.words[word] = (len(ids), "".join([f"{i} " for i in ids]), self.decode_parts(ids))
+    def word(self, word: str) -> tuple[str, str]:
+        """Ids as text, each with a blank after it, and the decoded text of a word."""
+        if (found := self.older.get(word)) is None:
+            ids = self.word_ids(word)
+            found = "".join([f"{i} " for i in ids]), self.decode_parts(ids)
+        self.words[word] = found
         return found
 
     def digest(self, text: str) -> tuple[int, str, str]:
         """Number of ids, SHA-256 of the ids, SHA-256 of the decoded text."""
         if len(self.words) > _CACHE_ENTRIES:
-            self.words.clear()
+            self.words, self.older = {}, self.words
         get, make = self.words.get, self.word
         done = [get(w) or make(w) for w in self._cut(text)]
-        n = sum([d[0] for d in done]) + 1
-        ids = "".join([d[1] for d in done]) + str(self.end)
-        text = "".join([d[2] for d in done]).removeprefix(" ")
-        return n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(text.encode("utf-8", "replace")).hexdigest()
+        ids = "".join([d[0] for d in done]) + str(self.end)
+        text = "".join([d[1] for d in done]).removeprefix(" ")
+        return ids.count(" ") + 1, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(text.encode("utf-8", "replace")).hexdigest()
 
     def _cut(self, text: str) -> list[str]:
-        """`split` of the normalised text; without runs of blanks or blank marks, a plain split does."""
-        if BLANK in text or "  " in text or text[:1] == " ":
+        """Parts of the normalised text that no token spans: words, and the stop or comma after them apart."""
+        if not text:
+            return []
+        if BLANK in text or "  " in text or text[:1] == " " or "\x00" in text:
             return self.split(self.normalise(text))
-        return [BLANK + w for w in text.split(" ")] if text else []
+        text = (" " + text).replace(" ", "\x00" + BLANK)
+        if self.mark_may_join.search(text):
+            return text[1:].split("\x00")
+        # A line feed is no piece, so tokens end at both its sides.
+        text = text.replace(".\x00", "\x00.\x00").replace(",\x00", "\x00,\x00").replace(".\n", "\x00.\x00\n").replace("\n", "\x00\n\x00")
+        return [w for w in text.split("\x00") if w]
 
 
 _codecs: dict[str, PieceCodec] = {}
