@@ -159,7 +159,9 @@ def keep_clean(docs: DataFrame, text_col: str = "text", size_col: str = "n_chars
     """The documents that pass, with failing lines removed; columns as they were. size_col, if there, is set anew."""
     name = judged_column(docs)
     j = F.col(name)
-    df = judge(docs, text_col).filter(j["kept"]).withColumn(text_col, j["cleaned"])
+    # One row or none from each document: a filter would be pushed below the columns that it reads, and repeat their work.
+    texts = F.when(j["kept"], F.array(j["cleaned"])).otherwise(F.expr("array()").cast("array<string>"))
+    df = judge(docs, text_col).select(*[F.col(f"`{c}`") for c in docs.columns if c != text_col], F.explode(texts).alias(text_col))
     if size_col in docs.columns:
         df = df.withColumn(size_col, F.length(F.col(text_col)).cast(docs.schema[size_col].dataType))
     return df.select(*[F.col(f"`{c}`") for c in docs.columns])

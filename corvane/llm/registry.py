@@ -19,8 +19,13 @@ _QUERIES = {
 
 
 def queries():
-    return {name: m.query for name, m in _QUERIES.items()}
+    import corpus_pipeline
+
+    return {name: m.query for name, m in _QUERIES.items()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql():
-    return {name: m.SQL for name, m in _QUERIES.items() if getattr(m, "SQL", None)}
+    import corpus_pipeline
+
+    found = {name: m.SQL for name, m in _QUERIES.items() if getattr(m, "SQL", None)}
+    return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
