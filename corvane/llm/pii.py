@@ -60,12 +60,14 @@ _PATTERN = re.compile(
     r"|(?P<prefixed>(?<![A-Za-z0-9])(?:AKIA|ASIA|ghp_|gho_|sk-|xoxb-)(?P<rest>[A-Za-z0-9-]{12,}))"
     r"|(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"
     rf"|(?P<ip>(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d))"
-    r"|(?P<phone>(?<![\d+])\+\d{1,3}(?:[ .-]?\(\d{1,4}\))?(?:[ .-]?\d{2,4}){2,5}(?!\d)|(?<![\d(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?!\d))"
+    r"|(?P<phone>(?<![\d+])\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\d+])\+\d{1,3}(?:[ -]?\(\d{1,4}\))?(?:[ -]?\d{2,4}){2,4}(?!\d|\.\d)"
+    r"|(?<![\d(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?!\d))"
     r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
-    r"|(?P<card>(?<!\d)\d(?:[ -]?\d){12,18}(?!\d))"
+    r"|(?P<card>(?<!\d)(?:\d{13,19}(?!\d)|\d{4}(?P<gap>[ -])\d{4}(?P=gap)\d{4}(?P=gap)\d{1,7}(?!\d)|\d{4}(?P<gap2>[ -])\d{6}(?P=gap2)\d{5}(?!\d)))"
 )
 _NAME = re.compile(rf"(?P<title>{'|'.join(sorted(TITLES, key=len, reverse=True))})\.? (?P<name>[^\W\d_a-zß-ÿ]\w+(?: [^\W\d_a-zß-ÿ][^\W\d_]+){{0,2}})")
-_TRIGGER = re.compile(r"[0-9@=:]")
+#: What every entity but a name has one of.
+_TRIGGER = re.compile(r"[0-9@=:]|A[KS]IA|gh[po]_|sk-|xoxb-")
 
 
 def _luhn(digits: str) -> int:
@@ -94,9 +96,11 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
     for line in text.split("\n"):
         own: list[tuple[int, int, str, str]] = []
         if _TRIGGER.search(line):
-            for m in _PATTERN.finditer(line):
+            k = 0
+            while m := _PATTERN.search(line, k):
                 if e := _entity(m):
                     own.append(e)
+                k = m.end() if e else m.start() + 1  # what fails its checksum may hide another entity
         for m in _NAME.finditer(line):
             if m.start() and (line[m.start() - 1].isalnum() or line[m.start() - 1] == "_"):
                 continue
@@ -112,8 +116,7 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
 
 
 def _entity(m: re.Match) -> tuple[int, int, str, str] | None:
-    kind, value = m.lastgroup, m.group()
-    # The outer group names the type; lastgroup is the last to close.
+    kind, value = m.lastgroup, m.group()  # the outer group is the last to close, so it names the type
     if kind == "secret":
         return (*m.span("named"), "secret", m["named"])
     if kind == "prefixed":
