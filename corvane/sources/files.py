@@ -28,7 +28,7 @@ def scan_folder(spark: SparkSession, root: str, include: list[str] | None = None
     patterns = DEFAULT_INCLUDE if include is None else include
     hits = F.array(*[F.when(matches_include(F.col("path"), p), F.lit(k)) for k, p in enumerate(patterns)])
     files = files.filter(~matches_any(F.col("path"), DEFAULT_EXCLUDE if exclude is None else exclude))
-    return files.withColumn("hit", F.explode(F.filter(hits, lambda x: x.isNotNull()))).select("path", F.decode("content", F.lit("UTF-8")).alias("content"), "modified")
+    return files.withColumn("hit", F.explode(F.filter(hits, lambda x: x.isNotNull()))).select("path", F.decode("content", "UTF-8").alias("content"), "modified")
 
 
 def tracked_files(spark: SparkSession, root: str, include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
