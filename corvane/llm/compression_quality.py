@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship_package
 from .packing import _groups
-from .support import table
+from .support import documents, table
 
 SAMPLE = 2000
 MAX_TRAIN_CHARS = 30_000
@@ -178,5 +178,5 @@ def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = train(*labelled_sample(docs, table(spark, sf_dir, "labels")))
-    s = score(docs, model)
+    s = score(documents(spark, sf_dir), model)
     return s.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"), "difference")

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from ..shipping import ship_package
 from .compression_quality import fit_logistic
 from .packing import _groups
-from .support import table
+from .support import documents, table
 
 ORDER = 5
 TRAIN_CHARS = 6_000_000
@@ -324,6 +324,5 @@ def identify(docs: DataFrame, models: LanguageModels, id_col: str = "doc_id", te
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    found = identify(docs, learn(docs))
+    found = identify(documents(spark, sf_dir), learn(table(spark, sf_dir, "documents")))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "bits_per_char", "rejected")

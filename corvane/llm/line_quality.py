@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .support import WORD, free_name, table
+from .support import WORD, documents, free_name
 
 MIN_WORDS = 50
 MAX_REPEATED = 50  # percent of words in repeated windows of three
@@ -168,7 +168,7 @@ def keep_clean(docs: DataFrame, text_col: str = "text", size_col: str = "n_chars
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_quality(table(spark, sf_dir, "documents"))
+    return line_quality(documents(spark, sf_dir))
 
 
 SQL = f"""

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ..shipping import ship_package
-from .support import table
+from .support import documents
 
 SEQUENCE = 4096
 END_ID = 1
@@ -223,4 +223,4 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"))
+    return pack(documents(spark, sf_dir))

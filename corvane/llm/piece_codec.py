@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..shipping import ship_package
 from .packing import _groups, tokenizer_path
-from .support import table
+from .support import documents
 
 MODEL = "piece_bpe_32k.model"
 BLANK = "▁"
@@ -273,4 +273,4 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_digests(table(spark, sf_dir, "documents"))
+    return encode_digests(documents(spark, sf_dir))

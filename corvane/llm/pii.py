@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship_package
-from .support import Stored, free_name, table
+from .support import Stored, documents, free_name
 
 KEY = b"corvane surrogate key"
 MAX_BROADCAST = 50_000
@@ -352,5 +352,5 @@ def pii_surrogates(docs: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir)
     return replace_entities(docs).select("doc_id", "text", F.col(replaced_column(docs)).alias("n_replaced"))

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship_package
 from .packing import _groups
-from .support import Stored, free_name, table
+from .support import Stored, documents, free_name
 
 SHINGLE = 4
 SEED = 42
@@ -268,5 +268,5 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = neardup_components(table(spark, sf_dir, "documents"))
+    found = neardup_components(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -1,12 +1,11 @@
-"""What the operators share: table access, stored intermediates and worker caches."""
+"""What the operators share: table access, stored intermediates and free column names."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from ..storage import Stored, shared_folder  # noqa: F401
+
 #: Word characters of the contracts: all but space and the controls 09 to 0D.
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: The characters that the pattern above excludes.
@@ -17,35 +16,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset, as in tests, a folder made once."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='corvane-shared-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+#: Input below which few files are dealt out to all cores, in bytes.
+SMALL_INPUT = 64 * 1024 * 1024
 
 
-class Stored:
-    """Tables written to the shared folder to cut lineage; a lost executor costs no more than a reread."""
+def spread(df: DataFrame) -> DataFrame:
+    """A small table of fewer files than cores, dealt out to all cores by row; any other as it is.
 
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark = spark
-        self.top = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-        self.n = 0
+    A small Parquet file is one row group and so one task, whatever the number of cores.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < SMALL_INPUT and len(df.inputFiles()) < cores else df
 
-    def cut(self, df: DataFrame) -> DataFrame:
-        """Writes df and returns it as read again; its path is in `last`."""
-        self.last = f"{self.top}/{self.n}"
-        self.n += 1
-        df.write.parquet(self.last)
-        return self.spark.read.schema(df.schema).parquet(self.last)
 
-    def drop(self, path: str) -> None:
-        """Deletes a table that nothing will read again."""
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and texts of all documents."""
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def free_name(df: DataFrame, stem: str) -> str:

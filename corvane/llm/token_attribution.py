@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..shipping import ship_package
 from .packing import _groups, tokenizer_path
-from .support import table
+from .support import documents
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -100,4 +100,4 @@ def section_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return section_tokens(table(spark, sf_dir, "documents"))
+    return section_tokens(documents(spark, sf_dir))
