@@ -146,14 +146,16 @@ def expand_neighbourhood(nodes: DataFrame, edges: DataFrame, symbols: DataFrame,
     low = nodes.withColumn("key", F.explode(F.array_distinct(F.array(F.lower("name"), F.lower(F.coalesce("full_name", "name")), F.lower(F.substring_index(F.coalesce("full_name", "name"), ".", -1))))))
     own = low.join(s.withColumn("key", F.lower("symbol")), "key").select("seq", "symbol", *nodes.columns).distinct()
     rank = F.row_number().over(Window.partitionBy("seq").orderBy(ordinal(F.col("node_type"), NODE_TYPES), "id"))
-    own = own.withColumn("r", rank).filter(F.col("r") <= max_nodes)
+    # At most max_symbols * max_nodes rows; stored, as each relation starts from them.
+    own = Stored(nodes.sparkSession, "neighbourhood").cut(own.withColumn("r", rank).filter(F.col("r") <= max_nodes))
     steps = [("implementation", ["Interface"], "Implements", "target_id", "source_id", related, NODE_TYPES), ("derived", ["Class"], "Inherits", "target_id", "source_id", related, NODE_TYPES),
              ("member", ["Class", "Interface", "Record", "Struct"], "Contains", "source_id", "target_id", members, MEMBER_KINDS), ("caller", ["Method"], "Calls", "target_id", "source_id", related, NODE_TYPES)]
     parts = [own.select("seq", "symbol", F.col("r"), F.lit(0).alias("step"), F.lit(0).alias("k"), F.lit("match").alias("relation"), *nodes.columns)]
     for i, (relation, kinds, edge, near, far, limit, allowed) in enumerate(steps, 1):
         start = own.filter(F.col("node_type").isin(kinds)).select("seq", "symbol", "r", F.col("id").alias(near))
         e = edges.filter(F.col("edge_type") == edge).select(near, F.col(far).alias("id")).distinct()
-        got = start.join(e, near).join(nodes.filter(F.col("node_type").isin(*allowed)), "id")
+        near_by = e.join(F.broadcast(start), near)  # bounded as above
+        got = near_by.join(nodes.filter(F.col("node_type").isin(*allowed)), "id")
         k = F.row_number().over(Window.partitionBy("seq", "r").orderBy("id"))
         parts.append(got.withColumn("k", k).filter(F.col("k") <= limit).select("seq", "symbol", "r", F.lit(i).alias("step"), "k", F.lit(relation).alias("relation"), *nodes.columns))
     every = reduce(DataFrame.unionByName, parts)

@@ -34,7 +34,12 @@ def tree_rows(chunks: DataFrame, max_depth: int = 3, detail: bool = False) -> Da
         if max_depth >= 3:
             t = types.select(F.col("rel_path").alias("t_path"), own.alias("t_name")).distinct()
             m = c.filter(F.col("chunk_type").isin(*MEMBER_CHUNKS))
-            pairs = m.join(t, (m["rel_path"] == t["t_path"]) & ((m["parent"] == t["t_name"]) | F.startswith(m["title"], F.concat(t["t_name"], F.lit(".")))))
+            # A type that owns a member is its parent or what stands before a dot of its title: a few names, so the join is by equality.
+            parts = F.split(F.coalesce("title", F.lit("")), "[.]")
+            heads = F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda x, k: F.array_join(F.slice(parts, F.lit(1), k + 1), "."))
+            owners = F.array_distinct(F.filter(F.concat(F.array("parent"), heads), lambda x: x.isNotNull()))
+            m = m.select("*", F.explode(owners).alias("owner"))
+            pairs = m.join(t, (m["rel_path"] == t["t_path"]) & (m["owner"] == t["t_name"]))
             out = out.unionByName(pairs.select(F.concat_ws(":", F.lit("method"), "rel_path", own).alias("node_id"), F.concat_ws(":", F.lit("type"), "rel_path", "t_name").alias("parent_id"), F.lit("method").alias("kind"), own.alias("name"), sig.alias("signature"), F.lit(3).alias("depth")))
     return out
 
