@@ -108,6 +108,12 @@ def changes(t: Tables) -> DataFrame:
     return t.events.select("ts", "event_id", kind.alias("change_type"), F.concat(F.lit("/w/"), "user_id", F.lit(".cs")).alias("path"))
 
 
+def register_views(t: Tables) -> None:
+    """The derived tables as temporary views, so that queries can be written in SQL."""
+    for name, df in (("nodes", nodes(t)), ("edges", edges(t)), ("chunks", chunks(t)), ("trace", trace(t)), ("changes", changes(t))):
+        df.createOrReplaceTempView(name)
+
+
 # The same views for the oracle, in its SQL.
 ORACLE_NODES = "WITH nodes AS (" + NODE_SQL.replace("STRING", "VARCHAR") + ")"
 ORACLE_GRAPH = ORACLE_NODES + ", edges AS (SELECT *, concat_ws('|', edge_type, source_id, target_id) AS id FROM (" + EDGE_SQL + "))"

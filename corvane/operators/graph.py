@@ -211,3 +211,26 @@ def members_by_name(nodes: DataFrame, type_name: str) -> DataFrame:
     t = nodes.filter(F.col("node_type").isin(*TYPE_KINDS) & (F.col("name") == type_name)).select(F.col("file_path").alias("t_file"), F.col("name").alias("t_name"))
     m = nodes.filter(F.col("node_type").isin(*MEMBER_KINDS))
     return m.join(t, (F.col("file_path") == F.col("t_file")) | F.contains("full_name", F.concat("t_name", F.lit("."))), "left_semi")
+
+
+def light_graph(files: DataFrame, path_col: str = "path", text_col: str = "content") -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of source files by their declarations alone: files, types and members, and what contains what."""
+    from ..functions.paths import file_name
+    from .chunking import ingest
+
+    found = ingest(files, "members", path_col, text_col)
+    kind = F.when(F.col("chunk_type") == "method", "Method").otherwise(F.initcap("chunk_type"))
+    owner = F.regexp_extract("title", r"^(.*)\.[^.]*$", 1)
+    member = F.col("chunk_type") == "method"
+    own = found.select(
+        F.concat_ws("|", "path", "title", "start_line").alias("id"), kind.alias("node_type"), F.when(member, F.substring_index("title", ".", -1)).otherwise(F.col("title")).alias("name"),
+        F.col("title").alias("full_name"), F.col("path").alias("file_path"), F.col("start_line").alias("line_number"), F.when(member, owner).alias("owner"),
+    )
+    file_id = F.concat(F.lit("file|"), F.col("file_path"))
+    paths = own.select("file_path").distinct()
+    file_nodes = paths.select(file_id.alias("id"), F.lit("File").alias("node_type"), file_name(F.col("file_path")).alias("name"), F.lit(None).cast("string").alias("full_name"), "file_path", F.lit(1).alias("line_number"))
+    types = own.filter(F.col("owner").isNull())
+    in_file = types.select(F.lit("Contains").alias("edge_type"), file_id.alias("source_id"), F.col("id").alias("target_id"))
+    t = types.groupBy("file_path", F.col("full_name").alias("owner")).agg(F.min("id").alias("source_id"))
+    in_type = own.filter(F.col("owner").isNotNull()).join(t, ["file_path", "owner"]).select(F.lit("Contains").alias("edge_type"), "source_id", F.col("id").alias("target_id"))
+    return file_nodes.unionByName(own.drop("owner")), in_file.unionByName(in_type)

@@ -132,6 +132,15 @@ def first_per_key(rows: DataFrame, keys: list[str], order: list[Column]) -> Data
     return rows.withColumn("__r", F.row_number().over(w)).filter("__r = 1").drop("__r")
 
 
+def by_id(rows: DataFrame, key: str, value: object) -> DataFrame:
+    return rows.filter(F.col(key) == value)
+
+
+def token_estimate(rows: DataFrame, text_col: str) -> DataFrame:
+    """One row: a quarter of all characters, rounded down, as the number of tokens."""
+    return rows.agg(F.floor(F.coalesce(F.sum(F.length(text_col)), F.lit(0)) / 4).cast("long").alias("tokens"))
+
+
 def kind_weight(kind: Column) -> Column:
     """How much a kind of symbol weighs in a search."""
     weights = {"Interface": 100, "Class": 90, "Enum": 85, "Record": 80, "Struct": 75, "Method": 50, "Property": 40}

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.paths import CONTENT_ALIASES
 from ..functions.text import namespace_of, pascal_symbols, symbol_candidates
 from .graph import expand_neighbourhood, project_structure
 from .records import first_per_key, kind_weight
 from .retrieval import RetrievalOptions, multi_query_top_k, per_query_slots, vector_top_k
+from .status import resolve_workspaces
 
 EXACT_LIMIT = 5
 
@@ -39,6 +41,23 @@ def docs_search(chunks: DataFrame, query: DataFrame) -> DataFrame:
     return vector_top_k(chunks, query, RetrievalOptions(top_k=10, min_score=0.5, content_types=["Documentation", "Markdown"]))
 
 
+def workspace_search(chunks: DataFrame, query: DataFrame, root: str, content_alias: str = "all", k: int = 10, min_score: float | None = 0.3) -> DataFrame:
+    """The best chunks under a workspace's path, of the content types that an alias stands for; an unknown alias is no restriction."""
+    kinds = CONTENT_ALIASES.get(content_alias.lower()) or []
+    return vector_top_k(chunks, query, RetrievalOptions(top_k=k, min_score=min_score, content_types=kinds, path_prefix=root))
+
+
+def multi_workspace_search(chunks: DataFrame, registry: DataFrame, wanted: list[str], query: DataFrame, k: int = 20, min_score: float | None = 0.3) -> DataFrame:
+    """(content_id, source_path, workspace_id, score, error): the best over the workspaces that resolve, or one row with an error if none does."""
+    ws = resolve_workspaces(registry, wanted).select(F.col("id").alias("workspace_id"))
+    hits = vector_top_k(chunks.join(ws, "workspace_id", "left_semi"), query, RetrievalOptions(top_k=k, min_score=min_score))
+    none = F.lit(None).cast("string")
+    rows = hits.select("content_id", "source_path", "workspace_id", "score", none.alias("error"))
+    missing = ws.agg(F.count(F.lit(1)).alias("n")).filter("n = 0")
+    failed = missing.select(none.alias("content_id"), none.alias("source_path"), none.alias("workspace_id"), F.lit(None).cast("double").alias("score"), F.lit("no workspace of that name").alias("error"))
+    return rows.unionByName(failed)
+
+
 def library_top_k(excerpts: DataFrame, query: DataFrame, k: int) -> DataFrame:
     """The k nearest without a least score; the score as a float."""
     return vector_top_k(excerpts, query, RetrievalOptions(top_k=k, min_score=None)).withColumn("score", F.col("score").cast("float"))

@@ -136,6 +136,21 @@ add(
     "SELECT sha256(string_agg('## ' || r || '. ' || source_path || chr(10) || content, chr(10) || chr(10) ORDER BY r)) AS context_sha256 FROM n",
 )
 
+
+
+def _mapped(t: X.Tables) -> DataFrame:
+    """Chunks with a metadata map, some of its numbers malformed."""
+    line = F.when(F.col("vec_id") % 3 == 0, F.lit("x")).otherwise(F.col("vec_id").cast("string"))
+    m = F.create_map(F.lit("chunkType"), F.lit("method"), F.lit("symbolName"), F.concat(F.lit("Sym"), F.col("vec_id") % 50), F.lit("startLine"), line)
+    return X.chunks(t).withColumn("metadata", m)
+
+
+add("chunks_for_tree", lambda t: V.chunks_for_tree(_mapped(t), "/Corpus//src1", "SYM1").select("content_id", "rel_path", "symbol", "start_line", "chunk_type"),
+    X.ORACLE_CHUNKS + " SELECT content_id, substring(source_path, 14) AS rel_path, 'Sym' || (vec_id % 50) AS symbol, CASE WHEN vec_id % 3 > 0 THEN vec_id::INTEGER END AS start_line, 'method' AS chunk_type FROM chunks WHERE source_path ILIKE '/corpus/src1/%' AND (contains(lower(substring(source_path, 14)), 'sym1') OR contains(lower('Sym' || (vec_id % 50)), 'sym1'))")
+add("workspace_search", lambda t: _hits(S.workspace_search(X.chunks(t), X.query_vector(t, 2), "/corpus/src2", "DOCS", 10, 0.0)),
+    _scores(2, "content_type IN ('Documentation', 'Markdown', 'PlainText') AND source_path ILIKE '/corpus/src2%'") + "SELECT content_id, round(s, 6) AS score FROM scored WHERE s >= 0 ORDER BY s DESC, content_id LIMIT 10")
+add("multi_workspace_error", lambda t: S.multi_workspace_search(X.chunks(t), _workspaces(t), ["nowhere"], X.query_vector(t, 2)).select("content_id", "error"), "SELECT NULL::VARCHAR AS content_id, 'no workspace of that name' AS error")
+
 # ---- graph
 
 
@@ -169,6 +184,14 @@ add("reverse_refs", _g(G.reverse_references, "NATION_3"), _along("'References'",
 _FIND = "(name ILIKE 'nation_1%' OR full_name ILIKE 'nation_1%' OR full_name ILIKE '%.nation_1%')"
 add("find_nodes", lambda t: G.find_nodes(X.nodes(t), "nation_1%", "Namespace").select("id", "name", "full_name"), X.ORACLE_NODES + f" SELECT id, name, full_name FROM nodes WHERE {_FIND} AND node_type = 'Namespace'")
 add("find_definition", lambda t: G.definition(X.nodes(t), "order_7", "Customer#0000000").select("id", "name"), X.ORACLE_NODES + " SELECT id, name FROM nodes WHERE (name ILIKE 'order_7' OR full_name ILIKE 'order_7' OR full_name ILIKE '%.order_7') AND contains(lower(full_name), 'customer#0000000') ORDER BY id LIMIT 1")
+
+
+def _stats_in_sql(t: X.Tables) -> DataFrame:
+    X.register_views(t)
+    return t.spark.sql("SELECT n.node_type, e.edge_type, count(*) AS n FROM nodes n JOIN edges e ON e.source_id = n.id GROUP BY ALL")
+
+
+add("graph_sql", _stats_in_sql, X.ORACLE_GRAPH + " SELECT n.node_type, e.edge_type, count(*) AS n FROM nodes n JOIN edges e ON e.source_id = n.id GROUP BY ALL")
 add("graph_stats", lambda t: G.graph_stats(X.nodes(t), X.edges(t)), X.ORACLE_GRAPH + " SELECT 'node' AS what, node_type AS kind, count(*) AS n FROM nodes GROUP BY 2 UNION ALL SELECT 'edge', edge_type, count(*) FROM edges GROUP BY 2")
 add("edge_stats_repo", lambda t: G.graph_stats(X.nodes(t), X.edges(t), "/repo/asia"), X.ORACLE_GRAPH + " SELECT 'node' AS what, node_type AS kind, count(*) AS n FROM nodes WHERE repository_path ILIKE '/repo/asia' GROUP BY 2 UNION ALL SELECT 'edge', edge_type, count(*) FROM edges JOIN nodes n ON n.id = source_id WHERE repository_path ILIKE '/repo/asia' GROUP BY 2")
 add("distinct_calls", lambda t: G.distinct_edges(X.edges(t).unionByName(X.edges(t)), "Calls").select("source_id", "target_id"), X.ORACLE_GRAPH + " SELECT DISTINCT source_id, target_id FROM edges WHERE edge_type = 'Calls'")
@@ -454,6 +477,8 @@ def _agents(t: X.Tables) -> DataFrame:
 
 add("capable_agents", lambda t: R.capable_agents(_agents(t), "CODING", "CSharp").select("agent_id"), "SELECT s_suppkey AS agent_id FROM supplier WHERE s_suppkey % 3 IN (0, 2)")
 add("best_agent", lambda t: R.best_agent(_agents(t), "ingest:CS").select("agent_id", "tier"), "SELECT s_suppkey AS agent_id, CASE s_suppkey % 3 WHEN 2 THEN 0 ELSE 1 END AS tier FROM supplier WHERE s_suppkey % 3 > 0 ORDER BY 2, s_nationkey, 1 LIMIT 1")
+add("lookup_by_id", lambda t: R.by_id(t.orders, "o_orderkey", 7).select("o_orderkey", "o_totalprice"), "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey = 7")
+add("token_estimate", lambda t: R.token_estimate(t.conversations, "text"), "SELECT sum(length(text))::BIGINT // 4 AS tokens FROM conversations")
 add("vanished_ids", lambda t: R.vanished(t.part.select(F.col("p_partkey").alias("id")), t.supplier.select(F.col("s_suppkey").alias("id")), t.customer.select(F.col("c_custkey").alias("id"))), "SELECT p_partkey AS id FROM part EXCEPT SELECT s_suppkey FROM supplier EXCEPT SELECT c_custkey FROM customer")
 add("overlays", lambda t: R.resolve_overlays(t.nation.select(F.col("n_name").alias("name")), t.customer.select(F.concat(F.lit("NATION_"), F.col("c_nationkey") + 5).alias("name"), F.col("c_mktsegment").alias("language"))).select("name", F.array_join("languages", ",").alias("languages"), "has_base"),
     "WITH o AS (SELECT 'NATION_' || (c_nationkey + 5) AS name, string_agg(DISTINCT c_mktsegment, ',' ORDER BY c_mktsegment) AS languages FROM customer GROUP BY 1) SELECT coalesce(n_name, name) AS name, coalesce(languages, '') AS languages, n_name IS NOT NULL AS has_base FROM (SELECT DISTINCT n_name FROM nation) FULL JOIN o ON n_name = name")

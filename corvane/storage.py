@@ -30,6 +30,9 @@ class Stored:
         self.last = f"{self.top}/{self.n}"
         self.n += 1
         df.write.parquet(self.last)
+        if self.n == 1:
+            top = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.top)
+            top.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(top)  # with the application
         return self.spark.read.schema(df.schema).parquet(self.last)
 
     def drop(self, path: str) -> None:

@@ -103,3 +103,13 @@ def test_split_rows_and_embedding(spark):
     assert sorted((r.id, r.chunk) for r in C.split_rows(rows, "t", "k").collect()) == [(1, "a\n\nb"), (3, "# a"), (3, "# b")]
     e = rows.select(C.hashing_embedding(rows.t).alias("e")).collect()
     assert all(len(r.e) == 64 for r in e) and abs(sum(x * x for x in e[0].e) - 1) < 1e-6 and sum(e[1].e) == 0
+
+
+def test_light_graph(spark):
+    from corvane.operators.graph import light_graph
+
+    files = spark.createDataFrame([("a.cs", "class A { int M(int x) { return x; } }\ninterface IB { }"), ("e.cs", "")], "path string, content string")
+    nodes, edges = light_graph(files)
+    by = {r.id: (r.node_type, r.name) for r in nodes.collect()}
+    assert sorted(by.values()) == [("Class", "A"), ("File", "a.cs"), ("Interface", "IB"), ("Method", "M")]
+    assert sorted((by[e.source_id][1], by[e.target_id][1]) for e in edges.collect()) == [("A", "M"), ("a.cs", "A"), ("a.cs", "IB")]
