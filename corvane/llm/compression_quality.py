@@ -1,14 +1,15 @@
 """Quality by compression: Zstandard dictionaries of good and bad labelled text, and what each saves.
 
 A text is cut into blocks of `BLOCK` bytes. Each is compressed with the dictionary of good and with that of
-bad text; the difference of the summed sizes, by the text's bytes, tells which it is more like. A logistic
+bad text; the difference of the summed sizes, by the text's bytes, tells which it is more like. As a short text
+tells little, each is taken with `SHORT` bytes of the typical difference of good text. A logistic
 curve in that difference gives the score. Its slope is fitted on labelled text that the dictionaries have
 not seen; it is set so that it crosses `CUT` where the two classes part best on that text.
 
 Learning takes at most `SAMPLE` labelled documents of each class of at most `MAX_TRAIN_CHARS` characters, those with the
 smallest hashes of their ids, from rows whose crc32(doc_id as text) mod 5 is not 0. Scoring takes whole texts.
 Ids that are labelled both ways teach nothing. Without text of both classes each score is the share
-of good labels, or 0.5 without any. Null and empty texts have difference 0. Repeated rows score alike; other
+of good labels in the sample, or 0.5 without any; so is that of null and empty texts. Repeated rows score alike; other
 columns are not read.
 """
 
@@ -32,6 +33,7 @@ MAX_TRAIN_CHARS = 30_000
 DICTIONARY = 64 * 1024
 LEVEL = 3
 BLOCK = 2048
+SHORT = 100  # bytes of typical good text that are added to each text
 CUT = 0.3
 FOLDS = 5
 
@@ -43,6 +45,13 @@ class QualityModel:
     slope: float
     middle: float
     prior: float
+    typical: float = 0.0
+
+    def score(self, difference: float | None) -> float:
+        """Probability of good for a damped difference; None is an empty text."""
+        if difference is None or not self.slope:
+            return self.prior
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * (difference - self.middle)))))
 
 
 def held_out(id_col: Column, folds: int = FOLDS) -> Column:
@@ -52,25 +61,27 @@ def held_out(id_col: Column, folds: int = FOLDS) -> Column:
 class Differ:
     """Difference of compressed sizes, bad dictionary less good, by bytes."""
 
-    def __init__(self, good: bytes, bad: bytes):
+    def __init__(self, good: bytes, bad: bytes, typical: float = 0.0):
         import zstandard
 
+        self.typical = typical
         self.by = []
         for content in (bad, good):
             d = zstandard.ZstdCompressionDict(content)
             d.precompute_compress(level=LEVEL)
             self.by.append(zstandard.ZstdCompressor(dict_data=d, level=LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False))
 
-    def difference(self, text: str | None) -> float:
+    def difference(self, text: str | None, short: int = SHORT) -> float | None:
+        """None for an empty text. short: bytes of typical text that are added."""
         raw = (text or "").encode("utf-8", "replace")
         if not raw:
-            return 0.0
+            return None
         bad, good = self.by
         n = 0
         for k in range(0, len(raw), BLOCK):
             block = raw[k : k + BLOCK]
             n += len(bad.compress(block)) - len(good.compress(block))
-        return n / len(raw)
+        return (n + short * self.typical) / (len(raw) + short)
 
 
 def _dictionary(texts: list[str]) -> bytes:
@@ -120,12 +131,13 @@ def train(good: list[str], bad: list[str]) -> QualityModel:
         return QualityModel(b"", b"", 0.0, 0.0, prior)
     dicts = _dictionary(good[::2]), _dictionary(bad[::2])
     d = Differ(*dicts)
+    d.typical = float(np.median([d.difference(t, 0) for t in good[1::2]]))
     x = np.array([d.difference(t) for t in [*good[1::2], *bad[1::2]]])
     y = np.array([1] * len(good[1::2]) + [0] * len(bad[1::2]))
     slope, middle = fit_logistic(x, y)
     if slope > 0:
         middle = best_cut(x, y) - math.log(CUT / (1 - CUT)) / slope
-    return QualityModel(*dicts, slope, middle, prior)
+    return QualityModel(*dicts, slope, middle, prior, d.typical)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> tuple[list[str], list[str]]:
@@ -162,14 +174,11 @@ def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col
         key = (hash(m.good), hash(m.bad))
         if m.slope and key not in _differs:
             _differs.clear()
-            _differs[key] = Differ(m.good, m.bad)
+            _differs[key] = Differ(m.good, m.bad, m.typical)
         for whole in batches:
             for batch in _groups(whole):
-                if m.slope:
-                    x = [_differs[key].difference(t) for t in batch.column(1).to_pylist()]
-                    s = [1 / (1 + math.exp(-max(-30.0, min(30.0, m.slope * (d - m.middle))))) for d in x]
-                else:
-                    x, s = [0.0] * batch.num_rows, [m.prior] * batch.num_rows
+                x = [_differs[key].difference(t) if m.slope else None for t in batch.column(1).to_pylist()]
+                s = [m.score(d) for d in x]
                 yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(x, pa.float64()), pa.array(s, pa.float64())], schema=schema)
 
     return docs.select(id_col, text_col).mapInArrow(run, "doc_id long, difference double, score double")
