@@ -22,7 +22,9 @@ import heapq
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from ..shipping import ship_package
@@ -31,7 +33,8 @@ from .support import documents
 
 MODEL = "piece_bpe_32k.model"
 BLANK = "▁"
-_CACHE_ENTRIES = 250_000
+_SEPARATOR = "\x00"
+_CACHE_ENTRIES = 400_000
 _PAIR_ENTRIES = 400_000
 
 
@@ -58,7 +61,8 @@ class PieceCodec:
                 self.ids[p] = i
                 self.score[p] = lib.get_score(i)
         self.unknown = lib.unk_id()
-        self.unknown_text = " ⁇ "
+        #: Text of each id; None for bytes.
+        self.text = [None if i in self.byte_of else p.replace(BLANK, " ") if p is not None else " ⁇ " if i == self.unknown else "" for i, p in enumerate(self.piece)]
         # Pieces that merging can arrive at; others never occur. Runs of blanks are handled apart.
         reached = [p for p in self.ids if p.strip(BLANK) and (len(p) == 1 or self.merge(p) == [p])]
         reached.append(BLANK)
@@ -73,8 +77,9 @@ class PieceCodec:
         self.known_runs = re.compile(f"[{singles}]+|[^{singles}]+")
         self.single = {p for p in self.ids if len(p) == 1}
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.words: dict[str, tuple[str, str]] = {}
-        self.older: dict[str, tuple[str, str]] = {}
+        self.words: dict[str, str] = {}  # a word's ids as text, each with a blank after it
+        self.older: dict[str, str] = {}
+        self.odd: dict[str, str] = {}  # decoded texts of the words that don't come back as they were
         # Characters that stand before a stop or comma in some piece; after any other, a token ends.
         joined = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
         before = "".join(re.escape(x[0]) for x in joined if x[1] in ".,")
@@ -146,6 +151,8 @@ class PieceCodec:
 
     def word_ids(self, word: str) -> list[int]:
         """Ids of a text in which blank marks stand at the start only."""
+        if (letters := word[1:]).isascii() and letters.isalpha() and word[0] == BLANK:
+            return [self.ids[p] for p in self.backtrack(word)]
         out: list[int] = []
         for run in self.known_runs.findall(word):
             if run[0] not in self.single:
@@ -175,6 +182,10 @@ class PieceCodec:
 
     def decode_parts(self, ids: list[int]) -> str:
         """Text of ids, with its leading blank. Bytes are read as UTF-8; those that aren't give U+FFFD."""
+        try:
+            return "".join([self.text[i] for i in ids])
+        except TypeError:  # a byte
+            pass
         out, held = [], bytearray()
         for i in ids:
             if i in self.byte_of:
@@ -183,8 +194,7 @@ class PieceCodec:
             if held:
                 out.append(self._from_bytes(held))
                 held = bytearray()
-            p = self.piece[i]
-            out.append(p.replace(BLANK, " ") if p is not None else self.unknown_text if i == self.unknown else "")
+            out.append(self.text[i])
         if held:
             out.append(self._from_bytes(held))
         return "".join(out)
@@ -197,36 +207,70 @@ class PieceCodec:
         """Text of ids; the blank that encoding put first goes."""
         return self.decode_parts(ids).removeprefix(" ")
 
-    def word(self, word: str) -> tuple[str, str]:
-        """Ids as text, each with a blank after it, and the decoded text of a word."""
+    def word(self, word: str) -> str:
+        """Ids of a word as text. They are decoded, and the word is noted as odd if that gives another text."""
         if (found := self.older.get(word)) is None:
             ids = self.word_ids(word)
-            found = "".join([f"{i} " for i in ids]), self.decode_parts(ids)
+            found = "".join([f"{i} " for i in ids])
+            if (back := self.decode_parts(ids)) != word.replace(BLANK, " "):
+                self.odd[word] = back
         self.words[word] = found
         return found
 
-    def digest(self, text: str) -> tuple[int, str, str]:
-        """Number of ids, SHA-256 of the ids, SHA-256 of the decoded text."""
+    def digests(self, texts: list[str]) -> list[tuple[int, str, str]]:
+        """Of each text: number of ids, SHA-256 of the ids, SHA-256 of the decoded text.
+
+        The different words of a batch are found by Arrow, so Python looks each up once.
+        """
         if len(self.words) > _CACHE_ENTRIES:
             self.words, self.older = {}, self.words
-        get, make = self.words.get, self.word
-        done = [get(w) or make(w) for w in self._cut(text)]
-        ids = "".join([d[0] for d in done]) + str(self.end)
-        text = "".join([d[1] for d in done]).removeprefix(" ")
-        return ids.count(" ") + 1, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(text.encode("utf-8", "replace")).hexdigest()
-
-    def _cut(self, text: str) -> list[str]:
-        """Parts of the normalised text that no token spans: words, and the stop or comma after them apart."""
+        if len(self.odd) > _CACHE_ENTRIES:
+            self.words, self.older, self.odd = {}, {}, {}
+        plain = ["" if _SEPARATOR in t else self.cut(t) for t in texts]
+        cut = pc.split_pattern(pa.array(plain, pa.large_string()), _SEPARATOR)
+        encoded = cut.flatten().dictionary_encode()
+        words = encoded.dictionary.to_pylist()
+        ids = list(map(self.words.get, words))
+        for k, d in enumerate(ids):
+            if d is None:
+                ids[k] = self.word(words[k])
+
+        bounds = cut.offsets.to_numpy()
+
+        def joined(values: list[str]) -> list[bytes]:
+            """The values of each text's words end to end, which is how Arrow lays them out."""
+            own = pa.array(values, pa.large_string()).take(encoded.indices)
+            _, ends, data = own.buffers()
+            at = np.frombuffer(ends, np.int64)[bounds]
+            data = memoryview(data) if data is not None else b""
+            return [bytes(data[x:y]) for x, y in zip(at.tolist(), at[1:].tolist())]
+
+        out = []
+        for text, i, t in zip(texts, joined(ids), joined([self.odd.get(w, w) for w in words] if self.odd else words)):
+            if _SEPARATOR in text:  # the only texts that can't be cut by it
+                own = self.encode(text)[:-1]
+                i, t = "".join([f"{x} " for x in own]).encode(), self.decode_parts(own).encode("utf-8", "replace")
+            i += str(self.end).encode()
+            t = t.replace(BLANK.encode(), b" ").removeprefix(b" ")
+            out.append((i.count(b" ") + 1, hashlib.sha256(i).hexdigest(), hashlib.sha256(t).hexdigest()))
+        return out
+
+    def digest(self, text: str) -> tuple[int, str, str]:
+        return self.digests([text])[0]
+
+    def cut(self, text: str) -> str:
+        """The normalised text, with separators where no token spans: between words, and around the stop or comma after them."""
         if not text:
-            return []
-        if BLANK in text or "  " in text or text[:1] == " " or "\x00" in text:
-            return self.split(self.normalise(text))
-        text = (" " + text).replace(" ", "\x00" + BLANK)
+            return ""
+        if BLANK in text or "  " in text or text[:1] == " ":
+            return _SEPARATOR.join(self.split(self.normalise(text)))
+        text = (" " + text).replace(" ", _SEPARATOR + BLANK)
         if self.mark_may_join.search(text):
-            return text[1:].split("\x00")
+            return text[1:]
         # A line feed is no piece, so tokens end at both its sides.
-        text = text.replace(".\x00", "\x00.\x00").replace(",\x00", "\x00,\x00").replace(".\n", "\x00.\x00\n").replace("\n", "\x00\n\x00")
-        return [w for w in text.split("\x00") if w]
+        for old, new in ((".|", "|.|"), (",|", "|,|"), (".\n", "|.|\n"), ("\n", "|\n|")):
+            text = text.replace(old.replace("|", _SEPARATOR), new.replace("|", _SEPARATOR))
+        return text[1:]
 
 
 _codecs: dict[str, PieceCodec] = {}
@@ -249,8 +293,8 @@ def encode_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for whole in batches:
-            for batch in _groups(whole):
-                rows = [c.digest(t or "") for t in batch.column(1).to_pylist()]
+            for batch in _groups(whole, 10_000_000):
+                rows = c.digests([t or "" for t in batch.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(list(x), f.type) for x, f in zip(zip(*rows), list(OUT)[1:]))], schema=OUT)
 
     return docs.select(id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
