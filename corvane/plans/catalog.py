@@ -568,4 +568,4 @@ def _ingested(t: X.Tables) -> DataFrame:
 
 add("ingest_files", lambda t: _ingested(t).select("content_id", "chunk_index", "chunk_type", "title", "start_line", "end_line", F.length("text").alias("n_chars")))
 add("split_texts", lambda t: C.split_rows(t.documents.select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"), F.lit("PlainText").alias("kind")), "text", "kind").select("doc_id", "chunk_index", F.length("chunk").alias("n_chars")))
-add("hash_embeddings", lambda t: t.documents.select("doc_id", C.hashing_embedding(F.substring("text", 1, 200)).alias("embedding")))
+add("hash_embeddings", lambda t: t.documents.select("doc_id", C.hashing_embedding(F.col("text")).alias("embedding")))

@@ -113,3 +113,25 @@ def test_light_graph(spark):
     by = {r.id: (r.node_type, r.name) for r in nodes.collect()}
     assert sorted(by.values()) == [("Class", "A"), ("File", "a.cs"), ("Interface", "IB"), ("Method", "M")]
     assert sorted((by[e.source_id][1], by[e.target_id][1]) for e in edges.collect()) == [("A", "M"), ("a.cs", "A"), ("a.cs", "IB")]
+
+
+def test_hash_embeddings_take_whole_texts(spark, tmp_path):
+    import re
+    from collections import Counter
+
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from corvane.plans import catalog
+
+    texts = {1: "Short text, short.", 2: "head " * 60 + "tail of it " * 40, 3: "head " * 60, 4: "", 5: None, 6: "été Слово 7 " * 4000}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    words = {k: re.findall(r"[^\W_]+", (t or "").lower()) for k, t in texts.items()}
+    distinct = spark.createDataFrame([(w,) for w in {w for ws in words.values() for w in ws}], "w string")
+    place = {r.w: r.p for r in distinct.select("w", F.pmod(F.xxhash64("w"), F.lit(64)).alias("p")).collect()}
+    got = {r.doc_id: r.embedding for r in catalog.run("hash_embeddings", spark, str(tmp_path)).collect()}
+    assert set(got) == set(texts)
+    for k, ws in words.items():
+        counts = Counter(place[w] for w in ws)
+        want = np.array([counts[i] for i in range(64)], float)
+        assert np.allclose(got[k], want / (np.linalg.norm(want) or 1.0), atol=1e-6)
