@@ -8,7 +8,7 @@ A surrogate comes from a keyed permutation of the normal form's free characters,
 alphabet, so digits stay digits, letters keep their case, lengths and punctuation stay, checksums are made
 right, and different values of one shape get different surrogates. Mail domains become labels under reserved
 example domains; names are built of syllables of their script with an ending of the title's gender, given
-and family names apart, so that shorter mentions still agree.
+and family names apart, so that shorter mentions still agree. Later attempts take more syllables, so names don't run out.
 
 Collision checks: all entities of the corpus are gathered once each. A surrogate that is itself an entity of
 the corpus, or that two entities share, is dropped, and all but the smallest of the sharers try again with the
@@ -213,7 +213,8 @@ def surrogate(kind: str, value: str, attempt: int, key: bytes = KEY) -> str:
     part, *more = kind.split(":")
     syllables, given, family = NAME_PARTS[more[-1]]
     n, out = _mac(key, tweak, value), ""
-    for _ in range(3 if part == "given" else 4):
+    # Each second attempt takes a syllable more, so that the space outgrows any number of names.
+    for _ in range((3 if part == "given" else 4) + attempt // 2):
         n, k = divmod(n, len(syllables))
         out += syllables[k]
     return out + (given[more[0]] if part == "given" else family)

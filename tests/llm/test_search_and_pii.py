@@ -84,6 +84,23 @@ def test_collisions_are_resolved(spark, monkeypatch):
     assert len(set(of_a)) == len(of_a)
 
 
+def test_names_beyond_the_first_space_are_served(spark, monkeypatch):
+    # Two syllables make 8 given and 16 family names at first.
+    monkeypatch.setitem(P.NAME_PARTS, "latin", (["ba", "be"], P.NAME_PARTS["latin"][1], "ner"))
+    original = P.surrogate
+    parts = P.NAME_PARTS["latin"]
+
+    def narrow(kind, value, attempt, key=P.KEY):
+        P.NAME_PARTS["latin"] = parts  # in the workers too
+        return original(kind, value, attempt, key)
+
+    monkeypatch.setattr(P, "surrogate", narrow)
+    rows = [(kind, f"name{k}") for kind in ("given:m:latin", "family:latin") for k in range(40)]
+    late = {(r.kind, r.value): r.attempt for r in P.exceptions(spark.createDataFrame(rows, "kind string, value string"), Stored(spark, "t")).collect()}
+    new = {(k, narrow(k, v, late.get((k, v), 0))) for k, v in rows}
+    assert len(new) == 80
+
+
 @pytest.mark.parametrize("limit", [50_000, -1])
 def test_documents(spark, limit):
     rows = [(1, TEXT, 3, "r"), (1, TEXT, 3, "r"), (2, None, None, "r"), (3, "", 0, "r"), (None, "call +1 (988) 555-2485", 1, "r"), (4, "clean text. " * 20_000, 2, "r")]
