@@ -1,7 +1,8 @@
 """Surrogates for personal data and secrets: keyed, of the same type and format, distinct and coreferent.
 
 Detected are e-mail and IPv4 addresses, phone, payment card (by checksum), social security and IBAN numbers
-(by checksum), secrets after a telling name or with a telling prefix, and names after a title. Each entity has a
+(by checksum), secrets after a telling name or with a telling prefix, names after a title and their later mentions
+without one. A secret after a name is all that its quotes hold, or all up to a blank. Each entity has a
 type and a normal form, in which its spellings agree; equal normal forms get equal surrogates everywhere.
 
 A surrogate comes from a keyed permutation of the normal form's free characters, each within its own
@@ -39,6 +40,11 @@ MAX_ATTEMPTS = 64
 
 _DIGITS, _LOWER, _UPPER, _HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
 
+_KINDS = [_DIGITS, _LOWER, _UPPER, "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ", "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ"]
+_ALPHABETS = {c: a for a in _KINDS for c in a}
+#: The fewest characters of a secret that a permutation can change.
+LEAST_FREE = 3
+
 #: Titles and the gender that they tell.
 TITLES = {
     "Mr": "m", "Herr": "m", "Monsieur": "m", "Señor": "m", "Sr": "m",
@@ -56,7 +62,8 @@ NAME_PARTS = {
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _PATTERN = re.compile(
     r"(?P<email>[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,})"
-    r"|(?P<secret>(?i:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key)\s*[:=]\s*[\"']?(?P<named>[A-Za-z0-9_+/-]{8,}))"
+    r"|(?P<secret>(?i:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key)[\"']?\s*[:=]\s*"
+    r"(?:\"(?P<double>(?:\\.|[^\"\\]){8,})\"|'(?P<single>(?:\\.|[^'\\]){8,})'|[\"']?(?P<plain>(?:(?![,;&][\"']?\w+[\"']?\s*[:=])[^\s\"'<>]){8,})))"
     r"|(?P<prefixed>(?<![A-Za-z0-9])(?:AKIA|ASIA|ghp_|gho_|sk-|xoxb-)(?P<rest>[A-Za-z0-9-]{12,}))"
     r"|(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"
     rf"|(?P<ip>(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d))"
@@ -66,6 +73,7 @@ _PATTERN = re.compile(
     r"|(?P<card>(?<!\d)(?:\d{13,19}(?!\d)|\d{4}(?P<gap>[ -])\d{4}(?P=gap)\d{4}(?P=gap)\d{1,7}(?!\d)|\d{4}(?P<gap2>[ -])\d{6}(?P=gap2)\d{5}(?!\d)))"
 )
 _NAME = re.compile(rf"(?P<title>{'|'.join(sorted(TITLES, key=len, reverse=True))})\.? (?P<name>[^\W\d_a-zß-ÿ]\w+(?: [^\W\d_a-zß-ÿ][^\W\d_]+){{0,2}})")
+_WORD = re.compile(r"[^\W_]+")
 #: What every entity but a name has one of.
 _TRIGGER = re.compile(r"[0-9@=:]|A[KS]IA|gh[po]_|sk-|xoxb-")
 
@@ -112,13 +120,36 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
                 k += len(w) + 1
         out += [(at + a, at + b, t, v) for a, b, t, v in sorted(own)]
         at += len(line) + 1
-    return out
+    return _with_later_mentions(text, out)
+
+
+def _with_later_mentions(text: str, found: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    """found and, of the names in it, each later capitalised mention, with the kind of the last titled one before it."""
+    first = next((b for _, b, kind, _ in found if kind.startswith(("given", "family"))), None)
+    if first is None:
+        return found
+    out: list[tuple[int, int, str, str]] = []
+    known: dict[str, str] = {}
+    k = end = 0
+    for m in _WORD.finditer(text):
+        while k < len(found) and found[k][0] < m.end():
+            a, end, kind, value = found[k]
+            if kind.startswith(("given", "family")):
+                known[value] = kind
+            out.append(found[k])
+            k += 1
+        if m.start() >= max(first, end) and m[0][0].isupper() and (kind := known.get(m[0].lower())):
+            out.append((*m.span(), kind, m[0].lower()))
+    return out + found[k:]
 
 
 def _entity(m: re.Match) -> tuple[int, int, str, str] | None:
     kind, value = m.lastgroup, m.group()  # the outer group is the last to close, so it names the type
     if kind == "secret":
-        return (*m.span("named"), "secret", m["named"])
+        part = next(g for g in ("double", "single", "plain") if m[g])
+        a, new = m.start(part), m[part] if part != "plain" else m[part].rstrip(".,;:!?)]}")
+        # What has hardly a letter or digit is a mask, and has no surrogate of its own.
+        return (a, a + len(new), "secret", new) if len(new) >= 8 and sum(c in _ALPHABETS for c in new) >= LEAST_FREE else None
     if kind == "prefixed":
         return (*m.span("rest"), "secret", m["rest"])
     if kind == "email":
@@ -170,11 +201,10 @@ def permute(text: str, alphabets: list[str], key: bytes, tweak: str) -> str:
 
 
 def permute_classes(text: str, key: bytes, tweak: str, hexadecimal: bool = False) -> str:
-    """Permutes digits, lower and upper case letters within their kinds; other characters stay."""
+    """Permutes digits, lower and upper case letters within their kinds and scripts; other characters stay."""
     free, alphabets = [], []
     for k, c in enumerate(text):
-        a = _HEX if hexadecimal else _DIGITS if c in _DIGITS else _LOWER if c in _LOWER else _UPPER if c in _UPPER else None
-        if a:
+        if a := _HEX if hexadecimal else _ALPHABETS.get(c):
             free.append(k), alphabets.append(a)
     if not free:
         return text

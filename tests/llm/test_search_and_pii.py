@@ -61,6 +61,41 @@ def test_surrogates_keep_type_and_format():
     assert P.replace(out, {})[0] != out and P.replace("plain words only.", {}) == ("plain words only.", 0)
 
 
+def test_later_mentions_of_names():
+    text = "Smith stays. Mr John Smith came.\nSmith left; SMITH's smith said John_x to John, Mr. Smithson, john.smith@x.example.org. Frau Smith"
+    out, n = P.replace(text, {})
+    given, family = re.search(r"Mr (\w+) (\w+) came", out).groups()
+    assert out.startswith("Smith stays") and f"\n{family} left; {family.upper()}'s smith said {given}_x to {given}, Mr. " in out and out.endswith(f"Frau {family}")
+    spans = [(a, b) for a, b, _, _ in P.find(text)]
+    assert n == len(spans) == 9 and all(b <= c for (_, b), (c, _) in zip(spans, spans[1:]))
+
+
+@pytest.mark.parametrize(
+    ("text", "secret"),
+    [
+        ('"password": "hunter2xyz99", "id": 7', "hunter2xyz99"),
+        ('{"api_key": "abcdef123456"}', "abcdef123456"),
+        ("{'secret' : 'two words, 1 comma'}", "two words, 1 comma"),
+        ("password: P@ssw0rd!2024x and more", "P@ssw0rd!2024x"),
+        ("token = eyJhbGciOi.eyJzdWIiOi.SflKxwRJSM.", "eyJhbGciOi.eyJzdWIiOi.SflKxwRJSM"),
+        ("?token=abcd1234efgh&user=someone", "abcd1234efgh"),
+        ("pwd=Пароль2024", "Пароль2024"),
+    ],
+)
+def test_secrets_are_taken_whole(text, secret):
+    assert [(text[a:b], kind) for a, b, kind, _ in P.find(text)] == [(secret, "secret")]
+    out = P.replace(text, {})[0]
+    a = text.index(secret)
+    new = out[a : a + len(secret)]
+    assert len(out) == len(text) and out[:a] == text[:a] and out[a + len(secret) :] == text[a + len(secret) :]
+    assert all(not c.isalnum() for part in re.findall(r"\w{4,}", secret) if part in new for c in part)
+    assert [c.isalnum() for c in new] == [c.isalnum() for c in secret]
+
+
+def test_masks_are_no_secrets():
+    assert P.find("password: ******** token=--------") == []
+
+
 def test_scripts():
     out = P.replace("Госпожа Иванова и Κύριος Παπάς", {})[0]
     assert re.fullmatch(r"Госпожа [А-Яа-я]+ и Κύριος \w+", out) and "Иванова" not in out
