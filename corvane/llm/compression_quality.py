@@ -88,7 +88,7 @@ def _dictionary(texts: list[str]) -> bytes:
     """A trained dictionary; of too few texts, the texts themselves."""
     import zstandard
 
-    blocks = [t.encode("utf-8", "replace")[k : k + BLOCK] for t in texts for k in range(0, len(t), BLOCK)]
+    blocks = [raw[k : k + BLOCK] for raw in (t.encode("utf-8", "replace") for t in texts) for k in range(0, len(raw), BLOCK)]
     try:
         return zstandard.train_dictionary(DICTIONARY, blocks).as_bytes()
     except zstandard.ZstdError:

@@ -118,3 +118,20 @@ def test_quality_of_odd_rows(spark):
 def test_best_cut():
     x, y = np.array([0.1, 0.2, 0.3, 0.4]), np.array([0, 0, 1, 1])
     assert Q.best_cut(x, y) == pytest.approx(0.25)
+
+
+def test_dictionaries_learn_from_whole_texts(monkeypatch):
+    import zstandard
+
+    from corvane.llm import compression_quality
+
+    taken = []
+
+    def refuse(size, blocks):
+        taken.extend(blocks)
+        raise zstandard.ZstdError
+
+    monkeypatch.setattr(zstandard, "train_dictionary", refuse)
+    texts = ["слово" * 2000, "文字" * 1500, "plain " * 700, ""]
+    compression_quality._dictionary(texts)
+    assert b"".join(taken) == "".join(texts).encode() and all(0 < len(b) <= compression_quality.BLOCK for b in taken)
