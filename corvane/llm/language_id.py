@@ -283,19 +283,38 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     chosen = own.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < rate * 1_000_000)
     calibrates = F.pmod(F.xxhash64(F.lit("calibrate"), F.col("id")), F.lit(CALIBRATE_SHARE)) == 0
     found = {lang: {} for lang in sorted(r.lang for r in sizes)}
-    held: list[tuple[str, str]] = []
+    learned = dict.fromkeys(found, 0)
+    held: list[tuple[int | None, str, str]] = []
     for r in chosen.withColumn("calibrates", calibrates).toLocalIterator():
         if r.calibrates:
-            held.append((r.lang, r.t))
+            held.append((r.id, r.lang, r.t))
             continue
+        learned[r.lang] += len(r.t)
         of = found[r.lang]
         for w in words(r.t):
             of[w] = of.get(w, 0) + 1
+    # Few or long documents may all miss the sample: then blocks of those of the smallest hashes teach, up to the share.
+    for r in sizes:
+        share = min(each, r.n)
+        if 2 * learned[r.lang] >= share:
+            continue
+        block = max(1, int(each / 8))
+        start = F.pmod(F.xxhash64(F.lit("block"), "id"), F.greatest(F.length("t") - block, F.lit(0)) + 1).cast("int") + 1
+        least = own.filter(F.col("lang") == r.lang).orderBy(F.xxhash64("id"), "id").limit(64).select("id", F.substring("t", start, F.lit(block)).alias("t"))
+        taken, found[r.lang], learned[r.lang] = set(), {}, 0
+        for x in least.collect():  # 64 blocks at most
+            if learned[r.lang] >= share:
+                break
+            taken.add(x.id)
+            learned[r.lang] += len(x.t)
+            for w in words(x.t):
+                found[r.lang][w] = found[r.lang].get(w, 0) + 1
+        held = [h for h in held if h[0] not in taken]
     found = {k: v for k, v in found.items() if v}
     if not found:
         return LanguageModels([], np.zeros(0), [], [], [])
     models = fit({k: (list(v), np.array(list(v.values()))) for k, v in found.items()})
-    return calibrate(models, held)
+    return calibrate(models, [h[1:] for h in held])
 
 
 _scorers: dict[int, Scorer] = {}

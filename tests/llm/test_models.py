@@ -135,3 +135,13 @@ def test_dictionaries_learn_from_whole_texts(monkeypatch):
     texts = ["слово" * 2000, "文字" * 1500, "plain " * 700, ""]
     compression_quality._dictionary(texts)
     assert b"".join(taken) == "".join(texts).encode() and all(0 < len(b) <= compression_quality.BLOCK for b in taken)
+
+
+def test_languages_of_one_document_are_learned(spark):
+    from corvane.llm import language_id
+
+    rows = [(k, f"the house and the garden of number {k} are green and old " * 20, "en") for k in range(40)]
+    rows += [(1000 + k, f"слово{k} и дом у реки где живут люди " * 300, f"x{k}") for k in range(24)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    want = {r.lang for r in docs.filter(~language_id.held_out(docs.doc_id)).collect()}
+    assert len(want) > 15 and set(language_id.learn(docs, train_chars=60_000).languages) == want
