@@ -25,8 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship_package
-from .packing import _groups
-from .support import documents, table
+from .support import documents, groups, table
 
 SAMPLE = 2000
 MAX_TRAIN_CHARS = 30_000
@@ -176,7 +175,7 @@ def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col
             _differs.clear()
             _differs[key] = Differ(m.good, m.bad, m.typical)
         for whole in batches:
-            for batch in _groups(whole):
+            for batch in groups(whole):
                 x = [_differs[key].difference(t) if m.slope else None for t in batch.column(1).to_pylist()]
                 s = [m.score(d) for d in x]
                 yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(x, pa.float64()), pa.array(s, pa.float64())], schema=schema)

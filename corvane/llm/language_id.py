@@ -32,8 +32,7 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship_package
 from .compression_quality import fit_logistic
-from .packing import _groups
-from .support import documents, table
+from .support import documents, groups, table
 
 ORDER = 5
 TRAIN_CHARS = 6_000_000
@@ -335,7 +334,7 @@ def identify(docs: DataFrame, models: LanguageModels, id_col: str = "doc_id", te
             _scorers[key] = Scorer(shared.value)
         scorer = _scorers[key]
         for whole in batches:
-            for batch in _groups(whole):
+            for batch in groups(whole):
                 rows = scorer.predict([t or "" for t in batch.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(list(x), f.type) for x, f in zip(zip(*rows), list(schema)[1:]))], schema=schema)
 

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from ..shipping import ship_package
-from .support import documents
+from .support import documents, groups
 
 SEQUENCE = 4096
 END_ID = 1
@@ -197,19 +197,6 @@ def pieces(ids: bytes, size: int) -> Iterator[tuple[int, int, int]]:
         yield start, len(part) // 4, zlib.crc32(part)
 
 
-def _groups(batch: pa.RecordBatch, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with not many more than so many bytes of text each, to bound what Python holds."""
-    texts = batch.column(1)
-    at, held = 0, 0
-    for i in range(len(texts)):
-        held += len(texts[i].as_buffer() or b"") if texts[i].is_valid else 0
-        if held >= most:
-            yield batch.slice(at, i + 1 - at)
-            at, held = i + 1, 0
-    if at < len(texts):
-        yield batch.slice(at)
-
-
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SEQUENCE, open_bins: int = OPEN_BINS, tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
     """One row per piece; with_ids adds the ids themselves as array<int> `ids`."""
     ship_package(docs.sparkSession)
@@ -223,7 +210,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
         fit = BoundedBestFit(size, open_bins, TaskContext.get().partitionId() << 33)
         end = END_ID.to_bytes(4, "little")
         for whole in batches:
-            for batch in _groups(whole, 10_000_000):
+            for batch in groups(whole, 10_000_000):
                 rows = []
                 for doc, ids in zip(batch.column(0).to_pylist(), enc.encode([t or "" for t in batch.column(1).to_pylist()])):
                     ids += end

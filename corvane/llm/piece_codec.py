@@ -28,8 +28,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from ..shipping import ship_package
-from .packing import _groups, tokenizer_path
-from .support import documents
+from .packing import tokenizer_path
+from .support import documents, groups
 
 MODEL = "piece_bpe_32k.model"
 BLANK = "▁"
@@ -293,7 +293,7 @@ def encode_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for whole in batches:
-            for batch in _groups(whole, 10_000_000):
+            for batch in groups(whole, 10_000_000):
                 rows = c.digests([t or "" for t in batch.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(list(x), f.type) for x, f in zip(zip(*rows), list(OUT)[1:]))], schema=OUT)
 
@@ -309,7 +309,7 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for whole in batches:
-            for batch in _groups(whole):
+            for batch in groups(whole):
                 ids = [c.encode(t or "") for t in batch.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array([c.decode(x) for x in ids], pa.string())], schema=out)
 

@@ -31,8 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship_package
-from .packing import _groups
-from .support import Stored, documents, free_name
+from .support import Stored, documents, free_name, groups
 
 SHINGLE = 4
 SEED = 42
@@ -76,7 +75,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in _groups(whole):
+            for batch in groups(whole):
                 fps = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(fps.view(np.int64))], schema=schema)
 

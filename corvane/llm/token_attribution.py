@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ..shipping import ship_package
-from .packing import _groups, tokenizer_path
-from .support import documents
+from .packing import tokenizer_path
+from .support import documents, groups
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -81,7 +81,7 @@ def section_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokens(path)
         for whole in batches:
-            for batch in _groups(whole):
+            for batch in groups(whole):
                 parts = []
                 for doc, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                     text = t or ""

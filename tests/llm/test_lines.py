@@ -1,6 +1,5 @@
 """Line rules and line dedup against brute force, with nulls, empties, repeats and clashing columns."""
 
-import hashlib
 import re
 from collections import Counter
 
@@ -70,17 +69,44 @@ def key(line):
     return line.strip(" \t\n\x0b\x0c\r").translate({k: k + 32 for k in range(65, 91)})
 
 
+def brute_dedup(rows):
+    """Texts after dedup, in order of the rows (id, text); a document is its id, and null ids count for none."""
+    holders = {}
+    for i, t in rows:
+        for line in (t or "").split("\n"):
+            holders.setdefault(key(line), set()).update([] if i is None else [i])
+    return [(str(i), "\n".join(x for x in (t or "").split("\n") if not key(x) or len(holders[key(x)]) < 10)) for i, t in rows]
+
+
 @pytest.mark.parametrize("broadcast", [200_000, -1])
 def test_dedup(spark, monkeypatch, broadcast):
     monkeypatch.setattr(D, "MAX_BROADCAST", broadcast)
     rows = [(k, f"Head {k}\n  COMMON line\t\nown {k % 3}\n\nÉnd", "x", 9) for k in range(12)]
-    rows += [(None, "common LINE\nnull id", "x", 9), (None, None, "x", 9), (100, "", "x", 9), (101, "common line", "x", 9), (0, rows[0][1], "x", 9)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, gone string, n_chars long")
-    count = Counter(k for _, t, _, _ in rows for k in {key(x) for x in (t or "").split("\n")} if k)
-    want = sorted((str(i), "\n".join(x for x in (t or "").split("\n") if count[key(x)] < 10)) for i, t, _, _ in rows)
+    rows += [(None, "common LINE\nnull id\n common line", "x", 9), (None, None, "x", 9), (100, "", "x", 9), (101, "common line", "x", 9), (0, rows[0][1], "x", 9)]
+    rows += [(200, "Ten rows of one id\nkeep this", "x", 9)] * 10 + [(300 + k, f"nine ids\n{k}", "x", 9) for k in range(9)] + [(308, "NINE ids", "x", 9), (None, "nine ids", "x", 9)]
+    rows += [(400, "a\r\n" * 30_000 + "É" * 100_000, "x", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lines string, n_chars long")
     out = D.line_dedup(docs)
     assert out.dtypes == docs.dtypes
-    assert sorted((str(r.doc_id), r.text) for r in out.collect()) == want
+    got = out.collect()
+    assert sorted((str(r.doc_id), r.text) for r in got) == sorted(brute_dedup([r[:2] for r in rows])) and all(r.n_chars == len(r.text) for r in got)
+    assert all(r.text == "Ten rows of one id\nkeep this" for r in got if r.doc_id == 200)
     d = D.dropped_column(docs)
-    got = D.drop_frequent_lines(docs).select("doc_id", f"{d}.n_lines", f"{d}.n_dropped", "text").filter("doc_id = 1").first()
-    assert (got.n_lines, got.n_dropped) == (5, 2) and hashlib.sha256(got.text.encode()).hexdigest()
+    one = D.drop_frequent_lines(docs).select("doc_id", f"{d}.n_lines", f"{d}.n_dropped", "text").filter("doc_id = 1").first()
+    assert (one.n_lines, one.n_dropped) == (5, 2)
+
+
+def test_dedup_query_and_sql_agree_on_repeated_ids(spark, tmp_path):
+    import duckdb
+
+    rows = [(7, "Ten rows of one id\nstay")] * 10 + [(k, f"shared line\n{k}\n") for k in range(20, 31)] + [(20, "shared LINE\nagain"), (None, "shared line"), (40, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(str, D.query(spark, str(tmp_path)).select("doc_id", "n_lines", "n_dropped", "kept_sha256").collect()))
+    duckdb.sql(f"CREATE OR REPLACE TEMP VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = [dict(zip(("doc_id", "n_lines", "n_dropped", "kept_sha256"), r)) for r in duckdb.sql(D.SQL).fetchall()]
+    assert got == sorted("Row(" + ", ".join(f"{k}={v!r}" for k, v in w.items()) + ")" for w in want)
+
+
+def test_dedup_moves_no_text_where_keys_are_few(spark, docs):
+    out = D.line_dedup(docs)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
