@@ -12,10 +12,16 @@ it is right: a logistic curve in the margin to the second, by characters, learne
 that the models have not seen. `rejected` marks texts whose cross-entropy is above all but
 `REJECT` of the texts of that language there: text in none of the languages.
 
-Learning takes whole documents with a language whose crc32(doc_id as text) mod 3 is not 1, by hash of
-doc_id at a rate that gives about `TRAIN_CHARS` characters over all languages. Prediction takes whole texts.
-Null texts and texts without a letter are `und` with score 0. Without any language to learn, all are.
-Repeated rows count once each; other columns are not read. Workers keep a bounded cache of words.
+Learning reads texts with a letter and a language whose crc32(doc_id as text) mod 3 is not 1. Each such language gives
+blocks of `BLOCK` characters, chosen by a hash of id and place at a rate that gives about `TRAIN_CHARS` characters over all
+languages, `LEAST_CHARS` each at least. Of each language the text of the smallest hash teaches from its first letter on, so none
+is lost, however few or long its texts are. One block in `CALIBRATE_SHARE` calibrates instead. Words are counted in the
+tasks; the driver gets one row per word of a language and the blocks that calibrate. More than `MAX_LANGUAGES`
+values of the language column are refused, as that is no such column.
+
+Prediction takes whole texts of any length. Null texts and texts without a letter are `und` with score 0. Without any language
+to learn, all are. Of languages with equal costs the first by name wins. Repeated rows count once each; other columns are not
+read; an empty table gives no rows. Workers keep a bounded cache of words.
 """
 
 from __future__ import annotations
@@ -36,7 +42,10 @@ from .support import documents, groups, table
 
 ORDER = 5
 TRAIN_CHARS = 6_000_000
-CALIBRATE_SHARE = 8  # one in so many learning documents calibrates
+LEAST_CHARS = 30_000
+BLOCK = 2000
+MAX_LANGUAGES = 1000
+CALIBRATE_SHARE = 8  # one in so many learning blocks calibrates
 REJECT = 0.002
 SHORT = 30  # characters that a text lacks to be taken at its word
 FOLDS = 3
@@ -80,11 +89,14 @@ def _flat(ws: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 @dataclass
 class LanguageModels:
-    """keys[n - 1]: sorted hashes of n-grams; logp and backoff beside them, a column per language; NaN where unseen."""
+    """keys[n - 1]: sorted hashes of n-grams. Entries starts[n - 1][k] to starts[n - 1][k + 1] are the k-th key's languages that
+    know it, each with its log probability, NaN for what is a context only, and its back-off weight beside it."""
 
     languages: list[str]
     floor: np.ndarray  # log of the uniform share, by language
     keys: list[np.ndarray]
+    starts: list[np.ndarray]
+    language: list[np.ndarray]
     logp: list[np.ndarray]
     backoff: list[np.ndarray]
     slope: float = 1.0
@@ -96,24 +108,32 @@ class LanguageModels:
         codes, place, lengths = _flat(ws)
         hashes = ngram_hashes(codes, place, len(self.keys))
         total = np.broadcast_to(self.floor, (len(codes), len(self.languages))).copy()
-        for n, (keys, logp) in enumerate(zip(self.keys, self.logp), 1):
+        for n in range(1, len(self.keys) + 1):
             if n > 1:
                 # The context is the shorter n-gram that ends one character earlier.
                 context = np.concatenate([[np.uint64(0)], hashes[n - 2][:-1]])
-                at, there = self._find(n - 2, context)
-                inside = (place >= n - 1)[:, None]
-                total = total + np.where(inside & there[:, None], self.backoff[n - 2][at], 0.0)
-            at, there = self._find(n - 1, hashes[n - 1])
-            seen = logp[at]
-            total = np.where(there[:, None] & ~np.isnan(seen), seen, total)
+                rows, own, at = self._entries(n - 2, np.where(place >= n - 1, context, np.uint64(0)))
+                total[rows, own] += self.backoff[n - 2][at]
+            rows, own, at = self._entries(n - 1, hashes[n - 1])
+            seen = self.logp[n - 1][at]
+            known = ~np.isnan(seen)
+            total[rows[known], own[known]] = seen[known]
         total[place == 0] = 0  # the mark before a word is given
         ends = np.cumsum(lengths)
         return -np.add.reduceat(total, ends - lengths, axis=0) / math.log(2)
 
-    def _find(self, k: int, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        keys = self.keys[k]
+    def _entries(self, k: int, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For the hashes that are keys of order k + 1: their places, and for each of their entries its language and place."""
+        keys, starts = self.keys[k], self.starts[k]
+        if len(keys) == 0:  # no word is that long
+            none = np.zeros(0, np.int64)
+            return none, none, none
         at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
-        return at, (keys[at] == hashes) & (hashes != 0)
+        rows = np.flatnonzero((keys[at] == hashes) & (hashes != 0))
+        first = starts[at[rows]]
+        n = starts[at[rows] + 1] - first
+        entries = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return np.repeat(rows, n), self.language[k][entries], entries
 
 
 def fit(counts: dict[str, tuple[list[str], np.ndarray]], order: int = ORDER) -> LanguageModels:
@@ -181,15 +201,15 @@ def fit(counts: dict[str, tuple[list[str], np.ndarray]], order: int = ORDER) ->
         u, lp, _ = levels[-1]
         levels[-1] = (u, lp, np.zeros(len(u)))
         per.append(levels)
-    keys, logps, backs = [], [], []
+    columns: list[tuple[np.ndarray, ...]] = []
     for k in range(order):
-        union = np.unique(np.concatenate([lv[k][0] for lv in per] or [np.zeros(0, np.uint64)]))
-        logp, back = np.full((len(union), len(languages)), np.nan, np.float32), np.zeros((len(union), len(languages)), np.float32)
-        for j, lv in enumerate(per):
-            at = np.searchsorted(union, lv[k][0])
-            logp[at, j], back[at, j] = lv[k][1], lv[k][2]
-        keys.append(union), logps.append(logp), backs.append(back)
-    return LanguageModels(languages, np.array(floors), keys, logps, backs)
+        key = np.concatenate([lv[k][0] for lv in per] or [np.zeros(0, np.uint64)])
+        own = np.repeat(np.arange(len(per)), [len(lv[k][0]) for lv in per])
+        by = np.lexsort((own, key))
+        union, first = np.unique(key[by], return_index=True)
+        values = [np.concatenate([lv[k][i] for lv in per] or [np.zeros(0)]).astype(np.float32)[by] for i in (1, 2)]
+        columns.append((union, np.append(first, len(key)), own[by].astype(np.int16), *values))
+    return LanguageModels(languages, np.array(floors), *map(list, zip(*columns)))
 
 
 class Scorer:
@@ -210,8 +230,9 @@ class Scorer:
         if new:
             if len(self.costs) < len(place) + len(new):
                 self.costs = np.concatenate([self.costs[: len(place)], np.zeros((len(place) + 2 * len(new), self.costs.shape[1]))])
-            for k in range(0, len(new), 20_000):
-                part = new[k : k + 20_000]
+            step = max(500, 80_000 // max(1, self.costs.shape[1]))  # a task holds a number for each character and language of these
+            for k in range(0, len(new), step):
+                part = new[k : k + step]
                 self.costs[len(place) : len(place) + len(part)] = self.models.word_costs(part)
                 place.update(zip(part, range(len(place), len(place) + len(part))))
         out: list[tuple[np.ndarray, int] | None] = []
@@ -267,53 +288,67 @@ def calibrate(models: LanguageModels, docs: list[tuple[str, str]]) -> LanguageMo
     return models
 
 
+def _from_block(text: str, start: int, size: int) -> list[str]:
+    """The words that begin in a block, whole but for very long ones at its end."""
+    piece = text[max(0, start - 1) : start + size + 100].lower()
+    lead = len(text[max(0, start - 1) : start].lower())  # the character before, which tells whether a word is cut there
+    return [m[0] for m in _WORDS.finditer(piece) if lead <= m.start() < lead + size]
+
+
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_chars: int = TRAIN_CHARS) -> LanguageModels:
-    """Models of the languages in docs. What comes to the driver is bounded by train_chars."""
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.col(lang_col).alias("lang")).filter(
-        ~held_out(F.col("id")) & F.col("lang").isNotNull() & F.col("t").isNotNull()
-    )
-    sizes = own.groupBy("lang").agg(F.sum(F.length("t")).alias("n")).filter("n > 0").collect()  # one row per language
-    if not sizes:
-        return LanguageModels([], np.zeros(0), [], [], [])
-    each = train_chars / len(sizes)
-    rate = F.lit(0.0)
-    for r in sizes:
-        rate = F.when(F.col("lang") == r.lang, F.lit(min(1.0, each / r.n))).otherwise(rate)
-    chosen = own.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < rate * 1_000_000)
-    calibrates = F.pmod(F.xxhash64(F.lit("calibrate"), F.col("id")), F.lit(CALIBRATE_SHARE)) == 0
-    found = {lang: {} for lang in sorted(r.lang for r in sizes)}
-    learned = dict.fromkeys(found, 0)
-    held: list[tuple[int | None, str, str]] = []
-    for r in chosen.withColumn("calibrates", calibrates).toLocalIterator():
-        if r.calibrates:
-            held.append((r.id, r.lang, r.t))
-            continue
-        learned[r.lang] += len(r.t)
-        of = found[r.lang]
-        for w in words(r.t):
-            of[w] = of.get(w, 0) + 1
-    # Few or long documents may all miss the sample: then blocks of those of the smallest hashes teach, up to the share.
-    for r in sizes:
-        share = min(each, r.n)
-        if 2 * learned[r.lang] >= share:
-            continue
-        block = max(1, int(each / 8))
-        start = F.pmod(F.xxhash64(F.lit("block"), "id"), F.greatest(F.length("t") - block, F.lit(0)) + 1).cast("int") + 1
-        least = own.filter(F.col("lang") == r.lang).orderBy(F.xxhash64("id"), "id").limit(64).select("id", F.substring("t", start, F.lit(block)).alias("t"))
-        taken, found[r.lang], learned[r.lang] = set(), {}, 0
-        for x in least.collect():  # 64 blocks at most
-            if learned[r.lang] >= share:
-                break
-            taken.add(x.id)
-            learned[r.lang] += len(x.t)
-            for w in words(x.t):
-                found[r.lang][w] = found[r.lang].get(w, 0) + 1
-        held = [h for h in held if h[0] not in taken]
-    found = {k: v for k, v in found.items() if v}
+    """Models of the languages in docs. Words are counted in the tasks; what comes to the driver follows from train_chars."""
+    ship_package(docs.sparkSession)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.col(lang_col).alias("lang"))
+    rows = rows.filter(~held_out(F.col("id")) & F.col("lang").isNotNull() & F.col("t").rlike(r"\p{L}")).withColumn("h", F.xxhash64("id", "t"))
+    found = rows.groupBy("lang").agg(F.sum(F.length("t")).alias("n"), F.min("h").alias("least")).limit(MAX_LANGUAGES + 1).collect()
     if not found:
-        return LanguageModels([], np.zeros(0), [], [], [])
-    models = fit({k: (list(v), np.array(list(v.values()))) for k, v in found.items()})
-    return calibrate(models, [h[1:] for h in held])
+        return LanguageModels([], np.zeros(0), [], [], [], [], [])
+    if len(found) > MAX_LANGUAGES:
+        raise ValueError(f"{lang_col} holds more than {MAX_LANGUAGES} different values")
+    each = max(train_chars / len(found), LEAST_CHARS)
+    plan = {r.lang: (min(1.0, each / r.n), r.least) for r in found}
+    schema = pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64()), ("held", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for whole in batches:
+            for batch in groups(whole):
+                counts: dict[tuple[str, str], int] = {}
+                held: list[tuple[str, str]] = []
+                for h, t, lang in zip(*(c.to_pylist() for c in batch.columns)):
+                    rate, least = plan[lang]
+                    first = _first_letter(t) if h == least else -1
+                    ws = _from_block(t, first, LEAST_CHARS) if first >= 0 else []
+                    for start in range(0, len(t), BLOCK):
+                        if first <= start < first + LEAST_CHARS + BLOCK and first >= 0:
+                            continue  # taught already
+                        draw = xxhash.xxh64_intdigest(b"%d/%d" % (h, start))
+                        if (draw >> 32) < rate * 2.0**32:
+                            if draw % CALIBRATE_SHARE == 0:
+                                held.append((lang, t[start : start + BLOCK]))
+                            else:
+                                ws += _from_block(t, start, BLOCK)
+                    for w in ws:
+                        counts[lang, w] = counts.get((lang, w), 0) + 1
+                out = [(lang, w, n, None) for (lang, w), n in counts.items()] + [(lang, None, 0, t) for lang, t in held]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+
+    sample = rows.select("h", "t", "lang").mapInArrow(run, "lang string, word string, n long, held string")
+    counted = sample.groupBy("lang", "word", "held").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("times")).toArrow().to_pylist()
+    learned: dict[str, dict[str, int]] = {}
+    held = sorted((r["lang"], r["held"]) for r in counted if r["held"] is not None for _ in range(r["times"]))
+    for r in counted:
+        if r["word"] is not None:
+            learned.setdefault(r["lang"], {})[r["word"]] = r["n"]
+    models = fit({k: (list(v), np.array(list(v.values()))) for k, v in ((k, dict(sorted(v.items()))) for k, v in learned.items())})
+    return calibrate(models, held)
+
+
+def _first_letter(text: str) -> int:
+    m = _WORDS.search(text)
+    return m.start() if m else 0
 
 
 _scorers: dict[int, Scorer] = {}

@@ -3,6 +3,7 @@
 import math
 import os
 import zlib
+from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
@@ -32,6 +33,16 @@ def test_probabilities_add_up():
             assert total + end + start + unseen == pytest.approx(1, abs=1e-5)
 
 
+def _entry(m, n, h, j):
+    """Log probability and back-off of an n-gram's hash for the j-th language, None where it isn't known."""
+    k = np.searchsorted(m.keys[n - 1], h)
+    if k < len(m.keys[n - 1]) and m.keys[n - 1][k] == h:
+        for e in range(m.starts[n - 1][k], m.starts[n - 1][k + 1]):
+            if m.language[n - 1][e] == j:
+                return float(m.logp[n - 1][e]), float(m.backoff[n - 1][e])
+    return None
+
+
 def _log_probability(m, codes, place):
     """Log probability of the last character, straight from the back-off rule."""
     out = []
@@ -42,17 +53,61 @@ def _log_probability(m, codes, place):
         for n in range(1, L.ORDER + 1):
             if n > place[-1] + 1:
                 break
-            if n > 1:
-                k = np.searchsorted(m.keys[n - 2], before[n - 2])
-                if k < len(m.keys[n - 2]) and m.keys[n - 2][k] == before[n - 2]:
-                    lp += float(m.backoff[n - 2][k, j])
-            k = np.searchsorted(m.keys[n - 1], hashes[n - 1])
-            if k < len(m.keys[n - 1]) and m.keys[n - 1][k] == hashes[n - 1] and not np.isnan(m.logp[n - 1][k, j]):
-                lp = float(m.logp[n - 1][k, j])
+            if n > 1 and (e := _entry(m, n - 1, before[n - 2], j)):
+                lp += e[1]
+            if (e := _entry(m, n, hashes[n - 1], j)) and not np.isnan(e[0]):
+                lp = e[0]
         out.append(lp)
     return out
 
 
+def brute_kneser_ney(freq, order):
+    """Bits of a word by interpolated Kneser-Ney, counted by hand from {word: count}."""
+    raw = [Counter() for _ in range(order + 1)]
+    for w, f in freq.items():
+        t = f"\x02{w}\x03"
+        for end in range(2, len(t) + 1):
+            for n in range(1, min(order, end) + 1):
+                raw[n][t[end - n : end]] += f
+    counts = [{}]
+    for n in range(1, order + 1):
+        before = Counter(g[1:] for g in raw[n + 1]) if n < order else None
+        counts.append({g: c if n == order or g[0] == "\x02" else before[g] for g, c in raw[n].items()})
+    alphabet = len({c for w in freq for c in f"\x02{w}\x03"}) + 1
+    context = [{}] + [defaultdict(list) for _ in range(order)]
+    d = [0.0]
+    for n in range(1, order + 1):
+        for g, c in counts[n].items():
+            context[n][g[:-1]].append(c)
+        ones, twos = sum(c == 1 for c in counts[n].values()), sum(c == 2 for c in counts[n].values())
+        d.append(min(0.95, ones / (ones + 2 * twos)) if ones else 0.5)
+
+    def p(g):
+        if not g:
+            return 1 / alphabet
+        n, own = len(g), context[len(g)].get(g[:-1])
+        if not own:
+            return p(g[1:])
+        return max(0, counts[n].get(g, 0) - d[n]) / sum(own) + min(1, d[n] * len(own) / sum(own)) * p(g[1:])
+
+    def bits(w):
+        t = f"\x02{w}\x03"
+        return -sum(math.log2(p(t[max(0, k + 1 - order) : k + 1])) for k in range(1, len(t)))
+
+    return bits
+
+
+def test_costs_are_those_of_kneser_ney_counted_by_hand():
+    rng = np.random.default_rng(3)
+    freqs = {"x": {"abc": 3, "abd": 2, "bad": 1, "cab": 1, "a": 4}, "y": {"zzz": 1, "zab": 5}, "z": {"".join(rng.choice(list("abcdéя"), rng.integers(1, 9))): int(rng.integers(1, 6)) for _ in range(300)}}
+    asked = ["abc", "a", "zab", "bacd", "q", "aaaaaaaaaaaa", "zzzz", "éябв", *list(freqs["z"])[:40]]
+    m = L.fit({k: (list(v), np.array(list(v.values()))) for k, v in freqs.items()})
+    got = m.word_costs(asked)
+    for j, lang in enumerate(m.languages):
+        bits = brute_kneser_ney(freqs[lang], L.ORDER)
+        assert got[:, j] == pytest.approx([bits(w) for w in asked], rel=1e-4)
+
+
 def test_word_costs_are_sums():
     m = L.fit({"x": (["abc", "abd"], np.array([3, 2])), "y": (["zab"], np.array([5]))})
     codes, place, _ = L._flat(["abd"])
@@ -85,6 +140,37 @@ def test_language_of_odd_rows(spark):
     assert L.identify(docs.limit(0), m).count() == 0
 
 
+def test_words_of_one_or_two_letters(spark):
+    docs = spark.createDataFrame([(k, t, lang) for k in range(30) for t, lang in (("a b, ab", "x"), ("ы и я", "y"))], "doc_id long, text string, lang string")
+    m = L.learn(docs)
+    asked = spark.createDataFrame([(1, "b a"), (2, "и ы ящик"), (3, "abab ab a")], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in L.identify(asked, m).collect()} == {1: "x", 2: "y", 3: "x"}
+
+
+def test_few_huge_documents_are_learned(spark):
+    ids = [k for k in range(100) if zlib.crc32(str(k).encode()) % 3 != 1]
+    rows = [(k, f"the house and the garden number {k} are green and old " * 20, "en") for k in ids[4:]]
+    rows += [(k, "слово и дом у реки где живут люди " * 150_000, "ru") for k in ids[:2]] + [(ids[2], "1" * 50_000 + " λόγος και σπίτι στο ποτάμι", "el"), (ids[3], "12 34", "none")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    m = L.learn(docs, train_chars=60_000)
+    assert m.languages == ["el", "en", "ru"]
+    asked = spark.createDataFrame([(1, "дом где люди"), (2, "σπίτι και λόγος"), (3, "old garden")], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in L.identify(asked, m).collect()} == {1: "ru", 2: "el", 3: "en"}
+
+
+def test_learning_is_the_same_for_any_partitions(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    a, b = (L.learn(docs.repartition(n), train_chars=100_000) for n in (1, 7))
+    assert a.slope == b.slope and all((x == y).all() for x, y in zip(a.keys, b.keys)) and all(np.array_equal(x, y, equal_nan=True) for x, y in zip(a.logp, b.logp))
+
+
+def test_too_many_languages_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(L, "MAX_LANGUAGES", 3)
+    docs = spark.createDataFrame([(k, "some text", f"l{k}") for k in range(20)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="more than 3"):
+        L.learn(docs)
+
+
 def test_learning_ignores_held_out(spark):
     ids = [k for k in range(200) if zlib.crc32(str(k).encode()) % 3 == 1]
     docs = spark.createDataFrame([(k, "nur text", "xx") for k in ids], "doc_id long, text string, lang string")
