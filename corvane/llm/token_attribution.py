@@ -6,13 +6,19 @@ join is a search of each token's place among the sections' starts. The rule for
 boundary: it belongs to the section in which its first byte lies; `n_crossing` counts those that end in a
 later section. So the counts of a document's sections add up to its tokens exactly.
 
+Texts of any length are encoded whole. The library's pattern engine keeps a place for each blank of a run and dies of
+very long ones, so a run of `LONG_RUN` blanks or more is given to it as the one unit that the pattern makes of it: all its
+blanks at a text's end, else all but the last. Before a run and before that last blank the pattern always cuts, so the
+tokens are the same.
+
 Null or empty text has one empty section with no tokens. Repeated rows are counted alike; other columns
-are not read. Special tokens' strings in a text are ordinary text.
+are not read; an empty table gives no rows. Special tokens' strings in a text are ordinary text.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +30,9 @@ from .packing import tokenizer_path
 from .support import documents, groups
 
 RANKS = "byte_bpe_50k.tiktoken"
+LONG_RUN = 100_000
+#: What the tokenizer's pattern takes as blank.
+_BLANK = "[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
 class ByteTokens:
@@ -38,9 +47,21 @@ class ByteTokens:
         for token, i in ranks.items():
             self.length[i] = len(token)
 
+    def ids(self, text: str) -> list[int]:
+        """The library's tokens, with long runs of blanks apart."""
+        if len(text) < LONG_RUN:
+            return self.lib.encode_ordinary(text)
+        out, at = [], 0
+        for m in re.finditer(f"{_BLANK}{{{LONG_RUN},}}", text):
+            end = m.end() if m.end() == len(text) else m.end() - 1
+            out += self.lib.encode_ordinary(text[at : m.start()])
+            out += self.lib._encode_single_piece(text[m.start() : end].encode())
+            at = end
+        return out + self.lib.encode_ordinary(text[at:])
+
     def ends(self, text: str) -> np.ndarray:
         """The byte after each token's last."""
-        return np.cumsum(self.length[np.asarray(self.lib.encode_ordinary(text), np.int64)])
+        return np.cumsum(self.length[np.asarray(self.ids(text), np.int64)])
 
 
 def sections(raw: bytes) -> np.ndarray:

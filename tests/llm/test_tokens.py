@@ -1,5 +1,6 @@
 """Packing, piece codec and token attribution against the tokenizer libraries."""
 
+import json
 import random
 import zlib
 
@@ -153,3 +154,55 @@ def test_attribution(spark):
 def test_crossing_rule():
     n, crossing = A.attribute(np.array([2, 5, 6]), np.array([0, 3, 6]))
     assert n.tolist() == [2, 1] and crossing.tolist() == [1, 0]
+
+
+def test_another_tokenizer_is_refused(tmp_path):
+    spec = json.load(open(public_tokenizers.path(K.TOKENIZER)))
+    spec["normalizer"]["normalizers"] = [n for n in spec["normalizer"]["normalizers"] if n["type"] != "Lowercase"]
+    (tmp_path / "t.json").write_text(json.dumps(spec))
+    with pytest.raises(ValueError, match="another way"):
+        K.ChunkEncoder(str(tmp_path / "t.json"))
+
+
+def test_a_model_that_changes_texts_is_refused(monkeypatch):
+    kept = C.PieceCodec.normalise
+    monkeypatch.setattr(C.PieceCodec, "normalise", lambda self, t: kept(self, t.replace("ﬁ", "fi")))
+    with pytest.raises(ValueError, match="another way"):
+        C.PieceCodec(public_tokenizers.path(C.MODEL))
+
+
+BLANKS = st.lists(st.sampled_from(["a", "b1", "'s", "#", "é", "\x1c", "\x0b", "\x85", "\xa0", "\u3000", " ", " ", "\n", "\n", "\t", "\r", "   ", "\n\n\n"]), max_size=40).map("".join)
+
+
+@settings(max_examples=500, deadline=None)
+@given(BLANKS, st.integers(2, 6))
+def test_long_runs_of_blanks_keep_the_tokens(text, run):
+    tok = A.tokens(public_tokenizers.path(A.RANKS))
+    kept = A.LONG_RUN
+    try:
+        A.LONG_RUN = run
+        assert tok.ids(text) == tok.lib.encode_ordinary(text)
+    finally:
+        A.LONG_RUN = kept
+
+
+@pytest.mark.parametrize("blank", [" ", "\n", "\u3000"])
+def test_two_million_blanks(blank):
+    tok = A.tokens(public_tokenizers.path(A.RANKS))
+    n = 2_000_000
+    short = tok.lib.encode_ordinary("one" + blank * 1001 + "two")
+    ids = tok.ids("one" + blank * (n + 1) + "two")
+    if blank != " ":  # a blank of its own is left before the next word
+        assert ids[0] == short[0] and ids[-2:] == short[-2:]
+    assert tok.lib.decode(ids) == "one" + blank * (n + 1) + "two"
+    # A run of equal blanks merges from the left alike, whatever its length.
+    unit = tok.lib.encode_ordinary(blank * 1000)
+    assert tok.ids(blank * n) == unit[: len(unit) // 2] * (2 * n // 1000)
+    assert int(tok.ends(blank * n)[-1]) == n * len(blank.encode())
+
+
+def test_attribution_of_very_long_texts(spark):
+    docs = spark.createDataFrame([(1, "\n" * 1_500_000 + "x"), (2, "word " * 400_000), (3, "y" * 1_000_000)], "doc_id long, text string")
+    got = A.section_tokens(docs).groupBy("doc_id").agg({"n_tokens": "sum", "section": "count", "end": "max"}).collect()
+    by = {r.doc_id: r for r in got}
+    assert by[1]["count(section)"] == 1_500_001 and by[2]["sum(n_tokens)"] == 400_001 and by[3]["max(end)"] == 1_000_000
