@@ -11,7 +11,8 @@ follows a character, and each worker keeps a bounded cache of these words. Chara
 piece separate words too and become byte pieces. Runs of blanks are pieces of equal score, to which
 the rule doesn't apply; they are merged directly, after the words beside them.
 
-Null text is empty and gives the end id alone. Repeated rows and texts of any length are encoded
+The model must leave texts as they are (no case folding or composition) and put a blank first; this is tried at
+load on `PROBES`, and another model is refused. Null text is empty and gives the end id alone. Repeated rows and texts of any length are encoded
 whole; other columns are not read.
 """
 
@@ -34,6 +35,8 @@ from .support import documents, groups
 MODEL = "piece_bpe_32k.model"
 BLANK = "▁"
 _SEPARATOR = "\x00"
+#: Texts on which a model must agree with the codec: case, composition, ligatures, runs of blanks, marks and bytes.
+PROBES = ("Mixed CASE words, and a stop.", "ﬁ ① Å A\u030a ½ ＡＢ", "  two  lead and trail  ", "日本 😀 \t tab\nline", " ", "")
 _CACHE_ENTRIES = 400_000
 _PAIR_ENTRIES = 400_000
 
@@ -85,6 +88,11 @@ class PieceCodec:
         before = "".join(re.escape(x[0]) for x in joined if x[1] in ".,")
         self.mark_may_join = re.compile(f"(?:^|[{before}])[.,][\x00\n]")
         self.blank_runs: dict[int, list[str]] = {}
+        # What is assumed of the model, above all that it leaves texts as they are, holds on texts that would show otherwise.
+        for t in PROBES:
+            ids = lib.encode(t, add_eos=True)
+            if self.encode(t) != ids or self.decode(ids) != lib.decode(ids):
+                raise ValueError(f"{path} changes texts or merges in another way than this codec supports")
 
     def merge(self, text: str) -> list[str]:
         """Pieces of text by repeatedly merging the neighbours whose union scores highest, the leftmost first."""
