@@ -1,42 +1,52 @@
 """Surrogates for personal data and secrets: keyed, of the same type and format, distinct and coreferent.
 
-Detected are e-mail and IPv4 addresses, phone, payment card (by checksum), social security and IBAN numbers
+Detected are e-mail, IPv4 and IPv6 addresses, phone, payment card (by checksum), social security and IBAN numbers
 (by checksum), secrets after a telling name or with a telling prefix, names after a title and their later mentions
 without one. A secret after a name is all that its quotes hold, or all up to a blank. Each entity has a
 type and a normal form, in which its spellings agree; equal normal forms get equal surrogates everywhere.
 
-A surrogate comes from a keyed permutation of the normal form's free characters, each within its own
-alphabet, so digits stay digits, letters keep their case, lengths and punctuation stay, checksums are made
-right, and different values of one shape get different surrogates. Mail domains become labels under reserved
-example domains; names are built of syllables of their script with an ending of the title's gender, given
-and family names apart, so that shorter mentions still agree. Later attempts take more syllables, so names don't run out.
+The key is the caller's or that of the session (`KEY_SETTING`); without one nothing is replaced, as whoever knows the key
+can undo the surrogates. A surrogate comes from a keyed permutation of the normal form's free characters, each within its
+own alphabet, so digits stay digits, letters keep their case, lengths and punctuation stay, checksums are made right, and
+different values of one shape get different surrogates. Private and other special IP ranges stay what they are. Mail
+domains keep their labels' shapes, under a reserved last label. Names are built of syllables of their script with an ending
+of the title's gender, given and family names apart, so that shorter mentions still agree. A given name after a
+title that tells no gender takes the one that the document, or else the whole corpus, tells of it. Later attempts
+make names and domains longer, so they don't run out.
 
 Collision checks: all entities of the corpus are gathered once each. A surrogate that is itself an entity of
 the corpus, or that two entities share, is dropped, and all but the smallest of the sharers try again with the
-next attempt number, until none is left. These exceptions go to the workers by broadcast up to
-`MAX_BROADCAST` of them; beyond that, each document gets its own by a join.
+next attempt number, until none is left. Where a corpus fills the space of a shape, as it can with a private network, no
+surrogate is free of real values: after `FULL` attempts all values of that shape take one permutation, distinct still. These
+exceptions go to the workers by broadcast up to `MAX_BROADCAST` of them; beyond that, each document gets its own by a join.
 
-Null texts stay null; empty ones stay empty. Repeated rows change alike. Documents without an entity are
-unchanged; all other columns pass through, whatever their names. Entities don't span lines.
+Null texts stay null; empty ones stay empty. Texts of any length are read whole, in time proportional to their length, and
+Python holds a few MB of them at a time. Repeated rows change alike. An empty table gives an empty one. Documents without an
+entity are unchanged; all other columns pass through, whatever their names. Entities don't span lines.
 """
 
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import math
 import re
-from collections.abc import Iterator
+import secrets
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship_package
-from .support import Stored, documents, free_name
+from .support import Stored, documents, free_name, groups
 
-KEY = b"corvane surrogate key"
+KEY_SETTING = "spark.corvane.surrogate.key"
 MAX_BROADCAST = 50_000
 MAX_ATTEMPTS = 64
+#: Attempts after which the values of a full shape take one permutation, and the types whose shapes a corpus can fill.
+FULL = 12
+FILLABLE = ("ip", "ipv6", "phone", "ssn", "card")
 
 _DIGITS, _LOWER, _UPPER, _HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
 
@@ -44,6 +54,8 @@ _KINDS = [_DIGITS, _LOWER, _UPPER, "абвгдежзийклмнопрстуфх
 _ALPHABETS = {c: a for a in _KINDS for c in a}
 #: The fewest characters of a secret that a permutation can change.
 LEAST_FREE = 3
+#: Characters that are permuted as one number.
+BLOCK = 64
 
 #: Titles and the gender that they tell.
 TITLES = {
@@ -61,12 +73,14 @@ NAME_PARTS = {
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _PATTERN = re.compile(
-    r"(?P<email>[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,})"
+    # An address begins where a run of its characters does, and a run is never read twice, so long runs cost no more than their length.
+    r"(?P<email>(?<![A-Za-z0-9._%+-])[._%+-]*+(?P<mail>[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}))"
     r"|(?P<secret>(?i:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key)[\"']?\s*[:=]\s*"
-    r"(?:\"(?P<double>(?:\\.|[^\"\\]){8,})\"|'(?P<single>(?:\\.|[^'\\]){8,})'|[\"']?(?P<plain>(?:(?![,;&][\"']?\w+[\"']?\s*[:=])[^\s\"'<>]){8,})))"
+    r"(?:\"(?P<double>(?:\\.|[^\"\\]){8,})\"|'(?P<single>(?:\\.|[^'\\]){8,})'|[\"']?(?P<plain>(?:(?![,;&][\"']?\w+[\"']?\s*[:=])[^\s\"'<>]){8,}+)))"
     r"|(?P<prefixed>(?<![A-Za-z0-9])(?:AKIA|ASIA|ghp_|gho_|sk-|xoxb-)(?P<rest>[A-Za-z0-9-]{12,}))"
     r"|(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"
     rf"|(?P<ip>(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d))"
+    r"|(?P<ipv6>(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:]|\.\d))"
     r"|(?P<phone>(?<![\d+])\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\d+])\+\d{1,3}(?:[ -]?\(\d{1,4}\))?(?:[ -]?\d{2,4}){2,4}(?!\d|\.\d)"
     r"|(?<![\d(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?!\d))"
     r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
@@ -120,7 +134,23 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
                 k += len(w) + 1
         out += [(at + a, at + b, t, v) for a, b, t, v in sorted(own)]
         at += len(line) + 1
-    return _with_later_mentions(text, out)
+    return _with_later_mentions(text, _with_told_genders(out))
+
+
+def _with_told_genders(found: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    """found, where a given name whose title tells no gender takes the one that another title of it tells."""
+    told: dict[tuple[str, str], set[str]] = {}
+    for _, _, kind, value in found:
+        if kind.startswith("given") and (gender := kind.split(":")[1]) != "n":
+            told.setdefault((kind.split(":")[2], value), set()).add(gender)
+    if not told:
+        return found
+    out = []
+    for a, b, kind, value in found:
+        if kind.startswith("given:n") and len(genders := told.get((kind.split(":")[2], value), ())) == 1:
+            kind = f"given:{next(iter(genders))}:{kind.split(':')[2]}"
+        out.append((a, b, kind, value))
+    return out
 
 
 def _with_later_mentions(text: str, found: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
@@ -153,7 +183,14 @@ def _entity(m: re.Match) -> tuple[int, int, str, str] | None:
     if kind == "prefixed":
         return (*m.span("rest"), "secret", m["rest"])
     if kind == "email":
-        return (*m.span(), "email", value.lower())
+        return (*m.span("mail"), "email", m["mail"].lower())
+    if kind == "ipv6":
+        try:
+            address = ipaddress.IPv6Address(value)
+        except ValueError:
+            return None
+        # Words of hexadecimal letters between colons, and addresses of no host, are none.
+        return (*m.span(), "ipv6", str(address)) if re.search(r"\d", value) and sum(x != 0 for x in _hextets(address)) > 1 else None
     digits = re.sub(r"\D", "", value)
     if kind == "card":
         return (*m.span(), "card", digits) if _luhn(digits) % 10 == 0 else None
@@ -174,6 +211,21 @@ def _mac(key: bytes, *parts: str) -> int:
 
 def permute(text: str, alphabets: list[str], key: bytes, tweak: str) -> str:
     """A keyed permutation of the texts whose characters are in these alphabets."""
+    if len(text) <= BLOCK:
+        return _permute_block(text, alphabets, key, tweak)
+    # Of a long text each block's permutation depends on what stood before it, then once more on what follows: one pass each way.
+    at = range(0, len(text), BLOCK)
+    blocks, own = [text[k : k + BLOCK] for k in at], [alphabets[k : k + BLOCK] for k in at]
+    for order in (range(len(blocks)), reversed(range(len(blocks)))):
+        told = b""
+        for k in order:
+            new = _permute_block(blocks[k], own[k], key, f"{tweak}/{k}/{told.hex()}")
+            told = hashlib.blake2b(told + blocks[k].encode("utf-8", "replace"), digest_size=16).digest()
+            blocks[k] = new
+    return "".join(blocks)
+
+
+def _permute_block(text: str, alphabets: list[str], key: bytes, tweak: str) -> str:
     half = len(text) // 2
 
     def number(part: str, own: list[str]) -> int:
@@ -195,8 +247,8 @@ def permute(text: str, alphabets: list[str], key: bytes, tweak: str) -> str:
     shape = f"{tweak}/{','.join(str(len(a)) for a in alphabets)}"
     for i in range(0, 8, 2):
         # Each step adds what depends on the other half only, so it can be undone.
-        left = (left + _mac(key, shape, str(i), str(right))) % lsize
-        right = (right + _mac(key, shape, str(i + 1), str(left))) % rsize
+        left = (left + _mac(key, shape, str(i), f"{right:x}")) % lsize
+        right = (right + _mac(key, shape, str(i + 1), f"{left:x}")) % rsize
     return spelled(left, la) + spelled(right, ra)
 
 
@@ -215,18 +267,72 @@ def permute_classes(text: str, key: bytes, tweak: str, hexadecimal: bool = False
     return "".join(out)
 
 
-def surrogate(kind: str, value: str, attempt: int, key: bytes = KEY) -> str:
+def _hextets(address: ipaddress.IPv6Address) -> list[int]:
+    return [int(x, 16) for x in address.exploded.split(":")]
+
+
+_OCTETS = "".join(map(chr, range(256)))
+_HEXTETS = "".join(map(chr, range(1, 1 << 16)))
+
+
+def ip_range(octets: list[int]) -> int:
+    """How many octets at the start tell a range that isn't public; 0 for any other address. Of 172.16 to 172.31 the second is free within it."""
+    a, b = octets[:2]
+    return 1 if a in (10, 127) or a == 172 and 16 <= b < 32 else 2 if (a, b) in ((192, 168), (169, 254)) else 0
+
+
+def _ip(value: str, key: bytes, tweak: str) -> str:
+    octets = [int(x) for x in value.split(".")]
+    while True:
+        n = ip_range(octets)
+        alphabets = [_OCTETS] * (4 - n)
+        if n and octets[0] == 172:
+            alphabets[0] = _OCTETS[16:32]
+        octets = octets[:n] + [ord(c) for c in permute("".join(map(chr, octets[n:])), alphabets, key, f"{tweak}/{octets[:n]}")]
+        # A public address that became a special one goes on; that keeps the permutation one-to-one among public ones.
+        if ip_range(octets) == n:
+            return ".".join(map(str, octets))
+
+
+def _ipv6(value: str, key: bytes, tweak: str) -> str:
+    """Zeros stay, so the address is shortened alike; the first part stays, as it tells the range."""
+    parts = _hextets(ipaddress.IPv6Address(value))
+    free = [k for k in range(1, 8) if parts[k]]
+    new = permute("".join(chr(parts[k]) for k in free), [_HEXTETS] * len(free), key, f"{tweak}/{shape('ipv6', value)}")
+    for k, c in zip(free, new):
+        parts[k] = ord(c)
+    return str(ipaddress.IPv6Address(":".join(f"{x:x}" for x in parts)))
+
+
+def shape(kind: str, value: str) -> str:
+    """What a surrogate keeps of a value of a fillable type: an attempt's surrogates are one-to-one among the values of a shape."""
+    if kind == "ip":
+        octets = value.split(".")
+        return f"{octets[: ip_range([int(x) for x in octets])]}"
+    if kind == "ipv6":
+        parts = _hextets(ipaddress.IPv6Address(value))
+        return f"{parts[0]}/{[x != 0 for x in parts]}"
+    if kind == "phone":
+        country, _, rest = value.partition("|")
+        return f"{country}|{len(rest)}"
+    return f"{value[0]}/{len(value)}" if kind == "card" else str(len(value))
+
+
+def surrogate(kind: str, value: str, attempt: int, key: bytes) -> str:
     """Normal form of the surrogate of a normal form."""
     tweak = f"{kind}/{attempt}"
     if kind == "email":
         local, _, domain = value.partition("@")
-        n = _mac(key, tweak, "domain", domain)
-        label = "".join(_LOWER[n // 26**k % 26] for k in range(10))
-        return f"{permute_classes(local, key, tweak)}@{label}.example.{('com', 'net', 'org')[n % 3]}"
+        labels, _, last = domain.rpartition(".")
+        n, more = _mac(key, tweak, "domain", domain), ""
+        for _ in range(attempt // 2):
+            n, k = divmod(n, 26)
+            more += _LOWER[k]
+        return f"{permute_classes(local, key, tweak)}@{permute_classes(labels, key, f'{tweak}/{last}')}{more}.example"
     if kind == "ip":
-        n = [int(x) for x in value.split(".")]
-        octets = ["".join(map(chr, range(256)))] * 4
-        return ".".join(str(ord(c)) for c in permute("".join(map(chr, n)), octets, key, tweak))
+        return _ip(value, key, tweak)
+    if kind == "ipv6":
+        return _ipv6(value, key, tweak)
     if kind == "phone":
         country, _, rest = value.partition("|")
         return f"{country}|{permute_classes(rest, key, tweak + country)}"
@@ -257,23 +363,50 @@ def render(kind: str, original: str, new: str) -> str:
         return "".join(next(chars) if c.isalnum() else c for c in original)
     if kind == "email" and original.isupper():
         return new.upper()
+    if kind == "ipv6":
+        full = len(original) == 39
+        new = ipaddress.IPv6Address(new).exploded if full else new if "::" in original else ":".join(f"{x:x}" for x in _hextets(ipaddress.IPv6Address(new)))
+        return new.upper() if re.search("[A-F]", original) else new
     if kind.startswith(("given", "family")):
         return new.upper() if original.isupper() else new[0].upper() + new[1:]
     return new
 
 
-def replace(text: str, attempts: dict[tuple[str, str], int], key: bytes = KEY) -> tuple[str, int]:
+#: By (type, normal form): the type and the attempt that its surrogate takes, where they aren't its own type and 0.
+Exceptions = dict[tuple[str, str], tuple[str, int]]
+
+
+def replace(text: str, taken: Exceptions, key: bytes) -> tuple[str, int]:
     """Text with its entities replaced, and their number."""
     found = find(text)
     if not found:
         return text, 0
     out, at = [], 0
     for a, b, kind, value in found:
-        out += (text[at:a], render(kind, text[a:b], surrogate(kind, value, attempts.get((kind, value), 0), key)))
+        as_kind, attempt = taken.get((kind, value), (kind, 0))
+        out += (text[at:a], render(kind, text[a:b], surrogate(as_kind, value, attempt, key)))
         at = b
     return "".join([*out, text[at:]]), len(found)
 
 
+def session_key(spark: SparkSession) -> bytes:
+    """The key in `KEY_SETTING`."""
+    found = spark.conf.get(KEY_SETTING, None)
+    if not found:
+        raise ValueError(f"surrogates need a key: give one, or set {KEY_SETTING}")
+    return found.encode()
+
+
+_drawn: dict[str, bytes] = {}
+
+
+def run_key(spark: SparkSession) -> bytes:
+    """The session's key; without one, a random key that is drawn once for the application and kept nowhere."""
+    if spark.conf.get(KEY_SETTING, None):
+        return session_key(spark)
+    return _drawn.setdefault(spark.sparkContext.applicationId, secrets.token_bytes(32))
+
+
 def entities(docs: DataFrame, text_col: str = "text", with_row: list[Column] | None = None) -> DataFrame:
     """(kind, value) of each occurrence, once per document; with_row: columns that name the row, kept in front."""
     ship_package(docs.sparkSession)
@@ -284,70 +417,98 @@ def entities(docs: DataFrame, text_col: str = "text", with_row: list[Column] | N
     spark_schema = StructType([*kept, StructField("kind", StringType()), StructField("value", StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            source, kinds, values = [], [], []
-            for i, t in enumerate(batch.column(0).to_pylist()):
-                for kind, value in dict.fromkeys((k, v) for _, _, k, v in find(t)):
-                    source.append(i), kinds.append(kind), values.append(value)
-            if source:
-                at = pa.array(source, pa.int64())
-                cols = [batch.column(k).take(at) for k in range(1, batch.num_columns)]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(kinds, pa.string()), pa.array(values, pa.string())], names=[*batch.schema.names[1:], "kind", "value"])
+        for whole in batches:
+            for batch in groups(whole, column=0):
+                source, kinds, values = [], [], []
+                for i, t in enumerate(batch.column(0).to_pylist()):
+                    for kind, value in dict.fromkeys((k, v) for _, _, k, v in find(t)):
+                        source.append(i), kinds.append(kind), values.append(value)
+                if source:
+                    at = pa.array(source, pa.int64())
+                    cols = [batch.column(k).take(at) for k in range(1, batch.num_columns)]
+                    yield pa.RecordBatch.from_arrays([*cols, pa.array(kinds, pa.string()), pa.array(values, pa.string())], names=[*batch.schema.names[1:], "kind", "value"])
 
     return rows.mapInArrow(run, spark_schema)
 
 
-def exceptions(found: DataFrame, store: Stored, key: bytes = KEY) -> DataFrame:
-    """(kind, value, attempt) of the entities whose attempt isn't 0, for distinct (kind, value)."""
-    spark = found.sparkSession
-    def with_surrogates(df: DataFrame, attempt: int) -> DataFrame:
+def _told_by_corpus(found: DataFrame) -> DataFrame:
+    """(kind, value, as_kind): given names without a gender that take the only one that the corpus tells of them."""
+    parts = F.split("kind", ":")
+    names = found.filter(F.startswith("kind", F.lit("given:"))).select("value", parts[1].alias("gender"), parts[2].alias("script"))
+    by = names.groupBy("script", "value").agg(F.bool_or(F.col("gender") == "n").alias("untold"), F.collect_set(F.when(F.col("gender") != "n", F.col("gender"))).alias("told"))
+    own = by.filter(F.col("untold") & (F.size("told") == 1))
+    return own.select(F.concat(F.lit("given:n:"), "script").alias("kind"), "value", F.concat_ws(":", F.lit("given"), F.get("told", 0), "script").alias("as_kind"))
+
+
+def exceptions(found: DataFrame, store: Stored, key: bytes) -> DataFrame:
+    """(kind, value, as_kind, attempt) of the entities whose surrogate isn't that of their own type and attempt 0, for distinct (kind, value)."""
+
+    def mapped(df: DataFrame, name: str, of: Callable[[str, str], str]) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                new = [surrogate(k, v, attempt, key) for k, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(new, pa.string())], names=["kind", "value", "new"])
+                new = [of(k, v) for k, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(new, pa.string())], names=["kind", "value", name])
+
+        return df.select("kind", "value").mapInArrow(run, f"kind string, value string, {name} string")
 
-        return df.select("kind", "value").mapInArrow(run, "kind string, value string, new string")
+    def real(kind: Column) -> Column:
+        """Names of all kinds must keep clear of each other."""
+        return F.when(kind.rlike("^(given|family):"), "name").otherwise(kind)
 
-    taken = None
-    late = None
-    open_ones = found
+    names = ["kind", "value"]
+    told = store.cut(_told_by_corpus(found))
+    own = found.join(told, names, "left_anti")
+    values = found.select(real(F.col("kind")).alias("type"), F.col("value").alias("new")).distinct()
+    taken, late, open_ones = None, None, own
     for attempt in range(MAX_ATTEMPTS):
-        tried = store.cut(with_surrogates(open_ones, attempt))
-        first = tried.groupBy("kind", "new").agg(F.min("value").alias("value"), F.count(F.lit(1)).alias("n"))
-        real = found.select("kind", F.col("value").alias("new"))
-        good = first.join(real, ["kind", "new"], "left_anti")
+        if attempt == FULL:
+            shapes = mapped(open_ones.filter(F.col("kind").isin(*FILLABLE)), "shape", shape).select("kind", "shape").distinct()
+            whole = store.cut(mapped(own.filter(F.col("kind").isin(*FILLABLE)), "shape", shape).join(shapes, ["kind", "shape"], "left_semi").select(*names))
+            late = late.join(whole, names, "left_anti").unionByName(whole.withColumn("attempt", F.lit(FULL)))
+            open_ones = store.cut(open_ones.join(whole, names, "left_anti"))
+            if open_ones.isEmpty():
+                break
+        tried = store.cut(mapped(open_ones, "new", lambda k, v, n=attempt: surrogate(k, v, n, key)))
+        first = tried.groupBy("kind", "new").agg(F.min("value").alias("value"))
+        good = first.withColumn("type", real(F.col("kind"))).join(values, ["type", "new"], "left_anti")
         if taken is not None:
             good = good.join(taken, ["kind", "new"], "left_anti")
         good = store.cut(good.select("kind", "new", "value"))
         if attempt:
-            settled = good.select("kind", "value", F.lit(attempt).alias("attempt"))
+            settled = good.select(*names, F.lit(attempt).alias("attempt"))
             late = settled if late is None else late.unionByName(settled)
-        open_ones = store.cut(tried.select("kind", "value").join(good.select("kind", "value"), ["kind", "value"], "left_anti"))
+        open_ones = store.cut(tried.select(*names).join(good.select(*names), names, "left_anti"))
         taken = good.select("kind", "new") if taken is None else taken.unionByName(good.select("kind", "new"))
         if open_ones.isEmpty():
             break
     else:
         raise ValueError(f"some entities have no surrogate of their own after {MAX_ATTEMPTS} attempts")
-    return late if late is not None else spark.createDataFrame([], "kind string, value string, attempt int")
+    if late is None:
+        late = own.select(*names, F.lit(0).alias("attempt")).limit(0)
+    shared = told.join(late.select(F.col("kind").alias("as_kind"), "value", "attempt"), ["as_kind", "value"], "left")
+    return late.withColumn("as_kind", F.col("kind")).unionByName(shared.withColumn("attempt", F.coalesce("attempt", F.lit(0)))).select(*names, "as_kind", "attempt")
 
 
-def replace_entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars", key: bytes = KEY, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """docs with surrogates in text_col and `replaced_column` added; size_col, if there, is set anew."""
+def replace_entities(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars", key: bytes | None = None, max_broadcast: int = MAX_BROADCAST
+) -> DataFrame:
+    """docs with surrogates in text_col and `replaced_column` added; size_col, if there, is set anew. key: the session's by default."""
     spark = docs.sparkSession
+    key = hashlib.blake2b(key or session_key(spark)).digest()
     ship_package(spark)
     store = Stored(spark, "pii")
     found = store.cut(entities(docs, text_col).distinct())
-    late = exceptions(found, store, key)
-    own = free_name(docs, "attempts")
+    late = store.cut(exceptions(found, store, key))
+    own = free_name(docs, "taken")
     few = late.limit(max_broadcast + 1).collect()  # bounded by max_broadcast
-    everywhere: dict[tuple[str, str], int] = {}
+    everywhere: Exceptions = {}
     if len(few) <= max_broadcast:
-        everywhere = {(r.kind, r.value): r.attempt for r in few}
-        df = docs.withColumn(own, F.lit(None).cast("array<struct<kind:string,value:string,attempt:int>>"))
+        everywhere = {(r.kind, r.value): (r.as_kind, r.attempt) for r in few}
+        df = docs.withColumn(own, F.lit(None).cast("array<struct<kind:string,value:string,as_kind:string,attempt:int>>"))
     else:
         row = [F.col(id_col).alias("row_id"), F.xxhash64(text_col).alias("row_hash")]
         mine = entities(docs, text_col, row).join(late, ["kind", "value"])
-        mine = mine.groupBy("row_id", "row_hash").agg(F.collect_set(F.struct("kind", "value", "attempt")).alias(own))
+        mine = mine.groupBy("row_id", "row_hash").agg(F.collect_set(F.struct("kind", "value", "as_kind", "attempt")).alias(own))
         mine = mine.withColumnRenamed("row_id", own + "id").withColumnRenamed("row_hash", own + "hash")
         df = docs.join(mine, F.col(id_col).eqNullSafe(F.col(own + "id")) & (F.xxhash64(text_col) == F.col(own + "hash")), "left")
         df = df.select(*[docs[c] for c in docs.columns], own)
@@ -358,14 +519,15 @@ def replace_entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = shared.value
-        for batch in batches:
-            done = []
-            for text, extra in zip(batch.column(t).to_pylist(), batch.column(len(names)).to_pylist()):
-                attempts = common | {(e["kind"], e["value"]): e["attempt"] for e in extra} if extra else common
-                done.append((None, 0) if text is None else replace(text, attempts, key))
-            cols = [batch.column(k) for k in range(len(names))]
-            cols[t] = pa.array([d[0] for d in done], pa.string())
-            yield pa.RecordBatch.from_arrays([*cols, pa.array([d[1] for d in done], pa.int64())], names=[*names, count])
+        for whole in batches:
+            for batch in groups(whole, column=t):
+                done = []
+                for text, extra in zip(batch.column(t).to_pylist(), batch.column(len(names)).to_pylist()):
+                    taken = common | {(e["kind"], e["value"]): (e["as_kind"], e["attempt"]) for e in extra} if extra else common
+                    done.append((None, 0) if text is None else replace(text, taken, key))
+                cols = [batch.column(k) for k in range(len(names))]
+                cols[t] = pa.array([d[0] for d in done], pa.string())
+                yield pa.RecordBatch.from_arrays([*cols, pa.array([d[1] for d in done], pa.int64())], names=[*names, count])
 
     out = df.mapInArrow(run, StructType([*docs.schema.fields, StructField(count, LongType())]))
     if size_col in names:
@@ -377,11 +539,11 @@ def replaced_column(docs: DataFrame) -> str:
     return free_name(docs, "replaced")
 
 
-def pii_surrogates(docs: DataFrame) -> DataFrame:
-    """The rows and columns of docs, with surrogates in its text."""
-    return replace_entities(docs).select(*[F.col(f"`{c}`") for c in docs.columns])
+def pii_surrogates(docs: DataFrame, key: bytes | None = None) -> DataFrame:
+    """The rows and columns of docs, with surrogates in its text. key: that of `run_key` by default."""
+    return replace_entities(docs, key=key or run_key(docs.sparkSession)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    return replace_entities(docs).select("doc_id", "text", F.col(replaced_column(docs)).alias("n_replaced"))
+    return replace_entities(docs, key=run_key(spark)).select("doc_id", "text", F.col(replaced_column(docs)).alias("n_replaced"))
