@@ -3,21 +3,23 @@
 A fingerprint has 64 bits, each set if it is set in over half the XXH64 hashes of a document's shingles.
 Two fingerprints link if at most `MAX_BITS` bits differ. A component is what links reach.
 
-1. Equal fingerprints collapse to one vertex, named by its smallest doc_id; counting adds up before the shuffle.
+1. Equal fingerprints collapse to one vertex, named by its smallest doc_id; counting adds up before the shuffle. Each
+   vertex's distances to `PIVOTS` reference fingerprints are computed once, and go with it as 16 bytes: the distance table.
 2. Fingerprints are cut into blocks. With r blocks, two that link agree on r - MAX_BITS of them at least, so
    each choice of so many blocks is a key under which both meet. r grows with the number of fingerprints, so
-   that unrelated ones seldom meet. No pair that links is lost for any r.
-3. A key that more than `CELL` fingerprints share is split: its members are dealt into chunks, and each pair of
-   chunks is a cell of its own. No task holds more than two chunks of a key.
-4. In a cell, each member's distances to `PIVOTS` reference fingerprints stand in a table. If two members'
-   distances to any pivot differ by more than MAX_BITS, they can't link; the rest are compared bit by bit. A cell
-   returns one row per linked member, to the smallest member that its links reach there; never all pairs.
+   that unrelated ones seldom meet. No pair that links is lost for any r. Members of one key make up a cell.
+3. A key that more than `CELL` fingerprints share is split along the first pivot: in the order of their distance to it, members
+   stand in chunks, and only chunks that hold distances within MAX_BITS of each other meet in a cell. No task holds more
+   than two chunks of a key.
+4. In a cell, pairs whose distances to any pivot differ by more than MAX_BITS are discarded, as they can't link; the
+   rest are compared bit by bit. A cell returns one row per linked member, to the smallest member that its links reach
+   there; never all pairs.
 5. The components of these rows come from repeated contraction to the smallest neighbour. Each round's
    tables are written to the shared folder.
 
 Null texts and texts without words have fingerprint zero and link with each other. A document with fewer
-words than a shingle is one shingle. Repeated rows share a fingerprint. Null doc_ids get a fingerprint, but
-name no component if another row can. Other columns are not read.
+words than a shingle is one shingle. Texts of any length are read whole. Repeated rows share a fingerprint. Null doc_ids get
+a fingerprint, but name no component if another row can. An empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..shipping import ship_package
@@ -38,6 +40,8 @@ SEED = 42
 MAX_BITS = 4
 PIVOTS = 16
 CELL = 1024
+#: Members up to which cells are compared many at a time.
+SMALL = 48
 #: Unrelated fingerprints that one may meet under all its keys, on average, before more blocks are used.
 MEETINGS = 2048
 
@@ -89,10 +93,29 @@ def pivots(n: int = PIVOTS) -> np.ndarray:
     return np.array(rows, np.uint64)
 
 
-def cell_links(fps: np.ndarray, side: np.ndarray | None, max_bits: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:
+def distance_table(fps: np.ndarray) -> np.ndarray:
+    """Distances of fingerprints to the pivots, a row of bytes for each."""
+    return np.bitwise_count(fps[:, None] ^ _PIVOTS[None, :]).astype(np.int8)
+
+
+_PIVOTS = pivots()
+
+
+def _survivors(i: np.ndarray, j: np.ndarray, fps: np.ndarray, tables: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs, those that no pivot discards and that link."""
+    for p in range(tables.shape[1]):
+        if len(i) == 0:
+            return i, j
+        near = np.abs(tables[i, p] - tables[j, p]) <= max_bits
+        i, j = i[near], j[near]
+    true = np.bitwise_count(fps[i] ^ fps[j]) <= max_bits
+    return i[true], j[true]
+
+
+def cell_links(fps: np.ndarray, side: np.ndarray | None, max_bits: int = MAX_BITS, tables: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs i < j of fingerprints that link. With sides, only those between side 0 and side 1."""
     n = len(fps)
-    tables = np.bitwise_count(fps[:, None] ^ pivots()[None, :]).astype(np.int16)
+    tables = distance_table(fps) if tables is None else tables
     order = np.argsort(tables[:, 0], kind="stable")
     tables, sorted_fps = tables[order], fps[order]
     sides = None if side is None else side[order]
@@ -108,19 +131,37 @@ def cell_links(fps: np.ndarray, side: np.ndarray | None, max_bits: int = MAX_BIT
         near = j > i
         if sides is not None:
             near &= sides[i] != sides[j]
-        i, j = i[near], j[near]
-        for p in range(1, tables.shape[1]):
-            if len(i) == 0:
-                break
-            near = np.abs(tables[i, p] - tables[j, p]) <= max_bits
-            i, j = i[near], j[near]
-        true = np.bitwise_count(sorted_fps[i] ^ sorted_fps[j]) <= max_bits
-        found_i.append(order[i[true]])
-        found_j.append(order[j[true]])
+        i, j = _survivors(i[near], j[near], sorted_fps, tables, max_bits)
+        found_i.append(order[i])
+        found_j.append(order[j])
     i, j = np.concatenate(found_i), np.concatenate(found_j)
     return np.minimum(i, j), np.maximum(i, j)
 
 
+def _linked(cells: np.ndarray, side: np.ndarray, ids: np.ndarray, fps: np.ndarray, tables: np.ndarray) -> list[np.ndarray]:
+    """(a, b) for whole cells: each linked member with the smallest one that its links reach in its cell."""
+    order = np.lexsort((ids, cells))  # so that the smallest index of a cell has its smallest id
+    cells, side, ids, fps, tables = cells[order], side[order], ids[order], fps[order], tables[order]
+    starts = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]]))
+    sizes = np.diff(np.append(starts, len(cells)))
+    left = np.repeat(starts + sizes, sizes) - np.arange(len(cells))  # members of the cell from this one on
+    left[np.repeat(sizes > SMALL, sizes)] = 0
+    found = []
+    for k in range(1, int(left.max(initial=0))):
+        i = np.flatnonzero(left > k)
+        i = i[(side[i] < 0) | (side[i] != side[i + k])]
+        found.append(_survivors(i, i + k, fps, tables, MAX_BITS))
+    for a, n in zip(starts[sizes > SMALL], sizes[sizes > SMALL]):
+        own = slice(a, a + n)
+        i, j = cell_links(fps[own], None if side[a] < 0 else side[own], MAX_BITS, tables[own])
+        found.append((i + a, j + a))
+    if not found:
+        return [ids[:0], ids[:0]]
+    to = smallest_reached(len(ids), *(np.concatenate(x) for x in zip(*found)))
+    moved = np.flatnonzero(to != np.arange(len(ids)))
+    return [ids[moved], ids[to[moved]]]
+
+
 def smallest_reached(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """For members 0 to n-1 with links i, j: the smallest member that each one reaches."""
     at = np.arange(n)
@@ -151,68 +192,80 @@ def blocks_for(n: int, max_bits: int = MAX_BITS) -> int:
     return 12
 
 
+def with_table(vertices: DataFrame) -> DataFrame:
+    """(id, fp, d0, d1) of vertices (id, fp): the distances to the pivots as bytes of two longs, the first pivot's lowest."""
+    ship_package(vertices.sparkSession)
+    schema = pa.schema([(c, pa.int64()) for c in ("id", "fp", "d0", "d1")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = distance_table(batch.column(1).to_numpy().view(np.uint64)).view("<i8")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(packed[:, 0]), pa.array(packed[:, 1])], schema=schema)
+
+    return vertices.select("id", "fp").mapInArrow(run, "id long, fp long, d0 long, d1 long")
+
+
 def _keyed(vertices: DataFrame, r: int) -> DataFrame:
-    """One row per fingerprint and choice of blocks: (t, key, id, fp)."""
+    """One row per fingerprint and choice of blocks: (t, key, first, id, fp, d0, d1); first is the first pivot's distance."""
     bounds = block_bounds(r)
     masks = []
     for choice in combinations(range(r), r - MAX_BITS):
         m = sum(((1 << (bounds[k][1] - bounds[k][0])) - 1) << bounds[k][0] for k in choice)
         masks.append(m - (1 << 64) if m >> 63 else m)
     keys = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("key")) for t, m in enumerate(masks)])
-    return vertices.select("id", "fp", F.explode(keys).alias("k")).select("k.t", "k.key", "id", "fp")
+    own = vertices.withColumn("first", F.col("d0").bitwiseAND(F.lit(127)).cast("int"))
+    return own.select("id", "fp", "d0", "d1", "first", F.explode(keys).alias("k")).select("k.t", "k.key", "first", "id", "fp", "d0", "d1")
+
+
+def _chunks(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """(t, key, first, low, high, least, most): of the hot keys' chunks in order of the first pivot's distance, those that
+    a distance's members stand in, low to high, and those that they must meet, least to most."""
+    by = Window.partitionBy("t", "key").orderBy("first")  # no more rows than there are distances
+    n = rows.join(hot, ["t", "key"], "left_semi").groupBy("t", "key", "first").agg(F.count(F.lit(1)).alias("n"))
+    until = F.sum("n").over(by.rowsBetween(Window.unboundedPreceding, 0))
+    places = n.withColumn("until", until).select("t", "key", "first", F.floor((F.col("until") - F.col("n")) / CELL).cast("int").alias("low"), F.floor((F.col("until") - 1) / CELL).cast("int").alias("high"))
+    near = by.rangeBetween(-MAX_BITS, MAX_BITS)
+    return places.withColumns({"least": F.min("low").over(near), "most": F.max("high").over(near)})
 
 
 LINK_SCHEMA = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def links(vertices: DataFrame, n: int) -> DataFrame:
-    """(a, b) with a > b: rows whose components are those of all links between the vertices (id, fp)."""
+def links(vertices: DataFrame, n: int, store: Stored) -> DataFrame:
+    """(a, b) with a > b: rows whose components are those of all links between the vertices of `with_table`."""
     ship_package(vertices.sparkSession)
     rows = _keyed(vertices, blocks_for(n))
-    sizes = rows.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CELL)
-    sizes = sizes.select("t", "key", F.ceil(F.col("n") / CELL).cast("int").alias("chunks"))
-    rows = rows.join(sizes, ["t", "key"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    rows = rows.select(
-        F.xxhash64("t", "key", F.least("own", "other"), F.greatest("own", "other")).alias("cell"),
-        F.when(F.col("own") == F.col("other"), -1).otherwise((F.col("own") > F.col("other")).cast("int")).cast("byte").alias("side"),
-        "id",
-        "fp",
-    )
+    hot = store.cut(rows.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CELL).select("t", "key"))
+    one = F.lit(-1)
+    if hot.isEmpty():
+        cells = rows.select(F.xxhash64("t", "key", one, one).alias("cell"), one.cast("byte").alias("side"), "id", "fp", "d0", "d1")
+    else:
+        rows = rows.join(_chunks(rows, hot), ["t", "key", "first"], "left")
+        own = F.col("low") + F.pmod(F.xxhash64("fp"), F.col("high") - F.col("low") + 1).cast("int")
+        rows = rows.withColumn("own", F.coalesce(own, one)).withColumn("other", F.explode(F.sequence(F.coalesce("least", one), F.coalesce("most", one))))
+        side = F.when(F.col("own") == F.col("other"), one).otherwise((F.col("own") > F.col("other")).cast("int")).cast("byte")
+        cells = rows.select(F.xxhash64("t", "key", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), side.alias("side"), "id", "fp", "d0", "d1")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-
-        def flush() -> list[np.ndarray]:
-            cells, side, ids, fps = (np.concatenate(x) for x in zip(*held))
-            order = np.argsort(ids, kind="stable")  # so that the smallest index has the smallest id
-            side, ids, fps = side[order], ids[order], fps[order].view(np.uint64)
-            i, j = cell_links(fps, None if side.min() < 0 else side)
-            if len(i) == 0:
-                return []
-            to = smallest_reached(len(ids), i, j)
-            moved = np.flatnonzero(to != np.arange(len(ids)))
-            return [ids[moved], ids[to[moved]]]
+        held = [np.zeros(0, t) for t in (np.int64, np.int8, np.int64, np.int64, np.int64, np.int64)]
+
+        def linked(cols: list[np.ndarray]) -> pa.RecordBatch:
+            tables = np.stack(cols[4:], 1).view(np.int8)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in _linked(*cols[:3], cols[3].view(np.uint64), tables)], schema=LINK_SCHEMA)
 
         for batch in batches:
-            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
-            cuts = np.flatnonzero(np.diff(cols[0])) + 1
-            out = []
-            for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
-                if held and b > a and held[0][0][0] != cols[0][a]:
-                    if sum(len(h[0]) for h in held) > 1 and (found := flush()):
-                        out.append(found)
-                    held = []
-                if b > a:
-                    held.append(tuple(c[a:b] for c in cols))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], schema=LINK_SCHEMA)
-        if held and sum(len(h[0]) for h in held) > 1 and (found := flush()):
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], schema=LINK_SCHEMA)
+            if batch.num_rows == 0:
+                continue
+            cols = [np.concatenate([h, batch.column(k).to_numpy(zero_copy_only=False)]) for k, h in enumerate(held)]
+            whole = int(np.searchsorted(cols[0], cols[0][-1]))  # the last cell may go on
+            if whole:
+                yield linked([c[:whole] for c in cols])
+            held = [c[whole:] for c in cols]
+        if len(held[0]):
+            yield linked(held)
 
     parts = int(vertices.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long").distinct()
+    return cells.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long").distinct()
 
 
 def components(edges: DataFrame, store: Stored) -> DataFrame:
@@ -252,8 +305,8 @@ def neardup_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     store = Stored(spark, "simhash")
     fps = store.cut(fingerprints(docs, id_col, text_col))
     # A fingerprint of null doc_ids only can't be named by one of them; it links nothing by name.
-    vertices = store.cut(fps.groupBy("fp").agg(F.min("doc_id").alias("id")).filter("id IS NOT NULL"))
-    labels = components(links(vertices, vertices.count()), store)
+    vertices = store.cut(with_table(fps.groupBy("fp").agg(F.min("doc_id").alias("id")).filter("id IS NOT NULL")))
+    labels = components(links(vertices, vertices.count(), store), store)
     named = vertices.join(labels, "id", "left").select("fp", F.coalesce("root", "id").alias("component_id"))
     return fps.join(named, "fp", "left").select("doc_id", "fp", "component_id")
 

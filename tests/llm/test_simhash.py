@@ -59,7 +59,8 @@ def test_links_reach_what_brute_force_reaches(spark, monkeypatch, cell, r):
     monkeypatch.setattr(S, "blocks_for", lambda n: r)
     rows = [(k, int(np.array([f], np.uint64).view(np.int64)[0])) for k, f in enumerate(fps)]
     df = spark.createDataFrame(rows, "id long, fp long")
-    roots = {x.id: x.root for x in S.components(S.links(df, len(rows)), Stored(spark, "t")).collect()}
+    store = Stored(spark, "t")
+    roots = {x.id: x.root for x in S.components(S.links(S.with_table(df), len(rows), store), store).collect()}
     assert [roots.get(k, k) for k in range(len(fps))] == brute_roots(fps)
 
 
@@ -100,3 +101,55 @@ def test_documents(spark):
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert S.neardup_components(docs).count() == 0 and S.drop_near_duplicates(docs).count() == 0
+
+
+def test_a_hot_key_is_split_along_a_pivot(spark, monkeypatch):
+    """All fingerprints agree on half their bits, so each key of those blocks is hot; chunks that are far apart don't meet."""
+    rng = random.Random(11)
+    fps = list(dict.fromkeys(rng.getrandbits(32) for _ in range(400))) + near(rng, 200, [rng.getrandbits(32) for _ in range(4)])
+    fps = list(dict.fromkeys(fps))
+    monkeypatch.setattr(S, "CELL", 32)
+    monkeypatch.setattr(S, "blocks_for", lambda n: 6)
+    df = spark.createDataFrame([(k, int(np.array([f], np.uint64).view(np.int64)[0])) for k, f in enumerate(fps)], "id long, fp long")
+    store = Stored(spark, "t")
+    roots = {x.id: x.root for x in S.components(S.links(S.with_table(df), len(fps), store), store).collect()}
+    assert [roots.get(k, k) for k in range(len(fps))] == brute_roots(fps)
+    keyed = S._keyed(S.with_table(df), 6)
+    plan = S._chunks(keyed, keyed.groupBy("t", "key").count().filter("count > 32")).collect()
+    by = {}
+    for r in plan:
+        by.setdefault((r.t, r.key), []).append(r)
+    for rows in by.values():
+        top = max(r.high for r in rows)
+        for r in rows:
+            near_by = [x for x in rows if abs(x["first"] - r["first"]) <= 4]
+            assert (r.least, r.most) == (min(x.low for x in near_by), max(x.high for x in near_by))
+        assert top < 10 or any(r.most - r.least < top for r in rows)
+
+
+def test_table_is_what_distances_are():
+    fps = np.array([0, 1, (1 << 64) - 1, 0x123456789ABCDEF0], np.uint64)
+    assert S.distance_table(fps).tolist() == [[(int(f) ^ int(p)).bit_count() for p in S.pivots()] for f in fps]
+
+
+@pytest.mark.parametrize("small", [2, 48])
+def test_many_cells_at_a_time(monkeypatch, small):
+    monkeypatch.setattr(S, "SMALL", small)
+    rng = random.Random(2)
+    rows = []
+    for c in range(40):
+        members = near(rng, rng.randint(1, 30), [rng.getrandbits(64)])
+        sides = [rng.randint(0, 1) for _ in members] if c % 3 == 0 else [-1] * len(members)
+        rows += [(c, s, rng.getrandbits(40), f) for s, f in zip(sides, members)]
+    rng.shuffle(rows)
+    cells, side, ids, fps = (np.array(x, t) for x, t in zip(zip(*rows), (np.int64, np.int8, np.int64, np.uint64)))
+    got = dict(zip(*(x.tolist() for x in S._linked(cells, side, ids, fps, S.distance_table(fps)))))
+    for c in range(40):
+        own = sorted((i, s, f) for cc, s, i, f in rows if cc == c)
+        root = {i: i for i, _, _ in own}
+        for _ in own:
+            for i, s, f in own:
+                for j, s2, f2 in own:
+                    if i != j and (s < 0 or s != s2) and (f ^ f2).bit_count() <= 4:
+                        root[i] = min(root[i], root[j])
+        assert all(got.get(i, i) == r for i, r in root.items())
