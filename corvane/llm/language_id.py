@@ -107,33 +107,40 @@ class LanguageModels:
         """Negative log2 probability of each word, by language."""
         codes, place, lengths = _flat(ws)
         hashes = ngram_hashes(codes, place, len(self.keys))
-        total = np.broadcast_to(self.floor, (len(codes), len(self.languages))).copy()
+        width = len(self.languages)
+        total = np.tile(self.floor, len(codes))  # by character, then language
+        found, at = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for n in range(1, len(self.keys) + 1):
             if n > 1:
-                # The context is the shorter n-gram that ends one character earlier.
-                context = np.concatenate([[np.uint64(0)], hashes[n - 2][:-1]])
-                rows, own, at = self._entries(n - 2, np.where(place >= n - 1, context, np.uint64(0)))
-                total[rows, own] += self.backoff[n - 2][at]
-            rows, own, at = self._entries(n - 1, hashes[n - 1])
-            seen = self.logp[n - 1][at]
+                # The context is the shorter n-gram that ends one character earlier, in the same word.
+                inside = found + 1 < len(codes)
+                inside[inside] = place[found[inside] + 1] >= n - 1
+                rows, entries = self._entries(n - 2, found[inside] + 1, at[inside])
+                total[rows * width + self.language[n - 2][entries]] += self.backoff[n - 2][entries]
+            found, at = self._found(n - 1, hashes[n - 1])
+            rows, entries = self._entries(n - 1, found, at)
+            seen = self.logp[n - 1][entries]
             known = ~np.isnan(seen)
-            total[rows[known], own[known]] = seen[known]
+            total[rows[known] * width + self.language[n - 1][entries[known]]] = seen[known]
+        total = total.reshape(len(codes), width)
         total[place == 0] = 0  # the mark before a word is given
         ends = np.cumsum(lengths)
         return -np.add.reduceat(total, ends - lengths, axis=0) / math.log(2)
 
-    def _entries(self, k: int, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For the hashes that are keys of order k + 1: their places, and for each of their entries its language and place."""
-        keys, starts = self.keys[k], self.starts[k]
+    def _found(self, k: int, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which hashes are keys of order k + 1, and which keys they are."""
+        keys = self.keys[k]
         if len(keys) == 0:  # no word is that long
-            none = np.zeros(0, np.int64)
-            return none, none, none
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
-        rows = np.flatnonzero((keys[at] == hashes) & (hashes != 0))
-        first = starts[at[rows]]
-        n = starts[at[rows] + 1] - first
-        entries = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        return np.repeat(rows, n), self.language[k][entries], entries
+        found = np.flatnonzero((keys[at] == hashes) & (hashes != 0))
+        return found, at[found]
+
+    def _entries(self, k: int, rows: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each row once per entry of its key, and the entry."""
+        first = self.starts[k][at]
+        n = self.starts[k][at + 1] - first
+        return np.repeat(rows, n), np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
 def fit(counts: dict[str, tuple[list[str], np.ndarray]], order: int = ORDER) -> LanguageModels:
