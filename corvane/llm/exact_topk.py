@@ -28,7 +28,8 @@ K = 20
 SCALE = 64
 QUERY_EVERY = 20
 CANDIDATES_PER_BLOCK = 16384
-QUERIES_PER_BLOCK = 1024
+QUERIES_PER_BLOCK = 8192
+QUERIES_PER_BATCH = 256  # whose results leave together
 FULL_COLUMN = 0.5  # share of candidates with a term from which its postings are a full column
 
 
@@ -96,7 +97,9 @@ def top_k(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_co
     own = vectors.filter(usable(F.col(vector_col)) & F.col(id_col).isNotNull())
     own = own.select(F.col(id_col).cast("long").alias("id"), weights(F.col(vector_col), scale).alias("w"), F.coalesce(queries, F.lit(False)).alias("asks"))
     n, asking = own.agg(F.count(F.lit(1)), F.count_if("asks")).first()
+    # A candidate is copied once per block of queries, so these are large; smaller ones only where there are fewer cells than cores.
     c_blocks, q_blocks = -(-max(n, 1) // CANDIDATES_PER_BLOCK), -(-max(asking, 1) // QUERIES_PER_BLOCK)
+    q_blocks = max(q_blocks, min(-(-2 * spark.sparkContext.defaultParallelism // c_blocks), asking // QUERIES_PER_BATCH))
 
     def dealt(df: DataFrame, mine: int, mine_name: str, others: int, other_name: str) -> DataFrame:
         df = df.withColumn(mine_name, F.pmod(F.xxhash64("id"), F.lit(mine)).cast("int"))
@@ -114,9 +117,11 @@ def top_k(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_co
         rows = [flat[a:b] for a, b in zip(cuts, cuts[1:])]
         first = int(np.searchsorted(asks, True))
         block = Postings(ids[:first], rows[:first])
-        for i in range(first, len(ids)):
-            found, scores = block.best(int(ids[i]), rows[i], k)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), ids[i])), pa.array(found), pa.array(scores)], schema=OUT)
+        for a in range(first, len(ids), QUERIES_PER_BATCH):
+            part = range(a, min(len(ids), a + QUERIES_PER_BATCH))
+            best = [block.best(int(ids[i]), rows[i], k) for i in part]
+            asked = np.repeat(ids[a : part.stop], [len(b[0]) for b in best])
+            yield pa.RecordBatch.from_arrays([pa.array(asked), *(pa.array(np.concatenate(x)) for x in zip(*best))], schema=OUT)
 
     found = cells.groupBy("c", "q").applyInArrow(search, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
