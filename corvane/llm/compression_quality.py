@@ -8,9 +8,10 @@ not seen; it is set so that it crosses `CUT` where the two classes part best on
 
 Learning takes at most `SAMPLE` labelled documents of each class of at most `MAX_TRAIN_CHARS` characters, those with the
 smallest hashes of their ids, from rows whose crc32(doc_id as text) mod 5 is not 0. Scoring takes whole texts.
+The dictionaries take all blocks of their texts, in bytes of any script; scoring reads texts of any length block by block.
 Ids that are labelled both ways teach nothing. Without text of both classes each score is the share
 of good labels in the sample, or 0.5 without any; so is that of null and empty texts. Repeated rows score alike; other
-columns are not read.
+columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -158,7 +159,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     return out
 
 
-_differs: dict[tuple[int, int], Differ] = {}
+_differs: dict[QualityModel, Differ] = {}
 
 
 def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -170,13 +171,12 @@ def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        key = (hash(m.good), hash(m.bad))
-        if m.slope and key not in _differs:
+        if m.slope and m not in _differs:
             _differs.clear()
-            _differs[key] = Differ(m.good, m.bad, m.typical)
+            _differs[m] = Differ(m.good, m.bad, m.typical)
         for whole in batches:
             for batch in groups(whole):
-                x = [_differs[key].difference(t) if m.slope else None for t in batch.column(1).to_pylist()]
+                x = [_differs[m].difference(t) if m.slope else None for t in batch.column(1).to_pylist()]
                 s = [m.score(d) for d in x]
                 yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(x, pa.float64()), pa.array(s, pa.float64())], schema=schema)
 

@@ -231,3 +231,33 @@ def test_languages_of_one_document_are_learned(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     want = {r.lang for r in docs.filter(~language_id.held_out(docs.doc_id)).collect()}
     assert len(want) > 15 and set(language_id.learn(docs, train_chars=60_000).languages) == want
+
+
+def test_differences_are_those_of_plain_compression():
+    import zstandard
+
+    rng = np.random.default_rng(5)
+    words = ["the", "house", "and", "garden", "of", "old", "BUY", "NOW", "!!!", "слово", "文字"]
+    text = lambda k, n: " ".join(rng.choice(words[:6] if k else words[6:], n))
+    good, bad = [text(1, 300) for _ in range(60)], [text(0, 300) for _ in range(60)]
+    m = Q.train(good, bad)
+    for t in (text(1, 5), text(0, 50), text(1, 3000), text(0, 6000), "x"):
+        raw, n = t.encode(), 0
+        for a in range(0, len(raw), Q.BLOCK):
+            sizes = []
+            for content in (m.bad, m.good):
+                c = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content), level=Q.LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False)
+                packed = c.compress(raw[a : a + Q.BLOCK])
+                assert zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(content)).decompress(packed, max_output_size=Q.BLOCK) == raw[a : a + Q.BLOCK]
+                sizes.append(len(packed))
+            n += sizes[0] - sizes[1]
+        assert Q.Differ(m.good, m.bad, m.typical).difference(t) == pytest.approx((n + Q.SHORT * m.typical) / (len(raw) + Q.SHORT))
+
+
+def test_models_of_equal_dictionaries_are_kept_apart(spark):
+    good, bad = [f"Some prose of number {k} which tells of many things." for k in range(40)], [f"BUY{k}!!! ### $$$ NOW {k}" for k in range(40)]
+    m = Q.train(good, bad)
+    other = Q.QualityModel(m.good, m.bad, m.slope, m.middle, m.prior, m.typical + 0.5)
+    docs = spark.createDataFrame([(1, "a short text")], "doc_id long, text string").coalesce(1)
+    a, b = (Q.score(docs, x).first().difference for x in (m, other))
+    assert a != b == Q.Differ(other.good, other.bad, other.typical).difference("a short text")
