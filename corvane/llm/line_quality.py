@@ -5,8 +5,11 @@ arrows separate its words (navigation rule), if it is shouted (capitals with exc
 if it is a boilerplate phrase. Failing lines go; a document that loses more than `MAX_LOST` of its
 word characters is rejected. Before that, the base rule rejects short and repetitive documents.
 
-Null text counts as no words and is rejected. Empty lines stay and carry no weight. Repeated rows are
-judged alike; other columns pass through.
+Null text counts as no words and is rejected. Empty lines stay and carry no weight. Texts of any length are read whole, as
+one row each; a text's work is its words times the logarithm of their number at most. Repeated rows are judged alike; an
+empty table gives an empty one; other columns pass through, whatever their names.
+
+Most texts have no mark or phrase that a rule looks for, and no window of words twice; what only the others need is computed for them alone.
 """
 
 from __future__ import annotations
@@ -43,6 +46,9 @@ BOILERPLATE = (
 
 
 BARS = "[|»›]"
+#: Marks of which a line has one at least if any rule but that of phrases fails it.
+MARKS = "[#*$%&|<>»›!]"
+_BLANKS = " \t\n\x0b\x0c\r"
 _SHOUT = "(?:^|[\\x20\\x09-\\x0D])[^\\p{Ll}\\x20\\x09-\\x0D]*\\p{Lu}[^\\p{Ll}\\x20\\x09-\\x0D]*!"
 _PHRASES = "|".join(BOILERPLATE)
 
@@ -79,7 +85,7 @@ def line_fails(line: Column, phrases: Column) -> Column:
 
 def _word_chars(text: Column) -> Column:
     """Code points in words."""
-    return F.length(F.regexp_replace(text, "[\\x20\\x09-\\x0D]+", ""))
+    return F.length(F.translate(text, _BLANKS, ""))
 
 
 def judge(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -87,28 +93,23 @@ def judge(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     The columns are returned in a struct named by the caller's free name, see `judged_column`.
     """
-    v = {k: free_name(docs, k) for k in ("text", "words", "lines", "win", "pos", "seen", "fail", "lost", "phrases")}
+    v = {k: free_name(docs, k) for k in ("text", "words", "lines", "win", "sorted", "pos", "seen", "fail", "lost", "phrases")}
     text = F.coalesce(F.col(text_col), F.lit(""))
     df = docs.withColumn(v["text"], text)
     df = df.withColumn(v["words"], _words(F.col(v["text"]))).withColumn(v["lines"], F.split(F.col(v["text"]), "\n")).withColumn(v["phrases"], has_phrase(F.col(v["text"])))
     w, lines = F.col(v["words"]), F.col(v["lines"])
     n = F.size(w)
-    # Three-word windows by hash, with their places, sorted, so that equal ones are neighbours.
-    df = df.withColumn(
-        v["win"],
-        F.sort_array(
-            F.transform(
-                F.slice(w, F.lit(1), F.greatest(n - 2, F.lit(0))),
-                lambda x, i: F.struct(F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i")),
-            )
-        ),
-    )
+    # Three-word windows by hash. Where some are equal, they are sorted with their places, so that equal ones are neighbours.
+    df = df.withColumn(v["win"], F.transform(F.slice(w, F.lit(1), F.greatest(n - 2, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2))))
     win = F.col(v["win"])
+    repeats = F.size(F.array_distinct(win)) < F.size(win)
+    df = df.withColumn(v["sorted"], F.when(repeats, F.sort_array(F.transform(win, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    by = F.col(v["sorted"])
     df = df.withColumn(
         v["pos"],
         F.sort_array(
             F.transform(
-                F.filter(win, lambda x, k: F.coalesce(x["h"] == F.get(win, k + 1)["h"], F.lit(False)) | F.coalesce(x["h"] == F.get(win, k - 1)["h"], F.lit(False))),
+                F.filter(by, lambda x, k: F.coalesce(x["h"] == F.get(by, k + 1)["h"], F.lit(False)) | F.coalesce(x["h"] == F.get(by, k - 1)["h"], F.lit(False))),
                 lambda x: x["i"],
             )
         ),
@@ -121,8 +122,11 @@ def judge(docs: DataFrame, text_col: str = "text") -> DataFrame:
         lambda a, p: F.struct((a["n"] + F.least(F.lit(3), p - a["at"])).alias("n"), p.alias("at")),
         lambda a: a["n"],
     )
+    covered = F.coalesce(covered, F.lit(0).cast("long"))
     worded = F.filter(lines, lambda x: x.rlike(WORD))
-    df = df.withColumn(v["fail"], F.transform(lines, lambda x: line_fails(x, F.col(v["phrases"])))).withColumn(v["seen"], worded)
+    # Null where no line can fail.
+    odd = F.col(v["phrases"]) | F.col(v["text"]).rlike(MARKS)
+    df = df.withColumn(v["fail"], F.when(odd, F.transform(lines, lambda x: line_fails(x, F.col(v["phrases"]))))).withColumn(v["seen"], worded)
     fail, seen = F.col(v["fail"]), F.col(v["seen"])
     failed_lines = F.filter(lines, lambda x, i: fail[i])
     out = {
@@ -132,11 +136,12 @@ def judge(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "n_dup_lines": (F.size(seen) - F.size(F.array_distinct(seen))).cast("long"),
         "n_repeat_words": covered,
     }
-    df = df.withColumn(v["lost"], F.struct(*[c.alias(k) for k, c in out.items()], _word_chars(F.array_join(failed_lines, "")).cast("long").alias("lost_chars")))
+    lost = F.when(fail.isNull(), 0).otherwise(_word_chars(F.array_join(failed_lines, "")))
+    df = df.withColumn(v["lost"], F.struct(*[c.alias(k) for k, c in out.items()], lost.cast("long").alias("lost_chars")))
     s = F.col(v["lost"])
     base = (s["n_words"] < MIN_WORDS) | (F.lit(100) * s["n_repeat_words"] > MAX_REPEATED * s["n_words"])
     kept = ~base & (s["lost_chars"] <= MAX_LOST * s["word_chars"])
-    cleaned = F.array_join(F.filter(lines, lambda x, i: ~fail[i]), "\n")
+    cleaned = F.when(fail.isNull(), F.col(v["text"])).otherwise(F.array_join(F.filter(lines, lambda x, i: ~fail[i]), "\n"))
     return df.select(
         *[F.col(f"`{c}`") for c in docs.columns],
         F.struct(*[s[k].alias(k) for k in (*out, "lost_chars")], base.alias("base_failed"), kept.alias("kept"), cleaned.alias("cleaned")).alias(judged_column(docs)),
