@@ -163,76 +163,120 @@ def arxiv_id(text: Column) -> Column:
     return F.when(found != "", found)
 
 
-def doi(text: Column) -> Column:
-    found = F.regexp_extract(text, r"(10\.\d{4,9}/[^\s\"<>]+)", 1)
+#: Patterns of papers as extracted text.
+PDF_PATTERNS = {
+    "doi": r"10\.\d{4,}/[^\s]+",
+    "authors": r"(?i)(?:Authors?|By)[:\s]+(.+)",
+    "name_list": r"^([A-Z][a-z]+\s+[A-Z][a-z]+(?:\s*,\s*[A-Z][a-z]+\s+[A-Z][a-z]+)+)",
+    "abstract": r"(?s)(?:Abstract|ABSTRACT)\s*\n(.+?)(?=\n\s*(?:1\.?\s+Introduction|I\.?\s+Introduction|Keywords|1\s+INTRODUCTION))",
+    "heading": r"^\s*(\d+(?:\.\d+)*)\s+([A-Z][^\n]{5,80})$",
+    "references": r"(?s)(?:References|REFERENCES|Bibliography)\s*\n(.+?)$",
+    "reference": r"(?s)\[(\d+)\]\s*([^\[]+?)(?=\[\d+\]|$)",
+    "figure": r"(?is)(?:Figure|Fig\.?)\s*(\d+)[:\.]?\s*(.+?)(?=\n\n|\z)",
+}
+
+
+def _present(found: Column) -> Column:
     return F.when(found != "", found)
 
 
-def pdf_title(text: Column) -> Column:
-    """Of the first ten lines that aren't blank, the first of 11 to 199 characters that doesn't name an archive."""
-    lines = F.slice(F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != ""), 1, 10)
-    return F.get(F.filter(lines, lambda x: (F.length(x) > 10) & (F.length(x) < 200) & ~F.startswith(F.lower(x), F.lit("arxiv"))), 0)
+def _blank_free(text: Column) -> Column:
+    """text without white space at its ends."""
+    return F.btrim(text, F.lit(" \t\r\n\f\x0b"))
+
+
+def doi(text: Column) -> Column:
+    return _present(F.regexp_extract(text, PDF_PATTERNS["doi"], 0))
+
+
+def pdf_title(text: Column, metadata_title: Column | None = None) -> Column:
+    """The metadata's title, else of the first ten lines that aren't empty the first of 11 to 199 characters that doesn't name an archive, else Untitled."""
+    lines = F.transform(F.slice(F.filter(F.split(text, "\n"), lambda x: x != ""), 1, 10), _blank_free)
+    found = F.get(F.filter(lines, lambda x: (F.length(x) > 10) & (F.length(x) < 200) & ~F.startswith(F.lower(x), F.lit("arxiv"))), 0)
+    own = [] if metadata_title is None else [_present(_blank_free(metadata_title))]
+    return F.when(text.isNotNull(), F.coalesce(*own, found, F.lit("Untitled")))
 
 
 def pdf_authors(text: Column) -> Column:
-    """Names in the first 30 lines after `Author(s):` or `By`, apart by commas or `and`, of 3 to 49 characters."""
-    head = F.array_join(F.slice(F.split(text, "\n"), 1, 30), "\n")
-    line = F.coalesce(*[F.when(x != "", x) for x in (F.regexp_extract(head, p, 1) for p in (r"(?im)^\s*authors?:\s*(.+)$", r"(?im)^\s*by\s+(.+)$"))])
-    names = F.transform(F.split(line, r",|;|\band\b"), lambda x: F.trim(x))
+    """Names of 3 to 49 characters in the first of 30 lines that says Authors or By, or lists names; apart by commas, `and` or `&`."""
+    lines = F.slice(F.split(text, "\n"), 1, 30)
+    told = F.transform(lines, lambda x: F.coalesce(*[_present(F.regexp_extract(x, PDF_PATTERNS[k], 1)) for k in ("authors", "name_list")]))
+    names = F.transform(F.split(F.get(F.filter(told, lambda x: x.isNotNull()), 0), r",| and | & "), _blank_free)
     return F.coalesce(F.filter(names, lambda x: (F.length(x) > 2) & (F.length(x) < 50)), F.array().cast("array<string>"))
 
 
 def pdf_abstract(text: Column) -> Column:
-    """From the word Abstract to the introduction or a blank line before a heading, in single blanks, at most 2000 characters."""
-    found = F.regexp_extract(text, r"(?is)\babstract\b[\s:.—-]*(.+?)(?=\n\s*(?:1\.?\s+)?introduction\b|\n\s*keywords\b|$)", 1)
-    return F.when(found != "", F.substring(F.trim(F.regexp_replace(found, r"\s+", " ")), 1, 2000))
+    """What follows a line that ends with Abstract, up to the introduction or the keywords, in single blanks; over 2000 characters are cut and marked."""
+    found = _present(F.regexp_extract(text, PDF_PATTERNS["abstract"], 1))
+    flat = F.regexp_replace(_blank_free(found), r"\s+", " ")
+    return F.when(F.length(flat) > 2000, F.concat(F.substring(flat, 1, 2000), F.lit("..."))).otherwise(flat)
 
 
 def pdf_dois(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(10\.\d{4,9}/[^\s\"<>]+)"), F.lit(1)))
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(PDF_PATTERNS["doi"]), F.lit(0)))
 
 
 def pdf_citations(text: Column) -> Column:
-    """Array of (number, text) of the `[n] ...` entries after the last heading References."""
-    tail = F.regexp_extract(text, r"(?is)^.*\n\s*references\s*\n(.*)$", 1)
-    entries = F.regexp_extract_all(tail, F.lit(r"(?s)(\[\d+\]\s*.*?)(?=\n\s*\[\d+\]|$)"), F.lit(1))
-    return F.transform(
-        F.coalesce(entries, F.array().cast("array<string>")),
-        lambda e: F.struct(F.regexp_extract(e, r"^\[(\d+)\]", 1).try_cast("int").alias("number"), F.trim(F.regexp_replace(F.regexp_replace(e, r"^\[\d+\]", ""), r"\s+", " ")).alias("text"), doi(e).alias("doi")),
-    )
+    """Array of (number, text, doi) of the `[n] ...` entries after the heading References or Bibliography."""
+    tail = F.regexp_extract(text, PDF_PATTERNS["references"], 1)
+    entries = F.regexp_extract_all(tail, F.lit(PDF_PATTERNS["reference"]), F.lit(0))
+
+    def entry(e: Column) -> Column:
+        own = _blank_free(F.regexp_replace(e, r"^\[\d+\]", ""))
+        return F.struct(F.regexp_extract(e, r"^\[(\d+)\]", 1).try_cast("int").alias("number"), own.alias("text"), doi(own).alias("doi"))
+
+    return F.transform(F.coalesce(entries, F.array().cast("array<string>")), entry)
 
 
 def pdf_figures(text: Column) -> Column:
-    """Array of (number, caption) of the lines that start with Figure or Fig."""
-    found = F.regexp_extract_all(text, F.lit(r"(?im)^\s*((?:figure|fig\.?)\s*\d+[.:][^\n]*)"), F.lit(1))
-    return F.transform(found, lambda x: F.struct(F.regexp_extract(x, r"(\d+)", 1).try_cast("int").alias("number"), F.trim(F.regexp_extract(x, r"\d+[.:]\s*(.*)$", 1)).alias("caption")))
+    """Array of (number, caption) of figures; a caption reaches to the next blank line."""
+    found = F.regexp_extract_all(text, F.lit(PDF_PATTERNS["figure"]), F.lit(0))
+    parts = [F.regexp_extract, PDF_PATTERNS["figure"]]
+    return F.transform(found, lambda x: F.struct(parts[0](x, parts[1], 1).try_cast("int").alias("number"), _blank_free(parts[0](x, parts[1], 2)).alias("caption")))
 
 
 def pdf_sections(text: Column) -> Column:
     """Array of (line, page, number, level, title) of numbered headings. Lines are trimmed before form feeds count pages, as a form feed at a line's edge is lost."""
-    lines = F.transform(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(" \t\r\f\x0b")))
+    lines = F.transform(F.split(text, "\n"), _blank_free)
     pages = F.aggregate(
         lines,
         F.struct(F.lit(1).alias("page"), F.array().cast("array<int>").alias("all")),
-        lambda a, x: F.struct((a["page"] + F.when(F.contains(x, F.lit("\f")), 1).otherwise(0)).alias("page"), F.concat(a["all"], F.array(a["page"])).alias("all")),
+        lambda a, x: F.struct((a["page"] + F.when(F.contains(x, F.lit("\f")), 1).otherwise(0)).alias("page"), F.concat(a["all"], F.array(a["page"] + F.when(F.contains(x, F.lit("\f")), 1).otherwise(0))).alias("all")),
     )["all"]
     rows = F.zip_with(F.transform(lines, lambda x, i: F.struct(x.alias("x"), (i + 1).alias("i"))), pages, lambda r, p: F.struct(r["i"].alias("line"), p.alias("page"), r["x"].alias("x")))
-    heads = F.filter(rows, lambda r: r["x"].rlike(r"^\d+(\.\d+)*\.?\s+\p{Lu}[^\n]{2,80}$"))
-    return F.transform(
-        heads,
-        lambda r: F.struct(
-            r["line"].alias("line"),
-            r["page"].alias("page"),
-            F.regexp_extract(r["x"], r"^(\d+(?:\.\d+)*)", 1).alias("number"),
-            F.least(F.lit(3), F.regexp_count(F.regexp_extract(r["x"], r"^(\d+(?:\.\d+)*)", 1), F.lit(r"\.")) + 1).alias("level"),
-            F.trim(F.regexp_replace(r["x"], r"^\d+(\.\d+)*\.?\s+", "")).alias("title"),
-        ),
-    )
+    heads = F.filter(rows, lambda r: r["x"].rlike(PDF_PATTERNS["heading"]))
+
+    def section(r: Column) -> Column:
+        number = F.regexp_extract(r["x"], PDF_PATTERNS["heading"], 1)
+        level = F.least(F.lit(3), F.regexp_count(number, F.lit(r"\.")) + 1)
+        return F.struct(r["line"].alias("line"), r["page"].alias("page"), number.alias("number"), level.alias("level"), F.trim(F.regexp_extract(r["x"], PDF_PATTERNS["heading"], 2)).alias("title"))
+
+    return F.transform(heads, section)
 
 
 def pdf_markdown(text: Column) -> Column:
-    """The text with numbered headings as markdown headings of their level."""
-    out = text
-    for level, number in ((3, r"\d+\.\d+\.\d+(?:\.\d+)*"), (2, r"\d+\.\d+"), (1, r"\d+")):
-        out = F.regexp_replace(out, rf"(?m)^[ \t\f]*({number})\.?[ \t]+(\p{{Lu}}[^\n]{{2,80}})$", "#" * (level + 1) + " $1 $2")
-    return out
+    """The text without its abstract, with numbered headings as markdown headings one level below their own, and at most one blank line in a row."""
+    out = F.regexp_replace(text, PDF_PATTERNS["abstract"], "")
+    for dots in range(5):
+        number = r"\d+" + (rf"(?:\.\d+){{{dots}}}" if dots < 4 else r"(?:\.\d+){4,}")
+        out = F.regexp_replace(out, "(?m)" + PDF_PATTERNS["heading"].replace(r"\d+(?:\.\d+)*", number), "\n" + "#" * (dots + 2) + " $1 $2\n")
+    return _blank_free(F.regexp_replace(out, "\n{3,}", "\n\n"))
+
+
+def pdf_document(text: Column, metadata_title: Column | None = None) -> Column:
+    """A paper as one markdown document: title, authors, abstract, body and figures."""
+    title, authors, abstract, figures = pdf_title(text, metadata_title), pdf_authors(text), pdf_abstract(text), pdf_figures(text)
+    none = F.lit("")
+    parts = [
+        F.concat(F.lit('---\ntitle: "'), F.replace(title, F.lit('"'), F.lit('\\"')), F.lit('"\n')),
+        F.when(F.size(authors) > 0, F.concat(F.lit("authors: ["), F.array_join(F.transform(authors, lambda a: F.concat(F.lit('"'), a, F.lit('"'))), ", "), F.lit("]\n"))).otherwise(none),
+        F.concat(F.lit("---\n\n# "), title, F.lit("\n\n")),
+        F.when(F.size(authors) > 0, F.concat(F.lit("**Authors:** "), F.array_join(authors, ", "), F.lit("\n\n"))).otherwise(none),
+        F.coalesce(F.concat(F.lit("## Abstract\n\n"), abstract, F.lit("\n\n---\n\n")), none),
+        F.concat(pdf_markdown(text), F.lit("\n")),
+        F.when(
+            F.size(figures) > 0,
+            F.concat(F.lit("\n---\n\n## Figures\n\n"), F.array_join(F.transform(figures, lambda f: F.concat(F.lit("> **figure-"), f["number"].cast("string"), F.lit("**: "), f["caption"], F.lit("\n> *See original PDF*\n\n"))), "")),
+        ).otherwise(none),
+    ]
+    return F.concat(*parts)

