@@ -7,6 +7,7 @@ content gives no rows. Known oddities of the chunks are kept and named beside th
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -14,13 +15,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.paths import LANGUAGES, extension
+from ..batches import groups
+from ..functions.paths import LANGUAGES, extension, relative_path
 from ..shipping import ship_package
 
 SIZE, OVERLAP = 2000, 200
 BLOCK, BLOCK_OVERLAP_LINES = 1500, 5
 WHOLE_TYPE_BELOW = 2000
 CODE_BLOCK_ABOVE = 50
+SYMBOL_KINDS = ("class", "interface", "record", "struct", "enum", "method", "constructor", "property", "field", "event", "function")
 
 
 @dataclass(frozen=True)
@@ -31,6 +34,9 @@ class Chunk:
     language: str | None = None
     start_line: int | None = None
     end_line: int | None = None
+    parent: str | None = None
+    signature: str | None = None
+    doc: str | None = None  # the first sentence of its documentation
 
 
 def _joined(parts: list[str]) -> str:
@@ -71,25 +77,28 @@ def split_markdown(text: str, size: int = SIZE, overlap: int = OVERLAP) -> list[
 
 def _last_lines(text: str, limit: int) -> str:
     """Whole lines from the end, until they hold limit characters."""
-    kept: list[str] = []
-    for line in reversed(text.split("\n")):
-        if sum(len(k) + 1 for k in kept) >= limit:
-            break
-        kept.insert(0, line)
-    return "\n".join(kept).rstrip() if limit > 0 else ""
+    lines, held = text.split("\n"), 0
+    at = len(lines)
+    while at and held < limit:
+        at -= 1
+        held += len(lines[at]) + 1
+    return "\n".join(lines[at:]).rstrip() if limit > 0 else ""
 
 
 def split_code(text: str, size: int = SIZE, overlap: int = OVERLAP) -> list[str]:
     """Cuts where braces are balanced and size is reached. Oddity: the overlap has no line end, so the next line is glued to it."""
-    done, held, depth = [], "", 0
+    done, held, n, depth = [], [], 0, 0
     for line in text.split("\n"):
         depth += line.count("{") - line.count("}")
-        held += f"{line}\n"
-        if depth == 0 and len(held) >= size:
-            chunk = held.strip()
+        held.append(f"{line}\n")
+        n += len(line) + 1
+        if depth == 0 and n >= size:
+            chunk = "".join(held).strip()
             done += [chunk] if chunk else []
-            held = _last_lines(chunk, overlap) if chunk else ""
-    return done + ([held.strip()] if held.strip() else [])
+            held = [_last_lines(chunk, overlap)] if chunk else []
+            n = sum(map(len, held))
+    rest = "".join(held).strip()
+    return done + ([rest] if rest else [])
 
 
 def split_text(text: str | None, content_type: str | None, size: int = SIZE, overlap: int = OVERLAP) -> list[str]:
@@ -172,14 +181,17 @@ def ingest_markdown(path: str, text: str) -> list[Chunk]:
     return out
 
 
+_BRACE = re.compile(r"[{}]")
+
+
 def braced(text: str, start: int) -> str | None:
     """From start to the brace that closes the first one after it; null if none does. Strings and comments count as code."""
     opening = text.find("{", start)
     depth = 0
-    for m in re.finditer(r"[{}]", text[opening:]) if opening >= 0 else ():
+    for m in _BRACE.finditer(text, opening) if opening >= 0 else ():
         depth += 1 if m[0] == "{" else -1
         if depth == 0:
-            return text[start : opening + m.end()]
+            return text[start : m.end()]
     return None
 
 
@@ -196,8 +208,10 @@ def _head(text: str, belongs: Callable[[str], bool], passes: Callable[[str], boo
     return _joined(kept).strip(), last
 
 
-def _line_of(text: str, at: int) -> int:
-    return text.count("\n", 0, at) + 1
+def _lines_of(text: str) -> Callable[[int], int]:
+    """The line of a place in the text; its line ends are looked for once."""
+    ends = [m.start() for m in re.finditer("\n", text)]
+    return lambda at: bisect_left(ends, at) + 1
 
 
 _COMMENT = ("//", "/*", "* ", "*/")
@@ -206,6 +220,7 @@ _CS_TYPE = re.compile(r"(?:public|private|protected|internal)?\s*(?:static|seale
 _CS_METHOD = re.compile(r"(?:public|private|protected|internal)?\s*(?:static|async|virtual|override|sealed)?\s*(?:\w+(?:<[^>]+>)?)\s+(\w+)\s*\([^)]*\)\s*(?:where\s+\w+\s*:\s*[^{]+)?")
 _TS_FUNCTION = re.compile(r"(?:export\s+)?(?:async\s+)?function\s+(\w+)\s*\([^)]*\)\s*(?::\s*[^{]+)?")
 _TS_CLASS = re.compile(r"(?:export\s+)?class\s+(\w+)(?:\s+extends\s+\w+)?(?:\s+implements\s+[^{]+)?")
+# Functions and classes in one pattern, as a block ends where the next of either begins.
 _PY_BLOCK = re.compile(r"(?m)^(?:(def)\s+(\w+)\s*\([^)]*\)\s*(?:->\s*[^:]+)?:|(class)\s+(\w+)(?:\([^)]*\))?:)")
 
 
@@ -215,16 +230,18 @@ def ingest_csharp(path: str, text: str) -> list[Chunk]:
     head, last = _head(text, lambda s: not s.strip() or s.startswith(("using ", "namespace ", "#", "[", *_COMMENT)))
     if head:
         out.append(Chunk(head, "header", "File Header", "csharp", 1, last))
+    line_of = _lines_of(text)
     for m in _CS_TYPE.finditer(text):
         if (body := braced(text, m.end())) is None:
             continue
-        whole, line = m[0] + body, _line_of(text, m.start())
+        whole, line = m[0] + body, line_of(m.start())
         if len(whole) < WHOLE_TYPE_BELOW:
             out.append(Chunk(whole, "type", f"{m[1]} {m[2]}", "csharp", line, line + body.count("\n")))
             continue
+        inner_line = _lines_of(whole)
         for k in _CS_METHOD.finditer(whole):
             if (inner := braced(whole, k.end())) is not None:
-                at = line + whole.count("\n", 0, k.start())
+                at = line + inner_line(k.start()) - 1
                 out.append(Chunk(k[0] + inner, "method", f"{m[2]}.{k[1]}", "csharp", at, at + (k[0] + inner).count("\n")))
     return out if len(out) > 1 else ingest_generic(path, text, "csharp")
 
@@ -237,10 +254,11 @@ def ingest_typescript(path: str, text: str) -> list[Chunk]:
     )
     if head:
         out.append(Chunk(head, "imports", "Imports", "typescript", 1, last))
+    line_of = _lines_of(text)
     for kind, pattern in (("function", _TS_FUNCTION), ("class", _TS_CLASS)):
         for m in pattern.finditer(text):
             if (body := braced(text, m.end())) is not None:
-                line = _line_of(text, m.start())
+                line = line_of(m.start())
                 out.append(Chunk(m[0] + body, kind, m[1], "typescript", line, line + (m[0] + body).count("\n")))
     return out if len(out) > 1 else ingest_generic(path, text, "typescript")
 
@@ -251,9 +269,9 @@ def ingest_python(path: str, text: str) -> list[Chunk]:
     head, last = _head(text, lambda s: not s.strip() or s.startswith(("import ", "from ", "#", '"""', "'''")))
     if head:
         out.append(Chunk(head, "imports", "Imports", "python", 1, last))
-    found = list(_PY_BLOCK.finditer(text))
+    found, line_of = list(_PY_BLOCK.finditer(text)), _lines_of(text)
     for m, end in zip(found, [*(m.start() for m in found[1:]), len(text)]):
-        block, line = text[m.start() : end].rstrip(), _line_of(text, m.start())
+        block, line = text[m.start() : end].rstrip(), line_of(m.start())
         out.append(Chunk(block, "function" if m[1] else "class", m[2] or m[4], "python", line, line + block.count("\n")))
     return out if len(out) > 1 else ingest_generic(path, text, "python")
 
@@ -296,31 +314,84 @@ def ingest_whole(path: str, text: str) -> list[Chunk]:
     return [Chunk(text, "file", _name(path), None, 1, text.count("\n") + 1)] if text.strip() else []
 
 
-#: Declarations by language for files without a chunker of their own.
+_MOD = r"(?:(?:public|private|protected|internal|static|abstract|final|sealed|open|data|override|virtual|async|suspend|inline|export|default|pub(?:\([^)]*\))?|unsafe|extern|const)\s+)*"
+_C_LIKE = r"^(?:(?:class|struct|enum|union|namespace)\s+(\w+)|(?:[\w:<>,*&~]+\s+)+\**&?([\w:~]+)\s*\([^;]*$)"
+#: Declarations by language for files without a chunker of their own: the first group that took part is the name.
 _OUTLINES = {
     "rb": r"^\s*(?:def|class|module)\s+([\w.:?!]+)",
-    "php": r"^\s*(?:(?:public|private|protected|static|abstract|final)\s+)*(?:function|class|interface|trait)\s+(\w+)",
+    "php": rf"^\s*{_MOD}(?:function|class|interface|trait)\s+(\w+)",
     "sh": r"^\s*(?:function\s+)?(\w+)\s*\(\)\s*\{",
-    "kt": r"^\s*(?:(?:public|private|internal|open|data|suspend)\s+)*(?:fun|class|interface|object)\s+(\w+)",
-    "swift": r"^\s*(?:(?:public|private|open|static)\s+)*(?:func|class|struct|protocol|enum)\s+(\w+)",
+    "kt": rf"^\s*{_MOD}(?:fun|class|interface|object)\s+(\w+)",
+    "swift": rf"^\s*{_MOD}(?:func|class|struct|protocol|enum|extension)\s+(\w+)",
     "lua": r"^\s*(?:local\s+)?function\s+([\w.:]+)",
     "sql": r"(?i)^\s*create\s+(?:or\s+replace\s+)?(?:table|view|function|procedure)\s+([\w.]+)",
     "proto": r"^\s*(?:message|service|enum)\s+(\w+)",
+    "scala": rf"^\s*{_MOD}(?:case\s+)?(?:def|class|object|trait)\s+(\w+)",
+    "dart": rf"^\s*{_MOD}(?:class|mixin|enum|extension)\s+(\w+)",
+    "groovy": rf"^\s*{_MOD}(?:def|class|interface|enum)\s+(\w+)",
+    "ex": r"^\s*(?:defmodule|defp?|defmacro|defprotocol)\s+([\w.?!]+)",
+    "erl": r"^([a-z]\w*)\s*\([^)]*\)\s*(?:when\b.*)?->",
+    "hs": r"^(?:data|newtype|class|instance|type)\s+(\w+)|^([a-z]\w*)\s*::",
+    "ml": r"^\s*(?:let(?:\s+rec)?|type|module)\s+(\w+)",
+    "clj": r"^\s*\((?:defn-?|def|defmacro|defrecord|defprotocol|ns)\s+([^\s\[\]()]+)",
+    "jl": r"^\s*(?:function|struct|mutable struct|module|macro)\s+([\w.!]+)",
+    "r": r"^\s*([\w.]+)\s*(?:<-|=)\s*function\b",
+    "pl": r"^\s*(?:sub|package)\s+([\w:]+)",
+    "ps1": r"(?i)^\s*(?:function|filter|class)\s+([\w-]+)",
+    "zig": rf"^\s*{_MOD}fn\s+(\w+)",
+    "nim": r"^\s*(?:proc|func|method|template|macro|iterator)\s+(\w+)",
+    "cr": r"^\s*(?:def|class|module|struct)\s+([\w.:?!]+)",
+    "vb": r"(?i)^\s*(?:(?:public|private|friend|shared)\s+)*(?:sub|function|class|module|interface|structure)\s+(\w+)",
+    "pas": r"(?i)^\s*(?:procedure|function|constructor|destructor)\s+([\w.]+)",
+    "tf": r"^(?:resource|data)\s+\"[^\"]+\"\s+\"([^\"]+)\"|^(?:variable|module|output)\s+\"([^\"]+)\"",
+    "sol": r"^\s*(?:contract|interface|library|function|event|struct|modifier)\s+(\w+)",
+    "graphql": r"^\s*(?:type|input|enum|interface|scalar|union)\s+(\w+)",
+    "m": _C_LIKE,
+    "mm": _C_LIKE,
 }
+_OUTLINES |= {"bash": _OUTLINES["sh"], "kts": _OUTLINES["kt"], "exs": _OUTLINES["ex"], "cljs": _OUTLINES["clj"], "gql": _OUTLINES["graphql"], "pm": _OUTLINES["pl"], "rake": _OUTLINES["rb"]}
+_IMPORT = re.compile(r"^\s*(?:import|use|using|require|require_relative|include|#include|#import|from|package|open|library|source|alias|\(:require)\b")
+_REMARK = re.compile(r"^\s*(?://+!?|#+|--+|%+|;+|\*|/\*+)\s?(.*?)(?:\*/)?\s*$")
+
+
+def _sentence(text: str) -> str | None:
+    """The first sentence of a documentation."""
+    flat = " ".join(text.split())
+    m = re.match(r".*?[.!?](?=\s|$)", flat)
+    return (m[0] if m else flat) or None
 
 
 def ingest_outline(path: str, text: str) -> list[Chunk]:
-    """Python by its syntax tree, with parent and first sentence of doc strings; other languages by their declarations' first lines."""
+    """Python by its syntax tree, with parents and first sentences of doc strings; other languages by their declarations' first lines.
+
+    There a declaration's parent is the nearest one above it that is indented less, its documentation the remarks right above it, and
+    the imports at a file's head are a chunk of their own. Python files come here by the ingestor's name only.
+    """
     ext = path.rsplit(".", 1)[-1].lower()
     if ext == "py":
         return _python_tree(path, text)
-    pattern = _OUTLINES.get(ext)
+    pattern = re.compile(_OUTLINES[ext]) if ext in _OUTLINES else None
     lines = text.split("\n")
-    heads = [(k, m[1]) for k, x in enumerate(lines) if pattern and (m := re.match(pattern, x))]
+    heads = [(k, next(g for g in m.groups() if g)) for k, x in enumerate(lines) if pattern and (m := pattern.match(x))]
     if not heads:
         return ingest_whole(path, text)
+    out = []
+    imports = [k for k in range(heads[0][0]) if _IMPORT.match(lines[k])]
+    if imports:
+        out.append(Chunk("\n".join(lines[imports[0] : imports[-1] + 1]), "imports", "Imports", ext, imports[0] + 1, imports[-1] + 1))
     ends = [k for k, _ in heads[1:]] + [len(lines)]
-    return [Chunk("\n".join(lines[a:b]).rstrip(), "declaration", name, ext, a + 1, b) for (a, name), b in zip(heads, ends)]
+    above: list[tuple[int, str]] = []
+    for (a, name), b in zip(heads, ends):
+        indent = len(lines[a]) - len(lines[a].lstrip())
+        while above and above[-1][0] >= indent:
+            above.pop()
+        remarks, k = [], a - 1
+        while k >= 0 and (m := _REMARK.match(lines[k])):
+            remarks.insert(0, m[1])
+            k -= 1
+        out.append(Chunk("\n".join(lines[a:b]).rstrip(), "declaration", name, ext, a + 1, b, above[-1][1] if above else None, lines[a].strip(), _sentence(" ".join(remarks))))
+        above.append((indent, name))
+    return out
 
 
 def _python_tree(path: str, text: str) -> list[Chunk]:
@@ -328,7 +399,7 @@ def _python_tree(path: str, text: str) -> list[Chunk]:
 
     try:
         tree = ast.parse(text)
-    except (SyntaxError, ValueError):
+    except (SyntaxError, ValueError, RecursionError):
         return ingest_python(path, text)
     lines, out = text.split("\n"), []
 
@@ -336,7 +407,8 @@ def _python_tree(path: str, text: str) -> list[Chunk]:
         for n in ast.iter_child_nodes(node):
             if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
                 kind = "class" if isinstance(n, ast.ClassDef) else "method" if parent else "function"
-                out.append(Chunk("\n".join(lines[n.lineno - 1 : n.end_lineno]), kind, f"{parent}.{n.name}" if parent else n.name, "python", n.lineno, n.end_lineno))
+                body = "\n".join(lines[n.lineno - 1 : n.end_lineno])
+                out.append(Chunk(body, kind, f"{parent}.{n.name}" if parent else n.name, "python", n.lineno, n.end_lineno, parent, lines[n.lineno - 1].strip(), _sentence(ast.get_docstring(n) or "")))
                 if isinstance(n, ast.ClassDef):
                     visit(n, n.name)
 
@@ -344,19 +416,75 @@ def _python_tree(path: str, text: str) -> list[Chunk]:
     return out or ingest_whole(path, text)
 
 
+_CS_DOC = re.compile(r"\s*///\s?(.*)")
+_CS_NAME = re.compile(r"([\w~]+)\s*(?:<[^>()]*>)?\s*$")
+_CS_VARIABLE = re.compile(r"(\w+)\s*(?:=[^,;]*)?\s*[,;]")
+
+
+def _doc_above(text: str, at: int) -> tuple[int, str]:
+    """Where the documentation lines right above a place begin, and what they say without tags."""
+    start, said = text.rfind("\n", 0, at) + 1, []
+    while start and (m := _CS_DOC.fullmatch(text[(up := text.rfind("\n", 0, start - 1) + 1) : start - 1].rstrip("\r"))):
+        said.insert(0, re.sub("<[^>]+>", "", m[1]))
+        start = up
+    return (start if said else at), " ".join(said)
+
+
+def _members(body: str) -> Iterator[tuple[int, str]]:
+    """(place, text) of what stands right inside the braces of a type: up to a semicolon, or to the brace that closes its own."""
+    inside, depth, start = body.index("{") + 1, 0, None
+    for m in re.finditer(r"[{};]", body[inside:-1]):
+        at = inside + m.start()
+        if start is None:
+            start = inside
+        depth += {"{": 1, "}": -1}.get(m[0], 0)
+        if depth == 0 and (m[0] == ";" or m[0] == "}" and not re.match(r"\s*=", body[at + 1 : -1])):
+            piece = body[start : at + 1]
+            lead = len(piece) - len(piece.lstrip())
+            if piece.strip(" ;\n\r\t"):
+                yield start + lead, piece[lead:]
+            start = at + 1
+
+
 def ingest_members(path: str, text: str) -> list[Chunk]:
-    """C# by types and members: a type's chunk is its declaration alone, members are whole."""
-    out = []
+    """C# by types and members: a type's chunk is its documentation and declaration alone, members are whole, with theirs.
+
+    Members are methods, constructors, properties, events and fields; a field of several variables gives a chunk for each.
+    """
+    out: list[Chunk] = []
+    line_of = _lines_of(text)
     for m in _CS_TYPE.finditer(text):
         if (body := braced(text, m.end())) is None:
             continue
-        line = _line_of(text, m.start())
+        begin = m.start() + len(m[0]) - len(m[0].lstrip())
+        top, said = _doc_above(text, begin)
+        declared = text[top : m.end()] + body[: body.index("{")]
         signature = (m[0] + body[: body.index("{")]).strip()
-        out.append(Chunk(signature, m[1], m[2], "csharp", line, line + body.count("\n")))
-        for k in _CS_METHOD.finditer(body):
-            if k[1] != m[2] and (inner := braced(body, k.end())) is not None:
-                at = line + m[0].count("\n") + body.count("\n", 0, k.start())
-                out.append(Chunk((k[0] + inner).strip(), "method", f"{m[2]}.{k[1]}", "csharp", at, at + (k[0] + inner).count("\n")))
+        line = line_of(begin)
+        out.append(Chunk(declared.strip(), m[1], m[2], "csharp", line, line_of(m.end() + len(body) - 1), None, signature, _sentence(said)))
+        if m[1] == "enum":
+            continue
+        for at, piece in _members(body):
+            remarks = re.match(r"(?:\s*(?://[^\n]*|\[[^\]\n]*\])\s*\n)*\s*", piece)
+            bare = piece[remarks.end() :]
+            said = " ".join(re.sub("<[^>]+>", "", x) for x in re.findall(r"///\s?(.*)", remarks[0]))
+            head = re.split(r"[{;]|=>|(?<![=<>!])=(?!=)", bare, maxsplit=1)[0]
+            if _CS_TYPE.match(bare) or not head.strip():
+                continue  # a type within is found by itself
+            first = m.end() + at
+            lines = (line_of(first + remarks.end()), line_of(first + len(piece) - 1))
+            if "(" in head:
+                name = _CS_NAME.search(head[: head.index("(")])
+                kind = "constructor" if name and name[1] == m[2] else "method"
+                names = [name[1]] if name else []
+            elif re.search(r"\bevent\b", head):
+                kind, names = "event", [x[1]] if (x := _CS_NAME.search(head.strip())) else []
+            elif "=>" in bare[: len(head) + 2] or bare[len(head) : len(head) + 1] == "{":
+                kind, names = "property", [x[1]] if (x := _CS_NAME.search(head.strip())) else []
+            else:
+                kind, names = "field", _CS_VARIABLE.findall(re.sub(r"<[^<>]*>", "", bare))
+            for name in names:
+                out.append(Chunk(piece.strip(), kind, f"{m[2]}.{name}", "csharp", *lines, m[2], head.strip(), _sentence(said)))
     return out
 
 
@@ -371,26 +499,33 @@ INGESTORS: dict[str, Callable[[str, str], list[Chunk]]] = {
     "whole": ingest_whole,
 }
 _OUTLINED = tuple(_OUTLINES)
+#: Ingestors that were registered for extensions, the latest first.
+_REGISTERED: list[tuple[str, tuple[str, ...]]] = []
 
 
-def register_ingestor(name: str, ingest: Callable[[str, str], list[Chunk]]) -> None:
-    """Adds a table function (path, text) to chunks, to be used by `ingest` under this name."""
+def register_ingestor(name: str, ingest: Callable[[str, str], list[Chunk]], extensions: tuple[str, ...] = ()) -> None:
+    """Adds a table function (path, text) to chunks, to be used by `ingest` under this name, and first of all for files of these extensions."""
     INGESTORS[name] = ingest
+    _REGISTERED[:] = [(n, e) for n, e in _REGISTERED if n != name]
+    if extensions:
+        _REGISTERED.insert(0, (name, tuple(e.lower().lstrip(".") for e in extensions)))
 
 
 def route(path: Column) -> Column:
-    """Ingestor of a file by its extension: code, then markdown, then declarations; plain text for all else."""
+    """Ingestor of a file by its extension: a registered one, the latest first, then code, markdown, declarations; plain text for all else."""
     e = extension(path)
-    return (
-        F.when(e.isin(*[x for x in LANGUAGES if x != "cc"]), "code").when(e.isin("md", "markdown"), "markdown").when(e.isin(*_OUTLINED), "outline").when(e.isin("txt", "rst", "adoc", "log", ""), "plaintext").otherwise("plaintext")
-    )
+    chain = [*_REGISTERED, ("code", tuple(x for x in LANGUAGES if x != "cc")), ("markdown", ("md", "markdown")), ("outline", _OUTLINED)]
+    return F.coalesce(*[F.when(e.isin(*extensions), F.lit(name)) for name, extensions in chain], F.lit("plaintext"))
 
 
-_OUT = [("text", pa.string()), ("chunk_type", pa.string()), ("title", pa.string()), ("language", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32())]
+_OUT = [
+    ("text", pa.string()), ("chunk_type", pa.string()), ("title", pa.string()), ("language", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32()),
+    ("parent", pa.string()), ("signature", pa.string()), ("doc", pa.string()),
+]
 
 
 def ingest(files: DataFrame, ingestor: str | None = None, path_col: str = "path", text_col: str = "content") -> DataFrame:
-    """Chunks of files: (path, content_id, chunk_index, text, chunk_type, title, language, start_line, end_line).
+    """Chunks of files: (path, content_id, chunk_index, text, chunk_type, title, language, start_line, end_line, parent, signature, doc).
 
     Without an ingestor's name each file goes by its route. Null and blank contents give no rows.
     """
@@ -400,19 +535,28 @@ def ingest(files: DataFrame, ingestor: str | None = None, path_col: str = "path"
     schema = pa.schema([("path", pa.string()), ("chunk_index", pa.int32()), *_OUT])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for p, t, h in zip(*(b.column(k).to_pylist() for k in range(3))):
-                if t and t.strip():
-                    rows += [(p, k, c.text, c.chunk_type, c.title, c.language, c.start_line, c.end_line) for k, c in enumerate(known[h](p or "", t))]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(list(x), f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
+        for whole in batches:
+            for b in groups(whole):
+                rows = []
+                for p, t, h in zip(*(b.column(k).to_pylist() for k in range(3))):
+                    if t and t.strip():
+                        rows += [(p, k, *vars(c).values()) for k, c in enumerate(known[h](p or "", t))]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(x), f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
 
     own = files.select(F.col(path_col).alias("path"), F.col(text_col).alias("content"), how.alias("how"))
-    df = own.mapInArrow(run, "path string, chunk_index int, text string, chunk_type string, title string, language string, start_line int, end_line int")
+    df = own.mapInArrow(run, "path string, chunk_index int, text string, chunk_type string, title string, language string, start_line int, end_line int, parent string, signature string, doc string")
     return df.withColumn("content_id", content_id(F.col("path"), F.col("chunk_type"), F.col("title"), F.col("start_line")))
 
 
+def tree_chunks(chunks: DataFrame, root: str) -> DataFrame:
+    """Chunks of `ingest` as a tree reads them: (rel_path, chunk_type, symbol, parent, title, signature, content, start_line, end_line)."""
+    symbol = F.when(F.col("chunk_type").isin(*SYMBOL_KINDS), F.substring_index("title", ".", -1))
+    return chunks.select(
+        relative_path(F.col("path"), F.lit(root)).alias("rel_path"), "chunk_type", symbol.alias("symbol"), "parent", "title", "signature", F.col("text").alias("content"), "start_line", "end_line"
+    )
+
+
 def content_id(path: Column, chunk_type: Column, symbol: Column, start_line: Column) -> Column:
     return F.concat_ws(":", path, chunk_type, F.coalesce(symbol, start_line.cast("string")))
 
