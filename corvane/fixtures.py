@@ -55,7 +55,7 @@ def nodes(t: Tables) -> DataFrame:
 
 
 def edges(t: Tables) -> DataFrame:
-    """(id, edge_type, source_id, target_id); ids are made of the other columns and an order among equals."""
+    """(id, edge_type, source_id, target_id); ids are made of the other columns, so equal edges share one."""
     sql = EDGE_SQL
     for name in ("nation", "orders", "customer", "supplier", "lineitem"):
         for end in (" ", "\n", ")"):

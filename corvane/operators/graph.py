@@ -136,6 +136,18 @@ def incident_edges(edges: DataFrame, ids: DataFrame) -> DataFrame:
     return hit[0].unionByName(hit[1]).withColumn("r", F.row_number().over(w)).filter("r = 1").drop("r")
 
 
+def with_key(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """A row (..., key) for each of a node's names in lower case that is wanted: name, full name and its last part.
+
+    wanted: (key), the few names of a question; as one row they meet nodes before any is multiplied or shuffled.
+    """
+    full = F.coalesce("full_name", "name")
+    one = wanted.agg(F.collect_set("key").alias("wanted_keys"))
+    names = F.array_distinct(F.array(F.lower("name"), F.lower(full), F.lower(F.substring_index(full, ".", -1))))
+    hit = nodes.withColumn("name_keys", names).join(F.broadcast(one), F.arrays_overlap("name_keys", "wanted_keys"))  # one row
+    return hit.select(*nodes.columns, F.explode(F.array_intersect("name_keys", "wanted_keys")).alias("key"))
+
+
 def expand_neighbourhood(nodes: DataFrame, edges: DataFrame, symbols: DataFrame, max_symbols: int = 5, max_nodes: int = 10, related: int = 5, members: int = 10) -> DataFrame:
     """Nodes around symbols (seq, symbol), each once, where it is first met: (visit, relation, symbol, id, ...).
 
@@ -143,8 +155,7 @@ def expand_neighbourhood(nodes: DataFrame, edges: DataFrame, symbols: DataFrame,
     their members, methods their callers, each up to its limit in order of id.
     """
     s = symbols.orderBy("seq").limit(max_symbols).select("seq", "symbol")
-    low = nodes.withColumn("key", F.explode(F.array_distinct(F.array(F.lower("name"), F.lower(F.coalesce("full_name", "name")), F.lower(F.substring_index(F.coalesce("full_name", "name"), ".", -1))))))
-    own = low.join(s.withColumn("key", F.lower("symbol")), "key").select("seq", "symbol", *nodes.columns).distinct()
+    own = with_key(nodes, s.select(F.lower("symbol").alias("key"))).join(s.withColumn("key", F.lower("symbol")), "key").select("seq", "symbol", *nodes.columns).distinct()
     rank = F.row_number().over(Window.partitionBy("seq").orderBy(ordinal(F.col("node_type"), NODE_TYPES), "id"))
     # At most max_symbols * max_nodes rows; stored, as each relation starts from them.
     own = Stored(nodes.sparkSession, "neighbourhood").cut(own.withColumn("r", rank).filter(F.col("r") <= max_nodes))
@@ -163,21 +174,28 @@ def expand_neighbourhood(nodes: DataFrame, edges: DataFrame, symbols: DataFrame,
     return every.withColumn("first", F.row_number().over(first)).filter("first = 1").select("seq", "r", "step", "k", "relation", "symbol", *nodes.columns)
 
 
-def closure(edges: DataFrame, start: DataFrame, kind: str, max_depth: int = 20) -> DataFrame:
+def closure(edges: DataFrame, start: DataFrame, kind: str, max_depth: int = 20, levels: int = 5) -> DataFrame:
     """(start_id, id, depth): what a kind of edge leads to, with the fewest steps.
 
-    Level by level, each id once per start, so cycles end and paths don't multiply. Levels are written to the shared folder.
+    Level by level, each id once per start and level, so cycles end and paths don't multiply. After some levels what is new is
+    written to the shared folder, and only the ids that the last of them found first lead on.
     """
     store = Stored(edges.sparkSession, "closure")
     step = store.cut(edges.filter(F.col("edge_type") == kind).select(F.col("source_id").alias("id"), F.col("target_id").alias("next")).distinct())
-    front = store.cut(start.select(F.col("id").alias("start_id"), "id", F.lit(0).alias("depth")).distinct())
-    seen = front
-    for depth in range(1, max_depth + 1):
-        front = front.join(step, "id").select("start_id", F.col("next").alias("id")).distinct().join(seen, ["start_id", "id"], "left_anti")
-        front = store.cut(front.withColumn("depth", F.lit(depth)))
+    seen = front = start.select(F.col("id").alias("start_id"), "id", F.lit(0).alias("depth")).distinct()
+    depth = 0
+    while depth < max_depth:
+        found, level = [], front.select("start_id", "id")
+        for _ in range(min(levels, max_depth - depth)):
+            depth += 1
+            level = level.join(step, "id").select("start_id", F.col("next").alias("id")).distinct()
+            found.append(level.withColumn("depth", F.lit(depth)))
+        new = reduce(DataFrame.unionByName, found).groupBy("start_id", "id").agg(F.min("depth").alias("depth")).join(seen, ["start_id", "id"], "left_anti")
+        new = store.cut(new)
+        front = new.filter(F.col("depth") == depth)
+        seen = seen.unionByName(new)
         if front.isEmpty():
             break
-        seen = seen.unionByName(front)
     return seen.filter("depth > 0")
 
 
@@ -208,9 +226,62 @@ def edge_text(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def members_by_name(nodes: DataFrame, type_name: str) -> DataFrame:
     """Members of a type told by file or by full name, for graphs without containment edges."""
-    t = nodes.filter(F.col("node_type").isin(*TYPE_KINDS) & (F.col("name") == type_name)).select(F.col("file_path").alias("t_file"), F.col("name").alias("t_name"))
+    t = nodes.filter(F.col("node_type").isin(*TYPE_KINDS) & (F.col("name") == type_name))
     m = nodes.filter(F.col("node_type").isin(*MEMBER_KINDS))
-    return m.join(t, (F.col("file_path") == F.col("t_file")) | F.contains("full_name", F.concat("t_name", F.lit("."))), "left_semi")
+    by_file = m.join(t.select("file_path"), "file_path", "left_semi").select(*nodes.columns)
+    there = t.limit(1).select(F.lit(True).alias("type_is_there"))
+    by_name = m.filter(F.contains("full_name", F.lit(f"{type_name}."))).join(F.broadcast(there)).select(*nodes.columns)  # one row
+    return by_file.unionByName(by_name).distinct()
+
+
+def type_hierarchy(nodes: DataFrame, edges: DataFrame, name: str, limit: int = 10) -> DataFrame:
+    """`diagram_lines` of a type: what it derives from and implements, what derives from it, and what implements it."""
+    own = nodes.filter(F.col("node_type").isin(*TYPE_KINDS) & named(name))
+    sides = [
+        ("base", targets_of(nodes, edges, ["Inherits"], own)), ("interfaces", targets_of(nodes, edges, ["Implements"], own)),
+        ("derived", sources_of(nodes, edges, ["Inherits"], own)), ("implementations", sources_of(nodes, edges, ["Implements"], own)),
+    ]
+    return diagram_lines(reduce(DataFrame.unionByName, [df.select("id", "name").distinct().select(F.lit(side).alias("side"), "name") for side, df in sides]), limit)
+
+
+def dependency_diagram(nodes: DataFrame, edges: DataFrame, project: str, limit: int = 10) -> DataFrame:
+    """`diagram_lines` of a project: what it refers to, and what refers to it."""
+    to, back = project_references(nodes, edges, project), reverse_references(nodes, edges, project)
+    return diagram_lines(to.select(F.lit("references").alias("side"), "name").unionByName(back.select(F.lit("referenced by").alias("side"), "name")), limit)
+
+
+def call_graph(nodes: DataFrame, edges: DataFrame, method: str, limit: int = 10) -> DataFrame:
+    """`diagram_lines` of a method: who calls it, and what it calls or uses."""
+    a = find_callers(nodes, edges, method).select(F.lit("callers").alias("side"), F.col("full_name").alias("name"))
+    b = find_dependencies(nodes, edges, method).select(F.lit("callees").alias("side"), F.col("full_name").alias("name"))
+    return diagram_lines(a.unionByName(b), limit)
+
+
+def graph_of_symbols(symbols: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of an extracted symbol table: (key, kind, name, full_name, file_path, line_number, container) and (relation, key, other).
+
+    A symbol's container gives `Declares` for types in a namespace and `Contains` else. Ends that no symbol has become
+    placeholder nodes, of the kind that the relation leads to, so that calls, bases and interfaces from outside stay known.
+    """
+    s = symbols.select("key", F.col("kind").alias("node_type"), "name", "full_name", "file_path", "line_number", "container")
+    kinds = symbols.select(F.col("key").alias("container"), F.col("kind").alias("outer"))
+    inside = s.filter(F.col("container").isNotNull()).join(kinds, "container")
+    within = F.when((F.col("outer") == "Namespace") & F.col("node_type").isin(*TYPE_KINDS), "Declares").otherwise("Contains")
+    e = inside.select(within.alias("edge_type"), F.col("container").alias("source_id"), F.col("key").alias("target_id"))
+    rel = relations.select(F.col("relation").alias("edge_type"), F.col("key").alias("source_id"), F.col("other").alias("target_id"))
+    rel = rel.join(symbols.select(F.col("key").alias("source_id")), "source_id", "left_semi").select("edge_type", "source_id", "target_id")
+    edges = e.unionByName(rel).distinct()
+    outside = {"Calls": "Method", "Uses": "Property", "Implements": "Interface", "Inherits": "Class", "Overrides": "Method", "References": "Project"}
+    kind = F.coalesce(*[F.when(F.col("edge_type") == k, v) for k, v in outside.items()])
+    lacking = rel.join(symbols.select(F.col("key").alias("target_id")), "target_id", "left_anti")
+    external = lacking.groupBy("target_id").agg(F.min(kind).alias("node_type")).filter("node_type IS NOT NULL")
+    none = F.lit(None)
+    placeholders = external.select(
+        F.col("target_id").alias("id"), "node_type", F.substring_index("target_id", ".", -1).alias("name"), F.col("target_id").alias("full_name"),
+        none.cast("string").alias("file_path"), none.cast("int").alias("line_number"), F.lit(True).alias("is_external"),
+    )
+    own = s.select(F.col("key").alias("id"), "node_type", "name", "full_name", "file_path", F.col("line_number").cast("int").alias("line_number"), F.lit(False).alias("is_external"))
+    return own.unionByName(placeholders), edges
 
 
 def light_graph(files: DataFrame, path_col: str = "path", text_col: str = "content") -> tuple[DataFrame, DataFrame]:
@@ -219,9 +290,12 @@ def light_graph(files: DataFrame, path_col: str = "path", text_col: str = "conte
     from .chunking import ingest
 
     found = ingest(files, "members", path_col, text_col)
-    kind = F.when(F.col("chunk_type") == "method", "Method").otherwise(F.initcap("chunk_type"))
-    owner = F.regexp_extract("title", r"^(.*)\.[^.]*$", 1)
-    member = F.col("chunk_type") == "method"
+    kind = F.initcap("chunk_type")
+    owner = F.col("parent")
+    member = F.col("parent").isNotNull()
+    # A field of several variables has a chunk for each, of which only the last is a node.
+    same = Window.partitionBy("path", "start_line", "text", "chunk_type").orderBy(F.desc("chunk_index"))
+    found = found.withColumn("last", F.row_number().over(same)).filter((F.col("chunk_type") != "field") | (F.col("last") == 1))
     own = found.select(
         F.concat_ws("|", "path", "title", "start_line").alias("id"), kind.alias("node_type"), F.when(member, F.substring_index("title", ".", -1)).otherwise(F.col("title")).alias("name"),
         F.col("title").alias("full_name"), F.col("path").alias("file_path"), F.col("start_line").alias("line_number"), F.when(member, owner).alias("owner"),

@@ -17,8 +17,13 @@ def hits(files: DataFrame, needle: str, path_col: str = "path", text_col: str =
     """(path, line_number, preview) of the lines that hold a literal text; hidden and built folders are left out."""
     p = F.col(path_col)
     skipped = reduce(lambda a, b: a | b, [F.contains(p, F.lit(f"/{d}/")) for d in SKIPPED_FOLDERS]) | p.rlike(r"/\.[^/]")
-    rows = files.filter(~F.coalesce(skipped, F.lit(False))).select(p.alias("path"), F.posexplode(F.split(text_col, "\n")).alias("k", "line"))
-    hit = F.contains(F.lower("line"), F.lit(needle.lower())) if any_case else F.contains("line", F.lit(needle))
+    def holds(text: str) -> Column:
+        return F.contains(F.lower(text), F.lit(needle.lower())) if any_case else F.contains(text, F.lit(needle))
+
+    # Whole texts first, so that only those with a hit are cut into lines.
+    own = files.filter(~F.coalesce(skipped, F.lit(False))).filter(holds(text_col))
+    rows = own.select(p.alias("path"), F.posexplode(F.split(text_col, "\n")).alias("k", "line"))
+    hit = holds("line")
     return rows.filter(hit).select("path", (F.col("k") + 1).alias("line_number"), preview(F.col("line")).alias("preview"))
 
 

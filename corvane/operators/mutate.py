@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..naming import free_name
+from .chunking import OVERLAP, SIZE, split_rows
+
 
 def replace_content(chunks: DataFrame, new: DataFrame, key: str = "content_id") -> DataFrame:
     """chunks without the content that new names, and new's rows. new: numbered rows; content without rows left stays deleted."""
@@ -13,8 +18,8 @@ def replace_content(chunks: DataFrame, new: DataFrame, key: str = "content_id")
 
 def latest_per_key(rows: DataFrame, key: str, seq: str) -> DataFrame:
     """Of rows with equal keys those of the last seq."""
-    w = Window.partitionBy(key)
-    return rows.withColumn("__last", F.max(seq).over(w)).filter(F.col("__last") == F.col(seq)).drop("__last")
+    last = free_name(rows, "last")
+    return rows.withColumn(last, F.max(seq).over(Window.partitionBy(key))).filter(F.col(last) == F.col(seq)).drop(last)
 
 
 def index_batch(chunks: DataFrame, rows: DataFrame, seq: str) -> DataFrame:
@@ -23,6 +28,18 @@ def index_batch(chunks: DataFrame, rows: DataFrame, seq: str) -> DataFrame:
     return replace_content(chunks, rows.withColumn("chunk_index", number.cast("int")).drop(seq))
 
 
+def index_content(chunks: DataFrame, texts: DataFrame, embed: Callable[[Column], Column], size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
+    """chunks with each text (content_id, content, content_type, ...) cut, embedded and put in place of what its content had.
+
+    A text without chunks leaves its content deleted. Columns of chunks that texts lack are null.
+    """
+    parts = split_rows(texts, "content", "content_type", size, overlap)
+    rows = parts.withColumn("content", F.col("chunk")).withColumn("embedding", embed(F.col("chunk")))
+    own = [F.col(c) if c in rows.columns else F.lit(None).cast(chunks.schema[c].dataType).alias(c) for c in chunks.columns]
+    gone = chunks.join(texts.select("content_id").distinct(), "content_id", "left_anti").select(*chunks.columns)
+    return gone.unionByName(rows.select(*own))
+
+
 def delete_content(chunks: DataFrame, content_id: str) -> DataFrame:
     """chunks without a content; null ids stay."""
     return chunks.filter(F.coalesce(F.col("content_id") != content_id, F.lit(True)))
@@ -51,6 +68,12 @@ def clear_repository(nodes: DataFrame, edges: DataFrame, repository: str) -> tup
     return nodes.join(dead, "id", "left_anti").select(*nodes.columns), left.select(*edges.columns)
 
 
+def reindex(nodes: DataFrame, edges: DataFrame, repository: str, build: Callable[[], tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges with a repository's part cleared and built anew; edges of a cleared node from elsewhere go with it."""
+    left, new = clear_repository(nodes, edges, repository), build()
+    return tuple(add_rows(a, b.select(*a.columns)) for a, b in zip(left, new))
+
+
 def add_rows(table: DataFrame, rows: DataFrame) -> DataFrame:
     return table.unionByName(rows, allowMissingColumns=True)
 
@@ -78,28 +101,30 @@ def delete_with_children(parents: DataFrame, children: DataFrame, key: str, valu
 
 def add_workspace(registry: DataFrame, rows: DataFrame) -> DataFrame:
     """registry with the rows whose id and alias, in any case, are free; the first of an empty registry becomes the default."""
-    taken = registry.select(F.col("id").alias("t_id"), F.lower("alias").alias("t_alias"))
+    ids, aliases = registry.select(F.col("id").alias("t_id")), registry.select(F.lower("alias").alias("t_alias"))
+    new, rank = free_name(registry, "new"), free_name(rows, "rank")
     first = Window.partitionBy(F.lower("id")).orderBy("path")
     same_alias = Window.partitionBy(F.lower("alias")).orderBy("path")
-    free = rows.join(taken, (F.col("id") == F.col("t_id")) | (F.lower("alias") == F.col("t_alias")), "left_anti")
-    free = free.withColumn("a", F.row_number().over(first)).filter("a = 1").withColumn("a", F.row_number().over(same_alias)).filter("a = 1 OR alias IS NULL").drop("a")
-    both = registry.withColumn("__new", F.lit(0)).unionByName(free.withColumn("is_default", F.lit(False)).withColumn("__new", F.lit(1)))
-    return _one_default(both)
+    free = rows.join(ids, F.col("id") == F.col("t_id"), "left_anti").join(aliases, F.lower("alias") == F.col("t_alias"), "left_anti")
+    free = free.withColumn(rank, F.row_number().over(first)).filter(F.col(rank) == 1).withColumn(rank, F.row_number().over(same_alias)).filter((F.col(rank) == 1) | F.col("alias").isNull()).drop(rank)
+    both = registry.withColumn(new, F.lit(0)).unionByName(free.withColumn("is_default", F.lit(False)).withColumn(new, F.lit(1)))
+    return _one_default(both, new)
 
 
-def _one_default(registry: DataFrame) -> DataFrame:
+def _one_default(registry: DataFrame, new: str) -> DataFrame:
     """Without a default, the first row by age and path becomes it. A registry is a handful of rows that one person wrote."""
     w = Window.partitionBy(F.lit(0))
-    order = F.row_number().over(w.orderBy("__new", "path"))
+    order = F.row_number().over(w.orderBy(new, "path"))
     any_default = F.max(F.col("is_default").cast("int")).over(w) == 1
-    return registry.withColumn("is_default", F.when(any_default, F.col("is_default")).otherwise(order == 1)).drop("__new")
+    return registry.withColumn("is_default", F.when(any_default, F.col("is_default")).otherwise(order == 1)).drop(new)
 
 
 def remove_workspace(registry: DataFrame, id_or_alias: str) -> DataFrame:
     """registry without a workspace; if it was the default, the first left is."""
     x = id_or_alias.lower()
     left = registry.filter(~((F.lower("id") == x) | F.coalesce(F.lower("alias") == x, F.lit(False))))
-    return _one_default(left.withColumn("__new", F.lit(0)))
+    new = free_name(left, "new")
+    return _one_default(left.withColumn(new, F.lit(0)), new)
 
 
 def set_default(registry: DataFrame, workspace: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import normalize_path
+from ..naming import free_name
 
 
 def with_steps(stories: DataFrame, steps: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -128,8 +129,19 @@ def resolve_overlays(base: DataFrame, overlays: DataFrame) -> DataFrame:
 
 def first_per_key(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in an order; null keys are one key."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return rows.withColumn("__r", F.row_number().over(w)).filter("__r = 1").drop("__r")
+    place = free_name(rows, "place")
+    return rows.withColumn(place, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col(place) == 1).drop(place)
+
+
+def latest(rows: DataFrame, keys: list[str], time_col: str, *ties: Column | str) -> DataFrame:
+    """The latest row of each key; of equal times the first by ties."""
+    return first_per_key(rows, keys, [F.desc(time_col), *ties])
+
+
+def newest(rows: DataFrame, time_col: str, limit: int | None = None, ties: tuple[str, ...] = ()) -> DataFrame:
+    """Rows by time, the newest first and those without a time before all, up to a limit if one is given."""
+    df = rows.orderBy(F.desc_nulls_first(time_col), *ties)
+    return df if limit is None else df.limit(limit)
 
 
 def by_id(rows: DataFrame, key: str, value: object) -> DataFrame:

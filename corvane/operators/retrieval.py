@@ -15,6 +15,8 @@ from ..functions.paths import is_prioritized, normalize_path
 from ..functions.vectors import cosine_similarity, norm
 
 ORDER = ("content_id", "chunk_index")
+#: Questions up to which they go to every task.
+MAX_BROADCAST = 1000
 
 
 @dataclass(frozen=True)
@@ -76,7 +78,9 @@ def prioritise(candidates: DataFrame, k: int, wanted: list[str]) -> DataFrame:
 
 def multi_query_top_k(chunks: DataFrame, queries: DataFrame, per_query: int, total: int, key: list[str], min_score: float = 0.35) -> DataFrame:
     """The best of each query, of equal keys the best, and of those the best. queries: (query_id, query), a bounded list of questions."""
-    q = F.broadcast(queries.withColumn("query_norm", norm(F.col("query"))))
+    q = queries.withColumn("query_norm", norm(F.col("query")))
+    if queries.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
+        q = F.broadcast(q)
     df = chunks.filter(F.col("embedding").isNotNull()).join(q)
     df = df.withColumn("score", cosine_similarity(F.col("embedding"), F.col("query"), F.col("query_norm"))).filter(F.col("score") >= min_score)
     df = df.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), *ORDER))).filter(F.col("r") <= per_query)
@@ -109,5 +113,6 @@ def chunks_for_tree(chunks: DataFrame, root: str, pattern: str | None) -> DataFr
         hit: Column = F.contains(F.lower("rel_path"), p)
         for c in ("symbol", "title"):
             hit = hit | F.coalesce(F.contains(F.lower(c), p), F.lit(False))
-        df = df.filter(hit)
+        # Path or raw metadata, wildcards as given, then the parts that are shown.
+        df = df.filter(F.ilike("source_path", F.lit(f"%{pattern}%")) | F.coalesce(F.ilike(F.to_json("metadata"), F.lit(f"%{pattern}%")), F.lit(False))).filter(hit)
     return df

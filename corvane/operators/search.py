@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import CONTENT_ALIASES
 from ..functions.text import namespace_of, pascal_symbols, symbol_candidates
-from .graph import expand_neighbourhood, project_structure
+from .graph import expand_neighbourhood, project_structure, with_key
 from .records import first_per_key, kind_weight
 from .retrieval import RetrievalOptions, multi_query_top_k, per_query_slots, vector_top_k
 from .status import resolve_workspaces
@@ -18,8 +18,8 @@ EXACT_LIMIT = 5
 def exact_symbols(nodes: DataFrame, queries: DataFrame, limit: int = EXACT_LIMIT) -> DataFrame:
     """Per query (query_id, text) the best nodes that its words name: one per full name, by weight of kind, then id."""
     words = queries.select("query_id", F.posexplode(symbol_candidates(F.col("text"))).alias("word_no", "word"))
-    named = nodes.withColumn("key", F.explode(F.array_distinct(F.array(F.lower("name"), F.lower(F.coalesce("full_name", "name")), F.lower(F.substring_index(F.coalesce("full_name", "name"), ".", -1))))))
-    found = named.join(words.withColumn("key", F.lower("word")), "key")
+    words = words.withColumn("key", F.lower("word"))
+    found = with_key(nodes, words.select("key")).join(words, "key")
     found = first_per_key(found, ["query_id", "full_name"], [F.col("word_no"), F.col("id")])
     w = Window.partitionBy("query_id").orderBy(kind_weight(F.col("node_type")).desc(), "word_no", "id")
     return found.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= limit).select("query_id", "place", "id", "node_type", "name", "full_name", *(["file_path"] if "file_path" in nodes.columns else []))
@@ -97,9 +97,30 @@ def structure_report(nodes: DataFrame, edges: DataFrame, namespaces: int = 30) -
     """(section, text): projects with what they refer to, and the first namespaces with the number of the rest."""
     p = project_structure(nodes, edges).select(F.lit("projects").alias("section"), F.concat("project", F.lit(": "), "references").alias("text"))
     ns = nodes.filter("node_type = 'Namespace'").select(F.coalesce("full_name", "name").alias("n")).distinct()
-    counted = ns.agg(F.array_sort(F.collect_set("n")).alias("a"))
-    text = F.concat(F.array_join(F.slice("a", 1, namespaces), ", "), F.when(F.size("a") > namespaces, F.concat(F.lit(" +"), (F.size("a") - namespaces).cast("string"), F.lit(" more"))).otherwise(""))
-    return p.unionByName(counted.select(F.lit("namespaces").alias("section"), text.alias("text")))
+    first = ns.orderBy("n").limit(namespaces).agg(F.array_sort(F.collect_list("n")).alias("a"))
+    both = first.join(F.broadcast(ns.agg(F.count(F.lit(1)).alias("all"))))  # one row each
+    text = F.concat(F.array_join("a", ", "), F.when(F.col("all") > namespaces, F.concat(F.lit(" +"), (F.col("all") - namespaces).cast("string"), F.lit(" more"))).otherwise(""))
+    return p.unionByName(both.select(F.lit("namespaces").alias("section"), text.alias("text")))
+
+
+def prompt_enrichment(nodes: DataFrame, edges: DataFrame, prompt: str) -> DataFrame:
+    """`enrichment_text` of the symbols that a prompt names."""
+    one = nodes.sparkSession.range(1).select(F.lit(prompt).alias("prompt"))
+    return enrichment_text(nodes, edges, prompt_symbols(one, F.col("prompt")))
+
+
+def describe_codebase(nodes: DataFrame, edges: DataFrame, chunks: DataFrame, queries: DataFrame, n_queries: int, total: int, focus: str | None = None) -> DataFrame:
+    """(section, place, title, text): the structure report, the best texts over several queries, and a type in focus with its surroundings."""
+    none = F.lit(None).cast("string")
+    out = structure_report(nodes, edges).select("section", F.lit(0).alias("place"), none.alias("title"), "text")
+    hits = codebase_context(chunks, queries, n_queries, total)
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("score"), "content_id", "chunk_index"))  # at most total rows
+    out = out.unionByName(hits.select(F.lit("texts").alias("section"), place.alias("place"), F.col("content_id").alias("title"), F.col("content").alias("text")))
+    if focus:
+        own = focus_type(nodes, edges, focus)
+        place = F.row_number().over(Window.partitionBy("relation").orderBy("name", "id"))  # at most 20 rows each
+        out = out.unionByName(own.select(F.lit("focus").alias("section"), place.alias("place"), F.col("relation").alias("title"), F.col("name").alias("text")))
+    return out
 
 
 def focus_type(nodes: DataFrame, edges: DataFrame, name: str) -> DataFrame:

@@ -26,11 +26,14 @@ def directory_stats(chunks: DataFrame, root: str, time_col: str) -> DataFrame:
 def registry_with_stats(registry: DataFrame, chunks: DataFrame, metadata: DataFrame) -> DataFrame:
     """registry with each workspace's chunks, by path prefix with its case, and its latest run.
 
-    A registry is a short list; chunks are counted by path first, so the prefix join meets each path once.
+    Chunks are counted by path first. A prefix is a start of one of the lengths that the registry's paths have, so the join is by equality.
     """
     paths = chunks.filter(F.col("source_path").isNotNull()).groupBy("source_path").agg(F.count(F.lit(1)).alias("n"))
     r = registry.select(F.col("path").alias("root")).distinct()
-    counts = paths.join(F.broadcast(r), F.startswith("source_path", F.col("root"))).groupBy("root").agg(F.sum("n").alias("chunk_count"))
+    lengths = r.agg(F.collect_set(F.length("root")).alias("lengths"))
+    starts = paths.join(F.broadcast(lengths))  # one row, of no more lengths than a path can have
+    starts = starts.withColumn("k", F.explode("lengths")).filter(F.col("k") <= F.length("source_path")).groupBy(F.substring("source_path", F.lit(1), F.col("k")).alias("root")).agg(F.sum("n").alias("chunk_count"))
+    counts = starts.join(r, "root", "left_semi")
     latest = metadata.groupBy(F.col("workspace_path").alias("root")).agg(F.max("indexed_at").alias("last_indexed"))
     df = registry.join(counts, registry["path"] == counts["root"], "left").drop("root").join(latest, F.col("path") == F.col("root"), "left").drop("root")
     return df.withColumn("chunk_count", F.coalesce("chunk_count", F.lit(0)))
@@ -64,6 +67,23 @@ def index_status(workspaces: DataFrame, metadata: DataFrame, now: Column) -> Dat
     return df.select("path", "rag_status", "graph_status", overall_status(F.col("rag_status"), F.col("graph_status")).alias("status"))
 
 
+def workspace_status(workspaces: DataFrame, metadata: DataFrame, chunks: DataFrame, jobs: DataFrame, now: Column, time_col: str) -> DataFrame:
+    """`index_status` with each folder's chunks, files and last time, and its active job: (path, ..., chunk_count, file_count, last_indexed, active_job).
+
+    jobs: (job_id, path, state). Folders are compared as normalised; a chunk belongs to each registered folder that its path stands under.
+    """
+    low = F.lower(F.col("source_path"))
+    parts = F.split(low, "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
+    files = chunks.filter(F.col("source_path").isNotNull()).groupBy("source_path").agg(F.count(F.lit(1)).alias("n"), F.max(time_col).alias("t"))
+    roots = workspaces.select("path", normalize_path(F.col("path")).alias("root"))
+    under = files.filter(F.instr("source_path", "/") > 0).select("n", "t", F.explode(above).alias("root")).join(roots.select("root").distinct(), "root", "left_semi")
+    stats = under.groupBy("root").agg(F.sum("n").alias("chunk_count"), F.count(F.lit(1)).alias("file_count"), F.max("t").alias("last_indexed"))
+    active = jobs.filter(F.col("state").isin("Queued", "Processing")).groupBy(normalize_path(F.col("path")).alias("root")).agg(F.min("job_id").alias("active_job"))
+    more = roots.join(stats, "root", "left").join(active, "root", "left").drop("root")
+    return index_status(workspaces, metadata, now).join(more, "path")
+
+
 def latest_job_state(events: DataFrame) -> DataFrame:
     """(job_id, state, ...) of the last event of each job; events: (job_id, seq, state, processed, total, failed)."""
     last = F.max_by(F.struct("state", "processed", "total", "failed"), "seq").alias("s")

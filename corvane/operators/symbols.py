@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import base_type
+from ..functions.text import base_type, preview
 from .lines import capped
 
 USAGE_CAP, LIST_CAP = 50, 100
@@ -17,12 +17,22 @@ def _ordered(df: DataFrame, cap: int) -> DataFrame:
 
 def usages(files: DataFrame, symbol: str, cap: int = USAGE_CAP) -> DataFrame:
     """(path, line_number, preview, truncated) of the lines that hold a symbol as a whole word."""
-    from ..functions.text import preview
-
-    rows = files.select("path", F.posexplode(F.split("content", "\n")).alias("k", "line")).filter(F.col("line").rlike(rf"(?U)\b\Q{symbol}\E\b"))
+    rows = files.filter(F.contains("content", F.lit(symbol))).select("path", F.posexplode(F.split("content", "\n")).alias("k", "line")).filter(F.col("line").rlike(rf"(?U)\b\Q{symbol}\E\b"))
     return capped(rows.select("path", (F.col("k") + 1).alias("line_number"), preview(F.col("line"), 200).alias("preview")), ["path", "line_number"], cap)
 
 
+def references(symbols: DataFrame, files: DataFrame, name: str, cap: int = USAGE_CAP) -> DataFrame:
+    """`usages` of a known symbol without the lines that declare it, each with whether its file declares the symbol; none of a name that no symbol has."""
+    own = symbols.filter(F.col("name") == name).select(F.col("file_path").alias("path"), "line_number").distinct()
+    rows = files.filter(F.contains("content", F.lit(name))).select("path", F.posexplode(F.split("content", "\n")).alias("k", "line"))
+    rows = rows.filter(F.col("line").rlike(rf"(?U)\b\Q{name}\E\b")).select("path", (F.col("k") + 1).alias("line_number"), preview(F.col("line"), 200).alias("preview"))
+    there = own.limit(1).select(F.lit(True).alias("is_symbol"))
+    rows = rows.join(own, ["path", "line_number"], "left_anti").join(F.broadcast(there)).drop("is_symbol")  # one row
+    declares = own.select("path").distinct().withColumn("in_declaring_file", F.lit(True))
+    rows = rows.join(declares, "path", "left").withColumn("in_declaring_file", F.coalesce("in_declaring_file", F.lit(False)))
+    return capped(rows, ["path", "line_number"], cap)
+
+
 def by_attribute(symbols: DataFrame, attribute: str, cap: int = LIST_CAP) -> DataFrame:
     bare = attribute.lower().removesuffix("attribute")
     return _ordered(symbols.filter(F.exists("attributes", lambda a: F.contains(F.lower(a), F.lit(bare)))), cap)

@@ -38,7 +38,12 @@ def semantic_ratio(trace: DataFrame) -> DataFrame:
     """Share of semantic calls among semantic and file-level ones, 0 without any, half to even at three places."""
     s, f = F.count_if(is_semantic(F.col("tool_name"))), F.count_if(is_file_level(F.col("tool_name")))
     df = trace.groupBy("trace_id").agg(s.alias("semantic"), f.alias("file_level"))
-    return df.withColumn("ratio", F.when(F.col("semantic") + F.col("file_level") > 0, F.bround(F.col("semantic") / (F.col("semantic") + F.col("file_level")), 3)).otherwise(F.lit(0.0)))
+    return df.withColumn("ratio", _ratio())
+
+
+def _ratio() -> Column:
+    total = F.col("semantic") + F.col("file_level")
+    return F.when(total > 0, F.bround(F.col("semantic") / total, 3)).otherwise(F.lit(0.0))
 
 
 def fishing(trace: DataFrame, order: list[str], run: int = FISHING_RUN) -> DataFrame:
@@ -70,18 +75,34 @@ def first_hit(trace: DataFrame, order: list[str]) -> DataFrame:
 def backtracking(trace: DataFrame) -> DataFrame:
     """(trace_id, path): files that were read and never edited, by path in any case."""
     p = F.lower("path").alias("path")
-    reads = trace.filter((F.col("tool_name") == "file_read") & F.col("path").isNotNull()).select("trace_id", p).distinct()
-    edits = trace.filter(is_edit(F.col("tool_name")) & F.col("path").isNotNull()).select("trace_id", p).distinct()
-    return reads.join(edits, ["trace_id", "path"], "left_anti")
+    read, edited = F.bool_or(F.col("tool_name") == "file_read"), F.bool_or(is_edit(F.col("tool_name")))
+    by = trace.filter(F.col("path").isNotNull()).groupBy("trace_id", p).agg(read.alias("read"), edited.alias("edited"))
+    return by.filter(F.col("read") & ~F.col("edited")).select("trace_id", "path")
 
 
 def effectiveness(trace: DataFrame, order: list[str]) -> DataFrame:
     """All measures of each trace in one row."""
+    # Calls are dealt by trace once: islands of calls between semantic ones are summed up, then traces.
+    w, tool = _order(order), F.col("tool_name")
+    calls = trace.withColumns(
+        {
+            "island": F.sum(is_semantic(tool).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)),
+            "direct": is_semantic(tool) & F.coalesce(is_edit(F.lead("tool_name").over(w)), F.lit(False)),
+            "place": F.row_number().over(w),
+        }
+    )
+    hit = is_edit(tool) | (is_semantic(tool) & is_success(F.col("result")))
+    islands = calls.groupBy("trace_id", "island").agg(
+        F.count(F.lit(1)).alias("calls"), F.count_if(is_semantic(tool)).alias("semantic"), F.count_if(is_file_level(tool)).alias("file_level"),
+        F.count_if("direct").alias("direct"), F.bool_or(tool == "grep").alias("grep"), F.min(F.when(hit, F.col("place"))).alias("hit"),
+    )
+    df = islands.groupBy("trace_id").agg(
+        F.sum("semantic").alias("semantic"), F.sum("file_level").alias("file_level"), F.max("file_level").alias("longest_run"), F.sum("direct").alias("direct"),
+        (F.bool_or("grep") & (F.sum("semantic") == 0)).alias("guessing"), F.coalesce(F.min("hit"), F.sum("calls")).cast("long").alias("steps_to_target"),
+    )
     lost = backtracking(trace).groupBy("trace_id").agg(F.count(F.lit(1)).alias("backtracking"))
-    df = semantic_ratio(trace)
-    for part in (fishing(trace, order), direct_edits(trace, order), guessing(trace), first_hit(trace, order)):
-        df = df.join(part, "trace_id")
-    return df.join(lost, "trace_id", "left").withColumn("backtracking", F.coalesce("backtracking", F.lit(0)))
+    df = df.join(lost, "trace_id", "left").withColumn("ratio", _ratio()).withColumn("fishing", F.col("longest_run") >= FISHING_RUN)
+    return df.select("trace_id", "semantic", "file_level", "ratio", "longest_run", "fishing", "direct", "guessing", "steps_to_target", F.coalesce("backtracking", F.lit(0)).alias("backtracking"))
 
 
 def outcome_counts(results: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import subprocess
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,10 +25,12 @@ DEFAULT_EXCLUDE = [
 def scan_folder(spark: SparkSession, root: str, include: list[str] | None = None, exclude: list[str] | None = None, recursive: bool = True) -> DataFrame:
     """(path, content, modified) of text files. As a file is listed once per include pattern that it matches, it has a row for each."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(root)
-    files = raw.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), F.col("modificationTime").alias("modified"), "content")
     patterns = DEFAULT_INCLUDE if include is None else include
+    # On the file's own path, so that files are left out as they are listed and their bytes are never read.
+    listed = F.col("_metadata.file_path")
+    raw = raw.filter(reduce(lambda a, b: a | b, [matches_include(listed, p) for p in patterns], F.lit(False)) & ~matches_any(listed, DEFAULT_EXCLUDE if exclude is None else exclude))
+    files = raw.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), F.col("modificationTime").alias("modified"), "content")
     hits = F.array(*[F.when(matches_include(F.col("path"), p), F.lit(k)) for k, p in enumerate(patterns)])
-    files = files.filter(~matches_any(F.col("path"), DEFAULT_EXCLUDE if exclude is None else exclude))
     return files.withColumn("hit", F.explode(F.filter(hits, lambda x: x.isNotNull()))).select("path", F.decode("content", "UTF-8").alias("content"), "modified")
 
 

@@ -32,7 +32,7 @@ class Debouncer:
     """The rule for one workspace, fed in order of time (in milliseconds)."""
 
     def __init__(self, silence_ms: int, pending: list[str] | None = None, start: int = 0, last: int = 0):
-        self.silence, self.pending, self.start, self.last = silence_ms, list(pending or []), start, last
+        self.silence, self.pending, self.start, self.last = silence_ms, dict.fromkeys(pending or []), start, last  # in order of arrival
 
     @property
     def deadline(self) -> int:
@@ -44,13 +44,13 @@ class Debouncer:
         if key not in self.pending:
             if not self.pending:
                 self.start = ms
-            self.pending.append(key)
+            self.pending[key] = None
             self.last = ms
         return out
 
     def flush(self) -> list[tuple[int, int, str]]:
         out = [(self.start, self.last, k) for k in self.pending]
-        self.pending = []
+        self.pending = {}
         return out
 
 
@@ -85,7 +85,7 @@ def debounce_stream(events: DataFrame, silence_ms: int = SILENCE_MS, delay: str
         else:
             out = [x for ms, k in _events(frames) for x in d.feed(ms, k)]
         if d.pending:
-            state.update((d.pending, d.start, d.last))
+            state.update((list(d.pending), d.start, d.last))
             state.setTimeoutTimestamp(max(d.deadline, state.getCurrentWatermarkMs() + 1))
         elif state.exists:
             state.remove()

@@ -33,8 +33,9 @@ def dedupe_stream(requests: DataFrame, delay: str = "10 minutes") -> DataFrame:
 
 def admitted(requests: DataFrame, queued: int, capacity: int = QUEUE) -> DataFrame:
     """Requests with `accepted`: folders always wait for a place, single contents are refused where the queue is full."""
-    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("requested_at", "job_id"))
-    return requests.withColumn("accepted", (F.col("kind") == "folder") | (place + queued <= capacity))
+    first = requests.orderBy("requested_at", "job_id").limit(max(0, capacity - queued)).select(F.col("job_id").alias("first_id")).distinct()
+    near = requests.join(F.broadcast(first), F.col("job_id") == F.col("first_id"), "left")  # no more than the queue's capacity
+    return near.withColumn("accepted", (F.col("kind") == "folder") | F.col("first_id").isNotNull()).drop("first_id")
 
 
 def final_state(files: DataFrame) -> DataFrame:
