@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixtures as X
@@ -25,32 +24,7 @@ from ..operators import tree as TREE
 from ..sources import research as RS
 from ..streaming import changes as CH
 from ..streaming import jobs as J
-
-
-@dataclass(frozen=True)
-class Query:
-    build: Callable[[X.Tables], DataFrame]
-    sql: str | None
-
-
-CATALOG: dict[str, Query] = {}
-
-
-def add(name: str, build: Callable[[X.Tables], DataFrame], sql: str | None = None) -> None:
-    CATALOG[name] = Query(build, sql)
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: (lambda spark, sf_dir, q=q: q.build(X.Tables(spark, sf_dir))) for name, q in CATALOG.items()}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {name: q.sql for name, q in CATALOG.items() if q.sql}
-
-
-def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A query by its name."""
-    return queries()[name](spark, sf_dir)
+from .base import CATALOG, Query, add, oracle_sql, queries, run  # noqa: F401
 
 
 # ---- vectors
@@ -97,9 +71,7 @@ def _workspaces(t: X.Tables) -> DataFrame:
 
 
 def _multi_workspace(t: X.Tables) -> DataFrame:
-    ws = ST.resolve_workspaces(_workspaces(t), ["SRC1", "src2", "nowhere"]).select(F.col("id").alias("workspace_id"))
-    chunks = X.chunks(t).join(ws, "workspace_id", "left_semi")
-    return _hits(V.vector_top_k(chunks, X.query_vector(t, 3), V.RetrievalOptions(top_k=20, min_score=0.0)), "workspace_id")
+    return _hits(S.multi_workspace_search(X.chunks(t), _workspaces(t), ["SRC1", "src2", "nowhere"], X.query_vector(t, 3), 20, 0.0), "workspace_id")
 
 
 add(
@@ -131,9 +103,9 @@ add("multi_query_merge", lambda t: _hits(S.codebase_context(X.chunks(t), _questi
 add("multi_query_merge_chunk", lambda t: _hits(S.chat_context(X.chunks(t), _questions(t))), _merge_sql(5, 20, "content_id, chunk_index"))
 add(
     "rag_context",
-    lambda t: S.rag_text(V.vector_top_k(X.chunks(t).filter(F.length("content") < 5000), X.query_vector(t, 0), V.RetrievalOptions(top_k=3, min_score=0.0))).select(F.sha2("context", 256).alias("context_sha256")),
-    _scores(0, "length(content) < 5000") + ", k AS (SELECT * FROM scored WHERE s >= 0 ORDER BY s DESC, content_id LIMIT 3), n AS (SELECT *, row_number() OVER (ORDER BY s DESC, content_id) AS r FROM k) "
-    "SELECT sha256(string_agg('## ' || r || '. ' || source_path || chr(10) || content, chr(10) || chr(10) ORDER BY r)) AS context_sha256 FROM n",
+    lambda t: S.rag_text(V.vector_top_k(X.chunks(t), X.query_vector(t, 0), V.RetrievalOptions(top_k=3, min_score=0.0))).select(F.sha2("context", 256).alias("context_sha256")),
+    _scores(0) + ", k AS (SELECT * FROM scored WHERE s >= 0 ORDER BY s DESC, content_id LIMIT 3), n AS (SELECT *, row_number() OVER (ORDER BY s DESC, content_id) AS r FROM k) "
+    "SELECT sha256(string_agg('## ' || r || '. ' || coalesce(source_path, content_id) || chr(10) || coalesce(content, ''), chr(10) || chr(10) ORDER BY r)) AS context_sha256 FROM n",
 )
 
 
@@ -198,7 +170,8 @@ add("distinct_calls", lambda t: G.distinct_edges(X.edges(t).unionByName(X.edges(
 add("known_edges", lambda t: G.known_edges(X.edges(t), X.nodes(t).filter("node_type IN ('Method', 'Class')")).select("edge_type", "source_id", "target_id"), X.ORACLE_GRAPH + " SELECT edge_type, source_id, target_id FROM edges WHERE source_id IN (SELECT id FROM nodes WHERE node_type IN ('Method', 'Class')) AND target_id IN (SELECT id FROM nodes WHERE node_type IN ('Method', 'Class'))")
 add("incident_edges", lambda t: G.incident_edges(X.edges(t).dropDuplicates(["id"]), X.nodes(t).filter("name = 'order_7'")).select("id"), X.ORACLE_GRAPH + " SELECT DISTINCT id FROM edges WHERE source_id IN (SELECT id FROM nodes WHERE name = 'order_7') OR target_id IN (SELECT id FROM nodes WHERE name = 'order_7')")
 add("edge_text", lambda t: G.edge_text(X.nodes(t).filter("node_type != 'Property'"), X.edges(t).filter("edge_type IN ('Uses', 'References')")), X.ORACLE_GRAPH + " SELECT edge_type, CASE edge_type WHEN 'References' THEN 4 ELSE 6 END AS edge_ordinal, coalesce(a.name, '?') || ' -> ' || coalesce(b.name, '?') AS line FROM edges LEFT JOIN (SELECT * FROM nodes WHERE node_type != 'Property') a ON a.id = source_id LEFT JOIN (SELECT * FROM nodes WHERE node_type != 'Property') b ON b.id = target_id WHERE edge_type IN ('Uses', 'References')")
-add("members_by_name", lambda t: G.members_by_name(X.nodes(t).withColumn("file_path", F.lit(None).cast("string")), "Customer#000000007").select("id"), X.ORACLE_NODES + " SELECT id FROM nodes WHERE node_type IN ('Method', 'Property') AND contains(full_name, 'Customer#000000007.')")
+add("members_by_name", lambda t: G.members_by_name(X.nodes(t).withColumn("file_path", F.when(F.col("node_type").isin("Class", "Property"), F.concat(F.lit("f"), F.expr("substring(id, 3)")))), "Customer#000000007").select("id"),
+    X.ORACLE_NODES + " SELECT id FROM nodes WHERE node_type IN ('Method', 'Property') AND (contains(full_name, 'Customer#000000007.') OR (node_type = 'Property' AND substring(id, 3) IN (SELECT substring(id, 3) FROM nodes WHERE node_type = 'Class' AND name = 'Customer#000000007')))")
 add("project_closure", lambda t: G.closure(X.edges(t), X.nodes(t).filter("node_type = 'Project'"), "References"),
     X.ORACLE_GRAPH.replace("WITH nodes", "WITH RECURSIVE nodes") + ", e AS (SELECT DISTINCT source_id, target_id FROM edges WHERE edge_type = 'References'), r(start_id, id, depth) AS (SELECT id, id, 0 FROM nodes WHERE node_type = 'Project' UNION SELECT start_id, target_id, depth + 1 FROM r JOIN e ON source_id = id WHERE depth < 20) SELECT start_id, id, min(depth) AS depth FROM r GROUP BY ALL HAVING min(depth) > 0")
 
@@ -267,8 +240,7 @@ def _metadata(t: X.Tables) -> DataFrame:
     kind = F.when(F.col("event_type").isin("view", "click"), "rag").otherwise("graph")
     path = F.concat(F.lit("/corpus/src"), (F.col("user_id") % 20).cast("string"))
     e = t.events.select(path.alias("workspace_path"), kind.alias("index_type"), F.col("ts").alias("indexed_at"), F.substring(F.sha2(F.col("event_id").cast("string"), 256), 1, 40).alias("commit_sha"))
-    w = Window.partitionBy("workspace_path", "index_type").orderBy(F.desc("indexed_at"), "commit_sha")
-    return e.withColumn("r", F.row_number().over(w)).filter("r = 1").drop("r")
+    return R.latest(e, ["workspace_path", "index_type"], "indexed_at", "commit_sha")
 
 
 _META = """m AS (SELECT * EXCLUDE r FROM (SELECT *, row_number() OVER (PARTITION BY workspace_path, index_type ORDER BY indexed_at DESC, commit_sha) AS r FROM
@@ -290,7 +262,7 @@ add("index_status", _status,
     j AS (SELECT p.*, r.indexed_at AS rag_at, r.commit_sha AS rag_sha, g.indexed_at AS graph_at, g.commit_sha AS graph_sha FROM p LEFT JOIN m r ON r.workspace_path = path AND r.index_type = 'rag' LEFT JOIN m g ON g.workspace_path = path AND g.index_type = 'graph'),
     s AS (SELECT path, {_STALE.format("rag")} AS rag_status, {_STALE.format("graph")} AS graph_status FROM j)
     SELECT *, CASE WHEN rag_status = 'not-indexed' AND graph_status = 'not-indexed' THEN 'not-indexed' WHEN rag_status = 'stale' OR graph_status = 'stale' THEN 'stale' ELSE 'fresh' END AS status FROM s""")
-add("workspaces_by_access", lambda t: _metadata(t).orderBy(F.desc_nulls_first("indexed_at"), "workspace_path", "index_type").limit(7), f"WITH {_META} SELECT * FROM m ORDER BY indexed_at DESC NULLS FIRST, workspace_path, index_type LIMIT 7")
+add("workspaces_by_access", lambda t: R.newest(_metadata(t), "indexed_at", 7, ("workspace_path", "index_type")), f"WITH {_META} SELECT * FROM m ORDER BY indexed_at DESC NULLS FIRST, workspace_path, index_type LIMIT 7")
 
 # ---- scalars
 _PATHS = "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'C:\\Work\\\\' || source || '\\' || doc_id || '.MD' WHEN 1 THEN 'file:///srv//' || source || '//' || doc_id || '.cs' WHEN 2 THEN '/Repo///' || source || '/' || doc_id || '.Cc' ELSE '://odd//' || lang END AS path FROM documents"
@@ -325,12 +297,29 @@ def _mixed(t: X.Tables) -> DataFrame:
     return t.customer.select("c_custkey", F.concat(F.lit("see FooBarBaz and IOrderService, "), "c_name", F.lit(" in HttpClient2Factory; FooBarBaz. the "), "c_mktsegment").alias("text"))
 
 
-add("pascal_symbols", lambda t: _mixed(t).select("c_custkey", F.array_join(T.pascal_symbols(F.col("text")), ",").alias("symbols")), "SELECT c_custkey, 'HttpClient2Factory,IOrderService,FooBarBaz' AS symbols FROM customer")
+def _arguments():  # noqa: ANN202
+    """Arguments of tool calls, under one of the names of a path, under two, and malformed."""
+    i = F.col("event_id").cast("string")
+    forms = ['{"path": "a%s.cs"}', '{"file": "b%s", "line": 3}', '{"filePath": "c%s.md"}', '{"file": "x", "filePath": "first%s"}', "{broken %s"]
+    return F.element_at(F.array(*[F.concat(*[F.lit(x) for x in f.split("%s")[:1]], i, F.lit(f.split("%s")[1])) for f in forms]), (F.col("event_id") % 5 + 1).cast("int"))
+
+
+def _pascal(t: X.Tables) -> DataFrame:
+    k = F.col("c_custkey")
+    parts = [F.lit("Call "), F.get(F.split("c_mktsegment", " "), 0), F.lit("x FooBar"), (k % 3).cast("string"), F.lit("z then IOrder"), F.repeat(F.lit("Ab"), (k % 4).cast("int")), F.lit("Service, FooBar0z end")]
+    return t.customer.select("c_custkey", F.concat(*parts).alias("text"))
+
+
+add("pascal_symbols", lambda t: _pascal(t).select("c_custkey", F.array_join(T.pascal_symbols(F.col("text")), ",").alias("symbols")), 
+    """WITH m AS (SELECT c_custkey, 'Call ' || string_split(c_mktsegment, ' ')[1] || 'x FooBar' || (c_custkey % 3) || 'z' || ' then I' || 'Order' || repeat('Ab', (c_custkey % 4)::INT) || 'Service, FooBar0z end' AS t FROM customer),
+    x AS (SELECT c_custkey, list_distinct(['FooBar' || (c_custkey % 3) || 'z', 'IOrder' || repeat('Ab', (c_custkey % 4)::INT) || 'Service', 'FooBar0z']) AS l FROM m)
+    SELECT c_custkey, array_to_string(list_transform(list_sort(list_transform(l, lambda s: {'n': -length(s), 'i': CASE WHEN s = 'FooBar' || (c_custkey % 3) || 'z' THEN 0 WHEN starts_with(s, 'IOrder') THEN 1 ELSE 2 END, 's': s})), lambda r: r.s), ',') AS symbols FROM x""")
 add("symbol_candidates", lambda t: _mixed(t).select("c_custkey", F.array_join(T.symbol_candidates(F.col("text")), ",").alias("words")),
     f"SELECT c_custkey, array_to_string(list_filter(list_distinct_in_order, lambda w: length(w) >= 2 AND w NOT IN ('the', 'and', 'in') AND regexp_matches(w, '^[\\pL_][\\pL\\p{{Nd}}_]*$')), ',') AS words FROM (SELECT c_custkey, list_filter(l, lambda w, i: list_position(l, w) = i) AS list_distinct_in_order FROM (SELECT c_custkey, regexp_split_to_array({_MIXED}, '[\\s,;:()\\[\\]{{}}]+') AS l FROM customer))")
-add("metadata_map", lambda t: t.events.select("event_id", T.map_int(T.json_map(F.col("props")), "k").alias("k"), T.map_int(T.merged_map(T.json_map(F.col("props")), F.create_map(F.lit("k"), F.lit("7"))), "k").alias("merged"), T.json_path_field(F.lit('{"path": "a.cs"}')).alias("path")), "SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, 7 AS merged, 'a.cs' AS path FROM events")
-add("text_scalars", lambda t: t.part.select("p_partkey", T.truncate(F.col("p_name"), 10).alias("cut"), T.namespace_of(F.concat("p_brand", F.lit("."), "p_type")).alias("ns"), T.accessibility(F.col("p_type")).alias("access"), T.budget_band(F.col("p_size") * 2).alias("band"), T.severity_priority(F.when(F.col("p_size") > 25, "ERROR").otherwise("info")).alias("priority"), T.node_label(F.col("p_brand")).alias("label"), T.short_sha(F.sha2("p_name", 256)).alias("sha"), T.progress_percent(F.col("p_size"), F.lit(60)).alias("percent"), T.base_type(F.concat("p_brand", F.lit("<int>[]?"))).alias("base")),
-    "SELECT p_partkey, CASE WHEN length(p_name) > 10 THEN substring(p_name, 1, 7) || '...' ELSE p_name END AS cut, CASE WHEN contains(p_brand || '.' || p_type, '.') THEN regexp_replace(p_brand || '.' || p_type, '\\.[^.]*$', '') END AS ns, 'private' AS access, CASE WHEN p_size * 2 >= 90 THEN 'complete_now' WHEN p_size * 2 >= 70 THEN 'spawn_subagent' WHEN p_size * 2 >= 50 THEN 'summarize' ELSE 'continue' END AS band, CASE WHEN p_size > 25 THEN 'High' ELSE 'Low' END AS priority, regexp_replace(p_brand, '[^\\pL\\p{Nd}_]', '', 'g') AS label, substring(sha256(p_name), 1, 7) AS sha, (p_size * 100) // 60 AS percent, p_brand AS base FROM part")
+add("metadata_map", lambda t: t.events.select("event_id", T.map_int(T.json_map(F.col("props")), "k").alias("k"), T.map_int(T.merged_map(T.json_map(F.col("props")), F.create_map(F.lit("k"), F.lit("7"))), "k").alias("merged"), T.json_path_field(_arguments()).alias("path")),
+    "SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, 7 AS merged, CASE event_id % 5 WHEN 0 THEN 'a' || event_id || '.cs' WHEN 1 THEN 'b' || event_id WHEN 2 THEN 'c' || event_id || '.md' WHEN 3 THEN 'first' || event_id END AS path FROM events")
+add("text_scalars", lambda t: t.part.select("p_partkey", T.truncate(F.col("p_name"), 10).alias("cut"), T.namespace_of(F.concat("p_brand", F.lit("."), "p_type")).alias("ns"), T.accessibility(F.element_at(F.array(*map(F.lit, ["static public", "protected internal", "internal sealed", "private", "", "override"])), (F.col("p_partkey") % 6 + 1).cast("int"))).alias("access"), T.is_primitive(F.when(F.col("p_size") % 2 == 0, F.lit("Int[]?")).otherwise(F.col("p_brand"))).alias("primitive"), T.budget_band(F.col("p_size") * 2).alias("band"), T.severity_priority(F.when(F.col("p_size") > 25, "ERROR").otherwise("info")).alias("priority"), T.node_label(F.col("p_brand")).alias("label"), T.short_sha(F.sha2("p_name", 256)).alias("sha"), T.progress_percent(F.col("p_size"), F.lit(60)).alias("percent"), T.base_type(F.concat("p_brand", F.lit("<int>[]?"))).alias("base")),
+    "SELECT p_partkey, CASE WHEN length(p_name) > 10 THEN substring(p_name, 1, 7) || '...' ELSE p_name END AS cut, CASE WHEN contains(p_brand || '.' || p_type, '.') THEN regexp_replace(p_brand || '.' || p_type, '\\.[^.]*$', '') END AS ns, CASE p_partkey % 6 WHEN 0 THEN 'public' WHEN 1 THEN 'protected' WHEN 2 THEN 'internal' ELSE 'private' END AS access, p_size % 2 = 0 AS primitive, CASE WHEN p_size * 2 >= 90 THEN 'complete_now' WHEN p_size * 2 >= 70 THEN 'spawn_subagent' WHEN p_size * 2 >= 50 THEN 'summarize' ELSE 'continue' END AS band, CASE WHEN p_size > 25 THEN 'High' ELSE 'Low' END AS priority, regexp_replace(p_brand, '[^\\pL\\p{Nd}_]', '', 'g') AS label, substring(sha256(p_name), 1, 7) AS sha, (p_size * 100) // 60 AS percent, p_brand AS base FROM part")
 add("first_sentences", lambda t: t.documents.select("doc_id", T.first_sentence(F.col("text")).alias("first"), F.length(T.embedding_input(F.col("text"))).alias("n_input")),
     "SELECT doc_id, CASE WHEN instr(text, '.') > 1 AND instr(text, '.') <= 200 THEN substring(text, 1, instr(text, '.')) WHEN length(trim(split_part(text, chr(10), 1))) > 200 THEN substring(trim(split_part(text, chr(10), 1)), 1, 200) || '...' ELSE trim(split_part(text, chr(10), 1)) END AS first, least(length(text), 30000)::INT AS n_input FROM documents")
 
@@ -541,7 +530,18 @@ def _session(t: X.Tables) -> DataFrame:
 
 
 add("change_sessions", _session, X.ORACLE_CHANGES + ", g AS (SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY path ORDER BY ts, event_id) > INTERVAL 1 HOUR, FALSE) AS gap FROM changes), s AS (SELECT *, sum(gap::INT) OVER (PARTITION BY path ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM g) SELECT path, session, min(ts) AS start, max(ts) AS \"end\", count(*) AS n FROM s GROUP BY ALL")
-add("debounce_batch", lambda t: CH.debounce_batch(X.changes(t).withColumn("workspace", F.concat(F.lit("w"), F.col("event_id") % 16)), 600_000))
+add("debounce_batch", lambda t: CH.debounce_batch(X.changes(t).withColumn("workspace", F.concat(F.lit("w"), F.col("event_id") % 16)), 600_000),
+    X.ORACLE_CHANGES.replace("WITH changes", "WITH RECURSIVE changes") + """, e AS (SELECT 'w' || (event_id % 16) AS workspace, epoch_us(ts) // 1000 AS ms, change_type || ':' || path AS key FROM changes),
+    n AS (SELECT *, row_number() OVER (PARTITION BY workspace ORDER BY ms, key) AS i FROM e),
+    r(workspace, i, pending, first, last, out, out_first, out_last) AS (
+      SELECT workspace, 0::BIGINT, []::VARCHAR[], 0::BIGINT, 0::BIGINT, []::VARCHAR[], 0::BIGINT, 0::BIGINT FROM (SELECT DISTINCT workspace FROM e)
+      UNION ALL SELECT r.workspace, r.i + 1,
+        CASE WHEN n.i IS NULL THEN [] WHEN len(r.pending) > 0 AND n.ms >= r.last + 600000 THEN [n.key] WHEN list_contains(r.pending, n.key) THEN r.pending ELSE list_append(r.pending, n.key) END,
+        CASE WHEN len(r.pending) = 0 OR n.ms >= r.last + 600000 THEN n.ms ELSE r.first END,
+        CASE WHEN len(r.pending) > 0 AND n.ms < r.last + 600000 AND list_contains(r.pending, n.key) THEN r.last ELSE n.ms END,
+        CASE WHEN n.i IS NULL OR len(r.pending) > 0 AND n.ms >= r.last + 600000 THEN r.pending ELSE [] END, r.first, r.last
+      FROM r LEFT JOIN n ON n.workspace = r.workspace AND n.i = r.i + 1 WHERE n.i IS NOT NULL OR len(r.pending) > 0)
+    SELECT workspace, make_timestamp(out_first * 1000) AS batch_start, make_timestamp(out_last * 1000) AS batch_end, string_split(k, ':')[1] AS change_type, substring(k, instr(k, ':') + 1) AS path FROM r, unnest(out) AS u(k)""")
 add("job_states", lambda t: ST.latest_job_state(t.events.select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("state"), (F.col("event_id") % 7).alias("processed"), F.lit(7).alias("total"), F.lit(0).alias("failed"))),
     "SELECT user_id AS job_id, arg_max(event_type, event_id) AS state, max(event_id) % 7 AS processed, 7 AS total, 0 AS failed, ((max(event_id) % 7) * 100 // 7)::INT AS percent FROM events GROUP BY 1")
 add("job_final_states", lambda t: J.final_state(t.events.select(F.col("user_id").alias("job_id"), F.when(F.col("event_type") == "error", "x").alias("error"), (F.col("value") > 140).alias("cancelled"))),
@@ -556,7 +556,7 @@ def _requests(t: X.Tables) -> tuple[DataFrame, DataFrame]:
 
 add("job_dedupe", lambda t: J.without_active(*_requests(t)).select("job_id", "run_by"),
     "WITH r AS (SELECT 'r' || event_id AS job_id, '/w/' || (user_id % 30) AS p, ts FROM events WHERE event_type = 'view'), a AS (SELECT '/w/' || (user_id % 50) AS p, min('j' || event_id) AS id FROM events WHERE event_type = 'click' AND event_id % 2 = 0 GROUP BY 1) SELECT job_id, coalesce(a.id, first_value(job_id) OVER (PARTITION BY r.p ORDER BY ts, job_id)) AS run_by FROM r LEFT JOIN a ON a.p = r.p")
-add("schedules_due", lambda t: J.due(t.events.filter("event_id < 500").select(F.col("event_id").alias("name"), F.col("ts").alias("next_run"), F.lit(90).alias("every_minutes")), F.lit("2024-01-10 00:00:00").cast("timestamp")).select("name"), "SELECT event_id AS name FROM events WHERE event_id < 500 AND ts <= TIMESTAMP '2024-01-10'")
+add("schedules_due", lambda t: J.due(t.events.select(F.col("event_id").alias("name"), F.col("ts").alias("next_run"), F.lit(90).alias("every_minutes")), F.lit("2024-01-10 00:00:00").cast("timestamp")).select("name"), "SELECT event_id AS name FROM events WHERE ts <= TIMESTAMP '2024-01-10'")
 
 # ---- chunkers and embedding, without SQL
 
@@ -569,3 +569,5 @@ def _ingested(t: X.Tables) -> DataFrame:
 add("ingest_files", lambda t: _ingested(t).select("content_id", "chunk_index", "chunk_type", "title", "start_line", "end_line", F.length("text").alias("n_chars")))
 add("split_texts", lambda t: C.split_rows(t.documents.select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"), F.lit("PlainText").alias("kind")), "text", "kind").select("doc_id", "chunk_index", F.length("chunk").alias("n_chars")))
 add("hash_embeddings", lambda t: t.documents.select("doc_id", C.hashing_embedding(F.col("text")).alias("embedding")))
+
+from . import code_texts, compositions  # noqa: E402, F401  they add more queries
