@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,21 +72,29 @@ def _grouped(t: X.Tables, part: Column, joint: str, size: int = 20) -> DataFrame
     return rows.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("c_custkey", "part"))), lambda x: x["part"]), joint).alias("content"))
 
 
-def _split(kind: str, size: int, overlap: int, part: Column, joint: str):  # noqa: ANN202
-    return lambda t: C.split_rows(_grouped(t, part, joint).withColumn("kind", F.lit(kind)), "content", "kind", size, overlap).select("f", "chunk_index", "chunk")
+def _split(kind: str, size: int, overlap: int, part: Callable[[], Column], joint: str):  # noqa: ANN202
+    return lambda t: C.split_rows(_grouped(t, part(), joint).withColumn("kind", F.lit(kind)), "content", "kind", size, overlap).select("f", "chunk_index", "chunk")
 
 
 _N = "n AS (SELECT c_custkey // 20 AS f, c_custkey AS k, (row_number() OVER (PARTITION BY c_custkey // 20 ORDER BY c_custkey) - 1)::INTEGER AS i FROM customer)"
 # The overlap of a line without its end is glued to the next line, and what is left of it at the end is a chunk.
-add("split_code", _split("Code", 1, 1, _filled(_BLOCK, k=F.col("c_custkey")), "\n"),
+add("split_code", _split("Code", 1, 1, lambda: _filled(_BLOCK, k=F.col("c_custkey")), "\n"),
     f"WITH {_N} SELECT f, i AS chunk_index, CASE WHEN i > 0 THEN '}}' ELSE '' END || {_filled_sql(_BLOCK, k='k')} AS chunk FROM n UNION ALL SELECT f, max(i) + 1, '}}' FROM n GROUP BY f")
-_PARA = F.rpad(F.concat(F.lit("p"), F.col("c_custkey").cast("string"), F.lit("-")), 50, "xy")
-_PARA_SQL = "rpad('p' || {0} || '-', 50, 'xyxyxyxyxyxyxyxyxyxyxyxyxyxyxyxyxyxyxyxyxyxyxyxyxyxy')"
-add("split_plain", _split("PlainText", 60, 10, _PARA, "\n\n"),
-    f"WITH {_N}, p AS (SELECT *, substr(rpad('p' || k || '-', 50, 'x'), 1, 50) AS x, 'p' || k || '-' AS h FROM n), q AS (SELECT f, i, h || substr(repeat('xy', 25), 1, 50 - length(h)) AS x FROM p) "
+
+
+def _paragraph() -> Column:
+    return F.rpad(F.concat(F.lit("p"), F.col("c_custkey").cast("string"), F.lit("-")), 50, "xy")
+
+
+def _section() -> Column:
+    long = F.concat(F.lit("## "), F.col("c_name"), F.lit("\n"), _paragraph(), F.lit("\n\n"), _paragraph())
+    return F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("## "), F.col("c_name"), F.lit("\nshort"))).otherwise(long)
+
+
+add("split_plain", _split("PlainText", 60, 10, _paragraph, "\n\n"),
+    f"WITH {_N}, p AS (SELECT *, 'p' || k || '-' AS h FROM n), q AS (SELECT f, i, h || substr(repeat('xy', 25), 1, 50 - length(h)) AS x FROM p) "
     "SELECT f, i AS chunk_index, CASE WHEN i > 0 THEN right(lag(x) OVER (PARTITION BY f ORDER BY i), 10) || chr(10) || chr(10) ELSE '' END || x AS chunk FROM q")
-_SECTION = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("## "), F.col("c_name"), F.lit("\nshort"))).otherwise(F.concat(F.lit("## "), F.col("c_name"), F.lit("\n"), _PARA, F.lit("\n\n"), _PARA))
-add("split_markdown", _split("Markdown", 60, 10, _SECTION, "\n"),
+add("split_markdown", _split("Markdown", 60, 10, _section, "\n"),
     """WITH c AS (SELECT c_custkey // 20 AS f, c_custkey AS k, c_name, 'p' || c_custkey || '-' AS h FROM customer), p AS (SELECT *, h || substr(repeat('xy', 25), 1, 50 - length(h)) AS x FROM c),
     s AS (SELECT f, k, 0 AS j, '## ' || c_name || chr(10) || CASE WHEN k % 2 = 0 THEN 'short' ELSE x END AS chunk FROM p UNION ALL SELECT f, k, 1, x FROM p WHERE k % 2 = 1)
     SELECT f, (row_number() OVER (PARTITION BY f ORDER BY k, j) - 1)::INTEGER AS chunk_index, chunk FROM s""")
