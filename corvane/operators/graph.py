@@ -284,6 +284,13 @@ def graph_of_symbols(symbols: DataFrame, relations: DataFrame) -> tuple[DataFram
     return own.unionByName(placeholders), edges
 
 
+def code_with_graph(files: DataFrame, path_col: str = "path", text_col: str = "content") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(chunks, nodes, edges) of source files at once: what an index and a graph need of them."""
+    from .chunking import ingest
+
+    return ingest(files, "members", path_col, text_col), *light_graph(files, path_col, text_col)
+
+
 def light_graph(files: DataFrame, path_col: str = "path", text_col: str = "content") -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of source files by their declarations alone: files, types and members, and what contains what."""
     from ..functions.paths import file_name

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import fixtures as X
+from .. import tools as TOOLS
 from ..functions import paths as P
 from ..operators import chunking as C
 from ..operators import graph as G
@@ -17,10 +20,12 @@ from ..operators import symbols as Y
 from ..operators import tree as TREE
 from ..sources import files as FILES
 from ..sources import registry as REG
+from ..sources import research as RS
 from ..storage import Stored
 from ..streaming import changes as CH
 from ..streaming import jobs as J
 from . import catalog as K
+from . import code_texts as T
 from .base import add
 from .code_texts import _DOCUMENTED, _MEMBERS, _files, _filled_sql
 
@@ -290,3 +295,74 @@ def _indexed_documents(t: X.Tables) -> DataFrame:
 add("index_documents", _indexed_documents,
     """WITH f AS (SELECT s_suppkey AS k FROM supplier), g AS (SELECT '/src/n' || k || '.txt' AS p FROM f)
     SELECT '/src/f0.cs' AS source_path, 1 AS place, 'old' AS head, 0 AS width UNION ALL SELECT p, 1, p, 8 FROM g UNION ALL SELECT '/src/f' || k || '.cs', unnest([1, 2]), '/src/f' || k || '.cs', 8 FROM f WHERE k > 0""")  # a header and a type each
+
+_RULES = ("*/15 * * * *", "0 9 * * MON", "30 2 1 * *", "not a rule", "5,35 8-10/2 * jan-dec 0-7", "0 0 29 2 *", "61 * * * *")
+
+
+def _due(t: X.Tables) -> DataFrame:
+    rule = F.element_at(F.array(*map(F.lit, _RULES)), (F.col("event_id") % len(_RULES) + 1).cast("int"))
+    return J.due_rules(t.events.select(F.col("event_id").alias("name"), rule.alias("rule"), F.col("ts").alias("since")), F.lit("2024-01-20 08:05:00").cast("timestamp")).select("name", "next_run", "then")
+
+
+def _rule_sql(a: str) -> str:
+    """The next time from a minute on, by rule."""
+    day = f"date_trunc('day', {a})"
+    times = "[485, 515, 605, 635]"
+    return f"""CASE event_id % 7 WHEN 0 THEN time_bucket(INTERVAL 15 MINUTES, {a} + INTERVAL 14 MINUTES, TIMESTAMP '2000-01-01')
+      WHEN 1 THEN date_trunc('week', {a}) + INTERVAL 9 HOURS + CASE WHEN date_trunc('week', {a}) + INTERVAL 9 HOURS >= {a} THEN INTERVAL 0 DAYS ELSE INTERVAL 7 DAYS END
+      WHEN 2 THEN CASE WHEN date_trunc('month', {a}) + INTERVAL 150 MINUTES >= {a} THEN date_trunc('month', {a}) ELSE date_trunc('month', {a}) + INTERVAL 1 MONTH END + INTERVAL 150 MINUTES
+      WHEN 4 THEN coalesce(list_min(list_filter(list_transform({times}, lambda m: {day} + to_minutes(m)), lambda x: x >= {a})), {day} + INTERVAL 1 DAY + INTERVAL 485 MINUTES)
+      WHEN 5 THEN CASE WHEN {a} <= TIMESTAMP '2024-02-29' THEN TIMESTAMP '2024-02-29' ELSE TIMESTAMP '2028-02-29' END END"""
+
+
+add("due_rules", _due,
+    f"WITH e AS (SELECT *, date_trunc('minute', ts) + INTERVAL 1 MINUTE AS a, TIMESTAMP '2024-01-20 08:06:00' AS b FROM events), n AS (SELECT event_id AS name, ({_rule_sql('a')})::TIMESTAMP AS next_run, ({_rule_sql('b')})::TIMESTAMP AS \"then\" FROM e) SELECT * FROM n WHERE next_run <= TIMESTAMP '2024-01-20 08:05:00'")
+
+
+@dataclass
+class _Lookup:
+    prefix: str
+    regions: list[str]
+    limit: int = 3
+
+
+def _tools(t: X.Tables) -> None:
+    def run(spark: SparkSession, p: _Lookup) -> DataFrame:
+        own = t.nation.join(t.region.filter(F.col("r_name").isin(p.regions)), F.col("n_regionkey") == F.col("r_regionkey"))
+        return own.filter(F.startswith("n_name", F.lit(p.prefix))).select("n_name", "r_name").orderBy("n_name").limit(p.limit)
+
+    TOOLS.register(TOOLS.Tool("nation_lookup", "Nations by the start of their names", _Lookup, run))
+
+
+def _called(t: X.Tables) -> DataFrame:
+    _tools(t)
+    return TOOLS.call(t.spark, "nation_lookup", '{"prefix": "NATION_1", "regions": ["ASIA", "AFRICA"], "limit": 4}')
+
+
+def _listed(t: X.Tables) -> DataFrame:
+    _tools(t)
+    return TOOLS.listing(t.spark).filter("name = 'nation_lookup'").select("name", "description", F.get_json_object("parameters", "$.properties.regions.type").alias("regions"), F.get_json_object("parameters", "$.required[1]").alias("second"))
+
+
+add("tool_call", _called, "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name IN ('ASIA', 'AFRICA') AND starts_with(n_name, 'NATION_1') ORDER BY n_name LIMIT 4")
+add("tool_listing", _listed, "SELECT 'nation_lookup' AS name, 'Nations by the start of their names' AS description, 'array' AS regions, 'regions' AS second")
+
+
+def _fetched(t: X.Tables) -> DataFrame:
+    k = F.col("s_suppkey").cast("string")
+    page = T._pages(t).select("url", F.col("html").alias("payload"))
+    atom = T._atom(t).select(F.lit("https://arxiv.org/abs/1").alias("url"), "payload")
+    paper = T._paper_json(t).select(F.lit("https://api.semanticscholar.org/x").alias("url"), "payload")
+    none = t.supplier.select(F.concat(F.lit("ftp://x/"), k).alias("url"), F.lit("<html>").alias("payload"))
+    return RS.fetched(page.unionByName(atom).unionByName(paper).unionByName(none)).select("source_id", "source_type", "title")
+
+
+add("fetched_sources", _fetched,
+    """SELECT sha256('https://x.org/' || s_suppkey) AS source_id, 'web' AS source_type, 'Page ' || s_suppkey || ' & more' AS title FROM supplier UNION ALL SELECT '2401.' || lpad(s_suppkey::VARCHAR, 5, '0'), 'arxiv', 'On ' || s_suppkey FROM supplier
+    UNION ALL SELECT 'p' || s_suppkey, 'paper', 'On ' || s_suppkey FROM supplier WHERE s_suppkey % 4 <> 3 UNION ALL SELECT 'q' || s_suppkey, 'paper', 'No more' FROM supplier WHERE s_suppkey % 4 <> 3""")
+add("code_with_graph", lambda t: _counted(*G.code_with_graph(_files(t, _DOCUMENTED, "cs"))), "SELECT unnest(['chunks', 'nodes', 'edges']) AS what, unnest([7, 7, 6]) * (SELECT count(*) FROM supplier) AS n")
+
+
+def _counted(*parts: DataFrame) -> DataFrame:
+    out = [p.agg(F.count(F.lit(1)).alias("n")).select(F.lit(what).alias("what"), "n") for what, p in zip(("chunks", "nodes", "edges"), parts)]
+    return RS.everything(out)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -59,5 +60,19 @@ def dispatch(urls: DataFrame, column: str = "url") -> DataFrame:
     return urls.withColumn("fetcher", kind)
 
 
+#: What makes sources of a fetcher's payloads; each takes rows (url, payload).
+FETCHERS: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "arxiv": from_atom,
+    "paper": from_paper_json,
+    "web": lambda rows: from_pages(rows, "url", "payload"),
+}
+
+
+def fetched(payloads: DataFrame) -> DataFrame:
+    """Sources of rows (url, payload), each by the first fetcher that takes its address; addresses that none takes give none."""
+    rows = dispatch(payloads)
+    return everything([parse(rows.filter(F.col("fetcher") == name).drop("fetcher")) for name, parse in FETCHERS.items()])
+
+
 def everything(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)

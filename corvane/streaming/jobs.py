@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.cron import next_run
 from ..functions.paths import normalize_path
+from ..shipping import ship_package
 
 QUEUE = 10_000
 WORKERS = 2
@@ -53,6 +55,13 @@ def due(schedules: DataFrame, now: Column) -> DataFrame:
     return schedules.filter(F.col("next_run") <= now).withColumn("then", after)
 
 
+def due_rules(schedules: DataFrame, now: Column) -> DataFrame:
+    """Schedules (name, rule, since) whose cron rule named a time after `since` and up to now, with that time and the next one after now."""
+    ship_package(schedules.sparkSession)
+    df = schedules.withColumns({"next_run": next_run(F.col("rule"), F.col("since")), "then": next_run(F.col("rule"), now)})
+    return df.filter(F.col("next_run") <= now)
+
+
 def windowed_counts(events: DataFrame, width: str = "1 hour", slide: str | None = None, delay: str = "1 hour") -> DataFrame:
     """Counts by event type in tumbling or sliding windows, for streams with late rows."""
     w = F.window("ts", width, slide) if slide else F.window("ts", width)

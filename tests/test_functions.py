@@ -113,3 +113,50 @@ def test_registry(spark, tmp_path):
     rows = spark.createDataFrame([("1", "/a", "A", ["x"], True), ("2", "/b", None, [], False)], "id string, path string, alias string, tags array<string>, is_default boolean")
     SR.write_registry(rows, str(tmp_path / "r"))
     assert sorted((r.id, r.is_default) for r in SR.read_registry(spark, str(tmp_path / "r")).collect()) == [("1", True), ("2", False)]
+
+
+def test_excluded_files_are_never_read(spark, tmp_path):
+    for name in ("a.txt", "obj/b.txt", "c.bin"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(name)
+    found = SF.scan_folder(spark, str(tmp_path), ["*.txt"])
+    assert [r.content for r in found.collect()] == ["a.txt"]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "file_path" in plan.split("FileScan")[-1].split("DataFilters")[1].split("\n")[0]
+
+
+def test_registry_that_cannot_be_read(spark, tmp_path):
+    (tmp_path / "r.json").write_text("{broken")
+    assert SR.read_registry(spark, str(tmp_path / "r.json")).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("rule", "after", "then"),
+    [
+        ("* * * * *", "2024-01-01 00:00:30", "2024-01-01 00:01:00"), ("0 0 31 * *", "2024-04-01 00:00:00", "2024-05-31 00:00:00"), ("0 12 13 * FRI", "2024-01-01 00:00:00", "2024-09-13 12:00:00"), ("0 0 * * 7", "2024-01-06 23:59:00", "2024-01-07 00:00:00"),
+        ("10/20 5 * * *", "2024-01-01 05:30:00", "2024-01-01 05:50:00"), ("0 0 30 2 *", "2024-01-01 00:00:00", None), ("0 0 29 2 MON", "2024-03-01 00:00:00", "2044-02-29 00:00:00"), ("* * * *", "2024-01-01 00:00:00", None), ("*/0 * * * *", "2024-01-01 00:00:00", None), ("5-1 * * * *", "2024-01-01 00:00:00", None),
+    ],
+)
+def test_cron(spark, rule, after, then):
+    from corvane.functions.cron import next_run
+
+    got = one(spark, next_run(F.lit(rule), F.lit(after).cast("timestamp")))
+    assert (got and str(got)) == then
+
+
+def test_tools(spark):
+    from dataclasses import dataclass
+
+    from corvane import tools as TL
+
+    @dataclass
+    class Numbers:
+        upto: int
+        factor: float = 2.0
+
+    globals()["Numbers"] = Numbers
+    TL.register(TL.Tool("numbers", "Counts", Numbers, lambda s, p: s.range(p.upto).select((F.col("id") * p.factor).alias("x"))))
+    assert [r.x for r in TL.call(spark, "numbers", '{"upto": 3, "factor": 3}').collect()] == [0.0, 3.0, 6.0]
+    for name, arguments in (("none", "{}"), ("numbers", "{}"), ("numbers", '{"upto": "3"}'), ("numbers", '{"upto": 1, "more": 2}')):
+        with pytest.raises(ValueError):
+            TL.call(spark, name, arguments)
