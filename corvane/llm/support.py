@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..batches import groups  # noqa: F401
+from ..naming import free_name  # noqa: F401
 from ..storage import Stored, shared_folder  # noqa: F401
 
 #: Word characters of the contracts: all but space and the controls 09 to 0D.
@@ -36,25 +35,3 @@ def spread(df: DataFrame) -> DataFrame:
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and texts of all documents."""
     return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
-
-
-def free_name(df: DataFrame, stem: str) -> str:
-    """A column name that df lacks, for columns added and dropped again."""
-    taken = {c.lower() for c in df.columns}
-    name = f"__{stem}"
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
-def groups(batch: pa.RecordBatch, most: int = 4_000_000, column: int = 1) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with not many more than so many bytes of text each, to bound what Python holds."""
-    texts = batch.column(column)
-    at, held = 0, 0
-    for i in range(len(texts)):
-        held += len(texts[i].as_buffer() or b"") if texts[i].is_valid else 0
-        if held >= most:
-            yield batch.slice(at, i + 1 - at)
-            at, held = i + 1, 0
-    if at < len(texts):
-        yield batch.slice(at)
