@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..batches import groups  # noqa: F401
 from ..naming import free_name  # noqa: F401
@@ -35,3 +38,37 @@ def spread(df: DataFrame) -> DataFrame:
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and texts of all documents."""
     return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def finite(vector: Column) -> Column:
+    """True for vectors that are not null and hold no null and no non-finite component."""
+    return vector.isNotNull() & F.forall(vector, lambda x: F.coalesce((F.abs(x) < float("inf")) & ~F.isnan(x), F.lit(False)))
+
+
+#: Rows up to which a side whose size was counted goes to every task.
+SMALL_SIDE = 200_000
+
+
+def hinted(side: DataFrame, rows: int) -> DataFrame:
+    """A stored side of a join of so many rows: sent to every task up to a bound, shuffled beyond it."""
+    return F.broadcast(side) if rows <= SMALL_SIDE else side
+
+
+#: A key with more than one in so many of all rows is hot, so there are fewer hot keys than this.
+HOT = 10_000
+
+
+def join_by_key(rows: DataFrame, keyed: DataFrame, on: list[str], weight: str, total: int) -> DataFrame:
+    """rows with the columns of `keyed`, which has a row per key and, in `weight`, the rows of each key; nulls are equal.
+
+    Fewer than HOT keys can be hot. Those are sent to every task, so that their rows stay where they are; the others' rows
+    are shuffled. Both sides should be stored, as they are read twice.
+    """
+    names = {c: f"__{c}" for c in [*on, weight]}
+    keyed = keyed.withColumnsRenamed(names)
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(names[c])) for c in on])
+    hot = F.broadcast(keyed.filter(F.col(names[weight]) * HOT > total))
+    cold = keyed.filter(F.col(names[weight]) * HOT <= total)
+    held = rows.join(hot, same)
+    rest = rows.join(hot, same, "left_anti").join(cold, same)
+    return held.unionByName(rest).drop(*names.values())
