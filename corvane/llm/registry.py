@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import compression_quality, exact_topk, language_id, line_dedup, line_quality, packing, piece_codec, pii, simhash, token_attribution, vector_codes
+from . import compression_quality, exact_topk, language_id, line_dedup, line_quality, merkle, packing, piece_codec, pii, simhash, token_attribution, vector_codes
 
 _QUERIES = {
     "op1_language_id": language_id,
@@ -16,6 +16,7 @@ _QUERIES = {
     "op9_piece_codec": piece_codec,
     "op10_compression_quality": compression_quality,
     "op12_vector_codes": vector_codes,
+    "op13_merkle_manifest": merkle,
 }
 
 
