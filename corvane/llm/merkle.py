@@ -31,7 +31,6 @@ from .support import Stored, hinted, spread, table
 
 FAN = 8
 HEIGHT = 4
-BLOCK = FAN**HEIGHT
 COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
 TAMPER_EVERY = 3
 
@@ -109,27 +108,27 @@ def numbered(nodes: DataFrame, order: list[str], store: Stored) -> DataFrame:
     return held.withColumn("pos", F.col("before") + F.col("seq")).drop("part", "seq", "g", "p", "before")
 
 
-def _blocks(nodes: DataFrame) -> DataFrame:
-    return nodes.withColumn("block", F.expr(f"pos div {BLOCK}"))
+def _blocks(nodes: DataFrame, tall: int) -> DataFrame:
+    return nodes.withColumn("block", F.expr(f"pos div {FAN**tall}"))
 
 
-def _ordered(t: pa.Table) -> tuple[pa.Table, list[bytes], int]:
+def _ordered(t: pa.Table, tall: int) -> tuple[pa.Table, list[bytes], int]:
     """(rows in order, their digests, levels of the block): the last block of a tree of several has as many as the others."""
     t = t.sort_by("pos")
-    return t, [d.encode() for d in t["digest"].to_pylist()], min(HEIGHT, levels(t["n"][0].as_py()))
+    return t, [d.encode() for d in t["digest"].to_pylist()], min(tall, levels(t["n"][0].as_py()))
 
 
-def block_roots(nodes: DataFrame, store: Stored) -> DataFrame:
+def block_roots(nodes: DataFrame, tall: int, store: Stored) -> DataFrame:
     """The next tier of nodes (grp, pos, n, digest): the digests of blocks, as leaves of their groups' trees."""
     schema = pa.schema([("grp", pa.string()), ("pos", pa.int64()), ("n", pa.int64()), ("digest", pa.string())])
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
-        t, digests, height = _ordered(t)
+        t, digests, height = _ordered(t, tall)
         found = traverse(digests, height, [[] for _ in digests])
-        values = [t["grp"][0].as_py(), t["block"][0].as_py(), -(-t["n"][0].as_py() // BLOCK), found.decode()]
+        values = [t["grp"][0].as_py(), t["block"][0].as_py(), -(-t["n"][0].as_py() // FAN**tall), found.decode()]
         return pa.Table.from_arrays([pa.array([v], f.type) for v, f in zip(values, schema)], schema=schema)
 
-    return store.cut(_blocks(nodes.select("grp", "pos", "n", "digest")).groupBy("grp", "block").applyInArrow(run, "grp string, pos long, n long, digest string"))
+    return store.cut(_blocks(nodes.select("grp", "pos", "n", "digest"), tall).groupBy("grp", "block").applyInArrow(run, "grp string, pos long, n long, digest string"))
 
 
 def _way(packed: list[dict]) -> Way:
@@ -140,49 +139,49 @@ WAY = pa.list_(pa.struct([("l", pa.string()), ("r", pa.string())]))
 WAYS = "grp string, pos long, digest string, way array<struct<l: string, r: string>>"
 
 
-def ways_down(nodes: DataFrame, above: DataFrame, store: Stored) -> DataFrame:
+def ways_down(nodes: DataFrame, above: DataFrame, tall: int, store: Stored) -> DataFrame:
     """(grp, pos, digest, way) of a tier: each node's way in its block, then the way of its block in the tier above."""
     schema = pa.schema([("grp", pa.string()), ("pos", pa.int64()), ("digest", pa.string()), ("way", WAY)])
 
     def run(key: tuple, t: pa.Table, over: pa.Table) -> pa.Table:
-        t, digests, height = _ordered(t)
+        t, digests, height = _ordered(t, tall)
         ways: list[Way] = [[] for _ in digests]
         traverse(digests, height, ways)
         rest = over["way"][0].as_py()
         packed = [[{"l": a.decode(), "r": b.decode()} for a, b in w] + rest for w in ways]
         return pa.Table.from_arrays([t["grp"].combine_chunks(), t["pos"].combine_chunks(), t["digest"].combine_chunks(), pa.array(packed, WAY)], schema=schema)
 
-    left = _blocks(nodes.select("grp", "pos", "n", "digest"))
+    left = _blocks(nodes.select("grp", "pos", "n", "digest"), tall)
     return store.cut(left.groupBy("grp", "block").cogroup(above.withColumnRenamed("pos", "block").groupBy("grp", "block")).applyInArrow(run, WAYS))
 
 
-def tiers(nodes: DataFrame, store: Stored) -> list[DataFrame]:
+def tiers(nodes: DataFrame, tall: int, store: Stored) -> list[DataFrame]:
     """A tier of nodes and those above it, up to one node a group."""
     out = [nodes]
     while (out[-1].agg(F.max("n")).first()[0] or 0) > 1:
-        out.append(block_roots(out[-1], store))
+        out.append(block_roots(out[-1], tall, store))
     return out
 
 
-def manifest(leaves: DataFrame, store: Stored) -> DataFrame:
-    """(row, leaf, subroot, root, proof, folded) of rows (row, grp, digest, tampered): grp is not null, row orders a group."""
+def manifest(leaves: DataFrame, store: Stored, tall: int = HEIGHT) -> DataFrame:
+    """(row, leaf, subroot, root, proof, folded) of rows (row, grp, digest, tampered): grp is not null, row orders a group. Blocks are `tall` levels."""
     ship_package(leaves.sparkSession)
     own = numbered(leaves, ["row", "digest"], store)
-    up = tiers(own, store)
+    up = tiers(own, tall, store)
     # Groups' subroots are one more group, in the order of the groups' names.
     subroots = up[-1].select(F.lit("").alias("grp"), F.col("grp").alias("name"), "digest")
-    top = tiers(store.cut(numbered(subroots, ["name"], store)), store)
+    top = tiers(store.cut(numbered(subroots, ["name"], store)), tall, store)
     root = top[-1].select("digest").first()
     if root is None:
         return leaves.select("row", F.col("digest").alias("leaf"), *[F.lit(None).cast("string").alias(c) for c in ("subroot", "root", "proof", "folded")])
     above = top[-1].select("grp", "pos", "digest", F.array().cast("array<struct<l: string, r: string>>").alias("way"))
     for tier in reversed(top[:-1]):
-        above = ways_down(tier, above, store)
+        above = ways_down(tier, above, tall, store)
     names = top[0].select(F.col("name"), F.col("pos").alias("at"))
     above = above.join(names, F.col("pos") == F.col("at")).select(F.col("name").alias("grp"), F.lit(0).cast("long").alias("pos"), "digest", "way")
     above = subroot = store.cut(above)
     for tier in reversed(up[1:-1]):
-        above = ways_down(tier, above, store)
+        above = ways_down(tier, above, tall, store)
     if len(up) > 2:
         above = above.join(subroot.select("grp", F.col("digest").alias("subroot")), "grp")
     else:
@@ -192,7 +191,7 @@ def manifest(leaves: DataFrame, store: Stored) -> DataFrame:
     kind = leaves.schema["row"].dataType.simpleString()
 
     def run(key: tuple, t: pa.Table, over: pa.Table) -> pa.Table:
-        t, digests, height = _ordered(t)
+        t, digests, height = _ordered(t, tall)
         ways: list[Way] = [[] for _ in digests]
         traverse(digests, height, ways)
         rest = _way(over["way"][0].as_py())
@@ -206,14 +205,15 @@ def manifest(leaves: DataFrame, store: Stored) -> DataFrame:
         return pa.Table.from_arrays(cols, names=names_)
 
     # With one tier, groups have a single leaf each, and the tier above is the tier itself.
-    left = _blocks(own.select("row", "grp", "pos", "n", "digest", "tampered"))
+    left = _blocks(own.select("row", "grp", "pos", "n", "digest", "tampered"), tall)
     over = above.select("grp", F.col("pos").alias("block"), "subroot", "way")
     out = left.groupBy("grp", "block").cogroup(over.groupBy("grp", "block")).applyInArrow(run, f"row {kind}, leaf string, subroot string, root string, proof string, folded string")
     return out
 
 
-def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spread(table(spark, sf_dir, "documents"))
+def document_manifest(docs: DataFrame, tall: int = HEIGHT) -> DataFrame:
+    """(doc_id, leaf, subroot, root, proof_sha256, folded_root, verified) of documents, some of which are tampered with."""
+    spark = docs.sparkSession
     store = Stored(spark, "merkle")
     # Lower-case only A to Z; crc32 of the id in decimal decides which rows are tampered with.
     capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -222,10 +222,14 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = docs.select(*COLUMNS, F.coalesce(F.concat(F.lit("="), "lang"), F.lit("")).alias("grp"), leaf(docs).alias("digest"), touched.alias("touched"), lowered.alias("lowered"))
     tampered = F.when(F.col("touched"), leaf(own, COLUMNS, {"text": F.col("lowered")})).otherwise(F.col("digest"))
     leaves = store.cut(own.select(F.col("doc_id").alias("row"), "grp", "digest", tampered.alias("tampered")))
-    found = manifest(leaves, store)
+    found = manifest(leaves, store, tall)
     return found.select(F.col("row").alias("doc_id"), "leaf", "subroot", "root", F.col("proof").alias("proof_sha256"), F.col("folded").alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"))
 
 
+def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_manifest(spread(table(spark, sf_dir, "documents")))
+
+
 def _sql(deep: int = 6, wide: int = 3) -> str:
     """The same by a join a level, for groups of at most FAN^deep rows and FAN^wide groups; CRC-32 bit by bit, as DuckDB has none."""
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import compression_quality, exact_topk, language_id, line_dedup, line_quality, merkle, packing, piece_codec, pii, simhash, token_attribution, vector_codes
+from . import compression_quality, exact_topk, language_id, line_dedup, line_quality, merkle, packing, piece_codec, pii, simhash, token_attribution, vector_codes, vector_copies
 
 _QUERIES = {
     "op1_language_id": language_id,
@@ -15,6 +15,7 @@ _QUERIES = {
     "op8_token_attribution": token_attribution,
     "op9_piece_codec": piece_codec,
     "op10_compression_quality": compression_quality,
+    "op11_vector_copies": vector_copies,
     "op12_vector_codes": vector_codes,
     "op13_merkle_manifest": merkle,
 }

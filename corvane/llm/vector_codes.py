@@ -135,7 +135,7 @@ def moved_books(state: DataFrame, books: np.ndarray) -> np.ndarray:
         for b in batches:
             if b.num_rows:
                 at = (_codes(b.column(1)) + first).ravel()
-                np.add.at(sums, at, _parts(integers(b.column(0))).reshape(-1, width))
+                np.add.at(sums, at, _parts(integers(b.column(0))).reshape(len(at), width))
                 counts += np.bincount(at, minlength=PARTS * n)
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used]), pa.array(list(sums[used]), pa.list_(pa.int64()))], names=["at", "n", "sums"])
