@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from ..batches import groups
 from ..functions.paths import LANGUAGES, extension, relative_path
 from ..shipping import ship_package
+from ..storage import Stored
+from . import scopes as S
 
 SIZE, OVERLAP = 2000, 200
 BLOCK, BLOCK_OVERLAP_LINES = 1500, 5
@@ -185,7 +187,7 @@ _BRACE = re.compile(r"[{}]")
 
 
 def braced(text: str, start: int) -> str | None:
-    """From start to the brace that closes the first one after it; null if none does. Strings and comments count as code."""
+    """From start to the brace that closes the first one after it; null if none does. Strings and comments count, unless they are blank already."""
     opening = text.find("{", start)
     depth = 0
     for m in _BRACE.finditer(text, opening) if opening >= 0 else ():
@@ -362,7 +364,8 @@ def _sentence(text: str) -> str | None:
 
 
 def ingest_outline(path: str, text: str) -> list[Chunk]:
-    """Python by its syntax tree, with parents and first sentences of doc strings; other languages by their declarations' first lines.
+    """Python by its syntax tree, with parents and first sentences of doc strings; Java, Go, Rust, C, C++, C# and JavaScript by their
+    scopes; other languages by their declarations' first lines.
 
     There a declaration's parent is the nearest one above it that is indented less, its documentation the remarks right above it, and
     the imports at a file's head are a chunk of their own. Python files come here by the ingestor's name only.
@@ -370,6 +373,8 @@ def ingest_outline(path: str, text: str) -> list[Chunk]:
     ext = path.rsplit(".", 1)[-1].lower()
     if ext == "py":
         return _python_tree(path, text)
+    if ext in S.SCOPED:
+        return scope_chunks(text, S.facts(text, S.SCOPED[ext], S.module_of(path)), S.SCOPED[ext]) or ingest_whole(path, text)
     pattern = re.compile(_OUTLINES[ext]) if ext in _OUTLINES else None
     lines = text.split("\n")
     heads = [(k, next(g for g in m.groups() if g)) for k, x in enumerate(lines) if pattern and (m := pattern.match(x))]
@@ -394,6 +399,39 @@ def ingest_outline(path: str, text: str) -> list[Chunk]:
     return out
 
 
+def _remarks_above(lines: list[str], k: int) -> str:
+    """What the remarks right above a line say, without marks and tags."""
+    said: list[str] = []
+    block = False
+    while (k := k - 1) >= 0:
+        bare = lines[k].strip()
+        if block or bare.endswith("*/"):
+            block = not bare.startswith("/*")
+        elif not bare.startswith("//"):
+            break
+        said.insert(0, re.sub(r"^(?:/\*+!?|\*+/|\*|//[/!]*)\s?|\s*\*+/\s*$|</?\w[^>]*>", "", bare))
+    return " ".join(x for x in said if x)
+
+
+#: Declarations that are chunks; fields and properties belong to their type's.
+_TREE_KINDS = (*S.TYPES, *S.CALLABLE, "type")
+
+
+def scope_chunks(text: str, facts: S.Facts, language: str) -> list[Chunk]:
+    """The imports of a file, and each type and callable of its tree of scopes with its parent, head and documentation."""
+    lines, line_of, out = text.split("\n"), S.line_of(text), []
+    if facts.head:
+        a, b = facts.head
+        out.append(Chunk(text[a:b].strip(), "imports", "Imports", language, line_of(a), line_of(b)))
+    for d in facts.declared:
+        if d.kind in _TREE_KINDS or d.kind == "namespace" and text[d.end - 1 : d.end] == "}":
+            first = line_of(d.start)
+            doc = d.doc or _remarks_above(lines, first - 1)
+            title = f"{d.parent}.{d.name}" if d.parent else d.name
+            out.append(Chunk(text[d.start : d.end], d.kind, title, language, first, line_of(max(d.start, d.end - 1)), d.parent, d.signature, _sentence(doc)))
+    return out
+
+
 def _python_tree(path: str, text: str) -> list[Chunk]:
     import ast
 
@@ -416,6 +454,7 @@ def _python_tree(path: str, text: str) -> list[Chunk]:
     return out or ingest_whole(path, text)
 
 
+_ASSIGNED = re.compile(r"\s*=")
 _CS_DOC = re.compile(r"\s*///\s?(.*)")
 _CS_NAME = re.compile(r"([\w~]+)\s*(?:<[^>()]*>)?\s*$")
 _CS_VARIABLE = re.compile(r"(\w+)\s*(?:=[^,;]*)?\s*[,;]")
@@ -430,15 +469,18 @@ def _doc_above(text: str, at: int) -> tuple[int, str]:
     return (start if said else at), " ".join(said)
 
 
-def _members(body: str) -> Iterator[tuple[int, str]]:
-    """(place, text) of what stands right inside the braces of a type: up to a semicolon, or to the brace that closes its own."""
-    inside, depth, start = body.index("{") + 1, 0, None
-    for m in re.finditer(r"[{};]", body[inside:-1]):
+def _members(body: str, code: str) -> Iterator[tuple[int, str]]:
+    """(place, text) of what stands right inside the braces of a type: up to a semicolon, or to the brace that closes its own.
+
+    Braces are those of code, where strings and comments are blank.
+    """
+    inside, depth, start = code.index("{") + 1, 0, None
+    for m in re.finditer(r"[{};]", code[inside:-1]):
         at = inside + m.start()
         if start is None:
             start = inside
         depth += {"{": 1, "}": -1}.get(m[0], 0)
-        if depth == 0 and (m[0] == ";" or m[0] == "}" and not re.match(r"\s*=", body[at + 1 : -1])):
+        if depth == 0 and (m[0] == ";" or m[0] == "}" and not _ASSIGNED.match(code, at + 1)):
             piece = body[start : at + 1]
             lead = len(piece) - len(piece.lstrip())
             if piece.strip(" ;\n\r\t"):
@@ -453,18 +495,20 @@ def ingest_members(path: str, text: str) -> list[Chunk]:
     """
     out: list[Chunk] = []
     line_of = _lines_of(text)
-    for m in _CS_TYPE.finditer(text):
-        if (body := braced(text, m.end())) is None:
+    plain = S.blanked(text, "csharp")
+    for m in _CS_TYPE.finditer(plain):
+        if (code := braced(plain, m.end())) is None:
             continue
+        body = text[m.end() : m.end() + len(code)]
         begin = m.start() + len(m[0]) - len(m[0].lstrip())
         top, said = _doc_above(text, begin)
-        declared = text[top : m.end()] + body[: body.index("{")]
-        signature = (m[0] + body[: body.index("{")]).strip()
+        declared = text[top : m.end()] + body[: code.index("{")]
+        signature = (m[0] + body[: code.index("{")]).strip()
         line = line_of(begin)
         out.append(Chunk(declared.strip(), m[1], m[2], "csharp", line, line_of(m.end() + len(body) - 1), None, signature, _sentence(said)))
         if m[1] == "enum":
             continue
-        for at, piece in _members(body):
+        for at, piece in _members(body, code):
             remarks = re.match(r"(?:\s*(?://[^\n]*|\[[^\]\n]*\])\s*\n)*\s*", piece)
             bare = piece[remarks.end() :]
             said = " ".join(re.sub("<[^>]+>", "", x) for x in re.findall(r"///\s?(.*)", remarks[0]))
@@ -524,31 +568,66 @@ _OUT = [
 ]
 
 
-def ingest(files: DataFrame, ingestor: str | None = None, path_col: str = "path", text_col: str = "content") -> DataFrame:
-    """Chunks of files: (path, content_id, chunk_index, text, chunk_type, title, language, start_line, end_line, parent, signature, doc).
+_INGESTED = "path string, chunk_index int, text string, chunk_type string, title string, language string, start_line int, end_line int, parent string, signature string, doc string"
+#: The kind of a row that tells why a file gave no chunks.
+FAILED = "error"
+
+
+def ingest_or_fail(files: DataFrame, ingestor: str | None = None, path_col: str = "path", text_col: str = "content") -> DataFrame:
+    """Chunks of files as `ingest` gives them, and for each file whose ingestor raised one row of type FAILED with the reason as text.
 
-    Without an ingestor's name each file goes by its route. Null and blank contents give no rows.
+    What a file gave before it failed is left out, so a file is indexed as a whole or not at all. An ingestor that isn't known fails its files.
     """
     ship_package(files.sparkSession)
     how = F.lit(ingestor) if ingestor else route(F.col(path_col))
     known = dict(INGESTORS)
     schema = pa.schema([("path", pa.string()), ("chunk_index", pa.int32()), *_OUT])
+    nothing = (None,) * (len(_OUT) - 2)
+
+    def chunks(path: str, text: str, how: str) -> list[tuple]:
+        try:
+            return [(path, k, *vars(c).values()) for k, c in enumerate(known[how](path or "", text))]
+        except Exception as e:  # whatever an ingestor raises is the file's own fault and no other's  # noqa: BLE001
+            return [(path, -1, f"{type(e).__name__}: {e}", FAILED, *nothing)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in groups(whole):
-                rows = []
-                for p, t, h in zip(*(b.column(k).to_pylist() for k in range(3))):
-                    if t and t.strip():
-                        rows += [(p, k, *vars(c).values()) for k, c in enumerate(known[h](p or "", t))]
+                rows = [r for p, t, h in zip(*(b.column(k).to_pylist() for k in range(3))) if t and t.strip() for r in chunks(p, t, h)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(list(x), f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
 
     own = files.select(F.col(path_col).alias("path"), F.col(text_col).alias("content"), how.alias("how"))
-    df = own.mapInArrow(run, "path string, chunk_index int, text string, chunk_type string, title string, language string, start_line int, end_line int, parent string, signature string, doc string")
+    df = own.mapInArrow(run, _INGESTED)
     return df.withColumn("content_id", content_id(F.col("path"), F.col("chunk_type"), F.col("title"), F.col("start_line")))
 
 
+def ingest(files: DataFrame, ingestor: str | None = None, path_col: str = "path", text_col: str = "content") -> DataFrame:
+    """Chunks of files: (path, content_id, chunk_index, text, chunk_type, title, language, start_line, end_line, parent, signature, doc).
+
+    Without an ingestor's name each file goes by its route. Null and blank contents give no rows, and neither do files whose ingestor
+    raises, which end no run: `index_run` counts them and tells why.
+    """
+    return ingest_or_fail(files, ingestor, path_col, text_col).filter(F.col("chunk_type") != FAILED)
+
+
+def index_run(files: DataFrame, ingestor: str | None = None, path_col: str = "path", text_col: str = "content") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(chunks, errors, summary) of one run over files: errors are (path, error); the summary counts files, files without chunks, failures and chunks.
+
+    The run's rows are written to the shared folder once, so each file is ingested once for all three. A run has failed if all files that
+    have a text did, as the state of a job.
+    """
+    store = Stored(files.sparkSession, "index_run")
+    rows = store.cut(ingest_or_fail(files, ingestor, path_col, text_col))
+    chunks, failed = rows.filter(F.col("chunk_type") != FAILED), rows.filter(F.col("chunk_type") == FAILED)
+    by = rows.agg(F.count_distinct(F.when(F.col("chunk_type") != FAILED, F.col("path"))).alias("indexed"), F.count_if(F.col("chunk_type") == FAILED).alias("failed"), F.count_if(F.col("chunk_type") != FAILED).alias("chunks"))
+    total = files.agg(F.count(F.lit(1)).alias("files"))
+    state = F.when((F.col("failed") > 0) & (F.col("indexed") == 0), "Failed").otherwise("Completed")
+    # Both sides are one row.
+    summary = total.join(F.broadcast(by)).select("files", "indexed", "failed", (F.col("files") - F.col("indexed") - F.col("failed")).alias("empty"), "chunks", state.alias("state"))
+    return chunks, failed.select("path", F.col("text").alias("error")), summary
+
+
 def tree_chunks(chunks: DataFrame, root: str) -> DataFrame:
     """Chunks of `ingest` as a tree reads them: (rel_path, chunk_type, symbol, parent, title, signature, content, start_line, end_line)."""
     symbol = F.when(F.col("chunk_type").isin(*SYMBOL_KINDS), F.substring_index("title", ".", -1))

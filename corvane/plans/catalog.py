@@ -570,4 +570,4 @@ add("ingest_files", lambda t: _ingested(t).select("content_id", "chunk_index", "
 add("split_texts", lambda t: C.split_rows(t.documents.select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"), F.lit("PlainText").alias("kind")), "text", "kind").select("doc_id", "chunk_index", F.length("chunk").alias("n_chars")))
 add("hash_embeddings", lambda t: t.documents.select("doc_id", C.hashing_embedding(F.col("text")).alias("embedding")))
 
-from . import code_texts, compositions  # noqa: E402, F401  they add more queries
+from . import code_texts, compositions, source_texts  # noqa: E402, F401  they add more queries
