@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..operators.mutate import delete_prefix, replace_content
 from ..shipping import ship_package
+from ..sources.snapshots import SnapshotTable
 
 SILENCE_MS = 500
 BATCHES = "workspace string, batch_start timestamp, batch_end timestamp, change_type string, path string"
@@ -127,4 +128,14 @@ def change_sink(path_of: Callable[[int], str], current: Callable[[], DataFrame],
     return write
 
 
-__all__ = ["apply_changes", "change_sink", "debounce_batch", "debounce_stream", "delete_prefix", "replace_content", "with_renames"]
+def snapshot_sink(table: SnapshotTable, ingest: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that commits each batch of changes as a version of a table of chunks, once however often it is repeated."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        rows = batch.withColumn("seq", F.struct("batch_end", "change_type"))
+        table.update(lambda chunks: apply_changes(chunks, rows, ingest), number)
+
+    return write
+
+
+__all__ = ["snapshot_sink", "apply_changes", "change_sink", "debounce_batch", "debounce_stream", "delete_prefix", "replace_content", "with_renames"]
