@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.mutate import delete_prefix, replace_content
@@ -98,7 +98,11 @@ def debounce_stream(events: DataFrame, silence_ms: int = SILENCE_MS, delay: str
 
 
 def debounce_batch(events: DataFrame, silence_ms: int = SILENCE_MS) -> DataFrame:
-    """The same rule over a finished set of events."""
+    """The same rule over a finished set of events.
+
+    A pause as long as the silence between two events ends a set whatever is in it, so what is between such pauses is a group of
+    its own, and a workspace isn't gathered in one.
+    """
     ship_package(events.sparkSession)
 
     def run(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
@@ -106,7 +110,11 @@ def debounce_batch(events: DataFrame, silence_ms: int = SILENCE_MS) -> DataFrame
         out = [x for ms, k in _events(iter([f])) for x in d.feed(ms, k)] + d.flush()
         return _frame(key[0], out)
 
-    return events.select("ts", "workspace", "change_type", "path").groupBy("workspace").applyInPandas(run, BATCHES)
+    by_time = Window.partitionBy("workspace").orderBy("ts")
+    pause = F.unix_millis("ts") - F.unix_millis(F.lag("ts").over(by_time)) >= silence_ms
+    own = events.select("ts", "workspace", "change_type", "path").withColumn("pause", F.coalesce(pause, F.lit(False)).cast("int"))
+    parts = own.withColumn("part", F.sum("pause").over(by_time.rangeBetween(Window.unboundedPreceding, 0))).drop("pause")
+    return parts.groupBy("workspace", "part").applyInPandas(run, BATCHES)
 
 
 def apply_changes(chunks: DataFrame, changes: DataFrame, ingest: Callable[[DataFrame], DataFrame]) -> DataFrame:

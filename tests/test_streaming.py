@@ -1,12 +1,16 @@
 """Change streams: the debounce rule as a batch and as a stream, renames, and application."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from corvane.functions.cron import next_time
 from corvane.streaming import changes as CH
+
 from corvane.streaming import jobs as J
+from corvane.streaming import timers as T
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -80,3 +84,114 @@ def test_dedupe_stream(spark, tmp_path):
     finally:
         q.stop()
     assert spark.sql("SELECT * FROM requests").count() == 2
+
+
+# ---- state by entry: timers and the queue
+
+
+def run_stream(spark, build, source, out, checkpoint):
+    """One run over what there is, into a folder, from the checkpoint on."""
+    q = build(source).writeStream.format("parquet").option("path", str(out)).option("checkpointLocation", str(checkpoint)).trigger(availableNow=True).outputMode("append").start()
+    try:
+        q.awaitTermination(240)
+        assert q.exception() is None
+    finally:
+        q.stop()
+
+
+def add_file(spark, folder, name, rows, schema):
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").json(str(folder / name))
+
+
+def test_debounce_by_timers_goes_on_after_a_restart(spark, tmp_path):
+    schema = "ts timestamp, workspace string, change_type string, path string"
+    rng = random.Random(5)
+    events = [(at(k * 60 + rng.randrange(60)), rng.choice("wv"), rng.choice(["Created", "Modified"]), rng.choice("abcdef")) for k in range(0, 400) if k % 40 < 25]
+    third = len(events) // 3
+    sets = [events[:third], events[third : 2 * third], events[2 * third :], [(at(10**6), "x", "Created", "s")], [(at(2 * 10**6), "x", "Created", "s")]]
+    source = lambda: spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    for k, rows in enumerate(sets):  # each in a run of its own, so that what is pending comes from the checkpoint
+        add_file(spark, tmp_path / "in", str(k), rows, schema)
+        run_stream(spark, T.debounce_timers, source(), tmp_path / "out", tmp_path / "cp")
+    got = {x for x in seen(spark.read.parquet(str(tmp_path / "out")).collect()) if x[0] in "wv"}
+    want = seen(CH.debounce_batch(spark.createDataFrame(events, schema)).collect())
+    assert got == want and len({(w, s) for w, s, _, _ in want}) > 4
+
+
+def simulate(events, capacity, workers):
+    """The queue as plain lists."""
+    line, running, active, out = [], set(), {}, []
+    known = set()
+    order = {"completed": 0, "failed": 1, "cancelled": 2, "folder": 3, "content": 4}
+    state = {}
+    for ts, event, job, path in sorted(events, key=lambda e: (e[0], order[e[1]], e[2])):
+        if order[event] < 3:
+            if job in running:
+                running.remove(job)
+                known.discard(job)
+                active = {p: j for p, j in active.items() if j != job}
+                out.append((job, event.capitalize(), job))
+        elif job in known:
+            continue
+        elif event == "folder" and path.lower() in active:
+            out.append((job, "Duplicate", active[path.lower()]))
+            continue
+        elif event == "content" and len(line) >= capacity:
+            out.append((job, "Refused", job))
+            continue
+        else:
+            known.add(job)
+            if event == "folder":
+                active[path.lower()] = job
+            state[job] = "Queued" if len(line) < capacity else "Waiting"
+            line.append(job)
+            out.append((job, state[job], job))
+        while len(running) < workers and line:
+            first = line.pop(0)
+            running.add(first)
+            out.append((first, "Processing", first))
+            if len(line) >= capacity and state[line[capacity - 1]] == "Waiting":
+                state[line[capacity - 1]] = "Queued"
+                out.append((line[capacity - 1], "Queued", line[capacity - 1]))
+    return out
+
+
+def test_job_queue_follows_the_rule_over_restarts(spark, tmp_path):
+    schema = "queue string, ts timestamp, event string, job_id string, path string"
+    rng = random.Random(3)
+    events, asked = [], 0
+    for k in range(180):
+        if rng.random() < 0.55 or not asked:
+            asked += 1
+            kind = rng.choice(["folder", "folder", "content"])
+            events.append((at(k * 1000), kind, f"j{asked:03d}", rng.choice("ABCDEFGHIJKLMNOP") if kind == "folder" else None))
+        else:
+            events.append((at(k * 1000), rng.choice(["completed", "failed", "cancelled"]), f"j{max(1, asked - rng.randrange(12)):03d}", None))
+    for n in range(3):
+        part = events[n * 60 : (n + 1) * 60]
+        add_file(spark, tmp_path / "in", str(n), [("q", *e) for e in part] + [("other", *e) for e in part], schema)
+        source = spark.readStream.schema(schema).option("recursiveFileLookup", "true").json(str(tmp_path / "in"))
+        run_stream(spark, lambda s: T.job_queue(s, capacity=4, workers=2), source, tmp_path / "out", tmp_path / "cp")
+    rows = spark.read.parquet(str(tmp_path / "out"))
+    want = simulate(events, 4, 2)
+    assert {s for _, s, _ in want} == {"Queued", "Waiting", "Processing", "Completed", "Failed", "Cancelled", "Duplicate", "Refused"}
+    for queue in ("q", "other"):
+        assert [(r.job_id, r.state, r.run_by) for r in rows.filter(F.col("queue") == queue).orderBy("seq").collect()] == want
+    last = {j: s for j, s, _ in want}
+    assert {r.job_id: r.state for r in T.current_states(rows.filter("queue = 'q'")).collect()} == last
+
+
+#: Next times worked out by hand with a calendar; Monday 1 January 2024 is the start unless another is given.
+RULES = [
+    ("0 9 L * *", "2024-01-31 09:00"), ("0 9 L 2 ?", "2024-02-29 09:00"), ("30 6 L-3 * *", "2024-01-28 06:30"), ("0 0 15W 6 ?", "2024-06-14 00:00"), ("0 0 1W 6 *", "2024-06-03 00:00"), ("0 0 30W 6 *", "2024-06-28 00:00"),
+    ("0 0 LW 3 *", "2024-03-29 00:00"), ("0 0 LW 6 *", "2024-06-28 00:00"), ("0 12 ? * 5L", "2024-01-26 12:00"), ("0 12 * * FRIL", "2024-01-26 12:00"), ("0 12 ? * 1#2", "2024-01-08 12:00"), ("0 12 ? * MON#5", "2024-01-29 12:00"), ("0 0 ? 2 4#5", "2024-02-29 00:00"),
+    ("0 0 * * 7L", "2024-01-28 00:00"), ("0 0 L,15 * *", "2024-01-15 00:00"), ("0 0 13 * 5", "2024-09-13 00:00"), ("0 22-1 * * *", "2024-01-01 01:00"), ("0 0 * * FRI-MON", "2024-01-05 00:00"), ("@weekly", "2024-01-07 00:00"), ("@hourly", "2024-01-01 01:00"),
+    ("0 0 31W 2 *", None), ("0 0 W * *", None), ("0 0 32 * *", None), ("0 0 ? ? *", None), ("0 0 * * 5#6", None), ("0 0 L-31 * *", None), ("? * * * *", None), ("x", None), ("0 0 ** * *", None),
+]
+
+
+@pytest.mark.parametrize("rule,want", RULES)
+def test_rules_of_days(rule, want):
+    start = int(dt.datetime(2024, 1, 1, tzinfo=dt.UTC).timestamp())
+    found = next_time(rule, start)
+    assert (found and dt.datetime.fromtimestamp(found, dt.UTC).strftime("%Y-%m-%d %H:%M")) == want
