@@ -121,7 +121,9 @@ add("chunks_for_tree", lambda t: V.chunks_for_tree(_mapped(t), "/Corpus//src1",
     X.ORACLE_CHUNKS + " SELECT content_id, substring(source_path, 14) AS rel_path, 'Sym' || (vec_id % 50) AS symbol, CASE WHEN vec_id % 3 > 0 THEN vec_id::INTEGER END AS start_line, 'method' AS chunk_type FROM chunks WHERE source_path ILIKE '/corpus/src1/%' AND (contains(lower(substring(source_path, 14)), 'sym1') OR contains(lower('Sym' || (vec_id % 50)), 'sym1'))")
 add("workspace_search", lambda t: _hits(S.workspace_search(X.chunks(t), X.query_vector(t, 2), "/corpus/src2", "DOCS", 10, 0.0)),
     _scores(2, "content_type IN ('Documentation', 'Markdown', 'PlainText') AND source_path ILIKE '/corpus/src2%'") + "SELECT content_id, round(s, 6) AS score FROM scored WHERE s >= 0 ORDER BY s DESC, content_id LIMIT 10")
-add("multi_workspace_error", lambda t: S.multi_workspace_search(X.chunks(t), _workspaces(t), ["nowhere"], X.query_vector(t, 2)).select("content_id", "error"), "SELECT NULL::VARCHAR AS content_id, 'no workspace of that name' AS error")
+add("multi_workspace_error",
+    lambda t: S.multi_workspace_search(X.chunks(t), _workspaces(t), ["nowhere"], X.query_vector(t, 2)).unionByName(S.multi_workspace_search(X.chunks(t), _workspaces(t), ["SRC1", "nowhere"], X.query_vector(t, 2), min_score=None)).select("content_id", "error"),
+    _scores(2, f"workspace_id = {_SRC1}") + "SELECT content_id, NULL::VARCHAR AS error FROM (SELECT * FROM scored ORDER BY s DESC, content_id LIMIT 20) UNION ALL SELECT NULL, 'no workspace of that name'")
 
 # ---- graph
 
@@ -570,4 +572,4 @@ add("ingest_files", lambda t: _ingested(t).select("content_id", "chunk_index", "
 add("split_texts", lambda t: C.split_rows(t.documents.select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"), F.lit("PlainText").alias("kind")), "text", "kind").select("doc_id", "chunk_index", F.length("chunk").alias("n_chars")))
 add("hash_embeddings", lambda t: t.documents.select("doc_id", C.hashing_embedding(F.col("text")).alias("embedding")))
 
-from . import code_texts, compositions, source_texts  # noqa: E402, F401  they add more queries
+from . import code_texts, compositions, source_texts, stores  # noqa: E402, F401  they add more queries

@@ -79,20 +79,23 @@ def _embedded(text: Column) -> Column:
 
 
 def _indexed(t: X.Tables) -> DataFrame:
-    """Documents with an even number indexed over the chunks; every fourth of them is blank, which deletes its content."""
+    """All documents indexed with their own texts over the chunks; every eighth of them is blank, which deletes its content."""
     old = X.chunks(t).select("content_id", "chunk_index", "content", "content_type", "embedding")
-    blank = F.col("doc_id") % 8 == 0
-    new = t.documents.filter("doc_id % 2 = 0").select(F.concat(F.lit("doc:"), "doc_id").alias("content_id"), F.when(blank, " ").otherwise(F.concat(F.lit("# a"), "doc_id", F.lit("\n# b"), "doc_id")).alias("content"), F.lit("Markdown").alias("content_type"))
+    text = F.when(F.col("doc_id") % 8 == 0, " ").otherwise(F.col("text"))
+    new = t.documents.select(F.concat(F.lit("doc:"), "doc_id").alias("content_id"), text.alias("content"), F.lit("PlainText").alias("content_type"))
     return M.index_content(old, new, _embedded).select("content_id", "chunk_index", F.sha2(F.coalesce("content", F.lit("")), 256).alias("sha"), F.size("embedding").alias("width"))
 
 
+# The texts have no blank lines and no blanks at their ends, so that each is one chunk as it is.
 add("index_content", _indexed,
-    X.ORACLE_CHUNKS + """, d AS (SELECT 'doc:' || doc_id AS content_id, doc_id FROM documents WHERE doc_id % 2 = 0), n AS (SELECT content_id, unnest([0, 1]) AS chunk_index, doc_id FROM d WHERE doc_id % 8 <> 0)
-    SELECT content_id, chunk_index, sha256(coalesce(content, '')) AS sha, len(embedding)::INTEGER AS width FROM chunks WHERE content_id NOT IN (SELECT content_id FROM d) UNION ALL SELECT content_id, chunk_index, sha256('# ' || ['a', 'b'][chunk_index + 1] || doc_id), 1 FROM n""")
-add("deleted_content", lambda t: M.was_there(X.chunks(t), "doc:3").unionByName(M.was_there(X.chunks(t), "doc:none")), "SELECT unnest([TRUE, FALSE]) AS deleted")
-add("clear_all", lambda t: M.cleared(X.chunks(t)).agg(F.count(F.lit(1)).alias("n")), "SELECT 0::BIGINT AS n")
+    X.ORACLE_CHUNKS + """ SELECT content_id, chunk_index, sha256(coalesce(content, '')) AS sha, len(embedding)::INTEGER AS width FROM chunks WHERE content_id NOT IN (SELECT 'doc:' || doc_id FROM documents)
+    UNION ALL SELECT 'doc:' || doc_id, 0, sha256(text), 1 FROM documents WHERE doc_id % 8 <> 0 AND trim(text) <> ''""")
+add("deleted_content", lambda t: M.was_there(X.chunks(t), "doc:3").unionByName(M.was_there(X.chunks(t), "doc:none")), X.ORACLE_CHUNKS + " SELECT count(*) > 0 AS deleted FROM chunks WHERE content_id = 'doc:3' UNION ALL SELECT count(*) > 0 FROM chunks WHERE content_id = 'doc:none'")
+add("clear_all", lambda t: X.chunks(t).groupBy("content_type").agg(F.count(F.lit(1)).alias("before")).join(M.cleared(X.chunks(t)).groupBy("content_type").agg(F.count(F.lit(1)).alias("n")), "content_type", "left").select("content_type", "before", F.coalesce("n", F.lit(0)).alias("n")),
+    X.ORACLE_CHUNKS + " SELECT content_type, count(*) AS before, 0::BIGINT AS n FROM chunks GROUP BY content_type")
 add("add_rows", lambda t: M.add_rows(t.nation.select("n_nationkey", "n_name"), t.region.select(F.col("r_regionkey").alias("n_nationkey"))).select("n_nationkey", "n_name"), "SELECT n_nationkey, n_name FROM nation UNION ALL SELECT r_regionkey, NULL FROM region")
-add("index_metadata_rows", lambda t: M.index_metadata_rows("/w", 7, 5, F.lit("2024-01-01 00:00:00").cast("timestamp"), None, t.spark), "SELECT '/w' AS workspace_path, unnest(['rag', 'graph']) AS index_type, TIMESTAMP '2024-01-01' AS indexed_at, NULL::VARCHAR AS commit_sha, 7 AS files_indexed, 5 AS items_created")
+add("index_metadata_rows", lambda t: M.index_metadata_rows("/w", t.documents.count(), t.documents.filter("lang = 'en'").count(), F.lit("2024-01-01 00:00:00").cast("timestamp"), None, t.spark),
+    "SELECT '/w' AS workspace_path, unnest(['rag', 'graph']) AS index_type, TIMESTAMP '2024-01-01' AS indexed_at, NULL::VARCHAR AS commit_sha, count(*)::INTEGER AS files_indexed, (count(*) FILTER (lang = 'en'))::INTEGER AS items_created FROM documents")
 add("set_default", lambda t: M.set_default(M.set_default(K._workspaces(t), "SRC2"), "nowhere").select("path", "is_default"), "SELECT DISTINCT '/corpus/' || source AS path, source = 'src2' AS is_default FROM documents")
 
 
@@ -215,14 +218,24 @@ add("tree_explore", _explored,
     + f") SELECT node_id, name FROM tree UNION ALL SELECT 'content', {_filled_sql(_MEMBERS[5][7], k='1')}")
 
 # ---- composed searches and states
-add("prompt_enrichment", lambda t: S.prompt_enrichment(_pascal_nodes(t), X.edges(t), "who calls OrderHandler or the IOrderMaker?"),
-    "SELECT 'Nation.Space' AS namespace, '- Class OrderHandler (match)' || chr(10) || '- Interface IOrderMaker (match)' AS text")
+add("prompt_enrichment", lambda t: S.prompt_enrichment(*_pascal_graph(t), "who calls AfricaHandler, or is the IEuropeMaker?"),
+    """WITH r AS (SELECT r_regionkey AS k, upper(r_name[1:1]) || lower(r_name[2:]) AS name FROM region), n AS (SELECT k, 'Space' || k AS namespace, name || 'Handler' AS c, 'I' || name || 'Maker' AS i FROM r)
+    SELECT namespace, '- Interface ' || i || ' (match)' AS text FROM n WHERE i = 'IEuropeMaker' UNION ALL
+    SELECT namespace, CASE c WHEN 'AfricaHandler' THEN '- Class AfricaHandler (match)' ELSE '- Class ' || c || ' (implementation)' END FROM n WHERE c = 'AfricaHandler' OR (k + 1) % (SELECT count(*) FROM region) = (SELECT k FROM r WHERE name = 'Europe')""")
 
 
-def _pascal_nodes(t: X.Tables) -> DataFrame:
-    """Two types with PascalCase names that no edge touches."""
-    rows = [("x1", "Class", "OrderHandler", "Nation.Space.OrderHandler"), ("x2", "Interface", "IOrderMaker", "Nation.Space.IOrderMaker")]
-    return t.spark.createDataFrame(rows, "id string, node_type string, name string, full_name string").unionByName(X.nodes(t).select("id", "node_type", "name", "full_name"))
+def _pascal_graph(t: X.Tables) -> tuple[DataFrame, DataFrame]:
+    """Of each region a class and an interface with PascalCase names; a class implements the next region's interface."""
+    k, name = F.col("r_regionkey").cast("string"), F.initcap(F.lower("r_name"))
+    n = t.region.count()
+
+    def own(mark: str, kind: str, called: Column) -> DataFrame:
+        return t.region.select(F.concat(F.lit(mark), k).alias("id"), F.lit(kind).alias("node_type"), called.alias("name"), F.concat(F.lit("Space"), k, F.lit("."), called).alias("full_name"))
+
+    types = own("x", "Class", F.concat(name, F.lit("Handler"))).unionByName(own("y", "Interface", F.concat(F.lit("I"), name, F.lit("Maker"))))
+    implements = t.region.select(F.lit("Implements").alias("edge_type"), F.concat(F.lit("x"), k).alias("source_id"), F.concat(F.lit("y"), ((F.col("r_regionkey") + 1) % n).cast("string")).alias("target_id"))
+    edges = X.edges(t).select("edge_type", "source_id", "target_id").unionByName(implements)
+    return types.unionByName(X.nodes(t).select("id", "node_type", "name", "full_name")), edges
 
 
 def _described(t: X.Tables) -> DataFrame:
@@ -340,12 +353,15 @@ def _called(t: X.Tables) -> DataFrame:
 
 
 def _listed(t: X.Tables) -> DataFrame:
-    _tools(t)
-    return TOOLS.listing(t.spark).filter("name = 'nation_lookup'").select("name", "description", F.get_json_object("parameters", "$.properties.regions.type").alias("regions"), F.get_json_object("parameters", "$.required[1]").alias("second"))
+    """A tool for each region, described by the number of its nations, as the listing shows them."""
+    counts = t.nation.groupBy("n_regionkey").agg(F.count(F.lit(1)).alias("n"))
+    for r in t.region.join(counts, F.col("r_regionkey") == F.col("n_regionkey")).collect():  # a row for each region
+        TOOLS.register(TOOLS.Tool(f"nations_of_{r['r_name'].lower()}", f"{r['n']} nations", _Lookup, lambda spark, p: spark.range(0)))
+    return TOOLS.listing(t.spark).filter("name LIKE 'nations_of_%'").select("name", "description", F.get_json_object("parameters", "$.properties.regions.type").alias("regions"), F.get_json_object("parameters", "$.required[1]").alias("second"))
 
 
 add("tool_call", _called, "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name IN ('ASIA', 'AFRICA') AND starts_with(n_name, 'NATION_1') ORDER BY n_name LIMIT 4")
-add("tool_listing", _listed, "SELECT 'nation_lookup' AS name, 'Nations by the start of their names' AS description, 'array' AS regions, 'regions' AS second")
+add("tool_listing", _listed, "SELECT 'nations_of_' || lower(r_name) AS name, count(*) || ' nations' AS description, 'array' AS regions, 'regions' AS second FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name")
 
 
 def _fetched(t: X.Tables) -> DataFrame:

@@ -58,7 +58,17 @@ def _feed(data: bytes, place: str) -> Iterator[tuple]:
 
 
 def _papers(data: bytes, place: str) -> Iterator[tuple]:
-    for p in json.loads(data).get("data") or []:
+    """Of one JSON document, or of one on each line, of which broken ones are left out."""
+    try:
+        payloads = [json.loads(data)]
+    except ValueError:
+        payloads = []
+        for line in data.split(b"\n"):
+            try:
+                payloads.append(json.loads(line))
+            except ValueError:
+                continue
+    for p in (x for payload in payloads for x in payload.get("data") or []):
         names = [a.get("name") for a in p["authors"]] if p.get("authors") is not None else None
         yield p.get("paperId"), "paper", p.get("title"), names, p.get("abstract"), p.get("url"), (p.get("externalIds") or {}).get("DOI"), p.get("year"), p.get("citationCount")
 

@@ -18,6 +18,8 @@ from ..shipping import ship_package
 from ..sources.snapshots import SnapshotTable
 
 SILENCE_MS = 500
+#: Pauses after which the events of a workspace are another group.
+PAUSES = 1000
 BATCHES = "workspace string, batch_start timestamp, batch_end timestamp, change_type string, path string"
 
 
@@ -100,8 +102,8 @@ def debounce_stream(events: DataFrame, silence_ms: int = SILENCE_MS, delay: str
 def debounce_batch(events: DataFrame, silence_ms: int = SILENCE_MS) -> DataFrame:
     """The same rule over a finished set of events.
 
-    A pause as long as the silence between two events ends a set whatever is in it, so what is between such pauses is a group of
-    its own, and a workspace isn't gathered in one.
+    A pause as long as the silence between two events ends a set whatever is in it, so a workspace can be cut at such pauses: as
+    many as PAUSES of them go together, and a workspace isn't gathered in one group.
     """
     ship_package(events.sparkSession)
 
@@ -113,7 +115,8 @@ def debounce_batch(events: DataFrame, silence_ms: int = SILENCE_MS) -> DataFrame
     by_time = Window.partitionBy("workspace").orderBy("ts")
     pause = F.unix_millis("ts") - F.unix_millis(F.lag("ts").over(by_time)) >= silence_ms
     own = events.select("ts", "workspace", "change_type", "path").withColumn("pause", F.coalesce(pause, F.lit(False)).cast("int"))
-    parts = own.withColumn("part", F.sum("pause").over(by_time.rangeBetween(Window.unboundedPreceding, 0))).drop("pause")
+    pauses = F.sum("pause").over(by_time.rangeBetween(Window.unboundedPreceding, 0))
+    parts = own.withColumn("part", F.floor(pauses / PAUSES)).drop("pause")
     return parts.groupBy("workspace", "part").applyInPandas(run, BATCHES)
 
 
