@@ -1,8 +1,9 @@
 """Surrogates for personal data and secrets: keyed, of the same type and format, distinct and coreferent.
 
 Detected are e-mail, IPv4 and IPv6 addresses, phone, payment card (by checksum), social security and IBAN numbers
-(by checksum), secrets after a telling name or with a telling prefix, names after a title and their later mentions
-without one. A secret after a name is all that its quotes hold, or all up to a blank. Each entity has a
+(by checksum), secrets after a telling name or with a telling prefix, bearer and web tokens, names after a title, in upper case too, with
+particles between their parts, and their other mentions, earlier ones too. A given name that is a word as well begins a sentence as a word unless a
+family name follows. Phone numbers of ten digits without a country agree with those of country 1; other national forms aren't found. A secret after a name is all that its quotes hold, or all up to a blank. Each entity has a
 type and a normal form, in which its spellings agree; equal normal forms get equal surrogates everywhere.
 
 The key is the caller's or that of the session (`KEY_SETTING`); without one nothing is replaced, as whoever knows the key
@@ -17,7 +18,8 @@ make names and domains longer, so they don't run out.
 Collision checks: all entities of the corpus are gathered once each. A surrogate that is itself an entity of
 the corpus, or that two entities share, is dropped, and all but the smallest of the sharers try again with the
 next attempt number, until none is left. Where a corpus fills the space of a shape, as it can with a private network, no
-surrogate is free of real values: after `FULL` attempts all values of that shape take one permutation, distinct still. These
+surrogate is free of real values: after `FULL` attempts all values of that shape take one permutation, distinct still, and one that leaves none of
+them as it is. No value is its own surrogate. These
 exceptions go to the workers by broadcast up to `MAX_BROADCAST` of them; beyond that, each document gets its own by a join.
 
 Null texts stay null; empty ones stay empty. Texts of any length are read whole, in time proportional to their length, and
@@ -46,7 +48,7 @@ MAX_BROADCAST = 50_000
 MAX_ATTEMPTS = 64
 #: Attempts after which the values of a full shape take one permutation, and the types whose shapes a corpus can fill.
 FULL = 12
-FILLABLE = ("ip", "ipv6", "phone", "ssn", "card")
+FILLABLE = ("ip", "ipv6", "phone", "ssn", "card", "secret", "iban")
 
 _DIGITS, _LOWER, _UPPER, _HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
 
@@ -64,6 +66,13 @@ TITLES = {
     "Dr": "n", "Prof": "n",
     "Господин": "m", "Госпожа": "f", "Κύριος": "m", "Κυρία": "f",
 }
+TITLES |= {t.upper(): gender for t, gender in TITLES.items()}
+#: What stands in lower case between the parts of a name.
+PARTICLES = "van von de der den del della di da dos das du la le ter ten zu zum bin ibn al el".split()
+#: Given names that are words too. At the start of a sentence they are a name only before a family name.
+WORD_NAMES = frozenset("will mark may rose grace hope faith bill art frank jack pat sue drew chase dawn june april august summer joy ivy ray rob nick don grant miles penny rich victor wade ward".split())
+#: Calling codes of countries with one and two digits; all others have three.
+CALLING = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 #: By script, syllables and the endings of given names by gender, and of family names.
 NAME_PARTS = {
     "latin": ("ba be da de fa ga ka ke la le li lo ma me mi na ne ni ra re ri ro sa se ta te ti va vi za".split(), {"m": "no", "f": "na", "n": "ne"}, "ner"),
@@ -71,13 +80,17 @@ NAME_PARTS = {
     "greek": ("βα γα δα θε κα κε λα λε λι μα με να νε νι πα πε ρα ρε ρι σα σε τα τε τι φα φε".split(), {"m": "νος", "f": "νη", "n": "νι"}, "ίδης"),
 }
 
+_HOST = "A-Za-z0-9\u00c0-\u024f\u0370-\u03ff\u0400-\u04ff"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _PATTERN = re.compile(
     # An address begins where a run of its characters does, and a run is never read twice, so long runs cost no more than their length.
-    r"(?P<email>(?<![A-Za-z0-9._%+-])[._%+-]*+(?P<mail>[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}))"
+    r"(?P<email>(?<![A-Za-z0-9._%+-])[._%+-]*+(?P<mail>[A-Za-z0-9][A-Za-z0-9._%+-]*+"
+    rf"@[{_HOST}](?:[{_HOST}-]*[{_HOST}])?(?:\.[{_HOST}](?:[{_HOST}-]*[{_HOST}])?)*\.[A-Za-z]{{2,}}))"
     r"|(?P<secret>(?i:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key)[\"']?\s*[:=]\s*"
     r"(?:\"(?P<double>(?:\\.|[^\"\\]){8,})\"|'(?P<single>(?:\\.|[^'\\]){8,})'|[\"']?(?P<plain>(?:(?![,;&][\"']?\w+[\"']?\s*[:=])[^\s\"'<>]){8,}+)))"
     r"|(?P<prefixed>(?<![A-Za-z0-9])(?:AKIA|ASIA|ghp_|gho_|sk-|xoxb-)(?P<rest>[A-Za-z0-9-]{12,}))"
+    r"|(?P<jwt>(?<![A-Za-z0-9])eyJ(?P<claims>[A-Za-z0-9_-]{8,}(?:\.[A-Za-z0-9_-]+){0,2}))"
+    r"|(?P<bearer>(?<!\w)(?i:bearer)[ \t]+(?P<held>(?=[^\s\d]*\d)[A-Za-z0-9._~+/=-]{8,}))"
     r"|(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"
     rf"|(?P<ip>(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d))"
     r"|(?P<ipv6>(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:]|\.\d))"
@@ -86,10 +99,10 @@ _PATTERN = re.compile(
     r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
     r"|(?P<card>(?<!\d)(?:\d{13,19}(?!\d)|\d{4}(?P<gap>[ -])\d{4}(?P=gap)\d{4}(?P=gap)\d{1,7}(?!\d)|\d{4}(?P<gap2>[ -])\d{6}(?P=gap2)\d{5}(?!\d)))"
 )
-_NAME = re.compile(rf"(?P<title>{'|'.join(sorted(TITLES, key=len, reverse=True))})\.? (?P<name>[^\W\d_a-zß-ÿ]\w+(?: [^\W\d_a-zß-ÿ][^\W\d_]+){{0,2}})")
+_NAME = re.compile(rf"(?P<title>{'|'.join(sorted(TITLES, key=len, reverse=True))})\.? (?P<name>[^\W\d_a-zß-ÿ]\w+(?:(?: (?:{'|'.join(PARTICLES)})\b){{0,3}} [^\W\d_a-zß-ÿ][^\W\d_]+){{0,2}})")
 _WORD = re.compile(r"[^\W_]+")
 #: What every entity but a name has one of.
-_TRIGGER = re.compile(r"[0-9@=:]|A[KS]IA|gh[po]_|sk-|xoxb-")
+_TRIGGER = re.compile(r"[0-9@=:]|A[KS]IA|gh[po]_|sk-|xoxb-|eyJ")
 
 
 def _luhn(digits: str) -> int:
@@ -126,15 +139,20 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
         for m in _NAME.finditer(line):
             if m.start() and (line[m.start() - 1].isalnum() or line[m.start() - 1] == "_"):
                 continue
-            words, k = m["name"].split(" "), m.start("name")
-            for i, w in enumerate(words):
+            words, k = [], m.start("name")
+            for w in m["name"].split(" "):
+                if not w[0].islower():
+                    words.append((k, w))
+                elif w not in PARTICLES:
+                    break  # a name's parts begin with a capital, or in a script without any
+                k += len(w) + 1
+            for i, (k, w) in enumerate(words):
                 kind = f"family:{_script(w)}" if i == len(words) - 1 else f"given:{TITLES[m['title']]}:{_script(w)}"
                 if not any(a < k + len(w) and k < b for a, b, _, _ in own):
                     own.append((k, k + len(w), kind, w.lower()))
-                k += len(w) + 1
         out += [(at + a, at + b, t, v) for a, b, t, v in sorted(own)]
         at += len(line) + 1
-    return _with_later_mentions(text, _with_told_genders(out))
+    return _with_mentions(text, _with_told_genders(out))
 
 
 def _with_told_genders(found: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
@@ -153,13 +171,15 @@ def _with_told_genders(found: list[tuple[int, int, str, str]]) -> list[tuple[int
     return out
 
 
-def _with_later_mentions(text: str, found: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
-    """found and, of the names in it, each later capitalised mention, with the kind of the last titled one before it."""
-    first = next((b for _, b, kind, _ in found if kind.startswith(("given", "family"))), None)
-    if first is None:
+def _with_mentions(text: str, found: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    """found and, of the names in it, each capitalised mention, with the kind of the last titled one before it, or else of the first after it."""
+    known: dict[str, str] = {}
+    for _, _, kind, value in found:
+        if kind.startswith(("given", "family")):
+            known.setdefault(value, kind)
+    if not known:
         return found
     out: list[tuple[int, int, str, str]] = []
-    known: dict[str, str] = {}
     k = end = 0
     for m in _WORD.finditer(text):
         while k < len(found) and found[k][0] < m.end():
@@ -168,11 +188,19 @@ def _with_later_mentions(text: str, found: list[tuple[int, int, str, str]]) -> l
                 known[value] = kind
             out.append(found[k])
             k += 1
-        if m.start() >= max(first, end) and m[0][0].isupper() and (kind := known.get(m[0].lower())):
+        if m.start() >= end and m[0][0].isupper() and (kind := known.get(m[0].lower())) and not _is_word(text, m, known):
             out.append((*m.span(), kind, m[0].lower()))
     return out + found[k:]
 
 
+def _is_word(text: str, m: re.Match, known: dict[str, str]) -> bool:
+    """Whether a given name that is a word too begins a sentence, and no family name follows it."""
+    if m[0].lower() not in WORD_NAMES or text[: m.start()].rstrip(" \t\"'(")[-1:] not in ("", ".", "!", "?", ":", "\n"):
+        return False
+    follows = _WORD.match(text, m.end() + 1) if text[m.end() : m.end() + 1] == " " else None
+    return not (follows and follows[0][0].isupper() and known.get(follows[0].lower(), "").startswith("family"))
+
+
 def _entity(m: re.Match) -> tuple[int, int, str, str] | None:
     kind, value = m.lastgroup, m.group()  # the outer group is the last to close, so it names the type
     if kind == "secret":
@@ -182,6 +210,9 @@ def _entity(m: re.Match) -> tuple[int, int, str, str] | None:
         return (a, a + len(new), "secret", new) if len(new) >= 8 and sum(c in _ALPHABETS for c in new) >= LEAST_FREE else None
     if kind == "prefixed":
         return (*m.span("rest"), "secret", m["rest"])
+    if kind in ("jwt", "bearer"):
+        group = "claims" if kind == "jwt" else "held"
+        return (*m.span(group), "secret", m[group]) if sum(c in _ALPHABETS for c in m[group]) >= LEAST_FREE else None
     if kind == "email":
         return (*m.span("mail"), "email", m["mail"].lower())
     if kind == "ipv6":
@@ -200,8 +231,11 @@ def _entity(m: re.Match) -> tuple[int, int, str, str] | None:
     if kind == "phone":
         if len(digits) > 15:
             return None
-        country = re.match(r"\+\d+", value)
-        return (*m.span(), "phone", f"{country.group() if country else ''}|{digits[len(country.group()) - 1 :] if country else digits}")
+        # A number without a country is written as in the first country's plan, so that both forms of it agree.
+        if not value.startswith("+"):
+            return (*m.span(), "phone", f"+1|{digits}")
+        n = next((n for n in (1, 2) if digits[:n] in CALLING), 3)
+        return (*m.span(), "phone", f"+{digits[:n]}|{digits[n:]}") if len(digits) - n >= 4 else None
     return (*m.span(), kind, value if kind == "ip" else digits)
 
 
@@ -283,11 +317,11 @@ def ip_range(octets: list[int]) -> int:
 
 def _ip(value: str, key: bytes, tweak: str) -> str:
     octets = [int(x) for x in value.split(".")]
+    n = ip_range(octets)
+    alphabets = [_OCTETS] * (4 - n)
+    if n and octets[0] == 172:
+        alphabets[0] = _OCTETS[16:32]
     while True:
-        n = ip_range(octets)
-        alphabets = [_OCTETS] * (4 - n)
-        if n and octets[0] == 172:
-            alphabets[0] = _OCTETS[16:32]
         octets = octets[:n] + [ord(c) for c in permute("".join(map(chr, octets[n:])), alphabets, key, f"{tweak}/{octets[:n]}")]
         # A public address that became a special one goes on; that keeps the permutation one-to-one among public ones.
         if ip_range(octets) == n:
@@ -315,6 +349,10 @@ def shape(kind: str, value: str) -> str:
     if kind == "phone":
         country, _, rest = value.partition("|")
         return f"{country}|{len(rest)}"
+    if kind in ("secret", "iban"):
+        # What stays of each character: itself, or the alphabet that it is permuted in.
+        kept = [str(_KINDS.index(_ALPHABETS[c])) if c in _ALPHABETS else f"'{c}" for c in (value if kind == "secret" else value[4:])]
+        return f"{'' if kind == 'secret' else value[:2]}{' '.join(kept)}"
     return f"{value[0]}/{len(value)}" if kind == "card" else str(len(value))
 
 
@@ -343,7 +381,8 @@ def surrogate(kind: str, value: str, attempt: int, key: bytes) -> str:
         body = permute_classes(value[4:], key, tweak + value[:2])
         return f"{value[:2]}{98 - _mod97(f'{value[:2]}00{body}'):02d}{body}"
     if kind == "secret":
-        return permute_classes(value, key, tweak, hexadecimal=not set(value) - set(_HEX))
+        # In a full shape, letters are no longer kept hexadecimal, so that shapes stay apart.
+        return permute_classes(value, key, tweak, hexadecimal=attempt < FULL and not set(value) - set(_HEX))
     if kind == "ssn":
         return permute_classes(value, key, tweak)
     part, *more = kind.split(":")
@@ -359,7 +398,9 @@ def surrogate(kind: str, value: str, attempt: int, key: bytes) -> str:
 def render(kind: str, original: str, new: str) -> str:
     """The surrogate's normal form in the format of the original's text."""
     if kind in ("phone", "card", "ssn", "iban"):
-        chars = iter(new.replace("|", "").replace("+", ""))
+        # A number that is written without its country has fewer digits than its normal form.
+        digits = new.replace("|", "").replace("+", "")
+        chars = iter(digits[len(digits) - sum(c.isalnum() for c in original) :])
         return "".join(next(chars) if c.isalnum() else c for c in original)
     if kind == "email" and original.isupper():
         return new.upper()
@@ -463,8 +504,9 @@ def exceptions(found: DataFrame, store: Stored, key: bytes) -> DataFrame:
     for attempt in range(MAX_ATTEMPTS):
         if attempt == FULL:
             shapes = mapped(open_ones.filter(F.col("kind").isin(*FILLABLE)), "shape", shape).select("kind", "shape").distinct()
-            whole = store.cut(mapped(own.filter(F.col("kind").isin(*FILLABLE)), "shape", shape).join(shapes, ["kind", "shape"], "left_semi").select(*names))
-            late = late.join(whole, names, "left_anti").unionByName(whole.withColumn("attempt", F.lit(FULL)))
+            shaped = store.cut(mapped(own.filter(F.col("kind").isin(*FILLABLE)), "shape", shape).join(shapes, ["kind", "shape"], "left_semi"))
+            whole = store.cut(_without_fixed_points(shaped, mapped, store, key))
+            late = late.join(whole, names, "left_anti").unionByName(whole)
             open_ones = store.cut(open_ones.join(whole, names, "left_anti"))
             if open_ones.isEmpty():
                 break
@@ -489,6 +531,24 @@ def exceptions(found: DataFrame, store: Stored, key: bytes) -> DataFrame:
     return late.withColumn("as_kind", F.col("kind")).unionByName(shared.withColumn("attempt", F.coalesce("attempt", F.lit(0)))).select(*names, "as_kind", "attempt")
 
 
+def _without_fixed_points(shaped: DataFrame, mapped: Callable, store: Stored, key: bytes) -> DataFrame:
+    """(kind, value, attempt) for stored (kind, value, shape): of each shape the first attempt from FULL on that leaves no value as it is.
+
+    An attempt leaves none with a chance of over a third, whatever the size of the shape.
+    """
+    settled = None
+    for attempt in range(FULL, FULL + MAX_ATTEMPTS):
+        tried = mapped(shaped, "new", lambda k, v, n=attempt: surrogate(k, v, n, key))
+        fixed = tried.filter("value = new").select("kind", "value").join(shaped, ["kind", "value"]).select("kind", "shape").distinct()
+        fixed = store.cut(fixed)
+        good = shaped.join(fixed, ["kind", "shape"], "left_anti").select("kind", "value", F.lit(attempt).alias("attempt"))
+        settled = good if settled is None else settled.unionByName(good)
+        if fixed.isEmpty():
+            return settled
+        shaped = store.cut(shaped.join(fixed, ["kind", "shape"], "left_semi"))
+    raise ValueError(f"some shapes leave a value as it is in each of {MAX_ATTEMPTS} permutations")
+
+
 def replace_entities(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars", key: bytes | None = None, max_broadcast: int = MAX_BROADCAST
 ) -> DataFrame:

@@ -52,7 +52,8 @@ class ByteTokens:
         if len(text) < LONG_RUN:
             return self.lib.encode_ordinary(text)
         out, at = [], 0
-        for m in re.finditer(f"{_BLANK}{{{LONG_RUN},}}", text):
+        # Only where a run begins, so that each run is read once.
+        for m in re.finditer(f"(?<!{_BLANK}){_BLANK}{{{LONG_RUN},}}", text):
             end = m.end() if m.end() == len(text) else m.end() - 1
             out += self.lib.encode_ordinary(text[at : m.start()])
             out += self.lib._encode_single_piece(text[m.start() : end].encode())

@@ -206,3 +206,17 @@ def test_attribution_of_very_long_texts(spark):
     got = A.section_tokens(docs).groupBy("doc_id").agg({"n_tokens": "sum", "section": "count", "end": "max"}).collect()
     by = {r.doc_id: r for r in got}
     assert by[1]["count(section)"] == 1_500_001 and by[2]["sum(n_tokens)"] == 400_001 and by[3]["max(end)"] == 1_000_000
+
+
+@pytest.mark.parametrize("runs,blanks", [(20, 99_999), (3, 100_000), (2, 100_001), (200, 9_000)])
+def test_many_runs_of_blanks_take_linear_time(runs, blanks):
+    import time
+
+    from corvane.llm import token_attribution as A
+
+    tok = A.tokens(A.tokenizer_path(A.RANKS))
+    text = "".join(f"w{k}{' ' * blanks}" for k in range(runs)) + "end"
+    began = time.perf_counter()
+    got = tok.ids(text)
+    assert time.perf_counter() - began < 4
+    assert got == tok.lib.encode_ordinary(text)
