@@ -72,3 +72,59 @@ def join_by_key(rows: DataFrame, keyed: DataFrame, on: list[str], weight: str, t
     held = rows.join(hot, same)
     rest = rows.join(hot, same, "left_anti").join(cold, same)
     return held.unionByName(rest).drop(*names.values())
+
+
+#: The most bits of a filter of ids. With more ids than it suits, more rows pass it that needn't, and none less.
+FILTER_BITS = 1 << 28
+_PLACES = 4
+
+
+def _hashes(ids: Column) -> list[Column]:
+    return [F.xxhash64(F.lit(k), ids).bitwiseAND(F.lit((1 << 31) - 1)) for k in range(2)]
+
+
+def passing(rows: DataFrame, ids: Column, side: DataFrame, side_ids: Column, n: int) -> Column:
+    """A condition that is true for all rows whose id is among the n of the stored side, and for few others: a Bloom filter.
+
+    It is made by an aggregate, has at most FILTER_BITS bits, and goes to every task. Only two hashes of a row go to Python.
+    """
+    import numpy as np
+    from pyspark.sql.functions import pandas_udf
+
+    spark = rows.sparkSession
+    m = 1 << 10
+    while m < min(FILTER_BITS, 12 * n):
+        m *= 2
+    a, b = _hashes(side_ids)
+    places = F.array(*[(a + b * k).bitwiseAND(F.lit(m - 1)) for k in range(_PLACES)])
+    own = side.select(F.explode(places).alias("p")).select(F.shiftright("p", 6).alias("word"), F.expr("shiftleft(1L, cast(p & 63 as int))").alias("bit"))
+    found = own.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # no more rows than the filter has words
+    words = np.zeros(m // 64, np.int64)
+    words[found["word"].to_numpy()] = found["bits"].to_numpy()
+    shared = spark.sparkContext.broadcast(words)
+
+    @pandas_udf("boolean")
+    def among(a, b):  # noqa: ANN001, ANN202
+        import pandas as pd
+
+        x, y, held = a.to_numpy(), b.to_numpy(), shared.value
+        out = np.ones(len(x), bool)
+        for k in range(_PLACES):
+            p = (x + y * k) & (m - 1)
+            out &= (held[p >> 6] >> (p & 63)) & 1 == 1
+        return pd.Series(out)
+
+    return among(*_hashes(ids))
+
+
+def join_few(rows: DataFrame, ids: Column, side: DataFrame, side_ids: str, n: int, how: str, small: int = SMALL_SIDE) -> DataFrame:
+    """rows joined to a stored side of n rows by an id that isn't null, `left_semi` or `left_anti`, without moving rows that have no partner.
+
+    A small side goes to every task. Of a larger one a filter does, and only the rows that pass it are shuffled.
+    """
+    same = ids == side[side_ids]
+    if n <= small:
+        return rows.join(F.broadcast(side), same, how)
+    maybe = passing(rows, ids, side, side[side_ids], n)
+    met = rows.filter(maybe).join(side, same, how)
+    return met if how == "left_semi" else met.unionByName(rows.filter(~maybe))
