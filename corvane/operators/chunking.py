@@ -576,8 +576,10 @@ FAILED = "error"
 def ingest_or_fail(files: DataFrame, ingestor: str | None = None, path_col: str = "path", text_col: str = "content") -> DataFrame:
     """Chunks of files as `ingest` gives them, and for each file whose ingestor raised one row of type FAILED with the reason as text.
 
-    What a file gave before it failed is left out, so a file is indexed as a whole or not at all. An ingestor that isn't known fails its files.
+    What a file gave before it failed is left out, so a file is indexed as a whole or not at all. An ingestor that isn't known is the caller's error.
     """
+    if ingestor is not None and ingestor not in INGESTORS:
+        raise ValueError(f"no ingestor named {ingestor}")
     ship_package(files.sparkSession)
     how = F.lit(ingestor) if ingestor else route(F.col(path_col))
     known = dict(INGESTORS)

@@ -136,15 +136,22 @@ def incident_edges(edges: DataFrame, ids: DataFrame) -> DataFrame:
     return hit[0].unionByName(hit[1]).withColumn("r", F.row_number().over(w)).filter("r = 1").drop("r")
 
 
-def with_key(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+#: Names up to which they are compared as one row with every node.
+FEW_NAMES = 1000
+
+
+def with_key(nodes: DataFrame, wanted: DataFrame, known: int | None = None) -> DataFrame:
     """A row (..., key) for each of a node's names in lower case that is wanted: name, full name and its last part.
 
-    wanted: (key), the few names of a question; as one row they meet nodes before any is multiplied or shuffled.
+    wanted: (key). A few names meet nodes as one row before any node is multiplied or shuffled; more are joined by key. known: how many at most
+    there are, if that is known, else they are counted up to the bound.
     """
     full = F.coalesce("full_name", "name")
+    named_nodes = nodes.withColumn("name_keys", F.array_distinct(F.array(F.lower("name"), F.lower(full), F.lower(F.substring_index(full, ".", -1)))))
+    if (wanted.limit(FEW_NAMES + 1).count() if known is None else known) > FEW_NAMES:
+        return named_nodes.select(*nodes.columns, F.explode("name_keys").alias("key")).join(wanted.select("key").distinct(), "key", "left_semi").select(*nodes.columns, "key")
     one = wanted.agg(F.collect_set("key").alias("wanted_keys"))
-    names = F.array_distinct(F.array(F.lower("name"), F.lower(full), F.lower(F.substring_index(full, ".", -1))))
-    hit = nodes.withColumn("name_keys", names).join(F.broadcast(one), F.arrays_overlap("name_keys", "wanted_keys"))  # one row
+    hit = named_nodes.join(F.broadcast(one), F.arrays_overlap("name_keys", "wanted_keys"))  # one row
     return hit.select(*nodes.columns, F.explode(F.array_intersect("name_keys", "wanted_keys")).alias("key"))
 
 
@@ -155,20 +162,27 @@ def expand_neighbourhood(nodes: DataFrame, edges: DataFrame, symbols: DataFrame,
     their members, methods their callers, each up to its limit in order of id.
     """
     s = symbols.orderBy("seq").limit(max_symbols).select("seq", "symbol")
-    own = with_key(nodes, s.select(F.lower("symbol").alias("key"))).join(s.withColumn("key", F.lower("symbol")), "key").select("seq", "symbol", *nodes.columns).distinct()
+    own = with_key(nodes, s.select(F.lower("symbol").alias("key")), max_symbols).join(s.withColumn("key", F.lower("symbol")), "key").select("seq", "symbol", *nodes.columns).distinct()
     rank = F.row_number().over(Window.partitionBy("seq").orderBy(ordinal(F.col("node_type"), NODE_TYPES), "id"))
     # At most max_symbols * max_nodes rows; stored, as each relation starts from them.
     own = Stored(nodes.sparkSession, "neighbourhood").cut(own.withColumn("r", rank).filter(F.col("r") <= max_nodes))
     steps = [("implementation", ["Interface"], "Implements", "target_id", "source_id", related, NODE_TYPES), ("derived", ["Class"], "Inherits", "target_id", "source_id", related, NODE_TYPES),
              ("member", ["Class", "Interface", "Record", "Struct"], "Contains", "source_id", "target_id", members, MEMBER_KINDS), ("caller", ["Method"], "Calls", "target_id", "source_id", related, NODE_TYPES)]
     parts = [own.select("seq", "symbol", F.col("r"), F.lit(0).alias("step"), F.lit(0).alias("k"), F.lit("match").alias("relation"), *nodes.columns)]
-    for i, (relation, kinds, edge, near, far, limit, allowed) in enumerate(steps, 1):
-        start = own.filter(F.col("node_type").isin(kinds)).select("seq", "symbol", "r", F.col("id").alias(near))
-        e = edges.filter(F.col("edge_type") == edge).select(near, F.col(far).alias("id")).distinct()
-        near_by = e.join(F.broadcast(start), near)  # bounded as above
-        got = near_by.join(nodes.filter(F.col("node_type").isin(*allowed)), "id")
-        k = F.row_number().over(Window.partitionBy("seq", "r").orderBy("id"))
-        parts.append(got.withColumn("k", k).filter(F.col("k") <= limit).select("seq", "symbol", "r", F.lit(i).alias("step"), "k", F.lit(relation).alias("relation"), *nodes.columns))
+    # One pass over edges and one over nodes: each edge is seen from both ends, and meets the few starts of its kind and end.
+    starts = [
+        own.filter(F.col("node_type").isin(kinds)).select(
+            "seq", "symbol", "r", F.lit(i).alias("step"), F.lit(relation).alias("relation"), F.lit(edge).alias("edge_type"), F.lit(near).alias("end"), F.col("id").alias("near"), F.lit(limit).alias("most"),
+            F.array(*map(F.lit, allowed)).alias("allowed"),
+        ) for i, (relation, kinds, edge, near, far, limit, allowed) in enumerate(steps, 1)
+    ]
+    ends = [F.struct(F.lit(near).alias("end"), F.col(near).alias("near"), F.col(far).alias("id")) for near, far in (("source_id", "target_id"), ("target_id", "source_id"))]
+    seen = edges.filter(F.col("edge_type").isin([x[2] for x in steps])).select("edge_type", F.explode(F.array(*ends)).alias("e")).select("edge_type", "e.*")
+    # The starts are bounded as above.
+    near_by = seen.join(F.broadcast(reduce(DataFrame.unionByName, starts)), ["edge_type", "end", "near"]).drop("edge_type", "end", "near").distinct()
+    got = near_by.join(nodes, "id").filter(F.array_contains("allowed", F.col("node_type")))
+    k = F.row_number().over(Window.partitionBy("seq", "r", "step").orderBy("id"))
+    parts.append(got.withColumn("k", k).filter(F.col("k") <= F.col("most")).select("seq", "symbol", "r", "step", "k", "relation", *nodes.columns))
     every = reduce(DataFrame.unionByName, parts)
     first = Window.partitionBy("id").orderBy("seq", "r", "step", "k")
     return every.withColumn("first", F.row_number().over(first)).filter("first = 1").select("seq", "r", "step", "k", "relation", "symbol", *nodes.columns)
@@ -285,18 +299,23 @@ def graph_of_symbols(symbols: DataFrame, relations: DataFrame) -> tuple[DataFram
 
 
 def code_with_graph(files: DataFrame, path_col: str = "path", text_col: str = "content") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(chunks, nodes, edges) of source files at once: what an index and a graph need of them."""
+    """(chunks, nodes, edges) of source files at once: what an index and a graph need of them. Files are read and cut once for all three."""
     from .chunking import ingest
 
-    return ingest(files, "members", path_col, text_col), *light_graph(files, path_col, text_col)
+    found = Stored(files.sparkSession, "code_with_graph").cut(ingest(files, "members", path_col, text_col))
+    return found, *_light_graph_of(found)
 
 
 def light_graph(files: DataFrame, path_col: str = "path", text_col: str = "content") -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of source files by their declarations alone: files, types and members, and what contains what."""
-    from ..functions.paths import file_name
     from .chunking import ingest
 
-    found = ingest(files, "members", path_col, text_col)
+    return _light_graph_of(ingest(files, "members", path_col, text_col))
+
+
+def _light_graph_of(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    from ..functions.paths import file_name
+
     kind = F.initcap("chunk_type")
     owner = F.col("parent")
     member = F.col("parent").isNotNull()

@@ -7,6 +7,7 @@ relation of one row; rows with null, zero or other-sized vectors have no score a
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -77,13 +78,22 @@ def prioritise(candidates: DataFrame, k: int, wanted: list[str]) -> DataFrame:
 
 
 def multi_query_top_k(chunks: DataFrame, queries: DataFrame, per_query: int, total: int, key: list[str], min_score: float = 0.35) -> DataFrame:
-    """The best of each query, of equal keys the best, and of those the best. queries: (query_id, query), a bounded list of questions."""
+    """The best of each query, of equal keys the best, and of those the best. queries: (query_id, query).
+
+    Every chunk is scored for every question. More questions than MAX_BROADCAST are taken in blocks, each a pass over the chunks with
+    the block in every task, so that no product is ever shuffled.
+    """
     q = queries.withColumn("query_norm", norm(F.col("query")))
-    if queries.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
-        q = F.broadcast(q)
-    df = chunks.filter(F.col("embedding").isNotNull()).join(q)
-    df = df.withColumn("score", cosine_similarity(F.col("embedding"), F.col("query"), F.col("query_norm"))).filter(F.col("score") >= min_score)
-    df = df.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), *ORDER))).filter(F.col("r") <= per_query)
+    n = queries.limit(MAX_BROADCAST + 1).count()
+    blocks = 1 if n <= MAX_BROADCAST else -(-2 * queries.count() // MAX_BROADCAST)  # by hash, of half the bound on average
+
+    def scored(block: int) -> DataFrame:
+        own = q if blocks == 1 else q.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
+        df = chunks.filter(F.col("embedding").isNotNull()).join(F.broadcast(own))
+        df = df.withColumn("score", cosine_similarity(F.col("embedding"), F.col("query"), F.col("query_norm"))).filter(F.col("score") >= min_score)
+        return df.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), *ORDER))).filter(F.col("r") <= per_query)
+
+    df = reduce(DataFrame.unionByName, [scored(k) for k in range(blocks)])
     best = Window.partitionBy(*key).orderBy(F.desc("score"), *ORDER, "query_id")
     df = df.withColumn("b", F.row_number().over(best)).filter(F.col("b") == 1)
     return _first(df.drop("r", "b", "query", "query_norm"), total)

@@ -569,7 +569,15 @@ def _ingested(t: X.Tables) -> DataFrame:
 
 
 add("ingest_files", lambda t: _ingested(t).select("content_id", "chunk_index", "chunk_type", "title", "start_line", "end_line", F.length("text").alias("n_chars")))
-add("split_texts", lambda t: C.split_rows(t.documents.select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"), F.lit("PlainText").alias("kind")), "text", "kind").select("doc_id", "chunk_index", F.length("chunk").alias("n_chars")))
+add("split_texts", lambda t: C.split_rows(t.documents.select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"), F.lit("PlainText").alias("kind")), "text", "kind").select("doc_id", "chunk_index", F.length("chunk").alias("n_chars")),
+    """WITH RECURSIVE p AS (SELECT doc_id, [x for x in string_split(text, chr(10)) if x <> ''] AS ps FROM documents WHERE text IS NOT NULL),
+    r(doc_id, i, held, done) AS (SELECT doc_id, 1, '', NULL::VARCHAR FROM p WHERE len(ps) > 0
+      UNION ALL SELECT r.doc_id, r.i + 1,
+        CASE WHEN r.i > len(p.ps) THEN '' WHEN length(r.held) > 0 AND length(r.held) + length(p.ps[r.i]) > 2000 THEN right(trim(r.held, chr(10) || chr(9) || chr(13) || ' '), 200) || chr(10) || chr(10) || p.ps[r.i] || chr(10) || chr(10)
+          ELSE r.held || p.ps[r.i] || chr(10) || chr(10) END,
+        CASE WHEN r.i > len(p.ps) OR length(r.held) > 0 AND length(r.held) + length(p.ps[r.i]) > 2000 THEN trim(r.held, chr(10) || chr(9) || chr(13) || ' ') END
+      FROM r JOIN p ON r.doc_id = p.doc_id WHERE r.i <= len(p.ps) + 1)
+    SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INTEGER AS chunk_index, length(done)::INTEGER AS n_chars FROM r WHERE done <> ''""")
 add("hash_embeddings", lambda t: t.documents.select("doc_id", C.hashing_embedding(F.col("text")).alias("embedding")))
 
 from . import code_texts, compositions, source_texts, stores  # noqa: E402, F401  they add more queries
