@@ -162,6 +162,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 _differs: dict[QualityModel, Differ] = {}
 
 
+def differ(model: QualityModel) -> Differ:
+    """The worker's dictionaries of a model. Tasks reach them by this function, so that they outlive them."""
+    if model not in _differs:
+        _differs.clear()
+        _differs[model] = Differ(model.good, model.bad, model.typical)
+    return _differs[model]
+
+
 def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, difference, score) for every row."""
     spark = docs.sparkSession
@@ -171,12 +179,10 @@ def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        if m.slope and m not in _differs:
-            _differs.clear()
-            _differs[m] = Differ(m.good, m.bad, m.typical)
+        own = differ(m) if m.slope else None
         for whole in batches:
             for batch in groups(whole):
-                x = [_differs[m].difference(t) if m.slope else None for t in batch.column(1).to_pylist()]
+                x = [own.difference(t) if own else None for t in batch.column(1).to_pylist()]
                 s = [m.score(d) for d in x]
                 yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(x, pa.float64()), pa.array(s, pa.float64())], schema=schema)
 

@@ -26,9 +26,11 @@ read; an empty table gives no rows. Workers keep a bounded cache of words.
 
 from __future__ import annotations
 
+import hashlib
 import math
+import pickle
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -358,7 +360,20 @@ def _first_letter(text: str) -> int:
     return m.start() if m else 0
 
 
-_scorers: dict[int, Scorer] = {}
+_scorers: dict[str, Scorer] = {}
+
+
+def scorer(digest: str, models: Callable[[], LanguageModels]) -> Scorer:
+    """The worker's scorer of the models of a digest. Tasks reach it by this function, so that it outlives them."""
+    if digest not in _scorers:
+        _scorers.clear()
+        _scorers[digest] = Scorer(models())
+    return _scorers[digest]
+
+
+def digest_of(models: object) -> str:
+    """Names models by what they hold."""
+    return hashlib.blake2b(pickle.dumps(models), digest_size=16).hexdigest()
 
 
 def identify(docs: DataFrame, models: LanguageModels, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -366,18 +381,14 @@ def identify(docs: DataFrame, models: LanguageModels, id_col: str = "doc_id", te
     spark = docs.sparkSession
     ship_package(spark)
     shared = spark.sparkContext.broadcast(models)  # bounded by what learning takes
-    mark = id(models)
+    mark = digest_of(models)
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("bits_per_char", pa.float64()), ("rejected", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = (mark, shared.id) if hasattr(shared, "id") else mark
-        if key not in _scorers:
-            _scorers.clear()
-            _scorers[key] = Scorer(shared.value)
-        scorer = _scorers[key]
+        own = scorer(mark, lambda: shared.value)
         for whole in batches:
             for batch in groups(whole):
-                rows = scorer.predict([t or "" for t in batch.column(1).to_pylist()])
+                rows = own.predict([t or "" for t in batch.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(list(x), f.type) for x, f in zip(zip(*rows), list(schema)[1:]))], schema=schema)
 
     return docs.select(id_col, text_col).mapInArrow(run, "doc_id long, lang_pred string, score double, bits_per_char double, rejected boolean")

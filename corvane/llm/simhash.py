@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..shipping import ship_package
-from .support import Stored, documents, free_name, groups
+from .support import Stored, documents, free_name, groups, join_few
 
 SHINGLE = 4
 SEED = 42
@@ -313,9 +313,12 @@ def neardup_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs whose id is the smallest of their component; of repeated rows all or none stay. Null ids stay."""
-    name = free_name(docs, "leader")
-    leaders = neardup_components(docs, id_col, text_col).filter("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
-    kept = docs.filter(F.col(id_col).isNotNull()).join(leaders, F.col(id_col) == F.col(name), "left_semi")
+    store = Stored(docs.sparkSession, "simhash")
+    found = store.cut(neardup_components(docs, id_col, text_col).filter("doc_id IS NOT NULL"))
+    name = free_name(docs, "gone")
+    leaders = found.filter("doc_id = component_id").select("doc_id")
+    gone = store.cut(found.filter("doc_id <> component_id").select("doc_id").distinct().join(leaders, "doc_id", "left_anti").withColumnRenamed("doc_id", name))
+    kept = join_few(docs.filter(F.col(id_col).isNotNull()), F.col(id_col).cast("long"), gone, name, gone.count(), "left_anti")
     return kept.unionByName(docs.filter(F.col(id_col).isNull()))
 
 

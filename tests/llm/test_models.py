@@ -261,3 +261,19 @@ def test_models_of_equal_dictionaries_are_kept_apart(spark):
     docs = spark.createDataFrame([(1, "a short text")], "doc_id long, text string").coalesce(1)
     a, b = (Q.score(docs, x).first().difference for x in (m, other))
     assert a != b == Q.Differ(other.good, other.bad, other.typical).difference("a short text")
+
+
+def test_models_of_one_session_give_their_own_answers(spark):
+    from corvane.llm import language_id as L
+
+    said = {"aa": "alpha beta gamma delta under over", "bb": "omega sigma kappa lambda hinter vor"}
+    names = {"aa": "bb", "bb": "aa"}
+    rows = [(k, " ".join([said[lang]] * 60), lang) for k, lang in enumerate(["aa", "bb"] * 30)]
+    make = lambda swap: L.learn(spark.createDataFrame([(i, t, names[lang] if swap else lang) for i, t, lang in rows], "doc_id long, text string, lang string"))
+    one, other = make(False), make(True)
+    assert L.digest_of(one) != L.digest_of(other)
+    asked = spark.createDataFrame([(1, said["aa"])], "doc_id long, text string").coalesce(1)
+    for models, want in ((one, "aa"), (other, "bb"), (one, "aa"), (other, "bb")):
+        assert L.identify(asked, models).first().lang_pred == want
+    # A worker keeps its scorer for later tasks: the function is found by its module, not copied with its globals.
+    assert L.scorer.__module__ == "corvane.llm.language_id" and L.scorer("x", lambda: one) is L.scorer("x", lambda: other)
