@@ -30,6 +30,8 @@ from .support import documents, groups
 SEQUENCE = 4096
 END_ID = 1
 OPEN_BINS = 64
+#: Bytes of text that are encoded at once: what the tokenizer holds for each is a hundred times as much.
+BATCH_BYTES = 2_000_000
 TOKENIZER = "word_bpe_49k.json"
 _CACHE_ENTRIES = 450_000
 #: Texts on which a tokenizer must give what the chunks of the text give one by one.
@@ -216,7 +218,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
         fit = BoundedBestFit(size, open_bins, TaskContext.get().partitionId() << 33)
         end = END_ID.to_bytes(4, "little")
         for whole in batches:
-            for batch in groups(whole, 10_000_000):
+            for batch in groups(whole, BATCH_BYTES):
                 rows = []
                 for doc, ids in zip(batch.column(0).to_pylist(), enc.encode([t or "" for t in batch.column(1).to_pylist()])):
                     ids += end
