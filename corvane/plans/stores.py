@@ -43,14 +43,14 @@ add("table_versions", _of_versions,
 
 
 def _archive(t: X.Tables) -> str:
-    """Feeds of parts and papers of customers, written by Spark."""
+    """Feeds of parts, of so many entries at most, and papers of customers, written by Spark."""
     top = Stored(t.spark, "archive").top
     k = F.col("p_partkey").cast("string")
     entry = t.part.select(
         F.concat(F.lit("http://arxiv.org/abs/2401."), F.lpad(k, 5, "0"), F.lit("v1")).alias("id"), F.concat(F.lit("On  "), "p_name").alias("title"), F.col("p_type").alias("summary"),
         F.concat((2000 + F.col("p_partkey") % 25).cast("string"), F.lit("-01-02")).alias("published"), F.array(F.struct(F.col("p_brand").alias("name")), F.struct(F.lit("B").alias("name"))).alias("author"),
     )
-    entry.write.format("xml").option("rootTag", "feed").option("rowTag", "entry").save(f"{top}/feeds")
+    entry.write.format("xml").option("rootTag", "feed").option("rowTag", "entry").option("maxRecordsPerFile", 50_000).save(f"{top}/feeds")
     c = F.col("c_custkey")
     paper = F.struct(
         F.concat(F.lit("p"), c).alias("paperId"), F.concat(F.lit("About "), "c_name").alias("title"), F.when(c % 3 > 0, (1990 + c % 40).cast("int")).alias("year"), (c * 7 % 1000).cast("int").alias("citationCount"),

@@ -80,6 +80,52 @@ def test_search_and_fetch(spark, archive):
     }
 
 
+def test_large_files_are_read_in_parts(tmp_path):
+    import tracemalloc
+
+    top = tmp_path / "in"
+    top.mkdir()
+    papers = "\n".join(json.dumps({"data": [{"paperId": f"p{k}", "title": "T" * 100, "year": 2000}]}) for k in range(60_000))
+    (top / "a.json").write_text("\n" + papers)
+    (top / "b.xml").write_text("<feed>" + "".join(f"<entry><id>http://arxiv.org/abs/2401.{k:05d}</id><summary>{'s' * 100}</summary></entry>" for k in range(60_000)) + "</feed>")
+    (top / "c.xml").write_text("<feed>" + "<entry><id>x</id></entry>" * 100_000 + "</fed>")  # broken at its end
+    (top / "d.json").write_text('{"data": [\n' + papers)  # torn in its first line, but no document
+    with zipfile.ZipFile(top / "e.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("a.json", papers)
+    reader = A.ArchiveReader(str(top), 2 << 20, [])
+    parts = reader.partitions()
+    assert len(parts) > 8 and sum("a.json" in p for part in parts for p in part.paths) > 3
+    tracemalloc.start()
+    try:
+        got = {}
+        for part in parts:
+            for r in reader.read(part):
+                got[r[9]] = got.get(r[9], 0) + 1
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert got == {"a.json": 60_000, "b.xml": 60_000, "d.json": 60_000, "e.zip": 60_000}
+    assert peak < 24 << 20
+    for most in (1 << 20, 3 << 20, 1 << 30):
+        reader = A.ArchiveReader(str(top), most, [])
+        assert sorted(r[0] for part in reader.partitions() for r in reader.read(part) if r[9] == "a.json") == sorted(f"p{k}" for k in range(60_000))
+
+
+def test_what_has_no_papers_form(spark, tmp_path):
+    lines = ["5", "[1]", '{"data": 3}', '{"data": [7, {"paperId": 8, "title": "\\ud800x", "year": "2020", "citationCount": 99999999999, "authors": [1, {"name": "A"}], "externalIds": []}]}', "[" * 100_000, '{"data": [{"paperId": "p2", "year": 2021}]}']
+    (tmp_path / "a.json").write_text("\n".join(lines))
+    (tmp_path / "b.json").write_text(json.dumps({"data": [{"paperId": "p3", "year": 2022}]}, indent=1))
+    with zipfile.ZipFile(tmp_path / "c.zip", "w") as z:
+        z.writestr("a.json", PAPERS)
+        z.writestr("b.json", PAPERS.replace("p1", "p4"))
+    data = (tmp_path / "c.zip").read_bytes()
+    (tmp_path / "c.zip").write_bytes(data.replace(b"Graphs", b"graphs", 1))  # the first entry's checksum is wrong
+    rows = {r.source_id: r for r in A.read_archives(spark, str(tmp_path)).collect()}
+    assert set(rows) == {"8", "p2", "p3", "p4"}
+    assert (rows["8"].title, rows["8"].year, rows["8"].citation_count, rows["8"].authors, rows["8"].doi) == ("?x", None, None, ["A"], None)
+    assert sorted(r.source_id for r in A.read_archives(spark, str(tmp_path), ["paper"], (2021, None)).collect()) == ["p2", "p3"]
+
+
 def test_empty_archive(spark, tmp_path):
     assert A.read_archives(spark, str(tmp_path)).count() == 0
 
