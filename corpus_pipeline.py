@@ -24,7 +24,8 @@ def frequent_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, by sets of five-word shingles, stays: that of the smallest id.
+    """One document of each group of near copies stays: that of the smallest id. Candidates come by SimHash fingerprints, and by keys
+    where those differ too much; sets of five-word shingles decide.
 
     Repeated rows of that id all stay, rows of null ids too. Texts without words are copies of each other.
     """

@@ -18,3 +18,4 @@ def groups(batch: pa.RecordBatch, most: int = 4_000_000, column: int = 1) -> Ite
             at, held = i + 1, 0
     if at < len(texts):
         yield batch.slice(at)
+    pa.default_memory_pool().release_unused()  # workers are kept, and so is what they don't give back

@@ -33,7 +33,8 @@ OPEN_BINS = 64
 #: Bytes of text that are encoded at once: what the tokenizer holds for each is a hundred times as much.
 BATCH_BYTES = 2_000_000
 TOKENIZER = "word_bpe_49k.json"
-_CACHE_ENTRIES = 450_000
+#: Chunks that a worker keeps, twice: workers live on in the stages after, and each chunk takes 200 bytes.
+_CACHE_ENTRIES = 150_000
 #: Texts on which a tokenizer must give what the chunks of the text give one by one.
 PROBES = ("Mixed CASE Words, and a stop. Next\nline...  two blanks\tand a tab", "ÀÉ Straße ΣΣ日本 x9 12.5 it's DON'T a.b,c", " lead , . trail ", "a\u0301 \xa0 end.\n")
 #: A full stop or comma that is not alone after a letter or digit belongs to a run of marks, which is one token's matter.

@@ -61,7 +61,12 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
         ends = np.cumsum(lengths + 1) - 1
         starts = (ends - lengths)[: len(words) - shingle + 1].tolist()
         hashes = [digest(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist())]
-    octets = np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8)
+    return majority(np.array(hashes, "<u8"))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of hashes: the bits that over half of them have."""
+    octets = hashes.astype("<u8").view(np.uint8).reshape(-1, 8)
     set_in = np.zeros(64, np.int64)
     for k in range(8):
         set_in[8 * k : 8 * k + 8] = np.bincount(octets[:, k], minlength=256) @ _BITS

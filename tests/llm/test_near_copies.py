@@ -96,3 +96,23 @@ def test_keys_meet_at_the_least_similarity():
         both, one, other = (np.unique(rng.integers(0, 1 << 63, n, np.uint64)) for n in (800, 100, 100))
         missed += not (N.band_keys(np.union1d(both, one)) == N.band_keys(np.union1d(both, other))).any()
     assert missed == 0
+
+
+def test_fingerprints_give_candidates(spark):
+    """Pairs whose fingerprints are near are found without any shared key, and only similar ones link."""
+    from corvane.llm import simhash
+
+    text = " ".join(f"w{k}" for k in range(400))
+    docs = spark.createDataFrame([(1, text), (2, text + " end"), (3, text.replace("w7 ", "x ")), (4, " ".join(f"v{k}" for k in range(400))), (5, ""), (6, None)], "doc_id long, text string")
+    sets = [N.shingles(r.text) for r in docs.orderBy("doc_id").collect()]
+    fps = np.array([simhash.majority(s) if len(s) else 0 for s in sets], np.uint64)
+    assert [simhash.majority(s) for s in sets[:4]] == [simhash.fingerprint(r.text, N.SHINGLE) for r in docs.orderBy("doc_id").collect()[:4]]
+    assert np.bitwise_count(fps[0] ^ fps[1]) <= simhash.MAX_BITS and np.bitwise_count(fps[0] ^ fps[3]) > simhash.MAX_BITS
+    near = {1} | {k + 1 for k in (1, 2) if np.bitwise_count(fps[0] ^ fps[k]) <= simhash.MAX_BITS}
+    own = N._sketches(docs, "doc_id", "text").select("doc_id", "n", "fp").withColumnRenamed("doc_id", "id")
+    pairs = N.components(N.by_fingerprints(own, N.Stored(spark, "t")), N.Stored(spark, "t")).collect()
+    assert {r.id for r in pairs} == near and {r.root for r in pairs} == {1}
+    # Near fingerprints alone don't link: sets decide.
+    apart = [np.arange(k * 1000, k * 1000 + 50, dtype=np.uint64) for k in range(2)]
+    assert N.cell_links(np.zeros((2, 0)), apart, None, np.array([5, 5], np.uint64)).tolist() == [0, 1]
+    assert N.cell_links(np.zeros((2, 0)), [apart[0]] * 2, None, np.array([5, 5], np.uint64)).tolist() == [0, 0]
