@@ -86,6 +86,35 @@ _ENDS = {"completed": "Completed", "failed": "Failed", "cancelled": "Cancelled"}
 _ORDER = {e: k for k, e in enumerate((*_ENDS, "folder", "content"))}  # of events at one time
 
 
+class Entries:
+    """A map state during one call: each entry is read once at most, none of a key without state, and what changed is written at the end."""
+
+    def __init__(self, state, known: bool):  # noqa: ANN001
+        self.state, self.known = state, known
+        self.held: dict = {}  # what an entry is now, None if there is none
+        self.was: dict = {}  # and what the state has
+
+    def get(self, key: object) -> tuple | None:
+        if key not in self.held:
+            # A value that isn't there comes as None.
+            self.held[key] = self.was[key] = self.state.getValue((key,)) if self.known else None
+        return self.held[key]
+
+    def put(self, key: object, value: tuple | None) -> None:
+        self.held[key] = value
+
+    def write(self) -> None:
+        for key, value in self.held.items():
+            if value is None:
+                if key in self.was:
+                    if self.was[key] is not None:
+                        self.state.removeKey((key,))
+                elif self.known:
+                    self.state.removeKey((key,))
+            elif self.was.get(key) != value:
+                self.state.updateValue((key,), value)
+
+
 class QueueProcessor(StatefulProcessor):
     """One queue: places in line by number, jobs by id, active folders by path, and four counters."""
 
@@ -93,37 +122,43 @@ class QueueProcessor(StatefulProcessor):
         self.capacity, self.workers = capacity, workers
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.line = handle.getMapState("line", "place long", "job_id string")
-        self.jobs = handle.getMapState("jobs", "job_id string", "path string, state string")
-        self.active = handle.getMapState("active", "path string", "job_id string")
+        self.line_state = handle.getMapState("line", "place long", "job_id string")
+        self.jobs_state = handle.getMapState("jobs", "job_id string", "path string, state string")
+        self.active_state = handle.getMapState("active", "path string", "job_id string")
         self.counts = handle.getValueState("counts", "seq long, head long, tail long, busy long")
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: ANN001, N802, N803
-        self.seq, self.head, self.tail, self.busy = self.counts.get() or (0, 0, 0, 0)
+        counts = self.counts.get()  # each call of a state goes to the executor's JVM and back
+        self.line, self.jobs, self.active = (Entries(s, counts is not None) for s in (self.line_state, self.jobs_state, self.active_state))
+        before = self.seq, self.head, self.tail, self.busy = tuple(counts or (0, 0, 0, 0))
+        out = []
         for r in sorted(rows, key=lambda r: (r["ts"], _ORDER.get(r["event"], 9), r["job_id"])):
             for job, state, by in self.steps(r):
-                yield Row(queue=key[0], seq=self.seq, ts=r["ts"], job_id=job, state=state, run_by=by)
+                out.append(Row(queue=key[0], seq=self.seq, ts=r["ts"], job_id=job, state=state, run_by=by))
                 self.seq += 1
-        self.counts.update((self.seq, self.head, self.tail, self.busy))
+        for entries in (self.line, self.jobs, self.active):
+            entries.write()
+        if before != (now := (self.seq, self.head, self.tail, self.busy)):
+            self.counts.update(now)
+        yield from out
 
     def steps(self, r: Row) -> Iterator[tuple[str, str, str]]:
         event, job, path = r["event"], r["job_id"], r["norm"]
         if event in _ENDS:
-            if self.jobs.containsKey((job,)):
-                held, state = self.jobs.getValue((job,))
-                if state == "Processing":
-                    self.jobs.removeKey((job,))
-                    if held is not None and self.active.containsKey((held,)):
-                        self.active.removeKey((held,))
-                    self.busy -= 1
-                    yield job, _ENDS[event], job
-        elif self.jobs.containsKey((job,)):
+            held = self.jobs.get(job)
+            if held and held[1] == "Processing":
+                self.jobs.put(job, None)
+                if held[0] is not None:
+                    self.active.put(held[0], None)
+                self.busy -= 1
+                yield job, _ENDS[event], job
+        elif self.jobs.get(job):
             return  # a request that is told twice
         elif event == "folder":
-            if self.active.containsKey((path,)):
-                yield job, "Duplicate", self.active.getValue((path,))[0]
+            if first := self.active.get(path):
+                yield job, "Duplicate", first[0]
                 return
-            self.active.updateValue((path,), (job,))
+            self.active.put(path, (job,))
             yield self.enter(job, path)
         elif event == "content":
             if self.tail - self.head >= self.capacity:
@@ -131,24 +166,24 @@ class QueueProcessor(StatefulProcessor):
                 return
             yield self.enter(job, None)
         while self.busy < self.workers and self.head < self.tail:
-            (first,) = self.line.getValue((self.head,))
-            self.line.removeKey((self.head,))
+            (first,) = self.line.get(self.head)
+            self.line.put(self.head, None)
             self.head += 1
             self.busy += 1
             yield self.into(first, "Processing")
             if (last := self.head + self.capacity - 1) < self.tail:
-                yield self.into(self.line.getValue((last,))[0], "Queued")  # a place is free for the first one that waits
+                yield self.into(self.line.get(last)[0], "Queued")  # a place is free for the first one that waits
 
     def enter(self, job: str, path: str | None) -> tuple[str, str, str]:
         """A folder beyond the capacity waits at the door and holds its place."""
         state = "Queued" if self.tail - self.head < self.capacity else "Waiting"
-        self.line.updateValue((self.tail,), (job,))
+        self.line.put(self.tail, (job,))
         self.tail += 1
-        self.jobs.updateValue((job,), (path, state))
+        self.jobs.put(job, (path, state))
         return job, state, job
 
     def into(self, job: str, state: str) -> tuple[str, str, str]:
-        self.jobs.updateValue((job,), (self.jobs.getValue((job,))[0], state))
+        self.jobs.put(job, (self.jobs.get(job)[0], state))
         return job, state, job
 
     def close(self) -> None:

@@ -195,3 +195,45 @@ def test_rules_of_days(rule, want):
     start = int(dt.datetime(2024, 1, 1, tzinfo=dt.UTC).timestamp())
     found = next_time(rule, start)
     assert (found and dt.datetime.fromtimestamp(found, dt.UTC).strftime("%Y-%m-%d %H:%M")) == want
+
+
+def test_a_queue_asks_its_state_little():
+    """Entries of a new queue aren't read, those of a known one once, and only what is left is written."""
+    calls = []
+
+    class State:
+        def __init__(self):
+            self.rows = {}
+
+        def getValue(self, key):  # noqa: N802
+            calls.append("get")
+            return self.rows.get(key)
+
+        def updateValue(self, key, value):  # noqa: N802
+            calls.append("put")
+            self.rows[key] = value
+
+        def removeKey(self, key):  # noqa: N802
+            calls.append("remove")
+            self.rows.pop(key, None)
+
+        containsKey = lambda self, key: calls.append("has") or key in self.rows  # noqa: E731, N815
+
+    class Value(State):
+        get = lambda self: calls.append("get") or self.rows.get(0)
+        update = lambda self, value: self.updateValue(0, value)
+
+    class Handle:
+        getMapState = lambda self, *a: State()  # noqa: E731, N815
+        getValueState = lambda self, *a: Value()  # noqa: E731, N815
+
+    from pyspark.sql import Row
+
+    p = T.QueueProcessor(1, 2)
+    p.init(Handle())
+    ask = lambda *es: [(r.job_id, r.state) for r in p.handleInputRows(("q",), iter([Row(ts=k, event=e, job_id=j, norm=n) for k, (e, j, n) in enumerate(es)]), None)]
+    assert ask(("folder", "a", "/a"), ("folder", "b", "/a"), ("folder", "c", "/c")) == [("a", "Queued"), ("a", "Processing"), ("b", "Duplicate"), ("c", "Queued"), ("c", "Processing")]
+    assert sorted(calls) == ["get"] + ["put"] * 5  # two jobs, two folders, the counters
+    calls.clear()
+    assert ask(("completed", "a", None), ("folder", "a", "/a")) == [("a", "Completed"), ("a", "Queued"), ("a", "Processing")]
+    assert len(calls) <= 6
