@@ -135,3 +135,14 @@ def test_hash_embeddings_take_whole_texts(spark, tmp_path):
         counts = Counter(place[w] for w in ws)
         want = np.array([counts[i] for i in range(64)], float)
         assert np.allclose(got[k], want / (np.linalg.norm(want) or 1.0), atol=1e-6)
+
+
+def test_csharp_methods_of_long_words_are_linear():
+    import time
+
+    from corvane.operators import chunking as C
+
+    began = time.process_time()
+    assert not list(C._CS_METHOD.finditer("y" * 100_000)) and not list(C._CS_METHOD.finditer("x " + "a b " * 10_000))
+    assert time.process_time() - began < 4
+    assert [m[1] for m in C._CS_METHOD.finditer("xpublic void M(int a) { } async Task<int> N() { }")] == ["M", "N"]
