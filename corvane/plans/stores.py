@@ -91,15 +91,15 @@ add("archive_fetch", lambda t: A.fetch(A.read_archives(t.spark, _archive(t)), _a
 
 
 def _streamed(t: X.Tables, batches: list[DataFrame], build: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """What a stream over these batches, one at a time, writes until it has read them all."""
+    """What a stream over these batches, one at a time, writes until it has read them all: it goes on from its checkpoint after each."""
     top = Stored(t.spark, "stream").top
     for k, b in enumerate(batches):
-        b.coalesce(1).write.parquet(f"{top}/in/{k}")  # a file a batch
-    source = t.spark.readStream.schema(batches[0].schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{top}/in")
-    q = build(source).writeStream.format("parquet").option("path", f"{top}/out").option("checkpointLocation", f"{top}/checkpoint").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    if q.exception():
-        raise q.exception()
+        b.write.parquet(f"{top}/in/{k}")
+        source = t.spark.readStream.schema(batches[0].schema).option("recursiveFileLookup", "true").parquet(f"{top}/in")
+        q = build(source).writeStream.format("parquet").option("path", f"{top}/out").option("checkpointLocation", f"{top}/checkpoint").outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
+        if q.exception():
+            raise q.exception()
     return t.spark.read.parquet(f"{top}/out")
 
 
@@ -126,7 +126,8 @@ def _queue_events(t: X.Tables) -> list[DataFrame]:
     """The steps of all customers, in two batches; every third customer's queue is told of no more after the sixth."""
     k = F.col("c_custkey")
     rows = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(e).alias("event"), F.lit(j).alias("job"), (_filled(p, k=k) if p else F.lit(None).cast("string")).alias("path")) for i, (e, j, p, _) in enumerate(_STEPS)])
-    e = t.customer.select(F.concat(F.lit("q"), k).alias("queue"), k, F.explode(rows).alias("s")).filter("c_custkey % 3 > 0 OR s.i < 6")
+    dealt = t.customer.select(k).repartition(t.spark.sparkContext.defaultParallelism)  # a small file becomes many rows
+    e = dealt.select(F.concat(F.lit("q"), k).alias("queue"), k, F.explode(rows).alias("s")).filter("c_custkey % 3 > 0 OR s.i < 6")
     ts = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("s.i"))
     own = e.select("queue", ts.alias("ts"), "s.event", F.col("s.job").alias("job_id"), "s.path", F.col("s.i").alias("i"))
     return [own.filter("i < 6").drop("i"), own.filter("i >= 6").drop("i")]

@@ -1,13 +1,16 @@
 """Streams with state per entry: the debounce rule by timers, and a queue of index jobs with workers.
 
-State is kept by entry in a map, so a batch writes what it touches and not what is pending. It needs a state store with column families:
-`use_entry_state` sets Spark's RocksDB store for the session. A restart from the checkpoint goes on where the stream was.
+State is kept by entry in a map, so a batch writes what it touches and not what is pending; short queues are kept together in buckets, as each
+call of a state goes to the executor's JVM and back. Both need a state store with column families: `use_entry_state` sets Spark's RocksDB
+store for the session. A restart from the checkpoint goes on where the stream was.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -89,15 +92,15 @@ _ORDER = {e: k for k, e in enumerate((*_ENDS, "folder", "content"))}  # of event
 class Entries:
     """A map state during one call: each entry is read once at most, none of a key without state, and what changed is written at the end."""
 
-    def __init__(self, state, known: bool):  # noqa: ANN001
-        self.state, self.known = state, known
+    def __init__(self, state, known: bool, within: tuple = ()):  # noqa: ANN001
+        self.state, self.known, self.within = state, known, within  # the map's keys begin with `within`
         self.held: dict = {}  # what an entry is now, None if there is none
         self.was: dict = {}  # and what the state has
 
     def get(self, key: object) -> tuple | None:
         if key not in self.held:
             # A value that isn't there comes as None.
-            self.held[key] = self.was[key] = self.state.getValue((key,)) if self.known else None
+            self.held[key] = self.was[key] = self.state.getValue((*self.within, key)) if self.known else None
         return self.held[key]
 
     def put(self, key: object, value: tuple | None) -> None:
@@ -108,11 +111,11 @@ class Entries:
             if value is None:
                 if key in self.was:
                     if self.was[key] is not None:
-                        self.state.removeKey((key,))
+                        self.state.removeKey((*self.within, key))
                 elif self.known:
-                    self.state.removeKey((key,))
+                    self.state.removeKey((*self.within, key))
             elif self.was.get(key) != value:
-                self.state.updateValue((key,), value)
+                self.state.updateValue((*self.within, key), value)
 
 
 class QueueProcessor(StatefulProcessor):
@@ -131,17 +134,20 @@ class QueueProcessor(StatefulProcessor):
         counts = self.counts.get()  # each call of a state goes to the executor's JVM and back
         self.line, self.jobs, self.active = (Entries(s, counts is not None) for s in (self.line_state, self.jobs_state, self.active_state))
         before = self.seq, self.head, self.tail, self.busy = tuple(counts or (0, 0, 0, 0))
-        out = []
-        for r in sorted(rows, key=lambda r: (r["ts"], _ORDER.get(r["event"], 9), r["job_id"])):
-            for job, state, by in self.steps(r):
-                out.append(Row(queue=key[0], seq=self.seq, ts=r["ts"], job_id=job, state=state, run_by=by))
-                self.seq += 1
+        out = [Row(queue=key[0], seq=seq, ts=ts, job_id=job, state=state, run_by=by) for seq, ts, job, state, by in self.follow(rows)]
         for entries in (self.line, self.jobs, self.active):
             entries.write()
         if before != (now := (self.seq, self.head, self.tail, self.busy)):
             self.counts.update(now)
         yield from out
 
+    def follow(self, rows: Iterator[Row | dict]) -> Iterator[tuple[int, object, str, str, str]]:
+        """The transitions of the queue whose entries and counters are set."""
+        for r in sorted(rows, key=lambda r: (r["ts"], _ORDER.get(r["event"], 9), r["job_id"])):
+            for job, state, by in self.steps(r):
+                yield self.seq, r["ts"], job, state, by
+                self.seq += 1
+
     def steps(self, r: Row) -> Iterator[tuple[str, str, str]]:
         event, job, path = r["event"], r["job_id"], r["norm"]
         if event in _ENDS:
@@ -190,15 +196,85 @@ class QueueProcessor(StatefulProcessor):
         pass
 
 
+#: Buckets that queues are dealt into by their hash; a checkpoint holds for one number.
+BUCKETS = 4096
+#: Entries of a queue that its bucket holds; a longer one is kept by entry from then on.
+SHORT = 256
+#: Parts of a bucket's state before they are made one.
+PARTS = 8
+
+
+class BucketProcessor(QueueProcessor):
+    """The queues of a bucket, of which a call reads and writes all short ones at once.
+
+    A batch appends a part with the queues that it touched to the bucket's state; a queue is as its last part says. Of a long queue a part has only the
+    counters.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.parts = handle.getListState("parts", "queues string")
+        self.line_state = handle.getMapState("line", "queue string, place long", "job_id string")
+        self.jobs_state = handle.getMapState("jobs", "queue string, job_id string", "path string, state string")
+        self.active_state = handle.getMapState("active", "queue string, path string", "job_id string")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+        told: dict[str | None, list[dict]] = {}
+        for df in rows:
+            for queue, us, event, job, path in zip(*(df[c].tolist() for c in ("queue", "us", "event", "job_id", "norm"))):
+                one = {"ts": us, "event": event, "job_id": job, "norm": path if isinstance(path, str) else None}
+                told.setdefault(queue if isinstance(queue, str) else None, []).append(one)
+        parts = [json.loads(p[0]) for p in self.parts.get()]
+        known = {q: held for p in parts for q, *held in p}
+        out, changed = [], {}
+        for queue, events in told.items():
+            before = known.get(queue)
+            self.open(queue, before)
+            out += [(queue, *x) for x in self.follow(events)]
+            if (now := self.held(queue, before)) != before:
+                changed[queue] = now
+        if changed and len(parts) < PARTS:
+            self.parts.appendList([(self.packed(changed),)])
+        elif changed:
+            self.parts.put([(self.packed(known | changed),)])
+        if out:
+            yield pd.DataFrame(out, columns=["queue", "seq", "us", "job_id", "state", "run_by"])
+
+    @staticmethod
+    def packed(queues: dict[str | None, list]) -> str:
+        return json.dumps([[q, *held] for q, held in queues.items()])
+
+    def open(self, queue: str | None, held: list | None) -> None:
+        """Sets a queue's counters and entries to what its last part says."""
+        self.seq, self.head, self.tail, self.busy, *entries = held or (0, 0, 0, 0, [], [], [])
+        states = (self.line_state, self.jobs_state, self.active_state)
+        self.line, self.jobs, self.active = (Entries(s, not entries, (queue,)) for s in states)
+        for mine, there in zip((self.line, self.jobs, self.active), entries):
+            mine.held = {k: tuple(v) for k, *v in there}
+
+    def held(self, queue: str | None, before: list | None) -> list:
+        """What the next part says of the queue; the entries of a long one are written to the maps."""
+        counts = [self.seq, self.head, self.tail, self.busy]
+        mine = (self.line, self.jobs, self.active)
+        if not self.line.known:
+            entries = [[[k, *v] for k, v in x.held.items() if v is not None] for x in mine]
+            if sum(map(len, entries)) <= SHORT:
+                return counts + entries
+        for x in mine:
+            x.write()
+        return counts
+
+
 def job_queue(events: DataFrame, capacity: int = QUEUE, workers: int = WORKERS) -> DataFrame:
     """A stream of TRANSITIONS out of events (queue, ts, event, job_id, path): requests of a `folder` or a single `content`, and how jobs end.
 
     A folder with an active job of the same normalised path is its duplicate. Single contents are refused where the queue is full, folders wait. Free
-    workers take what is first in line. Queues are apart: each is one key, as its line is one line.
+    workers take what is first in line. Queues are apart, as each has one line, and are dealt into buckets, each of which is one key of the state.
     """
     use_entry_state(events.sparkSession)
-    own = events.select("queue", "ts", "event", "job_id", normalize_path(F.col("path")).alias("norm"))
-    return own.groupBy("queue").transformWithState(QueueProcessor(capacity, workers), TRANSITIONS, "Append", "None")
+    bucket = F.pmod(F.xxhash64("queue"), F.lit(BUCKETS)).cast("int").alias("bucket")
+    own = events.select(bucket, "queue", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "event", "job_id", normalize_path(F.col("path")).alias("norm"))
+    out = own.groupBy("bucket").transformWithStateInPandas(BucketProcessor(capacity, workers), TRANSITIONS.replace("ts timestamp", "us long"), "Append", "None")
+    return out.select("queue", "seq", F.timestamp_micros("us").alias("ts"), "job_id", "state", "run_by")
 
 
 def current_states(transitions: DataFrame) -> DataFrame:

@@ -237,3 +237,115 @@ def test_a_queue_asks_its_state_little():
     calls.clear()
     assert ask(("completed", "a", None), ("folder", "a", "/a")) == [("a", "Completed"), ("a", "Queued"), ("a", "Processing")]
     assert len(calls) <= 6
+
+
+class States:
+    """The states of one key as plain lists and dicts, that count calls."""
+
+    def __init__(self):
+        self.calls, self.made = 0, {}
+
+    def _state(self, name, start):
+        outer = self
+
+        class State:
+            rows = start
+
+            def get(self):
+                outer.calls += 1
+                return iter(self.rows)
+
+            def put(self, rows):
+                outer.calls += 1
+                self.rows = list(rows)
+
+            def appendList(self, rows):  # noqa: N802
+                outer.calls += 1
+                self.rows = self.rows + list(rows)
+
+            def getValue(self, key):  # noqa: N802
+                outer.calls += 1
+                return self.rows.get(key)
+
+            def updateValue(self, key, value):  # noqa: N802
+                outer.calls += 1
+                self.rows[key] = value
+
+            def removeKey(self, key):  # noqa: N802
+                outer.calls += 1
+                del self.rows[key]
+
+        return self.made.setdefault(name, State())
+
+    getListState = lambda self, name, *a: self._state(name, [])  # noqa: E731, N815
+    getMapState = lambda self, name, *a: self._state(name, {})  # noqa: E731, N815
+
+
+def told(p, events):
+    """The transitions of a call with these (queue, ms, event, job, path), by queue."""
+    import pandas as pd
+
+    df = pd.DataFrame([(q, ms, e, j, n and n.lower()) for q, ms, e, j, n in events], columns=["queue", "us", "event", "job_id", "norm"])
+    out = {}
+    for x in p.handleInputRows((0,), iter([df.iloc[: len(df) // 2], df.iloc[len(df) // 2 :]]), None):
+        for r in x.itertuples():
+            assert r.seq == len(p.seen.setdefault(r.queue, []))
+            p.seen[r.queue].append((r.job_id, r.state, r.run_by))
+            out.setdefault(r.queue, []).append((r.job_id, r.state, r.run_by))
+    return out
+
+
+@pytest.mark.parametrize("short,parts", [(256, 8), (5, 2), (0, 1)])
+def test_a_bucket_follows_the_rule_of_each_queue(monkeypatch, short, parts):
+    """However little a bucket holds itself, each of its queues is as it would be alone."""
+    monkeypatch.setattr(T, "SHORT", short)
+    monkeypatch.setattr(T, "PARTS", parts)
+    rng = random.Random(5)
+    queues = {f"q{k}": [] for k in range(7)} | {None: []}
+    for events in queues.values():
+        asked = 0
+        for k in range(rng.randrange(40, 160)):
+            if rng.random() < 0.55 or not asked:
+                asked += 1
+                kind = rng.choice(["folder", "folder", "content"])
+                events.append((k, kind, f"j{asked:03d}", rng.choice("ABCDEFGHIJKLMNOP") if kind == "folder" else None))
+            else:
+                events.append((k, rng.choice(["completed", "failed", "cancelled"]), f"j{max(1, asked - rng.randrange(12)):03d}", None))
+    states = States()
+    at = 0
+    seen = {}
+    while at < 160:
+        p = T.BucketProcessor(4, 2)  # as after a restart
+        p.seen = seen
+        p.init(states)
+        step = rng.randrange(1, 25)
+        told(p, [(q, *e) for q, events in queues.items() if at % 3 or q != "q1" for e in events if at <= e[0] < at + step] or [("q0", 999, "completed", "none", None)])
+        if not at % 3:
+            told(p, [("q1", *e) for e in queues["q1"] if at <= e[0] < at + step] or [("q1", 999, "completed", "none", None)])
+        at += step
+    for q, events in queues.items():
+        assert seen[q] == simulate(events, 4, 2)
+    assert len(states.made["parts"].rows) <= parts
+    assert bool(states.made["jobs"].rows) == (short < 256)
+
+
+def test_a_bucket_asks_its_state_twice():
+    """Calls of a state don't grow with the queues: each costs a way to the executor's JVM and back."""
+    states = States()
+    p = T.BucketProcessor(1, 2)
+    p.seen = {}
+    p.init(states)
+    first = [(f"q{k}", i, "folder", j, f"/{j}") for k in range(500) for i, j in enumerate("abcd")]
+    assert told(p, first)["q7"] == [("a", "Queued", "a"), ("a", "Processing", "a"), ("b", "Queued", "b"), ("b", "Processing", "b"), ("c", "Queued", "c"), ("d", "Waiting", "d")]
+    assert states.calls == 2
+    assert told(p, [(f"q{k}", 9, "completed", "a", None) for k in range(500)])["q499"] == [("a", "Completed", "a"), ("c", "Processing", "c"), ("d", "Queued", "d")]
+    assert states.calls == 4
+
+
+def test_a_batch_of_a_stream_is_read_from_all_its_files(spark):
+    from corvane.fixtures import Tables
+    from corvane.plans import stores
+
+    batches = [spark.range(30).repartition(3), spark.range(30, 40).repartition(2)]
+    rows = stores._streamed(Tables(spark, ""), batches, lambda s: s.select("id", F.input_file_name().alias("file"))).collect()
+    assert sorted(r.id for r in rows) == list(range(40)) and len({r.file for r in rows}) == 5
