@@ -90,12 +90,18 @@ add("archive_fetch", lambda t: A.fetch(A.read_archives(t.spark, _archive(t)), _a
 # ---- streams
 
 
-def _streamed(t: X.Tables, batches: list[DataFrame], build: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """What a stream over these batches, one at a time, writes until it has read them all: it goes on from its checkpoint after each."""
+def _streamed(t: X.Tables, batches: list[DataFrame], build: Callable[[DataFrame], DataFrame], by_file: bool = False) -> DataFrame:
+    """What a stream over these batches, one at a time, writes until it has read them all.
+
+    It goes on from its checkpoint after each batch; or it is started once and reads a file a batch, each of which one task writes.
+    """
     top = Stored(t.spark, "stream").top
     for k, b in enumerate(batches):
-        b.write.parquet(f"{top}/in/{k}")
-        source = t.spark.readStream.schema(batches[0].schema).option("recursiveFileLookup", "true").parquet(f"{top}/in")
+        (b.coalesce(1) if by_file else b).write.parquet(f"{top}/in/{k}")
+        if by_file and k < len(batches) - 1:
+            continue
+        source = t.spark.readStream.schema(batches[0].schema).option("recursiveFileLookup", "true")
+        source = (source.option("maxFilesPerTrigger", 1) if by_file else source).parquet(f"{top}/in")
         q = build(source).writeStream.format("parquet").option("path", f"{top}/out").option("checkpointLocation", f"{top}/checkpoint").outputMode("append").trigger(availableNow=True).start()
         q.awaitTermination()
         if q.exception():
@@ -109,7 +115,7 @@ def _by_timers(t: X.Tables) -> DataFrame:
     cut = F.lit("2024-01-15").cast("timestamp")
     later = lambda days: t.events.agg(F.max("ts").alias("ts")).select((F.col("ts") + F.make_dt_interval(F.lit(days))).alias("ts"), F.lit("none").alias("workspace"), F.lit("Created").alias("change_type"), F.lit("/none").alias("path"))
     parts = [e.filter(F.col("ts") < cut), e.filter(F.col("ts") >= cut), later(1), later(2)]
-    return _streamed(t, parts, lambda s: T.debounce_timers(s, 600_000)).filter("workspace <> 'none'")
+    return _streamed(t, parts, lambda s: T.debounce_timers(s, 600_000), by_file=True).filter("workspace <> 'none'")
 
 
 add("debounce_timers", _by_timers, K.CATALOG["debounce_batch"].sql)
